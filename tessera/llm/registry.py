@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import op01_mix, op03_lines, op06_media, op07_chat
+from tessera.llm import op01_mix, op03_lines, op06_media, op07_chat, op08_jaccard
 
 QUERIES = {
     "op1_mix": op01_mix.op1_mix,
     "op3_lines": op03_lines.op3_lines,
     "op6_media": op06_media.op6_media,
     "op7_chat": op07_chat.op7_chat,
+    "op8_jaccard": op08_jaccard.op8_jaccard,
 }
 
-ORACLE_SQL = {"op3_lines": op03_lines.ORACLE_SQL, "op7_chat": op07_chat.ORACLE_SQL}
+ORACLE_SQL = {"op3_lines": op03_lines.ORACLE_SQL, "op7_chat": op07_chat.ORACLE_SQL, "op8_jaccard": op08_jaccard.ORACLE_SQL}

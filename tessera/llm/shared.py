@@ -145,7 +145,8 @@ def shingles(words: np.ndarray, tok: np.ndarray, k: int) -> tuple[np.ndarray, np
         result[to] = out[at]
     for i in np.flatnonzero((counts > 0) & ~full):
         part = words[tok[i] : tok[i + 1]]
-        result[offs[i]] = mix64(np.array([(part * _STEP[: len(part)]).sum(dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D) * np.uint64(len(part))]))[0]
+        length = np.full(1, len(part), np.uint64) * np.uint64(0x5851F42D4C957F2D)
+        result[offs[i]] = mix64((part * _STEP[: len(part)]).sum(keepdims=True) + length)[0]
     return result, offs
 
 
