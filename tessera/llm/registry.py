@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import op01_mix, op03_lines, op06_media, op07_chat, op08_jaccard
+from tessera.llm import op01_mix, op03_lines, op04_language, op06_media, op07_chat, op08_jaccard, op09_toxicity, op10_quality
 
 QUERIES = {
     "op1_mix": op01_mix.op1_mix,
     "op3_lines": op03_lines.op3_lines,
+    "op4_language": op04_language.op4_language,
     "op6_media": op06_media.op6_media,
     "op7_chat": op07_chat.op7_chat,
     "op8_jaccard": op08_jaccard.op8_jaccard,
+    "op9_toxicity": op09_toxicity.op9_toxicity,
+    "op10_quality": op10_quality.op10_quality,
 }
 
 ORACLE_SQL = {"op3_lines": op03_lines.ORACLE_SQL, "op7_chat": op07_chat.ORACLE_SQL, "op8_jaccard": op08_jaccard.ORACLE_SQL}

@@ -110,11 +110,20 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words with A-Z lower-cased: a polynomial over random byte codes, then mixed."""
+def byte_sums(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the bytes' codes times powers of the base, and the inverse powers.
+
+    (sums[b] - sums[a]) * inverse[a] is the polynomial hash of bytes a to b, with A-Z lower-cased.
+    """
     up, down = _powers(len(buf))
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_CODE[buf] * up[: len(buf)], out=sums[1:])
+    return sums, down
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words with A-Z lower-cased: a polynomial over random byte codes, then mixed."""
+    sums, down = byte_sums(buf)
     return mix64((sums[ends] - sums[starts]) * down[starts])
 
 
