@@ -3,7 +3,7 @@
 Documents get rates r_i that stay closest to 1 in relative entropy, under one token constraint per source,
 sum r_i * size_i = target, and the bound r_i <= 2. The solution is an exponential tilt, r_i = min(2, exp(lambda_s * c_i))
 with c_i = size_i / mean size of the source, whose multipliers lambda_s minimise a convex dual. Newton's method finds
-them for all sources at once: every step is one aggregation over a histogram of (source, size), safeguarded by a bracket.
+them for all sources side by side: every step is one aggregation over a source's histogram of sizes, kept in a bracket.
 Rates are then rounded to whole copies by systematic rounding from long to short, with an exact running total per source.
 All steps are DataFrame expressions; nothing of a source ever meets in one task but its histogram's counts.
 """
@@ -55,34 +55,42 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budge
 def balance(cells: DataFrame, targets: DataFrame, max_rate: float = MAX_RATE, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """(k, lam): the multipliers that solve every source's dual, by Newton steps kept inside a bracket.
 
-    The gradient at lambda is sum n * c * min(max_rate, exp(lambda * c)) - target, increasing in lambda; at -700 / c and
-    at log(max_rate) / min c it has opposite signs. A source is done when its gradient is within tolerance of its target.
+    The gradient at lambda is sum n * c * min(max_rate, exp(lambda * c)) - target, increasing in lambda; at -50 / min c
+    and at log(max_rate) / min c it has opposite signs. A source is done when its gradient is within tolerance of its
+    target. What is iterated over is the source's histogram: one entry per distinct size, however many documents.
+    Sources are solved side by side, each where its histogram lies, so that steps cost no shuffle.
     """
     c = F.col("size") * F.col("n_docs") / F.col("source_size")
-    cells = cells.filter(F.col("size") > 0).join(targets.select("k", F.col("n").alias("n_docs"), "source_size", "target"), "k").select("k", c.alias("c"), "n", (F.col("target") * F.col("n_docs") / F.col("source_size")).alias("t"))
-    cells = settle(cells)
-    top = F.log(F.lit(max_rate)) / F.min("c")  # all rates stand at the bound
-    share = F.first("t") / F.sum(F.col("n") * F.col("c"))
-    start = F.when(share >= max_rate, top).otherwise(F.greatest(F.log(share), F.lit(-50.0)))
-    state = settle(cells.groupBy("k").agg(start.alias("lam"), (-50.0 / F.min("c")).alias("lo"), top.alias("hi"), (share >= max_rate).alias("done")))
-    raw = F.exp(F.least(F.col("lam") * F.col("c"), F.lit(50.0)))
-    rate = F.least(raw, F.lit(max_rate))
-    for _ in range(steps):
-        seen = cells.join(state.filter(~F.col("done")), "k").groupBy("k", "lam", "lo", "hi").agg(
-            F.sum(F.col("n") * F.col("c") * rate).alias("have"),
-            F.sum(F.when(raw < max_rate, F.col("n") * F.col("c") * F.col("c") * raw).otherwise(0.0)).alias("slope"),
-            F.first("t").alias("t"),
-        )
-        gap = F.col("have") - F.col("t")
-        lo, hi = F.when(gap < 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap > 0, F.col("lam")).otherwise(F.col("hi"))
-        newton = F.col("lam") - gap / F.col("slope")
-        step = F.when((F.col("slope") > 0) & (newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
-        done = (F.abs(gap) <= tolerance * F.col("t")) | (hi - lo < 1e-12)
-        moved = seen.select("k", F.when(done, F.col("lam")).otherwise(step).alias("lam"), lo.alias("lo"), hi.alias("hi"), done.alias("done"))
-        state = settle(state.filter("done").unionByName(moved))
-        if state.filter(~F.col("done")).isEmpty():
-            break
-    return state.select("k", "lam")
+    t = F.col("target") * F.col("n_docs") / F.col("source_size")
+    sized = cells.filter(F.col("size") > 0).join(targets.select("k", F.col("n").alias("n_docs"), "source_size", "target"), "k")
+    sized = sized.select("k", F.struct(c.alias("c"), F.col("n").cast("double").alias("n")).alias("x"), c.alias("c"), t.alias("t"))
+    held = sized.groupBy("k").agg(F.sort_array(F.collect_list("x")).alias("x"), F.min("c").alias("least"), F.first("t").alias("t"))
+    most = F.lit(float(max_rate))
+    top = F.log(most) / F.col("least")  # all rates stand at the bound
+    total = F.aggregate("x", F.lit(0.0), lambda acc, x: acc + x["n"] * x["c"])
+    held = held.withColumn("share", F.col("t") / total)
+    start = F.struct(
+        F.when(F.col("share") >= most, top).otherwise(F.greatest(F.log("share"), F.lit(-50.0))).alias("lam"), (F.lit(-50.0) / F.col("least")).alias("lo"), top.alias("hi"), (F.col("share") >= most).alias("done")
+    )
+
+    def step(state: Column, _: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            raw = F.exp(F.least(state["lam"] * x["c"], F.lit(50.0)))
+            mass = x["n"] * x["c"]
+            return F.struct((acc["have"] + mass * F.least(raw, most)).alias("have"), (acc["slope"] + F.when(raw < most, mass * x["c"] * raw).otherwise(0.0)).alias("slope"))
+
+        def move(acc: Column) -> Column:
+            gap = acc["have"] - F.col("t")
+            lo, hi = F.when(gap < 0, state["lam"]).otherwise(state["lo"]), F.when(gap > 0, state["lam"]).otherwise(state["hi"])
+            newton = state["lam"] - gap / F.when(acc["slope"] > 0, acc["slope"])
+            done = (F.abs(gap) <= tolerance * F.col("t")) | (hi - lo < 1e-12)
+            next_ = F.when((newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
+            return F.struct(F.when(done, state["lam"]).otherwise(next_).alias("lam"), lo.alias("lo"), hi.alias("hi"), done.alias("done"))
+
+        zero = F.struct(F.lit(0.0).alias("have"), F.lit(0.0).alias("slope"))
+        return F.when(state["done"], state).otherwise(F.aggregate("x", zero, add, move))
+
+    return held.select("k", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["lam"].alias("lam"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, max_rate: float = MAX_RATE) -> DataFrame:
@@ -99,7 +107,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     slices = settle(slim.groupBy("k", "size", "slice").agg(F.count(F.lit(1)).alias("n")))
     cells = slices.groupBy("k", "size").agg(F.sum("n").alias("n"))
     targets = settle(source_targets(cells, weights, budget, max_rate))
-    rates = balance(cells, targets, max_rate)
+    rates = settle(balance(cells, targets, max_rate))
     # Rates by cell, and the running total of rates before each slice of a cell.
     c = F.col("size") * F.col("n_docs") / F.col("source_size")
     tilt = F.least(F.exp(F.least(F.col("lam") * c, F.lit(50.0))), F.lit(max_rate))
