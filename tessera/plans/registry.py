@@ -1,10 +1,450 @@
-"""Registered queries of the series engine with their DuckDB counterparts."""
+"""Registered queries of the series engine, each with the DuckDB SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera import adapters
+from tessera.functions import columns as fn
+from tessera.operators import changes, correlate, overlap, profile, rolling, series, spatial, stats
+from tessera.plans import stages
+from tessera.tables import table
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+DIGITS = 6
+#: Added before rounding: means of money over 2^n rows end in halves, which sums in another order would round apart.
+NUDGE = 2e-9
+
+
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Doubles rounded, so that sums in another order compare equal, negative zero as zero; dates as text."""
+    made = {"double": lambda c: F.round(F.col(c) + NUDGE, digits) + F.lit(0.0), "date": lambda c: F.col(c).cast("string")}
+    return df.select(*[made.get(kind, F.col)(c).alias(c) for c, kind in df.dtypes])
+
+
+def query(sql: str | None = None, digits: int = DIGITS):
+    """Registers a query under its name, with its oracle; ``$name`` in the SQL stands for a shared part.
+
+    Columns named date or month are dates, given as text by both.
+    """
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
+        if sql:
+            dated = next((c for c in ("date", "month") if re.match(rf"SELECT [^()]*\b{c}\b", sql)), None)
+            whole = _with(sql)
+            ORACLE_SQL[f.__name__] = f"SELECT * REPLACE (CAST({dated} AS VARCHAR) AS {dated}) FROM ({whole})" if dated else whole
+        return f
+
+    return add
+
+
+# --- parts shared by the oracles: name -> (parts it needs, SQL) ---------------------------------
+
+def _window_join(source: str, m: int) -> str:
+    return f"""SELECT series, t, date, min(mp) AS mp, arg_min(u, (mp, u)) AS nn FROM (
+      SELECT a.series, a.t, a.date, b.t AS u, sqrt(2.0 * {m} * (1.0 - greatest(least(list_dot_product(a.z, b.z) / {m}, 1.0), -1.0))) AS mp
+      FROM {source} a JOIN {source} b ON a.series = b.series AND abs(a.t - b.t) > {profile.exclusion(m)}) GROUP BY ALL"""
+
+
+def _z(source: str, m: int) -> str:
+    return f"""SELECT series, t, date, list_transform(w, lambda v: (v - mu) / sd) AS z FROM (
+      SELECT series, t, date, list(x) OVER f AS w, avg(x) OVER f AS mu, stddev_pop(x) OVER f AS sd FROM {source}
+      WINDOW f AS (PARTITION BY series ORDER BY t ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING)) WHERE len(w) = {m}"""
+
+
+def _top(source: str, k: int, zone: int, order: str = "mp") -> str:
+    rounds, taken = [], ""
+    for i in range(1, k + 1):
+        rounds.append(f"r{i} AS (SELECT p.series, {i} AS rank, arg_min(t, ({order}, t)) AS t, arg_min(date, ({order}, t)) AS date, arg_min(mp, ({order}, t)) AS mp, arg_min(nn, ({order}, t)) AS nn FROM {source} p{taken} GROUP BY p.series)")
+        taken += f" ANTI JOIN r{i} ON p.series = r{i}.series AND abs(p.t - r{i}.t) <= {zone}"
+    return "WITH " + ", ".join(rounds) + " " + " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(1, k + 1))
+
+
+_FILL = """SELECT series, date, t, coalesce(x, pv + (nv - pv) * (t - pt) / (nt - pt), pv, nv) AS x FROM (
+  SELECT *, last_value(x IGNORE NULLS) OVER b AS pv, last_value(CASE WHEN x IS NOT NULL THEN t END IGNORE NULLS) OVER b AS pt,
+    first_value(x IGNORE NULLS) OVER f AS nv, first_value(CASE WHEN x IS NOT NULL THEN t END IGNORE NULLS) OVER f AS nt FROM {0}
+  WINDOW b AS (PARTITION BY series ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY series ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+_ROLL = """SELECT *, x - CASE WHEN count(x) OVER w >= 6 THEN avg(x) OVER w END AS anomaly FROM {0} WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)"""
+_MK = """SELECT series, indicator, CAST(s AS BIGINT) AS s, slope, n, (n * (n - 1.0) * (2 * n + 5) - ties) / 18 AS var, CASE WHEN s = 0 THEN 0.0 ELSE (s - sign(s)) / sqrt((n * (n - 1.0) * (2 * n + 5) - ties) / 18) END AS z, s / (n * (n - 1.0) / 2) AS tau FROM (
+  SELECT a.series, a.indicator, sum(sign(b.v - a.v)) AS s, median((b.v - a.v) / (b.i - a.i)) AS slope FROM {0} a JOIN {0} b ON a.series = b.series AND a.indicator = b.indicator AND a.i < b.i GROUP BY ALL)
+  JOIN (SELECT series, indicator, CAST(sum(c) AS BIGINT) AS n, sum(c * (c - 1.0) * (2 * c + 5)) AS ties FROM (SELECT series, indicator, v, count(*) AS c FROM {0} GROUP BY ALL) GROUP BY ALL) USING (series, indicator) WHERE n >= 4"""
+
+PARTS: dict[str, str] = {
+    "obs": "SELECT r_name AS series, o_custkey AS pixel, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, o_totalprice AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    "means": "SELECT series, date, avg(value) AS x FROM $obs GROUP BY ALL",
+    "months": "SELECT CAST(d AS DATE) AS date, row_number() OVER (ORDER BY d) - 1 AS t FROM (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 MONTH)) AS d FROM $means)",
+    "dense": "SELECT s.series, m.date, m.t, x FROM (SELECT DISTINCT series FROM $means) s CROSS JOIN $months m LEFT JOIN $means o ON o.series = s.series AND o.date = m.date",
+    "monthly": _FILL.format("$dense"),
+    "wide": "SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, avg(l_quantity) AS quantity, avg(l_discount) AS discount, avg(l_tax) AS tax, avg(l_extendedprice) AS price FROM lineitem GROUP BY ALL",
+    "long": "SELECT date, indicator, value FROM $wide UNPIVOT INCLUDE NULLS (value FOR indicator IN (quantity, discount, tax, price))",
+    "idense": "SELECT i.indicator AS series, m.date, m.t, value AS x FROM (SELECT unnest(['quantity', 'discount', 'tax', 'price']) AS indicator) i CROSS JOIN $months m LEFT JOIN $long o ON o.indicator = i.indicator AND o.date = m.date",
+    "imonthly": _FILL.format("$idense"),
+    "clim": "SELECT series, date, t, x - avg(x) OVER (PARTITION BY series, month(date)) AS x FROM $monthly",
+    "roll": _ROLL.format("$monthly"),
+    "iroll": _ROLL.format("$imonthly"),
+    "aligned": "SELECT a.series, b.series AS indicator, a.date, a.anomaly AS x, b.anomaly AS y FROM $roll a JOIN $iroll b USING (date)",
+    "z12": _z("$clim", 12), "z24": _z("$clim", 24), "z36": _z("$clim", 36), "iz12": _z("$imonthly", 12), "iz24": _z("$imonthly", 24), "iz36": _z("$imonthly", 36),
+    **{f"{i}p{m}": _window_join(f"${i}z{m}", m) for i in ("", "i") for m in (12, 24, 36)},
+    **{f"{i}top{m}": _top(f"${i}p{m}", 3, m // 4) for i in ("", "i") for m in (12, 24, 36)},
+    "discords": _top("$p12", 3, 3, "-mp"),
+    "pairs": "SELECT DISTINCT a.series, b.series AS indicator, a.t AS start, b.t AS other, b.t - a.t AS lag FROM $top12 a JOIN $itop12 b ON abs(b.t - a.t) <= 12",
+    "pearson": """SELECT series, indicator, date, n_row, greatest(least(num / (sqrt(greatest(vx * vy, 0.0)) + 1e-14), 1.0), -1.0) AS r FROM (
+      SELECT series, indicator, date, row_number() OVER (PARTITION BY series, indicator ORDER BY date) AS n_row, avg(x * y) OVER w - avg(x) OVER w * avg(y) OVER w AS num,
+        avg(x * x) OVER w - pow(avg(x) OVER w, 2) AS vx, avg(y * y) OVER w - pow(avg(y) OVER w, 2) AS vy FROM $aligned
+      WINDOW w AS (PARTITION BY series, indicator ORDER BY date ROWS BETWEEN 35 PRECEDING AND CURRENT ROW)) WHERE n_row >= 36""",
+    "ranked": "SELECT series, indicator, r AS v, row_number() OVER (PARTITION BY series, indicator ORDER BY date) - 1 AS i FROM $pearson",
+    "mk": _MK.format("$ranked"),
+    "annual": """SELECT g.series, g.indicator, g.year, coalesce(n, 0) AS n FROM (SELECT series, indicator, CAST(unnest(range(1995, 2002)) AS INTEGER) AS year FROM (SELECT DISTINCT series, indicator FROM $pairs)) g
+      LEFT JOIN (SELECT p.series, indicator, CAST(year(date) AS INTEGER) AS year, count(*) AS n FROM $pairs p JOIN $monthly m ON p.series = m.series AND p.start = m.t GROUP BY ALL) c ON g.series = c.series AND g.indicator = c.indicator AND g.year = c.year""",
+    "lags": """SELECT x.series, x.indicator, CAST(k AS INTEGER) AS lag, x.n, sum(x.v * y.v) / x.n AS r FROM (SELECT series, indicator, i, n, (x - avg(x) OVER o) / (stddev_pop(x) OVER o + 1e-12) AS v FROM $numbered WINDOW o AS (PARTITION BY series, indicator)) x
+      JOIN (SELECT series, indicator, i, (y - avg(y) OVER o) / (stddev_pop(y) OVER o + 1e-12) AS v FROM $numbered WINDOW o AS (PARTITION BY series, indicator)) y ON x.series = y.series AND x.indicator = y.indicator
+      JOIN (SELECT unnest(range(0, 13)) AS k) ks ON x.i = y.i + k GROUP BY x.series, x.indicator, k, x.n""",
+    "numbered": "SELECT *, row_number() OVER (PARTITION BY series, indicator ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY series, indicator) AS n FROM $aligned WHERE x IS NOT NULL AND y IS NOT NULL",
+    "indices": """SELECT *, CASE WHEN count(mp) OVER w >= 12 THEN min(mp) OVER w END AS mpi_min, CASE WHEN count(mp) OVER w >= 12 THEN avg(mp) OVER w END AS mpi_mean,
+      mp > avg(mp) OVER s + 1.5 * stddev_pop(mp) OVER s AS anomalous FROM $p12 WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), s AS (PARTITION BY series)""",
+    "points": "SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) * 400 AS lon, CAST(embedding[2] AS DOUBLE) * 200 AS lat FROM embeddings",
+    "boxes": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}, {b}, {c}, {d})" for n, a, b, c, d in spatial.BOXES) + ") v(region, lon_min, lat_min, lon_max, lat_max)",
+    "mwu": """SELECT series, indicator, n1, n2, CASE WHEN n1 > 0 AND n2 > 0 THEN u END AS u, ties, mean1, mean2, CASE WHEN n1 > 0 AND n2 > 0 THEN 1 - 2 * u / (n1 * n2) END AS effect FROM (
+      SELECT series, indicator, CAST(sum(a) AS BIGINT) AS n1, CAST(sum(b) AS BIGINT) AS n2, sum(a * (below + b / 2.0)) AS u, sum(pow(a + b, 3) - (a + b)) AS ties, sum(a * n) * 1.0 / sum(a) AS mean1, sum(b * n) * 1.0 / sum(b) AS mean2 FROM (
+        SELECT *, coalesce(sum(b) OVER (PARTITION BY series, indicator ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (
+          SELECT series, indicator, n, count(*) FILTER (year < 1998) AS a, count(*) FILTER (year >= 1998) AS b FROM $annual GROUP BY ALL)) GROUP BY ALL)""",
+}
+
+
+def _with(sql: str) -> str:
+    """``sql`` with the shared parts it names, and those they name, as common table expressions in order."""
+    order: list[str] = []
+
+    def need(text: str) -> None:
+        for name in re.findall(r"\$(\w+)", text):
+            if name not in order:
+                need(PARTS[name])
+                order.append(name)
+
+    need(sql)
+    parts = ", ".join(f"s_{name} AS MATERIALIZED ({PARTS[name]})" for name in order)
+    return re.sub(r"\$(\w+)", r"s_\1", f"WITH {parts} {sql}" if parts else sql)
+
+
+def _r(*names: str, digits: int = DIGITS) -> str:
+    return ", ".join(f"round({n} + {NUDGE}, {digits}) + 0.0 AS {n}" for n in names)
+
+
+# --- series --------------------------------------------------------------------------------------
+
+
+@query(f"SELECT series, date, t, {_r('x')} FROM $monthly")
+def monthly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.monthly(spark, sf_dir)
+
+
+@query(f"SELECT series, date, t, {_r('x')} FROM $clim")
+def climatology_anomaly(spark, sf_dir):
+    return stages.region_anomalies(spark, sf_dir)
+
+
+@query(f"SELECT series, date, t, {_r('x', 'anomaly')} FROM $roll")
+def rolling_deseason(spark, sf_dir):
+    return series.rolling_anomaly(stages.monthly(spark, sf_dir))
+
+
+@query(f"""SELECT series, date, t, {_r('x', 'line', 'near')} FROM (SELECT g.series, g.date, g.t, g.x, m.x AS line,
+  coalesce(last_value(g.x IGNORE NULLS) OVER (PARTITION BY g.series ORDER BY g.t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(g.x IGNORE NULLS) OVER (PARTITION BY g.series ORDER BY g.t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS near
+  FROM $dense g JOIN $monthly m ON g.series = m.series AND g.t = m.t)""")
+def fill_gaps(spark, sf_dir):
+    dense = series.densify(series.mean_series(adapters.observations(spark, sf_dir))).withColumns({"line": F.col("x"), "near": F.col("x")})
+    return series.fill_both_ways(series.interpolate(dense, x="line"), x="near")
+
+
+@query(f"SELECT date, indicator, {_r('value')} FROM $long")
+def indicator_long(spark, sf_dir):
+    return series.unpivot(adapters.indicators_wide(spark, sf_dir), adapters.INDICATORS)
+
+
+@query(f"SELECT date, {_r(*adapters.INDICATORS)} FROM $wide")
+def indicator_wide(spark, sf_dir):
+    return series.pivot(indicator_long(spark, sf_dir), adapters.INDICATORS)
+
+
+@query(f"SELECT indicator, n, n_null, {_r('null_rate', 'least', 'most', 'mean')} FROM (SELECT indicator, count(*) AS n, count(*) - count(value) AS n_null, (count(*) - count(value)) / count(*) AS null_rate, min(value) AS least, max(value) AS most, avg(value) AS mean FROM $long GROUP BY ALL)")
+def indicator_profile(spark, sf_dir):
+    return series.null_profile(indicator_long(spark, sf_dir))
+
+
+@query(f"SELECT series, year, {_r('mean', 'std', digits=4)}, n FROM (SELECT series, CAST(year(date) AS INTEGER) AS year, avg(value) AS mean, stddev_samp(value) AS std, count(value) AS n FROM $obs GROUP BY ALL)", digits=4)
+def yearly_stats(spark, sf_dir):
+    return series.yearly_stats(adapters.observations(spark, sf_dir))
+
+
+@query(f"SELECT series, n_pixels, n_dates, n_rows, {_r('completeness')}, completeness < 0.7 AS sparse FROM (SELECT series, count(DISTINCT pixel) AS n_pixels, count(DISTINCT date) AS n_dates, count(*) AS n_rows, count(*) / (count(DISTINCT pixel) * count(DISTINCT date)) AS completeness FROM $obs GROUP BY ALL)")
+def completeness_qc(spark, sf_dir):
+    return series.completeness(adapters.observations(spark, sf_dir))
+
+
+@query("SELECT series, date, t FROM (SELECT *, dense_rank() OVER (PARTITION BY series ORDER BY date) AS r FROM $dense) WHERE r <= 60")
+def first_sixty_dates(spark, sf_dir):
+    dense = series.densify(series.mean_series(adapters.observations(spark, sf_dir)))
+    return series.first_dates(dense, 60).select("series", "date", "t")
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")
+def first_order_per_customer(spark, sf_dir):
+    return series.first_per(table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority"), ("o_custkey",), ("o_orderdate", "o_orderkey")).drop("o_orderdate")
+
+
+# --- scalar functions ------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, round(tanh(pow((nir - red) / 1.0, 2)) + 2e-9, 6) + 0.0 AS kndvi, round(tanh(pow((nir - red) / (nir + red), 2)) + 2e-9, 6) + 0.0 AS from_ndvi, raw > -28672 AS kept, round(CASE WHEN raw > -28672 THEN raw * 0.0001 END + 2e-9, 6) + 0.0 AS reflectance,
+  round(CASE WHEN max(abs(p_retailprice)) OVER () > 2 THEN p_retailprice / 10000.0 ELSE p_retailprice END + 2e-9, 6) + 0.0 AS rescaled, p_size BETWEEN 0 AND 1 AS quality
+  FROM (SELECT *, p_retailprice / 2000 AS nir, p_size / 100.0 AS red, CASE WHEN p_size % 7 = 0 THEN -28672 ELSE p_size * 100 END AS raw FROM part)""")
+def kndvi_transform(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    nir, red = F.col("p_retailprice") / 2000, F.col("p_size") / 100.0
+    raw = F.when(F.col("p_size") % 7 == 0, fn.FILL).otherwise(F.col("p_size") * 100)
+    largest = p.agg(F.max(F.abs("p_retailprice")).alias("largest"))
+    return p.crossJoin(F.broadcast(largest)).select(  # one row
+        "p_partkey", fn.kndvi(nir, red).alias("kndvi"), fn.kndvi_from_ndvi((nir - red) / (nir + red)).alias("from_ndvi"), (raw > fn.FILL).alias("kept"), fn.unscaled(raw).alias("reflectance"),
+        fn.rescaled(F.col("p_retailprice"), F.col("largest")).alias("rescaled"), fn.quality_ok(F.col("p_size")).alias("quality"),
+    )
+
+
+@query("SELECT count(*) FILTER (v BETWEEN -1.000001 AND 1.000001) AS n_ok, count(*) FILTER (NOT v BETWEEN -1.000001 AND 1.000001) AS n_bad FROM (SELECT l_discount * 12 - 0.1 AS v FROM lineitem)")
+def range_check(spark, sf_dir):
+    ok = (F.col("l_discount") * 12 - 0.1).between(-1.000001, 1.000001)
+    return table(spark, sf_dir, "lineitem").agg(F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_bad"))
+
+
+@query("""SELECT s_suppkey, h, v, round(degrees(x / (6371007.181 * cos(y / 6371007.181))) + 2e-9, 6) + 0.0 AS lon, round(degrees(y / 6371007.181) + 2e-9, 6) + 0.0 AS lat FROM (
+  SELECT *, (h - 18) * 1111950.519667 + (c + 0.5) * (1111950.519667 / 1200) AS x, (9 - v) * 1111950.519667 - (r + 0.5) * (1111950.519667 / 1200) AS y FROM (
+  SELECT s_suppkey, CAST(10 + s_nationkey % 16 AS INTEGER) AS h, CAST(2 + s_nationkey % 14 AS INTEGER) AS v, (s_suppkey * 5) % 1200 AS r, (s_suppkey * 35) % 1200 AS c FROM supplier))""")
+def tile_lon_lat(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (10 + F.col("s_nationkey") % 16).cast("int").alias("h"), (2 + F.col("s_nationkey") % 14).cast("int").alias("v"))
+    lon, lat = fn.tile_lon_lat(F.col("h"), F.col("v"), (F.col("s_suppkey") * 5) % 1200, (F.col("s_suppkey") * 35) % 1200)
+    return s.select("s_suppkey", "h", "v", lon.alias("lon"), lat.alias("lat"))
+
+
+@query("SELECT o_orderkey, month, h, v FROM (SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(o_custkey % 36 AS INTEGER) AS h, CAST(o_orderkey % 18 AS INTEGER) AS v FROM orders)")
+def file_name_parts(spark, sf_dir):
+    name = F.concat(F.lit("MOD.A"), F.date_format("o_orderdate", "yyyyDDD"), F.format_string(".h%02dv%02d.hdf", F.col("o_custkey") % 36, F.col("o_orderkey") % 18))
+    named = table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name"))
+    tile = fn.tile_from_name(F.col("name"))
+    return named.select("o_orderkey", fn.date_from_name(F.col("name")).alias("month"), tile["h"].alias("h"), tile["v"].alias("v"))
+
+
+# --- spatial and interval joins ---------------------------------------------------------------------
+
+
+@query("SELECT id, region, printf('%.4f_%.4f', lon, lat) AS pixel FROM $points JOIN $boxes ON lon BETWEEN lon_min AND lon_max AND lat BETWEEN lat_min AND lat_max")
+def region_bbox_fanout(spark, sf_dir):
+    got = spatial.assign_boxes(adapters.points(spark, sf_dir), spatial.boxes(spark))
+    return got.select("id", "region", fn.pixel_id(F.col("lon"), F.col("lat")).alias("pixel"))
+
+
+_EDGES = ", ".join(f"('{n}', {a[0]}, {a[1]}, {b[0]}, {b[1]})" for n, rings in spatial.POLYGONS for ring in rings for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+
+
+@query(f"""SELECT id, polygon FROM $points, (SELECT * FROM (VALUES {_EDGES}) e(polygon, x1, y1, x2, y2)) WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY id, polygon HAVING count(*) % 2 = 1""")
+def points_in_polygons(spark, sf_dir):
+    return spatial.within(adapters.points(spark, sf_dir), spatial.polygons(spark)).select("id", "polygon")
+
+
+@query(f"SELECT date, {_r(*adapters.INDICATORS)}, vintage FROM $wide JOIN (SELECT * FROM (VALUES " + ", ".join(f"(CAST({v} AS INTEGER), DATE '{a}', DATE '{b}')" for v, a, b in spatial.PERIODS) + ") p(vintage, first, last)) ON date BETWEEN first AND last")
+def period_slices(spark, sf_dir):
+    return spatial.assign_periods(adapters.indicators_wide(spark, sf_dir), spatial.periods(spark))
+
+
+# --- profiles ------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT series, t, date, {_r('mp', digits=5)}, nn FROM $p12", digits=5)
+def matrix_profile_m12(spark, sf_dir):
+    return profile.self_join(stages.region_anomalies(spark, sf_dir), 12)
+
+
+@query(f"SELECT series, t, date, {_r('mp', digits=5)}, nn FROM $p24", digits=5)
+def matrix_profile_m24(spark, sf_dir):
+    return stages.region_profile(spark, sf_dir, 24)
+
+
+@query(f"SELECT series, t, date, {_r('mp', digits=5)}, nn FROM $ip12", digits=5)
+def indicator_matrix_profile(spark, sf_dir):
+    return stages.indicator_profile(spark, sf_dir, 12)
+
+
+@query(f"SELECT series, rank, t, date, {_r('mp', digits=5)}, nn FROM $top12", digits=5)
+def top_motifs(spark, sf_dir):
+    return profile.top_windows(stages.region_profile(spark, sf_dir), 3, 3)
+
+
+@query(f"SELECT series, rank, t, date, {_r('mp', digits=5)}, nn FROM $discords", digits=5)
+def top_discords(spark, sf_dir):
+    return profile.best_windows(stages.region_profile(spark, sf_dir), 3, 3, largest=True)
+
+
+@query()
+def motif_groups(spark, sf_dir):
+    return profile.motifs(stages.region_anomalies(spark, sf_dir), 12)
+
+
+@query(f"SELECT series, n, {_r('mean', 'std', 'least', 'most', digits=5)} FROM (SELECT series, count(*) AS n, avg(mp) AS mean, stddev_pop(mp) AS std, min(mp) AS least, max(mp) AS most FROM $p12 GROUP BY ALL)", digits=5)
+def profile_summary(spark, sf_dir):
+    return rolling.profile_summary(stages.region_profile(spark, sf_dir))
+
+
+@query(f"SELECT series, t, date, {_r('mp', 'mpi_min', 'mpi_mean', digits=5)}, nn, anomalous FROM $indices", digits=5)
+def profile_indices(spark, sf_dir):
+    return rolling.profile_indices(stages.region_profile(spark, sf_dir))
+
+
+@query(f"SELECT series, n, {_r('early_rate', 'late_rate')}, late_rate > early_rate AS grew FROM (SELECT series, count(*) AS n, count(*) FILTER (anomalous AND year(date) < 1998) / greatest(count(*) FILTER (year(date) < 1998), 1) AS early_rate, count(*) FILTER (anomalous AND year(date) >= 1998) / greatest(count(*) FILTER (year(date) >= 1998), 1) AS late_rate FROM $indices GROUP BY ALL)")
+def anomaly_rates(spark, sf_dir):
+    return rolling.anomaly_rates(profile_indices(spark, sf_dir), 1998)
+
+
+# --- overlaps ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT series, indicator, start, other, lag FROM $pairs")
+def overlap_pairs(spark, sf_dir):
+    return stages.pairs(spark, sf_dir)
+
+
+_RATES = """SELECT g.series, g.indicator, g.n_starts, coalesce(c.n, 0) AS n_matched, round(coalesce(c.n, 0) / greatest(g.n_starts, 1) + 2e-9, 6) + 0.0 AS fraction, coalesce(c.n, 0) > 0 AS coupled{1} FROM
+  (SELECT a.series, i.series AS indicator, count(DISTINCT a.t) AS n_starts FROM $top{0} a, (SELECT DISTINCT series FROM $itop{0}) i GROUP BY ALL) g LEFT JOIN
+  (SELECT a.series, b.series AS indicator, count(DISTINCT a.t) AS n FROM $top{0} a JOIN $itop{0} b ON abs(a.t - b.t) <= {0} GROUP BY ALL) c ON g.series = c.series AND g.indicator = c.indicator"""
+
+
+@query(_RATES.format(12, ""))
+def overlap_exists(spark, sf_dir):
+    mine = stages.starts(stages.region_profile(spark, sf_dir), 12)
+    others = stages.starts(stages.indicator_profile(spark, sf_dir), 12).withColumnRenamed("series", "indicator")
+    return overlap.overlap_rates(mine, others, 12)
+
+
+@query(" UNION ALL ".join(_RATES.format(m, f", {m} AS m") for m in (12, 24, 36)))
+def window_sweep(spark, sf_dir):
+    return stages.sweep(spark, sf_dir)
+
+
+@query(f"SELECT series, indicator, n_overlaps, n_matched, {_r('median_lag', 'p025', 'p975')} FROM (SELECT series, indicator, count(*) AS n_overlaps, count(DISTINCT start) AS n_matched, CAST(median(lag) AS DOUBLE) AS median_lag, quantile_cont(CAST(lag AS DOUBLE), 0.025) AS p025, quantile_cont(CAST(lag AS DOUBLE), 0.975) AS p975 FROM $pairs GROUP BY ALL)")
+def lag_summary(spark, sf_dir):
+    return overlap.lag_summary(stages.pairs(spark, sf_dir))
+
+
+@query()
+def lag_intervals(spark, sf_dir):
+    return overlap.lag_intervals(stages.pairs(spark, sf_dir))
+
+
+@query("SELECT series, indicator, year, n FROM $annual")
+def annual_overlap_counts(spark, sf_dir):
+    return overlap.annual_counts(stages.pairs(spark, sf_dir), stages.monthly(spark, sf_dir), 1995, 2001)
+
+
+@query("SELECT lag, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(range(-12, 13)) AS BIGINT) AS lag) LEFT JOIN (SELECT lag, count(*) AS n FROM $pairs GROUP BY ALL) USING (lag)")
+def lag_histogram(spark, sf_dir):
+    counts = stages.pairs(spark, sf_dir).groupBy("lag").agg(F.count(F.lit(1)).alias("n"))
+    return spark.range(-12, 13).select(F.col("id").alias("lag")).join(counts, "lag", "left").fillna(0, ["n"])
+
+
+# --- tests and trends -------------------------------------------------------------------------------------------
+
+
+def _annual_split(spark, sf_dir):
+    return annual_overlap_counts(spark, sf_dir).select("series", "indicator", (F.col("year") < 1998).alias("early"), F.col("n").cast("double").alias("value"))
+
+
+@query(f"SELECT series, indicator, n1, n2, {_r('u', 'ties', 'mean1', 'mean2', 'effect')}, CASE WHEN mean1 > mean2 THEN 'early>late' ELSE 'early<=late' END AS direction FROM $mwu")
+def mwu_shift(spark, sf_dir):
+    return stats.mann_whitney(_annual_split(spark, sf_dir)).drop("p")
+
+
+@query()
+def mwu_p_values(spark, sf_dir):
+    plain = stats.mann_whitney(_annual_split(spark, sf_dir)).select("series", "indicator", "u", "p")
+    return plain.join(stats.mann_whitney(_annual_split(spark, sf_dir), exact=True).select("series", "indicator", F.col("p").alias("p_exact")), ["series", "indicator"])
+
+
+@query("SELECT CAST(k AS BIGINT) AS k, 10 AS n1, 16 AS n2, k * 16 + (10 - k) * 8.0 AS u, pow(26 - k, 3) - (26 - k) + pow(k, 3) - k AS ties FROM (SELECT unnest(range(0, 11)) AS k)")
+def mwu_floor_grid(spark, sf_dir):
+    return stats.floor_grid(spark, 10, 16).drop("p")
+
+
+@query(f"SELECT series, indicator, date, n_row, {_r('r')} FROM $pearson")
+def rolling_pearson(spark, sf_dir):
+    return rolling.rolling_pearson(stages.aligned(spark, sf_dir)).withColumn("n_row", F.col("n_row").cast("long"))
+
+
+@query(f"SELECT series, indicator, s, n, {_r('slope', 'var', 'z', 'tau')}, CASE WHEN abs(z) <= 1.959964 THEN 'no trend' WHEN z > 0 THEN 'increasing' ELSE 'decreasing' END AS trend FROM $mk")
+def mann_kendall(spark, sf_dir):
+    return stats.mann_kendall(rolling_pearson(spark, sf_dir), x="r").drop("p")
+
+
+@query(f"""SELECT series, indicator, n, {_r('p', 'p_bh')}, p <= threshold AS rejected FROM (
+  SELECT *, least(1.0, min(p * f / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_bh, coalesce(max(CASE WHEN p <= k * 0.05 / f THEN p END) OVER (), -1) AS threshold FROM (
+    SELECT series, indicator, n, p, count(*) OVER () AS f, row_number() OVER (ORDER BY p) AS k FROM (SELECT series, indicator, n, exp(-abs(z)) AS p FROM $mk)))""")
+def bh_fdr(spark, sf_dir):
+    tests = mann_kendall(spark, sf_dir).select("series", "indicator", "n", F.exp(-F.abs("z")).alias("p"))
+    return stats.fdr(tests)
+
+
+@query()
+def corrected_trends(spark, sf_dir):
+    return stats.corrected_trends(rolling_pearson(spark, sf_dir).withColumnRenamed("r", "x"))
+
+
+@query(f"SELECT series, indicator, lag, n, {_r('r')} FROM $lags")
+def xcorr_lags(spark, sf_dir):
+    return correlate.cross_correlation(stages.aligned(spark, sf_dir), 12)
+
+
+@query(f"SELECT series, indicator, n, peak_lag, {_r('peak_r')} FROM (SELECT series, indicator, n, arg_max(lag, (round(abs(r), 12), -lag)) AS peak_lag, arg_max(r, (round(abs(r), 12), -lag)) AS peak_r FROM $lags GROUP BY ALL)")
+def xcorr_peak(spark, sf_dir):
+    return correlate.correlation_peak(xcorr_lags(spark, sf_dir)).drop("ci_lower", "ci_upper")
+
+
+@query(f"""SELECT series, indicator, {_r('mp_lag')}, peak_lag, CASE WHEN abs(mp_lag - peak_lag) <= 2 THEN 'agree' ELSE 'disagree' END AS lag_agreement FROM
+  (SELECT series, indicator, arg_max(lag, (round(abs(r), 12), -lag)) AS peak_lag FROM $lags GROUP BY ALL) LEFT JOIN (SELECT series, indicator, CAST(median(lag) AS DOUBLE) AS mp_lag FROM $pairs GROUP BY ALL) USING (series, indicator)""")
+def method_comparison(spark, sf_dir):
+    peak = xcorr_peak(spark, sf_dir).select("series", "indicator", "peak_lag")
+    motif = overlap.lag_summary(stages.pairs(spark, sf_dir)).select("series", "indicator", F.col("median_lag").alias("mp_lag"))
+    return peak.join(motif, ["series", "indicator"], "left").withColumn("lag_agreement", fn.agreement(F.col("mp_lag"), F.col("peak_lag")))
+
+
+@query()
+def wavelet_bands(spark, sf_dir):
+    return correlate.coherence_bands(stages.aligned(spark, sf_dir))
+
+
+@query()
+def binseg_breaks(spark, sf_dir):
+    return changes.break_points(stages.monthly(spark, sf_dir), "binseg")
+
+
+@query()
+def pelt_breaks(spark, sf_dir):
+    return changes.break_points(stages.monthly(spark, sf_dir), "pelt", penalty=2.0)
+
+
+@query()
+def break_summary(spark, sf_dir):
+    return changes.break_summary(binseg_breaks(spark, sf_dir).unionByName(pelt_breaks(spark, sf_dir)))
+
+
+@query()
+def null_model(spark, sf_dir):
+    counts = overlap.overlap_rates(stages.starts(stages.region_profile(spark, sf_dir), 12), stages.starts(stages.indicator_profile(spark, sf_dir), 12).withColumnRenamed("series", "indicator"), 12)
+    length = stages.monthly(spark, sf_dir).groupBy("series").agg(F.count(F.lit(1)).alias("length"))
+    cases = counts.join(length, "series").select("series", "indicator", "length", F.lit(12).cast("long").alias("m"), F.lit(3).cast("long").alias("k"), F.lit(12).cast("long").alias("most"), F.col("n_matched").alias("observed"))
+    return stats.null_model(cases).drop("histogram")
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region anomalies to matrix profiles to motif starts, joined with the indicators' within a band of lags."""
+    return stages.pairs(spark, sf_dir)
