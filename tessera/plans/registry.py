@@ -371,7 +371,7 @@ def mwu_p_values(spark, sf_dir):
     return plain.join(stats.mann_whitney(_annual_split(spark, sf_dir), exact=True).select("series", "indicator", F.col("p").alias("p_exact")), ["series", "indicator"])
 
 
-@query("SELECT CAST(k AS BIGINT) AS k, 10 AS n1, 16 AS n2, k * 16 + (10 - k) * 8.0 AS u, pow(26 - k, 3) - (26 - k) + pow(k, 3) - k AS ties FROM (SELECT unnest(range(0, 11)) AS k)")
+@query("SELECT CAST(k AS BIGINT) AS k, 10 AS n1, 16 AS n2, CAST(k * 16 + (10 - k) * 8 AS DOUBLE) AS u, CAST(pow(26 - k, 3) - (26 - k) + pow(k, 3) - k AS DOUBLE) AS ties FROM (SELECT unnest(range(0, 11)) AS k)")
 def mwu_floor_grid(spark, sf_dir):
     return stats.floor_grid(spark, 10, 16).drop("p")
 
