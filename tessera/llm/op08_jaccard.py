@@ -33,7 +33,9 @@ SKETCH_BITS = 20
 #: Star rounds go on while more pairs of different groups are left than this many per proposed row.
 PAIRS_PER_ROW = 2.0
 MAX_ROUNDS = 8
-#: Ids in the filter that picks rows to expand: 2**27 bits (16 MB) at most; beyond, more rows pass and a join drops them.
+#: The last round comes once a round of stars leaves more than this share of the pairs.
+SLOWING = 0.6
+#: The filter that picks rows to expand has 2**27 bits (16 MB) at most; beyond, more rows pass and find no pair.
 FILTER_BITS = 27
 
 
@@ -90,11 +92,11 @@ def _id_bits(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def expand(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, row): the whole sets of the documents in ``ids`` (column id), read again from their texts.
+    """(id, row): the whole sets of the documents in ``ids`` (column id), read again from their texts, and of few others.
 
     A bit filter of fixed size, built from all ids, drops most other documents before their texts are hashed.
     """
-    bits = min(FILTER_BITS, max(16, int(8 * ids.count()).bit_length()))
+    bits = min(FILTER_BITS, max(16, int(32 * ids.count()).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, bool)
@@ -117,8 +119,7 @@ def expand(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     if marked is None:
         return docs.sparkSession.createDataFrame([], "id long, row array<long>")
-    found = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id long, row array<long>")
-    return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id long, row array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -149,50 +150,53 @@ def _bounds(percent: int, na: str, nb: str, pa_: str, pb: str):
     return (least * 100 >= most * percent) & (left * (100 + percent) >= (F.col(na) + F.col(nb)) * percent)
 
 
-def link_classes(postings: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """(id, root) of the classes in ``postings`` (h, id, n, pos) that have links; ``rows`` has their sets."""
-    spark = postings.sparkSession
-    labels: DataFrame | None = None
-    links: list[DataFrame] = []
-    rest = postings.withColumn("root", F.col("id"))
+def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole rows overlap enough: a sparse product of just these rows."""
+    ids = settle(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    rows = expand(docs, ids, k)
+    left = pairs.join(rows.select(F.col("id").alias("b"), F.col("row").alias("rb")), "b")
+    both = left.join(rows.select(F.col("id").alias("a"), F.col("row").alias("ra")), "a")
+    shared = F.size(F.array_intersect("ra", "rb")).cast("long")
+    return settle(both.filter(shared * (100 + percent) >= (F.size("ra") + F.size("rb")).cast("long") * percent).select("a", "b").distinct())
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        a, b = rows.select(F.col("id").alias("a"), F.col("row").alias("ra")), rows.select(F.col("id").alias("b"), F.col("row").alias("rb"))
-        both = pairs.join(a, "a").join(b, "b")
-        shared = F.size(F.array_intersect("ra", "rb")).cast("long")
-        return settle(both.filter(shared * (100 + percent) >= (F.size("ra") + F.size("rb")).cast("long") * percent).select("a", "b"))
 
-    checked: DataFrame | None = None
-    for turn in range(MAX_ROUNDS + 1):
+def link_classes(postings: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """(id, root) of the classes in ``postings`` (h, id, n, pos) that have links; None where there are none."""
+    labels: DataFrame | None = None
+    links: list[DataFrame] = []
+    checked: list[DataFrame] = []
+    rest, before = postings.withColumn("root", F.col("id")), None
+    for turn in range(MAX_ROUNDS):
         # Columns that still hold rows of different groups, and how many pairs of those.
         by_root = rest.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
         cols = by_root.groupBy("h").agg(F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("same")).filter("g * g > same")
-        cols = settle(cols.select(F.col("h").alias("open"), ((F.col("g") * F.col("g") - F.col("same")) / 2).alias("left")))
-        left = cols.agg(F.sum("left")).first()[0] or 0
-        if not left:
+        rest = settle(rest.join(cols.select("h"), "h", "left_semi"))
+        size = rest.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("same"))
+        rows, left = size.agg(F.sum("g"), F.sum((F.col("g") * F.col("g") - F.col("same")) / 2)).first()
+        if not rows:
             break
-        rest = settle(rest.join(cols.select(F.col("open").alias("h")), "h", "left_semi"))
-        last = turn == MAX_ROUNDS or left <= PAIRS_PER_ROW * rest.count() and turn > 0
+        last = left <= PAIRS_PER_ROW * rows or turn == MAX_ROUNDS - 1 or (before is not None and left > SLOWING * before)
+        before = left
         x = rest.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ga"))
         if last:
             y = rest.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("gb"))
-            pairs = x.join(y, "h").filter("a < b AND ga <> gb")
-        else:
-            order = F.xxhash64(F.lit(turn), "id")
-            star = rest.groupBy("h").agg(F.min(F.struct(order.alias("o"), "id", "n", "pos", "root")).alias("s"))
+            pairs = x.join(y, "h").filter("a < b AND ga <> gb").filter(_bounds(percent, "na", "nb", "pa", "pb")).select("a", "b").distinct()
+        else:  # each row with one centre: the one it shares most columns with
+            star = rest.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), "id", "n", "pos", "root")).alias("s"))
             pairs = x.join(star.select("h", F.col("s.id").alias("b"), F.col("s.n").alias("nb"), F.col("s.pos").alias("pb"), F.col("s.root").alias("gb")), "h").filter("a <> b AND ga <> gb")
-        pairs = pairs.filter(_bounds(percent, "na", "nb", "pa", "pb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+            pairs = pairs.filter(_bounds(percent, "na", "nb", "pa", "pb")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for seen in checked:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = settle(pairs)
-        checked = pairs if checked is None else checked.union(pairs)
-        links.append(verified(pairs))
+        checked.append(pairs)
+        links.append(verify(docs, pairs, k, percent))
         labels = components(reduce(DataFrame.union, links))
         if last:
             break
         new = labels.withColumnRenamed("root", "to")
         rest = rest.join(new, "id", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
-    return labels if labels is not None else spark.createDataFrame([], "id long, root long")
+    return labels
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -210,9 +214,11 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     postings = chosen.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "h"))
     crowded = postings.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
     postings = settle(postings.join(crowded, "h", "left_semi").select("h", "id", "n", F.col("pos").cast("long").alias("pos")))
-    rows = settle(expand(docs, settle(postings.select("id").distinct()), k))
-    labels = link_classes(postings, rows, percent)
-    roots = classes.join(labels, "id", "left").select("key", F.coalesce("root", "id").alias("component"))
+    labels = link_classes(postings, docs, k, percent)
+    if labels is None:
+        roots = classes.select("key", F.col("id").alias("component"))
+    else:
+        roots = classes.join(labels, "id", "left").select("key", F.coalesce("root", "id").alias("component"))
     return sig.join(roots, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
