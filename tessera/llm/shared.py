@@ -34,6 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Ids up to which they are sent to every task (8 bytes each); beyond, both sides are dealt out by id.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``docs`` but for the rows whose doc_id is in ``ids`` (doc_id); rows without doc_id stay."""
+    ids = settle(ids.distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 def word_count(text):
     """Words (runs of anything but ASCII white space) of a text column; 0 for null."""
     squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), WORD_PATTERN, "x")
