@@ -285,7 +285,7 @@ def fit_detector(ids: np.ndarray, size: np.ndarray, row: np.ndarray, y: np.ndarr
             adam.rate = 0.01 if epoch + phase * epochs[0] < sum(epochs) - 3 else 0.003
             share = min(max(target[own].mean(), 1e-3), 0.5)
             balance = np.where(target > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-            for at in np.array_split(rng.permutation(own), max(1, len(own) // batch)):
+            for at in np.array_split(rng.permutation(own), max(1, len(own) // max(32, min(batch, len(own) // 50)))):
                 part = np.ascontiguousarray(ids[at].transpose(1, 0, 2))
                 part[rng.random(part.shape[:2]) < dropped] = 0
                 adam.step(net.w, net.gradients(part, live[:, at], target[at], balance[at])[1])
