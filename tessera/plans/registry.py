@@ -11,6 +11,7 @@ from tessera import adapters
 from tessera.functions import columns as fn
 from tessera.operators import changes, correlate, overlap, profile, rolling, series, spatial, stats
 from tessera.plans import stages
+from tessera.streaming import monthly
 from tessera.tables import table
 
 QUERIES: dict = {}
@@ -197,6 +198,23 @@ def first_order_per_customer(spark, sf_dir):
     return series.first_per(table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority"), ("o_custkey",), ("o_orderdate", "o_orderkey")).drop("o_orderdate")
 
 
+@query("SELECT pixel, date, t, value FROM (SELECT p.pixel, m.date, m.t, o.value FROM (SELECT DISTINCT pixel FROM $obs) p CROSS JOIN $months m LEFT JOIN (SELECT pixel, date, arg_min(value, value) AS value FROM $obs GROUP BY ALL) o ON o.pixel = p.pixel AND o.date = m.date)")
+def pixel_months(spark, sf_dir):
+    first = adapters.observations(spark, sf_dir).groupBy("pixel", "date").agg(F.min("value").alias("x"))
+    return series.densify(first, "pixel").withColumnRenamed("x", "value")
+
+
+@query("SELECT date FROM (SELECT date FROM $wide EXCEPT SELECT date FROM $means)")
+def months_without_orders(spark, sf_dir):
+    return adapters.indicators_wide(spark, sf_dir).select("date").exceptAll(series.mean_series(adapters.observations(spark, sf_dir)).select("date").distinct())
+
+
+@query("SELECT event_type, CAST(start AS VARCHAR) AS start, n, round(mean + 2e-09, 6) + 0.0 AS mean FROM (SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS start, count(value) AS n, avg(value) AS mean FROM events GROUP BY ALL)")
+def event_windows(spark, sf_dir):
+    got = monthly.windowed_means(table(spark, sf_dir, "events"), "1 day")
+    return got.withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
 # --- scalar functions ------------------------------------------------------------------------------
 
 
@@ -254,6 +272,11 @@ def points_in_polygons(spark, sf_dir):
     return spatial.within(adapters.points(spark, sf_dir), spatial.polygons(spark)).select("id", "polygon")
 
 
+@query("SELECT min(lon_min) AS lon_min, min(lat_min) AS lat_min, max(lon_max) AS lon_max, max(lat_max) AS lat_max FROM (SELECT CAST(lon_min AS DOUBLE) AS lon_min, CAST(lat_min AS DOUBLE) AS lat_min, CAST(lon_max AS DOUBLE) AS lon_max, CAST(lat_max AS DOUBLE) AS lat_max FROM $boxes)")
+def region_bounds(spark, sf_dir):
+    return spatial.boxes(spark).agg(*[getattr(F, f)(c).alias(c) for c, f in (("lon_min", "min"), ("lat_min", "min"), ("lon_max", "max"), ("lat_max", "max"))])
+
+
 @query(f"SELECT date, {_r(*adapters.INDICATORS)}, vintage FROM $wide JOIN (SELECT * FROM (VALUES " + ", ".join(f"(CAST({v} AS INTEGER), DATE '{a}', DATE '{b}')" for v, a, b in spatial.PERIODS) + ") p(vintage, first, last)) ON date BETWEEN first AND last")
 def period_slices(spark, sf_dir):
     return spatial.assign_periods(adapters.indicators_wide(spark, sf_dir), spatial.periods(spark))
@@ -365,6 +388,22 @@ def mwu_shift(spark, sf_dir):
     return stats.mann_whitney(_annual_split(spark, sf_dir)).drop("p")
 
 
+@query(f"""SELECT series, indicator, {_r('r', 'slope')}, CASE WHEN round(r, 9) < 0 THEN 'decreasing' ELSE 'increasing' END AS direction FROM (
+  SELECT series, indicator, CASE WHEN stddev_pop(n) > 0 THEN corr(n, year) END AS r, regr_slope(n, year) AS slope FROM $annual GROUP BY ALL)""")
+def annual_trend(spark, sf_dir):
+    return stats.annual_trend(annual_overlap_counts(spark, sf_dir))
+
+
+@query()
+def floor_flags(spark, sf_dir):
+    return stats.conditional_floor(stats.mann_whitney(_annual_split(spark, sf_dir)))
+
+
+@query()
+def significance_changes(spark, sf_dir):
+    return stats.significance_changes(corrected_trends(spark, sf_dir))
+
+
 @query()
 def mwu_p_values(spark, sf_dir):
     plain = stats.mann_whitney(_annual_split(spark, sf_dir)).select("series", "indicator", "u", "p")
