@@ -143,10 +143,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _bounds(percent: int, na: str, nb: str, pa_: str, pb: str):
-    """What a pair can share by its sizes, and by what is left of both rows after the column where it is proposed."""
+    """What a pair can share by its sizes, and by what is left of both rows from the column where it is proposed.
+
+    The second bound holds for the first column that the rows share, which proposes the pair too: before it they share
+    nothing. A later column may fail it and loses nothing.
+    """
     least = F.least(F.col(na), F.col(nb))
     most = F.greatest(F.col(na), F.col(nb))
-    left = F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb)) + F.least(F.col(pa_), F.col(pb))
+    left = F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb))
     return (least * 100 >= most * percent) & (left * (100 + percent) >= (F.col(na) + F.col(nb)) * percent)
 
 
