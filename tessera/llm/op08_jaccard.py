@@ -23,7 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import chunks, mix64, reduce_arrays, settle, shingles, table, word_hashes, word_spans
@@ -32,9 +32,11 @@ from tessera.llm.shared import chunks, mix64, reduce_arrays, settle, shingles, t
 SKETCH_BITS = 20
 #: Star rounds go on while more pairs of different groups are left than this many per proposed row.
 PAIRS_PER_ROW = 2.0
-MAX_ROUNDS = 8
-#: The last round comes once a round of stars leaves more than this share of the pairs.
-SLOWING = 0.6
+MAX_ROUNDS = 4
+#: Star centres of a column in a round, and with how many of them a row is compared.
+CENTRES = 3
+#: The last round comes once a round of stars links less than this share of its pairs.
+YIELD = 0.1
 #: The filter that picks rows to expand has 2**27 bits (16 MB) at most; beyond, more rows pass and find no pair.
 FILTER_BITS = 27
 
@@ -169,7 +171,7 @@ def link_classes(postings: DataFrame, docs: DataFrame, k: int, percent: int) ->
     labels: DataFrame | None = None
     links: list[DataFrame] = []
     checked: list[DataFrame] = []
-    rest, before = postings.withColumn("root", F.col("id")), None
+    rest, worked = postings.withColumn("root", F.col("id")), True
     for turn in range(MAX_ROUNDS):
         # Columns that still hold rows of different groups, and how many pairs of those.
         by_root = rest.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
@@ -179,22 +181,30 @@ def link_classes(postings: DataFrame, docs: DataFrame, k: int, percent: int) ->
         rows, left = size.agg(F.sum("g"), F.sum((F.col("g") * F.col("g") - F.col("same")) / 2)).first()
         if not rows:
             break
-        last = left <= PAIRS_PER_ROW * rows or turn == MAX_ROUNDS - 1 or (before is not None and left > SLOWING * before)
-        before = left
+        last = left <= PAIRS_PER_ROW * rows or turn == MAX_ROUNDS - 1 or not worked
         x = rest.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ga"))
         if last:
             y = rest.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("gb"))
             pairs = x.join(y, "h").filter("a < b AND ga <> gb").filter(_bounds(percent, "na", "nb", "pa", "pb")).select("a", "b").distinct()
-        else:  # each row with one centre: the one it shares most columns with
-            star = rest.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), "id", "n", "pos", "root")).alias("s"))
+        else:  # each row with the few centres that it shares most columns with
+            # A centre is a row that has few rarer columns: it is close to what its group shares. Shares of a half, a
+            # quarter and so on of the rows, dealt anew in every round, vary it.
+            def centre(i: int, turn: int = turn) -> Column:
+                drawn = F.pmod(F.xxhash64(F.lit(CENTRES * turn + i), "id"), F.lit(1 << i)) == 0
+                return F.min(F.when(drawn, F.struct("pos", F.xxhash64(F.lit(turn), "id").alias("o"), "id", "n", "root")))
+
+            star = rest.groupBy("h").agg(F.array_distinct(F.array(*map(centre, range(CENTRES)))).alias("s")).select("h", F.explode("s").alias("s")).filter("s IS NOT NULL")
             pairs = x.join(star.select("h", F.col("s.id").alias("b"), F.col("s.n").alias("nb"), F.col("s.pos").alias("pb"), F.col("s.root").alias("gb")), "h").filter("a <> b AND ga <> gb")
-            pairs = pairs.filter(_bounds(percent, "na", "nb", "pa", "pb")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = pairs.filter(_bounds(percent, "na", "nb", "pa", "pb")).groupBy("a", "b").agg(F.countDistinct("h").alias("c"))
+            best = F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), asc=False), 1, CENTRES)
+            pairs = pairs.groupBy("a").agg(best.alias("best")).select("a", F.explode("best.b").alias("b"))
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for seen in checked:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = settle(pairs)
         checked.append(pairs)
         links.append(verify(docs, pairs, k, percent))
+        worked = links[-1].count() >= YIELD * pairs.count()
         labels = components(reduce(DataFrame.union, links))
         if last:
             break
