@@ -176,14 +176,14 @@ def test_polygons_survive_binary_and_geopackage(spark, tmp_path):
     assert {r.polygon: r.rings for r in back.collect()} == {r.polygon: r.rings for r in shapes.collect()}
     con = sqlite3.connect(f"{tmp_path}/x.gpkg")
     con.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT)")
-    con.execute("INSERT INTO gpkg_geometry_columns VALUES ('forest', 'geom')")
-    con.execute("CREATE TABLE forest (geom BLOB)")
+    con.execute("INSERT INTO gpkg_geometry_columns VALUES ('cover', 'geom')")
+    con.execute("CREATE TABLE cover (geom BLOB)")
     wkb = bytes(encoded.first().geometry)
     for flags, envelope in ((1, b""), (3, bytes(32))):
-        con.execute("INSERT INTO forest VALUES (?)", (b"GP\0" + bytes([flags]) + bytes(4) + envelope + wkb,))
+        con.execute("INSERT INTO cover VALUES (?)", (b"GP\0" + bytes([flags]) + bytes(4) + envelope + wkb,))
     con.commit()
     con.close()
     got = geometry.read_geopackage(spark.read.format("binaryFile").load(f"{tmp_path}/x.gpkg")).collect()
-    assert [(r.layer, bytes(r.geometry)) for r in got] == [("forest", wkb)] * 2
+    assert [(r.layer, bytes(r.geometry)) for r in got] == [("cover", wkb)] * 2
     with pytest.raises(ValueError, match="neither"):
         geometry.rings_of(b"\x01\x01\0\0\0" + bytes(16))
