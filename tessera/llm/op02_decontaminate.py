@@ -3,8 +3,7 @@
 Passages of the documents are TF-IDF vectors over the benchmark's vocabulary, scaled by their norm over all words. A
 randomised SVD of the matrix of a bounded sample's passages (with the benchmark's own as heavy rows) gives a latent
 space: every task multiplies its passages with one random test matrix and sums A^T (A Omega), from which the singular
-vectors follow in one pass (Nystroem). Word statistics, windows and comparisons cover every document. Overlapping windows of several lengths are then compared with all benchmark items by cosine in that
-space. Candidates are checked exactly: the longest common subsequence of words of item and surrounding text, and for
+vectors follow in one pass (Nystroem). Word statistics, windows and comparisons cover every document. Every item is then compared with overlapping windows of about its own length by cosine in that space. Candidates are checked exactly: the longest common subsequence of words of item and surrounding text, and for
 paraphrases whether the item's answer stands there too.
 
 A benchmark is taken in blocks of at most BLOCK_ITEMS items, so what a task holds doesn't grow with it.
@@ -28,13 +27,11 @@ RANK = 128
 EXTRA = 12
 #: The latent space is fitted on the passages of at most this many documents, drawn by a hash of doc_id.
 FIT_DOCS = 4_000
-#: Words of the passages of the SVD, and the lengths of the windows; windows begin every half length, and every half
-#: length divides a row's padded length, a multiple of GRID.
+#: Words of the passages of the SVD.
 PASSAGE = 48
-WINDOWS = (16, 40)
-GRID, STEP = 40, 4
-#: Cosine of a candidate, as a share of the cosine of the item with itself in the latent space.
-COSINE = 0.6
+#: Cosine of a candidate, as a share of the cosine of the item with itself in the latent space. A passage with a share p
+#: of an item's words, all of one weight, scores 0.86 p at least in its nearest window: 0.43 for the lower share below.
+COSINE = 0.25
 #: A candidate is a leak if the common subsequence covers this share of the item, or the lower one with its answer.
 COPIED, PARAPHRASED, ANSWERED = 0.7, 0.5, 0.8
 #: The answer, where the benchmark has none, is this share of the item's words: those rarest in the documents.
@@ -107,6 +104,9 @@ class Items:
 
     def __post_init__(self) -> None:
         self.slots = _Slots(self.vocab)
+        self.places = [self.look_up(w) for w in self.words]
+        #: A quarter of the length of the windows with which an item is compared.
+        self.cell = np.array([cell_length(len(w)) for w in self.words], np.int64)
 
     def look_up(self, words: np.ndarray) -> np.ndarray:
         """Places of words in the vocabulary, -1 for others."""
@@ -251,39 +251,82 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+def cell_length(m: int) -> int:
+    """A quarter of the window for an item of m words: a power of two, or three times one, next to m / 4."""
+    two = 1 << max(0, (m // 4).bit_length() - 1)
+    return min((h for h in (two, 3 * two // 2, 2 * two, 3 * two) if h), key=lambda h: abs(np.log(4 * h / m)))
+
+
+def _cells(items: Items, at: np.ndarray, weight: np.ndarray, tok: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Latent sums and, in a last column, squared norms of every ``length`` words of each row; cells by row."""
+    n = np.diff(tok)
+    count = -(-n // length)
+    first = (np.cumsum(count) - count) * length
+    place = np.arange(len(at)) + np.repeat(first - tok[:-1], n)
+    grid = np.full(count.sum() * length, len(items.vocab), np.int32)
+    grid[place] = at
+    norm = np.zeros(len(grid), np.float32)
+    norm[place] = weight
+    return np.hstack([items.space[grid].reshape(-1, length, items.space.shape[1]).sum(1), norm.reshape(-1, length).sum(1)[:, None]]), count
+
+
+def _doubled(cells: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of twice the length; a row's odd last cell stays alone."""
+    half = -(-count // 2)
+    first = np.cumsum(count) - count
+    left = np.repeat(first - 2 * (np.cumsum(half) - half), half) + 2 * np.arange(half.sum())
+    both = np.flatnonzero(left + 1 < np.repeat(first + count, half))
+    out = cells[left]
+    out[both] += cells[left[both] + 1]
+    return out, half
+
+
+def _scored(items: Items, at: np.ndarray, weight: np.ndarray, tok: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(rows, items, middles in words, cosines) of the windows of each length that reach ``cosine``."""
+    dims = items.space.shape[1]
+    for odd in (1, 3):
+        lengths = [h for h in np.unique(items.cell).tolist() if (h % 3 == 0) == (odd == 3)]
+        if not lengths:
+            continue
+        length = lengths[0]
+        cells, count = _cells(items, at, weight, tok, length)
+        while True:
+            if length in lengths:
+                first = np.cumsum(count) - count
+                row = np.repeat(np.arange(len(count)), count)
+                part = cells.copy()  # four cells from each cell on, but never the next row's
+                for step in (1, 2):
+                    inside = np.arange(step, len(part)) < (first + count)[row[: max(len(part) - step, 0)]]
+                    part[: len(inside)] += np.where(inside[:, None], part[step:], 0)
+                mine = np.flatnonzero(items.cell == length)
+                scores = (part[:, :dims] / np.sqrt(np.maximum(part[:, dims:], 1e-9))) @ items.queries[mine].T
+                w, i = np.nonzero(scores >= cosine)
+                yield row[w], mine[i], (w - first[row[w]]) * length + 2 * length, scores[w, i]
+            if length >= lengths[-1]:
+                break
+            cells, count = _doubled(cells, count)
+            length *= 2
+
+
 def find_leaks(items: Items, words: np.ndarray, tok: np.ndarray, cosine: float = COSINE) -> Iterator[tuple[int, int, float, float, float]]:
     """(row, item place, share of the item in a common subsequence, share of its answer, cosine) of every leak."""
     n = np.diff(tok)
     if not n.any():
         return
-    # Rows padded to the grid, so that windows are sums of whole steps; a row's last windows are shorter.
-    first = np.concatenate([[0], np.cumsum(-(-n // GRID) * GRID)])
-    grid = np.full(first[-1], len(items.vocab), np.int32)
-    place = np.arange(len(words)) + np.repeat(first[:-1] - tok[:-1], n)
     at = items.look_up(words)
     again = np.zeros(len(words), bool)  # a word said over and over counts once, or it would be a window's only direction
     again[1:] = words[1:] == words[:-1]
-    grid[place] = np.where((at >= 0) & ~again, at, len(items.vocab))
-    weight = np.zeros(first[-1], np.float32)
-    weight[place] = np.where(again, 0, items.other[_bucket(words)] ** 2)
-    steps = items.space[grid].reshape(-1, STEP, items.space.shape[1]).sum(1)
-    norms = weight.reshape(-1, STEP).sum(1)
+    again[tok[:-1][n > 0]] = False
+    weight = np.where(again, 0, items.other[_bucket(words)] ** 2)
     best: dict[tuple[int, int, int], float] = {}
-    for size in WINDOWS:
-        half = size // 2
-        part = steps.reshape(-1, half // STEP, steps.shape[1]).sum(1)
-        norm2 = norms.reshape(-1, half // STEP).sum(1)
-        ends = np.zeros(len(part), bool)
-        ends[first[1:][n > 0] // half - 1] = True  # a window never reaches into the next row
-        part[:-1] += np.where(ends[:-1, None], 0, part[1:])
-        norm2[:-1] += np.where(ends[:-1], 0, norm2[1:])
-        scores = (part / np.sqrt(np.maximum(norm2, 1e-9))[:, None]) @ items.queries.T
-        for flat in np.flatnonzero((scores >= cosine).ravel()).tolist():
-            w, item = divmod(flat, scores.shape[1])
-            r = int(np.searchsorted(first, w * half, "right")) - 1
-            mid = w * half - first[r] + half
-            key = (r, item, int(mid // max(4, len(items.words[item]) // 2)))
-            best[key] = max(best.get(key, 0.0), float(scores[w, item]))
+    for rows, which, middle, score in _scored(items, np.where((at >= 0) & ~again, at, len(items.vocab)), weight, tok, cosine):
+        spots = middle // np.maximum(4, np.array([len(w) for w in items.words])[which] // 2)
+        order = np.lexsort((-score, spots, which, rows))
+        keys = np.stack([rows, which, spots], 1)[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]).any(1)
+        best |= zip(map(tuple, keys[new].tolist()), score[order][new].tolist(), strict=True)
+    mark = np.zeros(len(items.vocab) + 1, bool)
     found: dict[tuple[int, int], tuple[float, float, float]] = {}
     for (r, item, spot), score in best.items():
         own = items.words[item]
@@ -291,6 +334,11 @@ def find_leaks(items: Items, words: np.ndarray, tok: np.ndarray, cosine: float =
         step = max(4, m // 2)
         lo, hi = max(tok[r], tok[r] + spot * step - m), min(tok[r + 1], tok[r] + (spot + 1) * step + m)
         text = words[lo:hi]
+        mark[at[lo:hi]] = True
+        shared = mark[items.places[item]].sum()
+        mark[at[lo:hi]] = False
+        if shared < PARAPHRASED * m:  # no subsequence has more words than both have in common
+            continue
         share = common_subsequence(own, text) / m
         if share < PARAPHRASED:
             continue

@@ -119,6 +119,30 @@ def test_blocks_of_items_give_the_same_leaks(spark):
     assert key(op2.leaks(docs, benchmark(spark, items), 3)) == key(op2.leaks(docs, benchmark(spark, items))) == [(i, i) for i in range(7)]
 
 
+def test_leaks_of_every_length_against_brute_force(spark):
+    """Whole copies, and copies that keep 50-70 % of the words and the answer, of items of 6 to 400 words."""
+    rng = random.Random(11)
+    other = lambda n: [f"w{rng.randrange(20_000)}" for _ in range(n)]
+    plain = lambda text: np.array([int(x[1:]) for x in text.split()], np.uint64)
+    items, texts, planted = [], [other(300) for _ in range(20)], []
+    for m in (6, 15, 38, 59, 60, 112, 150, 400):
+        for keep in (1.0, 0.7, 0.6, 0.5):
+            words = other(m)
+            kept = sorted(rng.sample(range(m), -(-round(1000 * keep * m) // 1000)))
+            copy = other(m)
+            for j in kept:
+                copy[j] = words[j]
+            items.append((len(items), " ".join(words), " ".join(words[j] for j in rng.sample(kept, max(1, m // 6)))))
+            for offset in (0, m // 3, 97):
+                planted.append((len(texts), len(items) - 1, len(kept) / m))
+                texts.append(other(offset) + copy + other(rng.randrange(120)))
+    docs = frame(spark, [" ".join(x) for x in texts])
+    found = {(r.doc_id, r.item_id) for r in op2.leaks(docs, spark.createDataFrame(items, "item_id long, text string, answer string")).collect()}
+    brute = {(d, i) for d, x in enumerate(texts) for i, item, _ in items if op2.common_subsequence(plain(item), plain(" ".join(x))) >= 0.5 * len(item.split())}
+    assert {(d, i) for d, i, share in planted if share >= 0.5} == brute
+    assert found == brute
+
+
 def test_leaks_of_odd_tables(spark):
     docs = frame(spark, [prose(20)])
     assert op2.leaks(frame(spark, []), benchmark(spark, ["a b c"])).count() == 0
