@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of the documents are TF-IDF vectors over the benchmark's vocabulary, scaled by their norm over all words. A
-randomised SVD of the matrix of a bounded sample's passages (with the benchmark's own as heavy rows) gives a latent
-space: every task multiplies its passages with one random test matrix and sums A^T (A Omega), from which the singular
-vectors follow in one pass (Nystroem). Word statistics, windows and comparisons cover every document. Every item is then compared with overlapping windows of about its own length by cosine in that space. Candidates are checked exactly: the longest common subsequence of words of item and surrounding text, and for
+randomised SVD of the matrix of all passages (with the benchmark's own as heavy rows) gives a latent space: every task
+multiplies its passages with one random test matrix and sums A^T (A Omega), from which the singular vectors follow in
+one pass (Nystroem). Every item is then compared with overlapping windows of about its own length by cosine in that
+space. Candidates are checked exactly: the longest common subsequence of words of item and surrounding text, and for
 paraphrases whether the item's answer stands there too.
 
 A benchmark is taken in blocks of at most BLOCK_ITEMS items, so what a task holds doesn't grow with it.
@@ -25,8 +26,6 @@ from tessera.llm.shared import chunks, reduce_arrays, table, without, word_hashe
 BLOCK_ITEMS = 2_000
 RANK = 128
 EXTRA = 12
-#: The latent space is fitted on the passages of at most this many documents, drawn by a hash of doc_id.
-FIT_DOCS = 4_000
 #: Words of the passages of the SVD.
 PASSAGE = 48
 #: Cosine of a candidate, as a share of the cosine of the item with itself in the latent space. A passage with a share p
@@ -174,9 +173,7 @@ def _words_of(text: str | None) -> np.ndarray:
 
 
 def fit_latent(docs: DataFrame, items: Items, n_passages: int, rank: int = RANK, seed: int = 3) -> Items:
-    """Adds the latent space and the items in it: a randomised SVD over the sample's passages, one pass."""
-    ids = docs.filter("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(FIT_DOCS)
-    docs = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    """Adds the latent space and the items in it: a randomised SVD over all passages, one pass."""
     width = min(rank + EXTRA, len(items.vocab))
     omega = np.random.default_rng(seed).normal(size=(len(items.vocab), width)).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast((items, omega))

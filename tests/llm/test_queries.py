@@ -143,6 +143,20 @@ def test_leaks_of_every_length_against_brute_force(spark):
     assert found == brute
 
 
+def test_latent_space_is_of_all_passages(spark):
+    """Documents of one passage each give the space of the same passages in a tenth as many documents."""
+    rng = random.Random(12)
+    texts = [" ".join(f"w{int(300 * rng.random() ** 2)}" for _ in range(op2.PASSAGE)) for _ in range(6_000)]
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(8)), None) for i in range(200)]
+    fits = []
+    for docs in (frame(spark, texts), frame(spark, [" ".join(texts[i : i + 10]) for i in range(0, len(texts), 10)])):
+        df, n = op2.passage_frequency(docs)
+        items = op2.fit_latent(docs, op2.make_items(rows, df, n), n)
+        fits.append(items.queries @ items.space.T)
+    assert n == len(texts) and fits[0].shape[1] > op2.RANK + op2.EXTRA
+    assert np.allclose(*fits, rtol=1e-3, atol=1e-3)
+
+
 def test_leaks_of_odd_tables(spark):
     docs = frame(spark, [prose(20)])
     assert op2.leaks(frame(spark, []), benchmark(spark, ["a b c"])).count() == 0
