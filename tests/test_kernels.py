@@ -1,5 +1,6 @@
 """Kernels against brute force and published values; no Spark needed."""
 
+import inspect
 import itertools
 import math
 
@@ -98,6 +99,15 @@ def test_hamed_rao_and_bootstrap():
     assert stats.tau_b(np.arange(10.0)) == 1.0 and stats.tau_b(np.ones(5)) == 0.0
 
 
+def test_block_bootstrap_draws_as_many_as_the_reference():
+    assert inspect.signature(stats.corrected_trends).parameters["draws"].default == 5_000
+    assert stats.block_bootstrap(np.arange(60.0), 12, 5_000, 3) == 1 / 5_000
+    x = RNG.integers(0, 6, (30, 41)).astype(float)
+    i, j = np.triu_indices(41, 1)
+    sign = np.sign(x[:, j] - x[:, i])
+    assert np.allclose(stats._tau_b_rows(x), sign.sum(1) / np.sqrt(len(i) * (sign != 0).sum(1)))
+
+
 def test_bootstrap_of_the_median():
     assert all(math.isnan(v) for v in overlap.bootstrap_median(np.array([])))
     assert overlap.bootstrap_median(np.array([4.0])) == (4.0, 4.0)
