@@ -5,8 +5,8 @@ lengths). A text is cut into overlapping windows that cover all of it; every win
 highest. Labels are of whole texts, so training starts from the windows of toxic texts that hold a piece hardly seen in
 clean ones, then adds the windows of toxic texts that the network finds toxic and counts clear others as clean.
 
-Training takes at most TRAIN_TOXIC and TRAIN_CLEAN labelled texts, drawn by a hash of doc_id, and at most
-TRAIN_WINDOWS evenly spread windows of each. Scoring has no such bounds.
+Training takes at most TRAIN_TOXIC and TRAIN_CLEAN labelled texts, drawn by a hash of doc_id, and all windows of each:
+so the toxic passage of a long text is among them, and the line to chances is set by whole texts, as they are scored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from tessera.llm.shared import byte_sums, chunks, mix64, table, word_spans
 
 TRAIN_TOXIC = 1_500
 TRAIN_CLEAN = 2_500
-TRAIN_WINDOWS = 12
 WINDOW = 24
 STRIDE = 18
 BATCH = 4_096
@@ -297,7 +296,7 @@ def fit_detector(ids: np.ndarray, size: np.ndarray, row: np.ndarray, y: np.ndarr
     return Detector(net, slope, np.log(TOXIC_AT / (1 - TOXIC_AT)) - slope * (lo + hi) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN, most: int = TRAIN_WINDOWS) -> Detector | None:
+def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Detector | None:
     """A detector from the texts of ``docs`` that ``labels`` (doc_id, toxic) marks; None without both labels."""
     order = W.partitionBy("toxic").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id")
     marked = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
@@ -311,7 +310,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: i
         for batch in batches:
             for first, _, buf, offs in chunks(batch.column(1)):
                 tokens, tok = token_ids(buf, offs)
-                at, size, row = windows(tok, most)
+                at, size, row = windows(tok)
                 parts = [tokens[a : a + n].tobytes() for a, n in zip(at, size, strict=True)]
                 rows = pa.array(row + first)
                 yield pa.record_batch([batch.column(0).take(rows).cast(pa.int64()), batch.column(2).take(rows), pa.array(at), pa.array(parts, pa.binary())], ["doc_id", "toxic", "at", "ids"])

@@ -164,6 +164,18 @@ def test_leaks_of_odd_tables(spark):
     assert op2.drop_leaks(docs.withColumn("item_id", F.lit(1)), benchmark(spark, ["q"])).count() == 1
 
 
+def test_toxicity_is_fitted_on_whole_texts(spark, monkeypatch):
+    """All windows of long labelled texts are fitted on, and set the line from margins to chances."""
+    lengths = {i: 1_000 + 90 * i for i in range(8)}
+    docs = frame(spark, [prose(n) for n in lengths.values()])
+    seen = {}
+    monkeypatch.setattr(op9, "fit_detector", lambda ids, size, row, y: seen.update(size=size, row=row, y=y))
+    op9.train(docs, spark.createDataFrame([(i, i % 2) for i in lengths], "doc_id long, toxic int"))
+    whole = op9.windows(np.cumsum([0, *lengths.values()]))
+    assert np.bincount(seen["row"]).tolist() == np.bincount(whole[2]).tolist() and seen["size"].sum() == whole[1].sum()
+    assert seen["y"].tolist() == [i % 2 == 1 for i in lengths]
+
+
 def test_models_without_labels(spark):
     docs = frame(spark, ["abc", None])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
