@@ -57,7 +57,7 @@ def pairs(spark: SparkSession, sf_dir: str, m: int = 12, most: int = 12) -> Data
     return overlap.lag_pairs(mine, others, most)
 
 
-def sweep(spark: SparkSession, sf_dir: str, lengths: tuple[int, ...] = (12, 24, 36)) -> DataFrame:
+def sweep(spark: SparkSession, sf_dir: str, lengths: tuple[int, ...] = (12, 24, 36, 48)) -> DataFrame:
     """Overlap rates by window length: every profile is computed once per (series, length), then combined."""
 
     def one(m: int) -> DataFrame:

@@ -9,8 +9,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tessera.config import EngineConfig
 from tessera.functions import mathx
 from tessera.operators import changes, correlate, overlap, profile, stats
+from tessera.plans import stages
 
 RNG = np.random.default_rng(1)
 
@@ -108,6 +110,10 @@ def test_block_bootstrap_draws_as_many_as_the_reference():
     assert np.allclose(stats._tau_b_rows(x), sign.sum(1) / np.sqrt(len(i) * (sign != 0).sum(1)))
 
 
+def test_window_sweep_has_all_lengths():
+    assert inspect.signature(stages.sweep).parameters["lengths"].default == EngineConfig().window_lengths
+
+
 def test_bootstrap_of_the_median():
     assert all(math.isnan(v) for v in overlap.bootstrap_median(np.array([])))
     assert overlap.bootstrap_median(np.array([4.0])) == (4.0, 4.0)
