@@ -20,12 +20,14 @@ CHUNK_BYTES = 1 << 18
 def settle(df: DataFrame) -> DataFrame:
     """``df`` computed and written with ``checkpoint()`` to the folder in ``spark.checkpoint.dir``.
 
-    A folder is set here only where the session names none (tests, single machine).
+    A folder is set here only where the session names none and runs on one machine; a cluster must name a shared one.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return df.checkpoint()
 

@@ -246,3 +246,24 @@ def test_pipeline_stages(spark, tmp_path):
 def test_registry_is_complete():
     assert {q.split("_")[0] for q in registry.QUERIES} == {f"op{i}" for i in range(1, 11)} and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert np.isfinite(op5.DEFAULT_WEIGHTS).all()
+
+
+def test_near_duplicates_of_shared_and_missing_ids(spark):
+    a, b, c, d = (prose(60) for _ in range(4))
+    rows = [(5, a), (5, b), (6, c), (1, d), (5, d), (7, f"{a} more"), (None, c), (None, prose(50)), (8, c), (8, c), (9, None), (9, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).withColumn("key", F.lit("mine"))
+    got = sorted(((r.doc_id, r.text) for r in op8.drop_near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([(5, a), (5, b), (6, c), (1, d), (None, rows[7][1]), (9, None), (9, ""), (None, "")], key=repr)
+    twice = spark.createDataFrame([(3, a, "en", "s", 1)] * 3 + [(4, a, "en", "s", 1)], DOCS)
+    assert [(r.doc_id, r.text) for r in op8.drop_near_duplicates(twice).collect()] == [(3, a)]
+    assert op8.drop_near_duplicates(frame(spark, [])).columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
+
+
+def test_groups_of_large_near_copies_and_a_common_passage(spark, monkeypatch):
+    """Small batches, so that columns are counted over many; a passage in a third of the texts, and texts a little over it."""
+    monkeypatch.setattr(op8, "BATCH_COLUMNS", 1_500)
+    monkeypatch.setattr(op8, "OFTEN", 3)
+    passage, rng = prose(40), random.Random(31)
+    texts = copies(1, 150, 70) + [f"{prose(rng.randint(1, 25), rng)} {passage} {prose(rng.randint(0, 25), rng)}" for _ in range(120)] + [f"{passage} {prose(rng.randint(3, 6), rng)}" for _ in range(60)] + [prose(40, rng) for _ in range(30)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op8.jaccard_groups(frame(spark, texts).repartition(3), 4, 85).collect()}
+    assert got == brute_groups(list(enumerate(texts)), 4, 85)
