@@ -3,6 +3,11 @@
 Stages, in order: reject documents the quality classifier finds poor, cut boilerplate lines, keep one document of each
 group of near-duplicates, drop documents into which a benchmark leaks, and mix sources to their target weights. Each
 takes what its predecessor kept. ``run`` gives the documents with the copies and words that the mix takes of each.
+
+Rows are documents, whether or not they share a doc_id or have none: no stage drops a row for another row's text, but
+for the stages that name documents by id (decontamination), where all rows of a leaking id go. Documents without text
+pass every stage that doesn't reject them (the classifier scores them as empty texts), and weigh nothing in the mix. An
+empty corpus gives an empty result, with the same columns.
 """
 
 from __future__ import annotations
@@ -13,9 +18,9 @@ from pyspark.sql import functions as F
 from tessera.llm.op01_mix import mix
 from tessera.llm.op02_decontaminate import drop_leaks
 from tessera.llm.op03_lines import drop_boilerplate
-from tessera.llm.op08_jaccard import jaccard_groups
+from tessera.llm.op08_jaccard import drop_near_duplicates
 from tessera.llm.op10_quality import score_quality, train
-from tessera.llm.shared import settle, table, without
+from tessera.llm.shared import settle, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,13 +38,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group (five words, 0.8): the one with the smallest id, and one row of that."""
-    groups = settle(jaccard_groups(docs, k=5, percent=80))
-    kept = without(docs, groups.filter("component_id < doc_id").select("doc_id"))
-    again = settle(docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
-    if again.isEmpty():
-        return kept
-    return without(kept, again).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """One document of each group (five words, 0.8); documents without a word stay."""
+    return drop_near_duplicates(docs, k=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
