@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import settle, table, word_count
+from tessera.llm.shared import free_names, settle, table, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
@@ -102,6 +102,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     names of results are replaced.
     """
     made = ["size", "source_size", "target", "rate", "copies", "taken"]
+    k, cell_size, part, prior, placed = free_names(docs.drop(*made), "k", "cell_size", "slice", "before", "rank")
     base = docs.drop(*made).withColumn("size", word_count(F.col("text")))
     slim = base.select(_key(F.col("source")).alias("k"), "size", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).alias("slice"))
     slices = settle(slim.groupBy("k", "size", "slice").agg(F.count(F.lit(1)).alias("n")))
@@ -114,13 +115,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     facts = targets.select("k", F.col("n").alias("n_docs"), "source_size", "target").join(rates, "k", "left")
     rated = slices.join(facts, "k").withColumn("rate", F.coalesce(tilt, F.lit(1.0)))
     before = F.coalesce(F.sum(F.col("n") * F.col("rate")).over(W.partitionBy("k").orderBy(F.col("size").desc(), "slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    offsets = rated.select(F.col("k").alias("__k"), F.col("size").alias("__size"), F.col("slice").alias("__slice"), before.alias("__before"), "source_size", "target", "rate")
-    marked = base.withColumn("__k", _key(F.col("source"))).withColumn("__size", F.col("size")).withColumn("__slice", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)))
-    rank = F.row_number().over(W.partitionBy("__k", "__size", "__slice").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id"))
-    total = F.col("__before") + F.col("__rank") * F.col("rate") + 0.5
+    offsets = rated.select(F.col("k").alias(k), F.col("size").alias(cell_size), F.col("slice").alias(part), before.alias(prior), "source_size", "target", "rate")
+    marked = base.withColumn(k, _key(F.col("source"))).withColumn(cell_size, F.col("size")).withColumn(part, F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)))
+    rank = F.row_number().over(W.partitionBy(k, cell_size, part).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id"))
+    total = F.col(prior) + F.col(placed) * F.col("rate") + 0.5
     copies = F.least(F.floor(total) - F.floor(total - F.col("rate")), F.lit(int(max_rate)))
-    out = marked.withColumn("__rank", rank).join(offsets, ["__k", "__size", "__slice"], "left").withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.drop("__k", "__size", "__slice", "__before", "__rank").select(*[c for c in base.columns if c != "size"], *made)
+    out = marked.withColumn(placed, rank).join(offsets, [k, cell_size, part], "left").withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
+    return out.select(*[F.col(f"`{c}`") for c in base.columns if c != "size"], *made)
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import settle, table
+from tessera.llm.shared import free_names, settle, table
 
 MAX_RATIO = 0.05
 MIN_PAGES = 3
 #: Boilerplate lines up to which the hosts' lists are broadcast (16 bytes a line and as much again for its array).
 BROADCAST_LINES = 500_000
+#: Places that a host's pages are dealt to where its list isn't broadcast.
+SALTS = 64
 
 
 def _hash(line: Column) -> Column:
@@ -44,19 +46,24 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = M
     except ones named n_lines or n_dropped, which are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
+    of, salt, bad, left = free_names(docs, "of_host", "salt", "bad", "left_lines")
     found = settle(boilerplate(docs, host, max_ratio, min_pages))
-    lists = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list(F.struct("a", "b")).alias("__bad"))
+    lists = found.groupBy(F.col("host").alias(of)).agg(F.collect_list(F.struct("a", "b")).alias(bad))
+    meets = F.col(f"`{host}`").eqNullSafe(F.col(of))
     if found.count() <= broadcast_lines:
-        lists = F.broadcast(lists)
-    joined = docs.join(lists, F.col(host).eqNullSafe(F.col("__host")), "left")
+        joined = docs.join(F.broadcast(lists), meets, "left")
+    else:  # a host's pages are dealt to SALTS places, with a copy of its list each
+        lists = lists.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = docs.join(lists, meets & (F.pmod(F.xxhash64(F.col("text")), F.lit(SALTS)) == F.col(salt)), "left")
     lines = _lines(F.col("text"))
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__bad"), _hash(x)))
-    out = joined.withColumn("__kept", F.when(F.col("__bad").isNotNull(), kept)).withColumn("__kept", F.when(F.exists("__kept", lambda x: F.trim(x) != ""), F.col("__kept")))
+    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(bad), _hash(x)))
+    out = joined.withColumn(left, F.when(F.col(bad).isNotNull(), kept)).withColumn(left, F.when(F.exists(left, lambda x: F.trim(x) != ""), F.col(left)))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    cut = F.col(left).isNotNull() & F.col("text").isNotNull()
     return out.select(
-        *[F.when(F.col("__kept").isNotNull() & F.col("text").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        *[F.when(cut, F.array_join(left, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
         n_lines.alias("n_lines"),
-        F.when(F.col("__kept").isNull() | F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size("__kept")).cast("long").alias("n_dropped"),
+        F.when(cut, F.size(lines) - F.size(left)).otherwise(0).cast("long").alias("n_dropped"),
     )
 
 

@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: space and 0x09-0x0D.
@@ -46,6 +47,31 @@ def without(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataF
     return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Names like ``stems`` that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def first_by_hash(rows: DataFrame, key: str, most: Column | int, seed: int) -> DataFrame:
+    """``rows`` (doc_id, ``key``, few keys) with the ``most`` of each key that a hash of doc_id puts first.
+
+    Rows beyond one and a half times their share of a key's counted rows leave before the rest is ranked, so what meets
+    in a task is about as many rows as are returned, however many a key has.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows_of_key"))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))
+    drawn = rows.join(F.broadcast(counts), key).withColumn("drawn", place).filter(F.col("drawn") * F.col("rows_of_key") <= F.lit(1.5) * most + 100)
+    ranked = drawn.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("drawn", "doc_id")))
+    return ranked.filter(F.col("place") <= most).select(*rows.columns)
+
+
 def word_count(text):
     """Words (runs of anything but ASCII white space) of a text column; 0 for null."""
     squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), WORD_PATTERN, "x")

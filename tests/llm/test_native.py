@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -130,3 +131,30 @@ def test_chat_query_digests(spark, tmp_path):
     assert (got[5].loss_chars, got[5].loss_sha256, got[5].n_turns) == (4, sha("é<|x"), 4)
     trap = "<|im_end|><|im_start|>assistant ok"
     assert (got[-1].loss_sha256, got[-1].n_turns, got[-1].valid) == (sha(trap), 2, True)
+
+
+def test_names_of_helpers_are_free(spark):
+    """Columns that are named like the operators' own survive, with their values."""
+    own = ("k", "k_", "cell_size", "slice", "before", "rank", "of_host", "salt", "bad", "left_lines", "host", "h", "n", "pages")
+    df = docs(spark, [(i, f"same line\nline {i}", "x") for i in range(8)]).select("*", *[F.lit(f"my {c}").alias(c) for c in own])
+    for out in (op01_mix.mix(df), op03_lines.drop_boilerplate(df), op03_lines.drop_boilerplate(df, broadcast_lines=0)):
+        rows = out.collect()
+        assert len(rows) == 8 and all(r[c] == f"my {c}" for r in rows for c in own)
+
+
+def test_rates_match_an_independent_solver(spark):
+    """Each source's tilt solves its constraint: bisection in plain Python gives the same rates."""
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.choice([1, 3, 10, 40, 200]), "abc"[i % 3]) for i in range(300)]
+    got = op01_mix.mix(docs(spark, rows), weights=(3.0, 1.0, 2.0)).collect()
+    for source in "abc":
+        own = [r for r in got if r.source == source]
+        size, target = [r["size"] for r in own], own[0].target
+        mean = sum(size) / len(size)
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            lam = (lo + hi) / 2
+            have = sum(s * min(2.0, math.exp(min(50, lam * s / mean))) for s in size)
+            lo, hi = (lam, hi) if have < target else (lo, lam)
+        assert all(r.rate == pytest.approx(min(2.0, math.exp(min(50, lam * r["size"] / mean))), rel=1e-4) for r in own)
+        assert all(r.taken <= 2 * r["size"] for r in own) and abs(sum(r.taken for r in own) - target) <= max(size)
