@@ -7,7 +7,7 @@ one pass (Nystroem). Every item is then compared with overlapping windows of abo
 space. Candidates are checked exactly: the longest common subsequence of words of item and surrounding text, and for
 paraphrases whether the item's answer stands there too.
 
-A benchmark is taken in blocks of at most BLOCK_ITEMS items, so what a task holds doesn't grow with it.
+A benchmark is taken in blocks of at most BLOCK_WORDS words, so what a task holds doesn't grow with it.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import chunks, reduce_arrays, table, without, word_hashes, word_spans
 
-BLOCK_ITEMS = 2_000
+#: Words of the items of a block (a longer item is a block of its own): bounds its vocabulary, 1.6 kB a word in a task.
+BLOCK_WORDS = 80_000
 RANK = 128
 EXTRA = 12
 #: Words of the passages of the SVD.
@@ -346,7 +347,7 @@ def find_leaks(items: Items, words: np.ndarray, tok: np.ndarray, cosine: float =
         yield r, item, *facts
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, overlap, answer, cosine): one row per document and benchmark item that leaks into it.
 
     Words are compared with A-Z lower-cased and without a mark at either end. Null and empty texts or items leak nothing;
@@ -366,11 +367,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS)
             fit_latent(docs, items, n)
             parts.append(_scan(docs, items, schema))
 
+    words = 0
     for r in found:
-        block.append(r)
-        if len(block) == block_items:
+        own = len((r.text or "").split())
+        if block and words + own > block_words:
             scan(block)
-            block = []
+            block, words = [], 0
+        block.append(r)
+        words += own
     if block:
         scan(block)
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
