@@ -17,10 +17,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import chunks, table
+from tessera.llm.shared import chunks, first_by_hash, table
 
 PER_LANGUAGE = 400
 BITS = 14
@@ -159,9 +158,8 @@ def sparse_rows(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy | None:
     """A model from the texts and non-null languages of ``docs`` (doc_id, text, lang); None where there are none."""
-    order = W.partitionBy("lang").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id")
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
-    ids = known.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language).select("doc_id").toPandas()
+    ids = first_by_hash(known.select("doc_id", "lang"), "lang", per_language, 3).select("doc_id").distinct().toPandas()
     if ids.empty:
         return None
     chosen = known.select("doc_id", "lang", "text").join(F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long")), "doc_id", "left_semi")
@@ -206,4 +204,4 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
     model = train(docs.filter(~fold).select("doc_id", "text", "lang"))
     scored = predict_language(docs, model)
-    return scored.select("doc_id", fold.alias("held_out"), "lang_pred", "score")
+    return scored.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), "lang_pred", "score")
