@@ -1,18 +1,21 @@
 """Quality classifier by co-training on two views of a document.
 
-View one is the text's content (shares of symbols, capitals, repeats and the like), view two the page's metadata
-(source, language, length). Each view has a logistic classifier. Over several rounds each labels the documents of an
-unlabelled pool it is most sure of and hands them to the other's training set. Both are then calibrated on labelled
-documents kept aside, combined, and the combination scores every document.
-
-Training takes bounded samples, drawn by a hash of doc_id: at most TRAIN_ROWS labelled and POOL_ROWS other documents.
+View one is the text's content: counts of its surface (symbols, capitals, repeats and the like) and how much its words,
+word pairs, word beginnings and endings speak for good documents, by log odds in hashed tables. View two is the page's
+metadata (source, language, length). Each view has a logistic classifier. Over several rounds each judges all unlabelled
+documents of the corpus and hands those that it is surest of, so many of either class as the labels have, to the other's
+training set. Then each view is calibrated by itself on labelled documents kept aside, and a combination of the
+calibrated views, in which no view counts against its own judgement, scores every document.
+
+The labelled documents for fitting are a bounded sample, drawn by a hash of doc_id: at most TRAIN_ROWS.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,10 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import chunks, table, word_hashes, word_spans
+from tessera.llm.shared import byte_sums, chunks, mix64, settle, table, word_spans
 
 TRAIN_ROWS = 6_000
-POOL_ROWS = 3_000
 ROUNDS = 4
 #: Pseudo-labels a view hands over in a round, and how sure it must be of them.
 HANDED = 200
@@ -32,6 +34,10 @@ ACCEPT = 0.5
 META_BUCKETS = 64
 
 CONTENT = ("log_words", "mean_word", "upper", "symbol", "digit", "space", "punct", "mark_words", "pipe_words", "repeat_next", "distinct", "distinct_line", "mean_line", "wide", "top_word")
+#: Hashed tables of log odds: of words, pairs of words, their first and their last three bytes.
+KINDS = ("word", "pair", "start", "end")
+ODDS_BITS = 16
+MOST_ODDS = 3.0
 _UPPER, _LETTER, _DIGIT, _SPACE, _WIDE, _PUNCT, _SYMBOL, _PIPE = (1 << i for i in range(8))
 _CLASS = np.zeros(256, np.uint8)
 for _b in range(256):
@@ -41,13 +47,49 @@ for _b in range(256):
     )
 
 
-def content_features(col: pa.Array) -> np.ndarray:
-    """One row of CONTENT per text; null and empty texts have zeros."""
-    out = np.zeros((len(col), len(CONTENT)), np.float32)
+def word_buckets(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and their places in the tables of KINDS, (words, 4); a row's last word has no pair (place 0)."""
+    sums, down = byte_sums(buf)
+    part = lambda a, b: mix64((sums[b] - sums[a]) * down[a])
+    words = part(starts, ends)
+    pairs = np.zeros(len(words), np.uint64)
+    pairs[:-1] = mix64(words[:-1] * np.uint64(3) + words[1:])
+    last = tok[1:][np.diff(tok) > 0] - 1
+    pairs[last] = 0
+    all_of = (words, pairs, part(starts, np.minimum(starts + 3, ends)), part(np.maximum(ends - 3, starts), ends))
+    return words, np.stack([x >> np.uint64(64 - ODDS_BITS) for x in all_of], 1).astype(np.uint16)
+
+
+def mean_odds(places: np.ndarray, tok: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """(rows, KINDS): the mean log odds of each row's words."""
+    out = np.zeros((len(tok) - 1, len(KINDS)), np.float32)
+    n = np.maximum(np.diff(tok), 1)
+    for j in range(len(KINDS)):
+        out[:, j] = np.diff(np.concatenate([[0.0], np.cumsum(odds[j][places[:, j]], dtype=np.float64)])[tok]) / n
+    return out
+
+
+def log_odds(places: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Tables of the log odds that a document with a word is good, from documents' places and labels."""
+    out = np.zeros((len(KINDS), 1 << ODDS_BITS), np.float32)
+    share = (y.mean() * len(y) + 1) / (len(y) + 2)
+    for j in range(len(KINDS)):
+        good, bad = np.zeros(1 << ODDS_BITS), np.zeros(1 << ODDS_BITS)
+        for own, label in zip(places, y, strict=True):
+            (good if label else bad)[np.unique(own[:, j])] += 1
+        out[j] = np.clip(np.log((good + 2 * share) / (bad + 2 * (1 - share)) * (1 - share) / share), -MOST_ODDS, MOST_ODDS)
+    return out
+
+
+def content_features(col: pa.Array, odds: np.ndarray | None = None) -> np.ndarray:
+    """One row of CONTENT and mean log odds (0 without tables) per text; null and empty texts have zeros."""
+    out = np.zeros((len(col), len(CONTENT) + len(KINDS)), np.float32)
     for first, last, buf, offs in chunks(col):
         kind = _CLASS[buf]
         starts, ends, tok = word_spans(buf, offs)
-        hashes = word_hashes(buf, starts, ends)
+        hashes, places = word_buckets(buf, starts, ends, tok)
+        if odds is not None:
+            out[first:last, len(CONTENT) :] = mean_odds(places, tok, odds)
         n_bytes, n_words = np.diff(offs), np.diff(tok)
         per_byte, per_word = 1 / np.maximum(n_bytes, 1), 1 / np.maximum(n_words, 1)
 
@@ -120,82 +162,193 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _calibrate(margin: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(slope, shift) from a view's margins to its log odds: logistic regression, never against the view."""
+    mean, sd = margin.mean(), margin.std() + 1e-9
+    line = Logistic(1.0).fit(margin[:, None], y)
+    slope = max(line.w[0], 0.0) / sd
+    return np.array([slope, line.w[1] - slope * mean if slope else np.log((y.sum() + 1) / ((1 - y).sum() + 1))])
+
+
 @dataclass
 class CoTrained:
-    """Both views' classifiers and the calibrated combination of their margins."""
+    """Tables of log odds, both views' classifiers, the line of each to its log odds, and the weights that combine these."""
 
+    odds: np.ndarray | None
     views: tuple[Logistic, Logistic]
-    blend: Logistic
+    lines: np.ndarray
+    weights: np.ndarray
     handed: int
 
+    def by_view(self, content: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        """(rows, 2): each view's calibrated log odds."""
+        return np.stack([line[0] * v.margin(x) + line[1] for v, x, line in zip(self.views, (content, meta), self.lines, strict=True)], 1)
+
     def score(self, content: np.ndarray, meta: np.ndarray) -> np.ndarray:
-        margins = np.stack([v.margin(x) for v, x in zip(self.views, (content, meta), strict=True)], 1)
-        return _sigmoid(self.blend.margin(margins))
+        return _sigmoid(self.by_view(content, meta) @ self.weights[:2] + self.weights[2])
 
 
-def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, handed: int = HANDED, sure: float = SURE) -> CoTrained:
-    """Fits the views on three quarters of the labelled rows and pseudo-labels, the blend on the last quarter."""
-    aside = np.arange(len(y)) % 4 == 3
-    if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
-        aside = np.zeros(len(y), bool)
+def _combine(logits: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the views' log odds and a shift, fitted with the weights at 0 or above."""
+    use = [j for j in (0, 1) if np.ptp(logits[:, j]) > 1e-9]
+    while use:
+        fit = Logistic(0.1).fit(logits[:, use], y)
+        w = fit.w[:-1] / fit.sd
+        if (w >= 0).all():
+            out = np.zeros(3)
+            out[use], out[2] = w, fit.w[-1] - w @ fit.mean
+            return out
+        use.pop(int(np.argmin(w)))
+    return np.array([0.0, 0.0, np.log((y.sum() + 1) / ((1 - y).sum() + 1))])
+
+
+#: Picks the surest unlabelled documents: both views' classifiers, how many of each class, ids already handed -> per view (content, meta, labels, ids).
+Pool = Callable[[tuple, tuple[int, int], set], list[tuple[np.ndarray, np.ndarray, np.ndarray, list]]]
+
+
+def surest(fit: tuple, content: np.ndarray, meta: np.ndarray, quota: tuple[int, int], sure: float) -> list[list[np.ndarray]]:
+    """For each view and class (bad, good): the rows that the view is surest of, at most so many as the quota."""
+    out = []
+    for v, x in zip(fit, (content, meta), strict=True):
+        p = _sigmoid(v.margin(x))
+        out.append([np.argsort(-q, kind="stable")[:n][np.sort(-q)[:n] <= -sure] for q, n in zip((1 - p, p), quota, strict=True)])
+    return out
+
+
+def array_pool(content: np.ndarray, meta: np.ndarray, sure: float = SURE) -> Pool:
+    """A pool that is held in arrays."""
+
+    def pick(fit: tuple, quota: tuple[int, int], gone: set) -> list:
+        free = np.array([i for i in range(len(content)) if i not in gone], np.int64)
+        found = surest(fit, content[free], meta[free], quota, sure)
+        ids = [np.concatenate([free[bad], free[good]]) for bad, good in found]
+        return [(content[i], meta[i], np.repeat([0.0, 1.0], [len(bad), len(good)]), i.tolist()) for i, (bad, good) in zip(ids, found, strict=True)]
+
+    return pick
+
+
+def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Pool, odds: np.ndarray | None = None, rounds: int = ROUNDS, handed: int = HANDED) -> CoTrained:
+    """Fits the views on three quarters of the labelled rows and pseudo-labels, lines and weights on the last quarter."""
+    aside = kept_aside(y)
     own = [(content[~aside], y[~aside]), (meta[~aside], y[~aside])]
-    free = np.ones(len(pool[0]), bool)
-    fit = [Logistic().fit(*own[0]), Logistic(10.0).fit(*own[1])]
-    given = 0
+    fit = (Logistic().fit(*own[0]), Logistic(10.0).fit(*own[1]))
+    good = min(handed - 1, max(1, round(handed * y.mean())))
+    gone: set = set()
     for _ in range(rounds):
-        for me in (0, 1):
-            ids = np.flatnonzero(free)
-            if not len(ids):
-                break
-            p = _sigmoid(fit[me].margin(pool[me][ids]))
-            best = np.argsort(-np.abs(p - 0.5), kind="stable")[:handed]
-            best = best[np.maximum(p, 1 - p)[best] >= sure]
-            free[ids[best]] = False
-            given += len(best)
+        before = len(gone)
+        for me, (c, m, label, ids) in enumerate(pool(fit, (handed - good, good), gone)):
+            new = np.array([i not in gone for i in ids], bool)
+            gone.update(ids)
             other = 1 - me
-            own[other] = (np.vstack([own[other][0], pool[other][ids[best]]]), np.concatenate([own[other][1], (p[best] > 0.5).astype(float)]))
-        fit = [Logistic().fit(*own[0]), Logistic(10.0).fit(*own[1])]
+            own[other] = (np.vstack([own[other][0], (c, m)[other][new]]), np.concatenate([own[other][1], label[new]]))
+        if len(gone) == before:
+            break
+        fit = (Logistic().fit(*own[0]), Logistic(10.0).fit(*own[1]))
     held = aside if aside.any() else ~aside
-    blend = Logistic(0.1).fit(np.stack([fit[0].margin(content[held]), fit[1].margin(meta[held])], 1), y[held])
-    return CoTrained((fit[0], fit[1]), blend, given)
+    lines = np.stack([_calibrate(v.margin(x[held]), y[held]) for v, x in zip(fit, (content, meta), strict=True)])
+    model = CoTrained(odds, fit, lines, np.zeros(3), len(gone))
+    model.weights = _combine(model.by_view(content[held], meta[held]), y[held])
+    return model
 
 
-_FACTS = "doc_id long, content array<float>, meta array<float>"
+def kept_aside(y: np.ndarray) -> np.ndarray:
+    """Every fourth row, for calibration; none where that leaves either part without a class."""
+    aside = np.arange(len(y)) % 4 == 3
+    return aside if len(set(y[aside])) == 2 and len(set(y[~aside])) == 2 else np.zeros(len(y), bool)
 
 
-def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _views(batch: pa.RecordBatch, odds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Of (doc_id, text, source, lang, n_chars)."""
     n_chars = batch.column(4).cast(pa.float64()).to_numpy(zero_copy_only=False)
-    return content_features(batch.column(1)), meta_features(batch.column(2).to_pylist(), batch.column(3).to_pylist(), n_chars)
+    return content_features(batch.column(1), odds), meta_features(batch.column(2).to_pylist(), batch.column(3).to_pylist(), n_chars)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+    return pa.ListArray.from_arrays(ends, pa.array(x.astype(np.float32).ravel()))
+
 
+def _arrays(col: pa.Array) -> np.ndarray:
+    return col.flatten().to_numpy().reshape(len(col), -1) if len(col) else np.zeros((0, 0), np.float32)
 
-def _sample(docs: DataFrame, ids: DataFrame) -> pd.DataFrame:
-    """Both views of the documents in ``ids`` (doc_id, bounded), in the order of doc_id."""
+
+def _labelled(docs: DataFrame, ids: DataFrame) -> pd.DataFrame:
+    """Features and word places of the documents in ``ids`` (doc_id, bounded), in the order of doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content, meta = (pa.array(list(v), pa.list_(pa.float32())) for v in _views(batch))
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), content, meta], ["doc_id", "content", "meta"])
+            content, meta = _views(batch, None)
+            places = []
+            for _, _, buf, offs in chunks(batch.column(1)):
+                starts, ends, tok = word_spans(buf, offs)
+                own = word_buckets(buf, starts, ends, tok)[1]
+                places += [own[a:b].tobytes() for a, b in zip(tok, tok[1:], strict=False)]
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), _lists(content), _lists(meta), pa.array(places, pa.binary())], ["doc_id", "content", "meta", "places"])
 
     chosen = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(ids), "doc_id", "left_semi")
-    return chosen.mapInArrow(run, _FACTS).toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
+    rows = chosen.mapInArrow(run, "doc_id long, content array<float>, meta array<float>, places binary").toPandas()
+    return rows.assign(order=rows.places.map(zlib.crc32)).sort_values(["doc_id", "order"], ignore_index=True).drop_duplicates("doc_id", ignore_index=True)
+
 
+def corpus_pool(docs: DataFrame, labels: DataFrame, odds: np.ndarray, sure: float = SURE) -> Pool:
+    """The pool of all documents without a label: their features are written once, every round reads all of them."""
+    shared = docs.sparkSession.sparkContext.broadcast(odds)
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, pool_rows: int = POOL_ROWS, **options) -> CoTrained | None:
-    """The model from bounded samples of ``docs``; None if the labels don't have both classes."""
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content, meta = _views(batch, shared.value)
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), _lists(content), _lists(meta)], ["doc_id", "content", "meta"])
+
+    kinds = "doc_id long, content array<float>, meta array<float>"
+    free = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(facts, kinds)
+    free = settle(free.join(labels.filter("quality IS NOT NULL").select("doc_id"), "doc_id", "left_anti"))
+
+    def pick(fit: tuple, quota: tuple[int, int], gone: set) -> list:
+        told = docs.sparkSession.sparkContext.broadcast((fit, np.array(sorted(gone), np.int64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fit, gone = told.value
+            for batch in batches:
+                batch = batch.filter(pa.array(~np.isin(batch.column(0).to_numpy(), gone)))
+                if not batch.num_rows:
+                    continue
+                content, meta = _arrays(batch.column(1)), _arrays(batch.column(2))
+                for view, pair in enumerate(surest(fit, content, meta, quota, sure)):
+                    p = _sigmoid(fit[view].margin((content, meta)[view]))
+                    for label, at in enumerate(pair):
+                        own = batch.take(pa.array(at, pa.int64()))
+                        yield pa.record_batch([*own.columns, pa.array(np.full(len(at), view, np.int32)), pa.array(np.full(len(at), label, np.int32)), pa.array(np.abs(p[at] - 0.5))], [*own.schema.names, "view", "label", "sure"])
+
+        found = free.mapInArrow(run, f"{kinds}, view int, label int, sure double")
+        best = [found.filter((F.col("view") == v) & (F.col("label") == c)).orderBy(F.desc("sure"), F.xxhash64("doc_id"), "doc_id").limit(quota[c]) for v in (0, 1) for c in (0, 1)]
+        rows = reduce(DataFrame.union, best).toPandas().drop_duplicates(["doc_id", "view"])
+        out = []
+        for view in (0, 1):
+            own = rows[rows["view"] == view]
+            stack = lambda c, own=own: np.stack(own[c].to_numpy()) if len(own) else np.zeros((0, 0), np.float32)
+            out.append((stack("content"), stack("meta"), own.label.to_numpy(float), own.doc_id.tolist()))
+        return [x if len(x[3]) else (np.zeros((0, len(CONTENT) + len(KINDS))), np.zeros((0, META_BUCKETS + 4)), x[2], []) for x in out]
+
+    return pick
+
+
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, **options) -> CoTrained | None:
+    """The model from a bounded sample of labelled ``docs`` and all others; None if the labels don't have both classes."""
     order = F.xxhash64(F.lit(11), "doc_id")
     marked = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order, "doc_id").limit(train_rows).toPandas()
     if known.quality.nunique() < 2:
         return None
-    spark = docs.sparkSession
-    rest = docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").filter("doc_id IS NOT NULL").distinct().orderBy(order, "doc_id").limit(pool_rows).toPandas()
-    ids = spark.createDataFrame(pd.DataFrame({"doc_id": [*known.doc_id, *rest.doc_id]}), "doc_id long")
-    both = _sample(docs, ids)
-    both = both.merge(known, "left", on="doc_id")
-    content, meta = np.stack(both.content.to_numpy()), np.stack(both.meta.to_numpy())
-    has = both.quality.notna().to_numpy()
-    return co_train(content[has], meta[has], (both.quality[has] > 0).to_numpy(float), (content[~has], meta[~has]), **options)
+    both = _labelled(docs, docs.sparkSession.createDataFrame(known[["doc_id"]], "doc_id long")).merge(known, on="doc_id")
+    content, meta, y = np.stack(both.content.to_numpy()), np.stack(both.meta.to_numpy()), (both.quality > 0).to_numpy(float)
+    places = [np.frombuffer(b, np.uint16).reshape(-1, len(KINDS)) for b in both.places]
+    # A row's own label is never in the odds that it is fitted with: either half of the rows reads the other half's tables.
+    half = np.where(kept_aside(y), 2, np.arange(len(y)) // 4 % 2)
+    tables = [log_odds([places[i] for i in np.flatnonzero(half == h)], y[half == h]) for h in (0, 1)]
+    odds = (tables[0] + tables[1]) / 2
+    for i, own in enumerate(places):
+        content[i, len(CONTENT) :] = mean_odds(own, np.array([0, len(own)]), (tables[1], tables[0], odds)[half[i]])[0]
+    return co_train(content, meta, y, corpus_pool(docs, labels, odds), odds, **options)
 
 
 def score_quality(docs: DataFrame, model: CoTrained | None, accept: float = ACCEPT) -> DataFrame:
@@ -212,7 +365,7 @@ def score_quality(docs: DataFrame, model: CoTrained | None, accept: float = ACCE
     @F.pandas_udf("double")
     def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for text, source, lang, n_chars in parts:
-            content = content_features(pa.array(text, pa.string()))
+            content = content_features(pa.array(text, pa.string()), shared.value.odds)
             yield pd.Series(shared.value.score(content, meta_features(list(source), list(lang), n_chars.to_numpy(float, na_value=np.nan))))
 
     return docs.withColumn("quality_score", score("text", "source", "lang", "n_chars")).withColumn("accepted", F.col("quality_score") >= accept)

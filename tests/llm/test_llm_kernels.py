@@ -252,7 +252,53 @@ def test_co_training_rejects_junk_and_learns_from_the_pool():
     texts = [good() if i % 3 else bad() for i in range(600)]
     y = np.array([i % 3 > 0 for i in range(600)], float)
     content, meta = op10.content_features(pa.array(texts)), op10.meta_features(["s"] * 600, ["en", None] * 300, np.array([float(len(t)) for t in texts]))
-    model = op10.co_train(content[:400], meta[:400], y[:400], (content[400:500], meta[400:500]))
+    model = op10.co_train(content[:400], meta[:400], y[:400], op10.array_pool(content[400:500], meta[400:500]))
     assert model.handed > 0
     assert ((model.score(content[500:], meta[500:]) >= 0.5) == (y[500:] > 0)).all()
     assert np.isfinite(model.score(op10.content_features(pa.array([None, "", "\n\n"], pa.string())), op10.meta_features([None] * 3, [None] * 3, np.full(3, np.nan)))).all()
+
+
+def test_metadata_help_where_the_content_is_blind():
+    """The same texts, good from one source and bad from another: only the second view knows, and it counts."""
+    rng = random.Random(4)
+    words = "the of and to in is that it was for on are as with they be at one have this".split()
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(800)]
+    y = np.array([i % 3 > 0 for i in range(800)], float)
+    sources = [("good.org" if rng.random() < 0.95 else "bad.org") if g else ("bad.org" if rng.random() < 0.95 else "good.org") for g in y]
+    content, meta = op10.content_features(pa.array(texts)), op10.meta_features(sources, [None] * 800, np.array([float(len(t)) for t in texts]))
+    model = op10.co_train(content[:400], meta[:400], y[:400], op10.array_pool(content[400:600], meta[400:600]))
+    assert model.weights[1] > 0 and (model.weights[:2] >= 0).all()
+    assert ((model.score(content[600:], meta[600:]) >= 0.5) == (y[600:] > 0)).mean() > 0.9
+
+
+def test_hand_over_has_both_classes():
+    rng = np.random.default_rng(5)
+    y = (rng.random(2_000) < 0.8).astype(float)
+    x = y[:, None] * 3 + rng.normal(size=(2_000, 2))
+    given = []
+
+    def pool(fit, quota, gone):
+        given.append((quota, op10.array_pool(x[1_000:], x[1_000:])(fit, quota, gone)))
+        return given[-1][1]
+
+    op10.co_train(x[:1_000], x[:1_000], y[:1_000], pool, rounds=1, handed=50)
+    quota, per_view = given[0]
+    assert sum(quota) == 50 and 7 <= quota[0] <= 13
+    assert all(set(label.tolist()) == {0.0, 1.0} and (label == 0).sum() <= quota[0] for _, _, label, _ in per_view)
+
+
+def test_words_tell_quality_where_the_surface_does_not():
+    rng = random.Random(6)
+    good, bad = (["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)] for _ in range(2))
+    texts = [" ".join(rng.choice(good + good + bad if i % 2 else good + bad + bad) for _ in range(60)) for i in range(600)]
+    y = np.array([i % 2 for i in range(600)], float)
+    places = []
+    for _, _, buf, offs in shared.chunks(pa.array(texts)):
+        starts, ends, tok = shared.word_spans(buf, offs)
+        own = op10.word_buckets(buf, starts, ends, tok)[1]
+        places += [own[a:b] for a, b in zip(tok, tok[1:])]
+    odds = op10.log_odds(places[200:400], y[200:400])
+    content = op10.content_features(pa.array(texts), odds)
+    meta = op10.meta_features([None] * 600, [None] * 600, np.zeros(600))
+    model = op10.co_train(content[:200], meta[:200], y[:200], op10.array_pool(content[:0], meta[:0]), odds)
+    assert ((model.score(content[400:], meta[400:]) >= 0.5) == (y[400:] > 0)).mean() > 0.85
