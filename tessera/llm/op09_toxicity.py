@@ -3,10 +3,11 @@
 A token's input joins an embedding of its word with one of its characters (hashed beginnings and endings of several
 lengths). A text is cut into overlapping windows that cover all of it; every window is scored and the text takes the
 highest. Labels are of whole texts, so training starts from the windows of toxic texts that hold a piece hardly seen in
-clean ones, then adds the windows of toxic texts that the network finds toxic and counts clear others as clean.
+clean ones, then adds windows of other toxic texts that the network finds toxic.
 
 Training takes at most TRAIN_TOXIC and TRAIN_CLEAN labelled texts, drawn by a hash of doc_id, and all windows of each:
-so the toxic passage of a long text is among them, and the line to chances is set by whole texts, as they are scored.
+so the toxic passage of a long text is among them. The line from a text's highest margin to its chance is a logistic
+regression over whole texts kept aside.
 """
 
 from __future__ import annotations
@@ -17,21 +18,22 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import byte_sums, chunks, mix64, table, word_spans
+from tessera.llm.shared import byte_sums, chunks, first_by_hash, mix64, table, word_spans
 
 TRAIN_TOXIC = 1_500
 TRAIN_CLEAN = 2_500
 WINDOW = 24
 STRIDE = 18
 BATCH = 4_096
+#: Clean windows drawn for an epoch, at least (where there are so many).
+EPOCH_WINDOWS = 12_000
 TOXIC_AT = 0.7
 #: Rows of the word table and of the character table; row 0 pads.
 WORD_ROWS = 1 << 15
 CHAR_ROWS = 1 << 15
-STARTS = (3, 4, 5, 6)
+STARTS = (4, 6, 7, 8, 9)
 ENDINGS = (3,)
 FEATURES = 1 + len(STARTS) + len(ENDINGS)
 EMBED = 8
@@ -247,18 +249,19 @@ def telling(ids: np.ndarray, row: np.ndarray, y: np.ndarray, least: int = 4, odd
     return found
 
 
-def fit_detector(ids: np.ndarray, size: np.ndarray, row: np.ndarray, y: np.ndarray, epochs: tuple[int, int] = (4, 5), batch: int = 256, dropped: float = 0.15, seed: int = 13) -> Detector:
+def fit_detector(ids: np.ndarray, size: np.ndarray, row: np.ndarray, y: np.ndarray, epochs: tuple[int, int] = (5, 9), batch: int = 128, dropped: float = 0.1, seed: int = 13) -> Detector:
     """Fits on windows ids (n, WINDOW, FEATURES) of ``size`` tokens that belong to texts ``row`` with labels ``y``.
 
-    Every fifth text is kept aside, for the line from margins to chances. Tokens are dropped at random while fitting,
-    so that the network doesn't learn texts by heart.
+    Every fifth text is kept aside, for the line from margins to chances. Every epoch draws clean windows anew, later
+    half of them from those that the network finds most toxic, and repeats toxic ones to a quarter of the draw. Tokens
+    are dropped at random while fitting, so that the network doesn't learn texts by heart.
     """
     net, adam, rng = BiGru.new(seed), Adam(), np.random.default_rng(seed)
     of, live = y[row], np.arange(WINDOW)[:, None] < size
     aside = np.arange(len(y)) % 5 == 4
     if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
         aside[:] = False
-    mine = np.flatnonzero(~aside[row])
+    mine = ~aside[row]
 
     def every() -> tuple[np.ndarray, np.ndarray]:
         out, best = np.empty(len(row)), np.full(len(y), -np.inf)
@@ -271,37 +274,54 @@ def fit_detector(ids: np.ndarray, size: np.ndarray, row: np.ndarray, y: np.ndarr
 
     # At first a toxic text's windows count if they hold a telling piece; if no text has any, all of them do.
     sure = of & telling(ids, row, y & ~aside if aside.any() else y)
-    if not sure.any():
+    if not (sure & mine).any():
         sure = of
-    own = mine[sure[mine] | ~of[mine]]
-    target = sure.astype(np.float32)
-    for phase, n in enumerate(epochs):
-        for epoch in range(n):
-            if phase:  # a toxic text's windows count if they have a telling piece or the network says so; doubtful ones wait
-                m = every()[0]
-                target = (of & (sure | (m > 1))).astype(np.float32)
-                own = mine[(target[mine] > 0) | ~of[mine] | (m[mine] < -3)]
-            adam.rate = 0.01 if epoch + phase * epochs[0] < sum(epochs) - 3 else 0.003
-            share = min(max(target[own].mean(), 1e-3), 0.5)
-            balance = np.where(target > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-            for at in np.array_split(rng.permutation(own), max(1, len(own) // max(32, min(batch, len(own) // 50)))):
-                part = np.ascontiguousarray(ids[at].transpose(1, 0, 2))
-                part[rng.random(part.shape[:2]) < dropped] = 0
-                adam.step(net.w, net.gradients(part, live[:, at], target[at], balance[at])[1])
+    toxic, clean = np.flatnonzero(sure & mine), np.flatnonzero(mine & ~of)
+    hard = None
+    for epoch in range(sum(epochs)):
+        if epoch >= epochs[0] and (epoch - epochs[0]) % 3 == 0:
+            m, best = every()
+            # A text without a telling window adds the one that the network finds most toxic, once it finds it so.
+            told = np.zeros(len(y), bool)
+            told[row[sure]] = True
+            toxic = np.flatnonzero(mine & (sure | (of & ~told[row] & (m > 0) & (m == best[row]))))
+            hard = clean[np.argsort(-m[clean], kind="stable")]
+        adam.rate = 0.01 if epoch < sum(epochs) - 3 else 0.003
+        n = min(len(clean), max(EPOCH_WINDOWS, 3 * len(toxic)))
+        first = hard[: n // 2] if hard is not None else clean[:0]
+        drawn = np.concatenate([first, rng.choice(clean, n - len(first), replace=False), rng.choice(toxic, max(n // 3, 1))])
+        for at in np.array_split(rng.permutation(drawn), max(1, len(drawn) // max(16, min(batch, len(drawn) // 40)))):
+            part = np.ascontiguousarray(ids[at].transpose(1, 0, 2))
+            part[rng.random(part.shape[:2]) < dropped] = 0
+            adam.step(net.w, net.gradients(part, live[:, at], of[at].astype(np.float32), np.ones(len(at), np.float32))[1])
     best = every()[1]
     held = aside if aside.any() else ~aside
-    # The chance is 0.7 halfway between the clean texts' high margins and the toxic texts' low ones.
-    lo, hi = np.quantile(best[held & ~y], 0.995), np.quantile(best[held & y], 0.01)
-    slope = 2.0 / max((hi - lo) / 2, 0.25)
-    return Detector(net, slope, np.log(TOXIC_AT / (1 - TOXIC_AT)) - slope * (lo + hi) / 2)
+    return Detector(net, *calibrate(best[held], y[held]))
+
+
+def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift from margins to chances: logistic regression on targets a little inside 0 and 1."""
+    up, down = (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2)
+    target = np.where(y, up, down)
+    mean, sd = margin.mean(), margin.std() + 1e-6
+    z = np.stack([(margin - mean) / sd, np.ones(len(margin))], 1)
+    w = np.array([1.0, np.log(y.mean() / (1 - y.mean()))])
+    for _ in range(50):
+        p = _sig(np.clip(z @ w, -30, 30))
+        hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag([0.05, 1e-6])
+        step = np.linalg.solve(hess, z.T @ (p - target) + np.array([0.05 * w[0], 0.0]))
+        w -= np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    slope = max(w[0], 0.0) / sd
+    return float(slope), float(w[1] - slope * mean)
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Detector | None:
     """A detector from the texts of ``docs`` that ``labels`` (doc_id, toxic) marks; None without both labels."""
-    order = W.partitionBy("toxic").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id")
     marked = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     marked = marked.join(docs.filter("text IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = marked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.when(F.col("toxic"), toxic).otherwise(clean)).select("doc_id", "toxic").toPandas()
+    chosen = first_by_hash(marked, "toxic", F.when(F.col("toxic"), toxic).otherwise(clean), 7).toPandas()
     if chosen.toxic.nunique() < 2:
         return None
     ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic boolean")
@@ -350,4 +370,4 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
     model = train(docs.filter(~fold).select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return score_toxicity(docs, model).select("doc_id", fold.alias("held_out"), "score", "predicted")
+    return score_toxicity(docs, model).select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), "score", "predicted")
