@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import chunks, reduce_arrays, table, without, word_hashes, word_spans
+from tessera.llm.shared import chunks, reduce_arrays, released, table, without, word_hashes, word_spans
 
 #: Words of the items of a block (a longer item is a block of its own): bounds its vocabulary, 1.6 kB a word in a task.
 BLOCK_WORDS = 80_000
@@ -63,7 +63,7 @@ def passage_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << DF_BITS) + 1, np.int64)
         for batch in batches:
-            for _, _, buf, offs in chunks(batch.column(0), 1 << 21):
+            for _, _, buf, offs in chunks(batch.column(0), 1 << 19):
                 words, tok = plain_words(buf, offs)
                 passage, n = passages(tok)
                 kind = np.uint32 if n < 1 << (32 - DF_BITS) else np.uint64  # short keys sort faster
@@ -74,7 +74,7 @@ def passage_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
                 total[-1] += n
         yield pa.record_batch({"part": pa.array([total.tobytes()], pa.binary())})
 
-    total = reduce_arrays(docs.select("text").mapInArrow(run, "part binary"), "int64", np.add)
+    total = reduce_arrays(docs.select("text").mapInArrow(released(run), "part binary"), "int64", np.add)
     return (np.zeros(1 << DF_BITS, np.int64), 0) if total is None else (total[:-1], int(total[-1]))
 
 
@@ -190,7 +190,7 @@ def fit_latent(docs: DataFrame, items: Items, n_passages: int, rank: int = RANK,
                 total += _product(own, words, at, passage, n, test)
         yield pa.record_batch({"part": pa.array([total.tobytes()], pa.binary())})
 
-    summed = reduce_arrays(docs.select("text").mapInArrow(run, "part binary"), "float64", np.add)
+    summed = reduce_arrays(docs.select("text").mapInArrow(released(run), "part binary"), "float64", np.add)
     g = np.zeros(omega.shape) if summed is None else summed.reshape(omega.shape)
     words = np.concatenate(items.words)
     row = np.repeat(np.arange(len(items.ids)), [len(w) for w in items.words])
@@ -395,7 +395,7 @@ def _scan(docs: DataFrame, items: Items, schema: str) -> DataFrame:
             kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "item_id", "overlap", "answer", "cosine"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(released(run), schema)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

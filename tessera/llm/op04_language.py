@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import chunks, first_by_hash, table
+from tessera.llm.shared import chunks, first_by_hash, released, table
 
 PER_LANGUAGE = 400
 BITS = 14
@@ -169,7 +169,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy | None
             rows = list(sparse_rows(batch.column(2)))
             yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["doc_id", "lang", "i", "v"])
 
-    got = chosen.mapInArrow(run, "doc_id long, lang string, i array<int>, v array<float>").toPandas().sort_values(["doc_id", "lang"], ignore_index=True)
+    got = chosen.mapInArrow(released(run), "doc_id long, lang string, i array<int>, v array<float>").toPandas().sort_values(["doc_id", "lang"], ignore_index=True)
     return fit_hierarchy(list(zip(got.i, got.v, strict=True)), got.lang.to_numpy(object))
 
 
@@ -196,7 +196,7 @@ def predict_language(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
             lang[none], score[none] = UNKNOWN, 0.0
             yield pa.record_batch([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return base.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return base.mapInArrow(released(run), "doc_id long, lang_pred string, score double")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import table
+from tessera.llm.shared import released, table
 
 TRAIN_PAGES = 500
 #: Smoothness: of neighbours in page order, of blocks that follow each other in one container, and its decay by DOM distance.
@@ -282,7 +282,7 @@ def train(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> np.ndarray:
                     rows += np.hstack([block_features(found)[known], [[b.semantic > 0] for b in found if b.semantic]]).tolist()
             yield pa.record_batch({"x": pa.array(rows, pa.list_(pa.float64()))})
 
-    got = pages.select("page_id", "html").join(F.broadcast(ids), "page_id", "left_semi").select("html").mapInArrow(run, "x array<double>").toPandas()
+    got = pages.select("page_id", "html").join(F.broadcast(ids), "page_id", "left_semi").select("html").mapInArrow(released(run), "x array<double>").toPandas()
     if got.empty:
         return DEFAULT_WEIGHTS
     x = np.stack(got.x.to_numpy())
@@ -303,7 +303,7 @@ def extract_pages(pages: DataFrame, weights: np.ndarray) -> DataFrame:
             texts = [extract(page, weights) for page in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(released(run), "page_id long, url string, text string, n_chars long")
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.shared import table, text_buffer
+from tessera.llm.shared import released, table, text_buffer
 
 #: Bits of each byte in reverse: the checksum of a page is a CRC-32 that takes bits from the top.
 _FLIP = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
@@ -185,7 +185,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
             names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.record_batch([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(released(run), _SCHEMA)
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:

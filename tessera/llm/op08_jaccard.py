@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import chunks, settle, shingles, table, without, word_hashes, word_spans
+from tessera.llm.shared import chunks, released, settle, shingles, table, without, word_hashes, word_spans
 
 #: A batch of a task ends after this many columns (its last document whole) or documents; it fixes the memory of a task.
 BATCH_COLUMNS, BATCH_ROWS = 1 << 20, 60_000
@@ -130,7 +130,7 @@ def deal(docs: DataFrame, k: int, bits: int) -> DataFrame:
         if sets:
             yield pack(order, ids, missing, sets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
+    return docs.select("doc_id", "text").mapInArrow(released(run), _PIECES)
 
 
 def count_columns(dealt: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def count_columns(dealt: DataFrame) -> DataFrame:
         if held:
             yield _record(_COUNTED, list(count(held)))
 
-    return dealt.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, _COUNTED)
+    return dealt.repartition("slot").sortWithinPartitions("slot").mapInArrow(released(run), _COUNTED)
 
 
 def sign(counted: DataFrame, bits: int, percent: int) -> DataFrame:
@@ -217,7 +217,7 @@ def sign(counted: DataFrame, bits: int, percent: int) -> DataFrame:
         if held:
             yield join(held)
 
-    return counted.repartition("batch").sortWithinPartitions("batch", "slot").mapInArrow(run, _SIGNED)
+    return counted.repartition("batch").sortWithinPartitions("batch", "slot").mapInArrow(released(run), _SIGNED)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -333,7 +333,7 @@ def verify(tips: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             at = np.concatenate(linked) if linked else np.zeros(0, np.int64)
             yield pa.record_batch([pa.array(ids[at], pa.int64()), pa.array(b[at], pa.int64())], ["a", "b"])
 
-    return settle(rows.repartition("b", "place").sortWithinPartitions("b", "place", "side").mapInArrow(run, "a long, b long"))
+    return settle(rows.repartition("b", "place").sortWithinPartitions("b", "place", "side").mapInArrow(released(run), "a long, b long"))
 
 
 def link_classes(tips: DataFrame, percent: int) -> DataFrame | None:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import byte_sums, chunks, first_by_hash, mix64, table, word_spans
+from tessera.llm.shared import byte_sums, chunks, first_by_hash, mix64, released, table, word_spans
 
 TRAIN_TOXIC = 1_500
 TRAIN_CLEAN = 2_500
@@ -335,7 +335,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: i
                 rows = pa.array(row + first)
                 yield pa.record_batch([batch.column(0).take(rows).cast(pa.int64()), batch.column(2).take(rows), pa.array(at), pa.array(parts, pa.binary())], ["doc_id", "toxic", "at", "ids"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, toxic boolean, at long, ids binary").toPandas()
+    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(released(run), "doc_id long, toxic boolean, at long, ids binary").toPandas()
     got = got.drop_duplicates(["doc_id", "at", "ids"]).sort_values(["doc_id", "at", "ids"], ignore_index=True)
     names, row = np.unique(got.doc_id, return_inverse=True)
     y = np.zeros(len(names), bool)
@@ -363,7 +363,7 @@ def score_toxicity(docs: DataFrame, model: Detector | None, toxic_at: float = TO
             score = shared.value.score(batch.column(1))
             yield pa.record_batch([batch.column(0), pa.array(score), pa.array((score >= toxic_at).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return base.mapInArrow(run, "doc_id long, score double, predicted int")
+    return base.mapInArrow(released(run), "doc_id long, score double, predicted int")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ The labelled documents for fitting are a bounded sample, drawn by a hash of doc_
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import byte_sums, chunks, mix64, settle, table, word_spans
+from tessera.llm.shared import byte_sums, chunks, mix64, released, settle, table, word_spans
 
 TRAIN_ROWS = 6_000
 ROUNDS = 4
@@ -257,10 +257,10 @@ def kept_aside(y: np.ndarray) -> np.ndarray:
     return aside if len(set(y[aside])) == 2 and len(set(y[~aside])) == 2 else np.zeros(len(y), bool)
 
 
-def _views(batch: pa.RecordBatch, odds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Of (doc_id, text, source, lang, n_chars)."""
-    n_chars = batch.column(4).cast(pa.float64()).to_numpy(zero_copy_only=False)
-    return content_features(batch.column(1), odds), meta_features(batch.column(2).to_pylist(), batch.column(3).to_pylist(), n_chars)
+def _views(columns: Sequence[pa.Array], odds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of text, source, lang and n_chars."""
+    text, source, lang, n_chars = columns
+    return content_features(text, odds), meta_features(source.to_pylist(), lang.to_pylist(), n_chars.cast(pa.float64()).to_numpy(zero_copy_only=False))
 
 
 def _lists(x: np.ndarray) -> pa.Array:
@@ -277,7 +277,7 @@ def _labelled(docs: DataFrame, ids: DataFrame) -> pd.DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content, meta = _views(batch, None)
+            content, meta = _views(batch.columns[1:], None)
             places = []
             for _, _, buf, offs in chunks(batch.column(1)):
                 starts, ends, tok = word_spans(buf, offs)
@@ -286,7 +286,7 @@ def _labelled(docs: DataFrame, ids: DataFrame) -> pd.DataFrame:
             yield pa.record_batch([batch.column(0).cast(pa.int64()), _lists(content), _lists(meta), pa.array(places, pa.binary())], ["doc_id", "content", "meta", "places"])
 
     chosen = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = chosen.mapInArrow(run, "doc_id long, content array<float>, meta array<float>, places binary").toPandas()
+    rows = chosen.mapInArrow(released(run), "doc_id long, content array<float>, meta array<float>, places binary").toPandas()
     return rows.assign(order=rows.places.map(zlib.crc32)).sort_values(["doc_id", "order"], ignore_index=True).drop_duplicates("doc_id", ignore_index=True)
 
 
@@ -296,11 +296,11 @@ def corpus_pool(docs: DataFrame, labels: DataFrame, odds: np.ndarray, sure: floa
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content, meta = _views(batch, shared.value)
+            content, meta = _views(batch.columns[1:], shared.value)
             yield pa.record_batch([batch.column(0).cast(pa.int64()), _lists(content), _lists(meta)], ["doc_id", "content", "meta"])
 
     kinds = "doc_id long, content array<float>, meta array<float>"
-    free = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(facts, kinds)
+    free = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(released(facts), kinds)
     free = settle(free.join(labels.filter("quality IS NOT NULL").select("doc_id"), "doc_id", "left_anti"))
 
     def pick(fit: tuple, quota: tuple[int, int], gone: set) -> list:
@@ -319,7 +319,7 @@ def corpus_pool(docs: DataFrame, labels: DataFrame, odds: np.ndarray, sure: floa
                         own = batch.take(pa.array(at, pa.int64()))
                         yield pa.record_batch([*own.columns, pa.array(np.full(len(at), view, np.int32)), pa.array(np.full(len(at), label, np.int32)), pa.array(np.abs(p[at] - 0.5))], [*own.schema.names, "view", "label", "sure"])
 
-        found = free.mapInArrow(run, f"{kinds}, view int, label int, sure double")
+        found = free.mapInArrow(released(run), f"{kinds}, view int, label int, sure double")
         best = [found.filter((F.col("view") == v) & (F.col("label") == c)).orderBy(F.desc("sure"), F.xxhash64("doc_id"), "doc_id").limit(quota[c]) for v in (0, 1) for c in (0, 1)]
         rows = reduce(DataFrame.union, best).toPandas().drop_duplicates(["doc_id", "view"])
         out = []
@@ -362,13 +362,16 @@ def score_quality(docs: DataFrame, model: CoTrained | None, accept: float = ACCE
         return docs.withColumns({"quality_score": F.lit(1.0), "accepted": F.lit(True)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for text, source, lang, n_chars in parts:
-            content = content_features(pa.array(text, pa.string()), shared.value.odds)
-            yield pd.Series(shared.value.score(content, meta_features(list(source), list(lang), n_chars.to_numpy(float, na_value=np.nan))))
+    @released
+    def run(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in parts:
+            yield pa.array(shared.value.score(*_views(columns, shared.value.odds)))
 
-    return docs.withColumn("quality_score", score("text", "source", "lang", "n_chars")).withColumn("accepted", F.col("quality_score") >= accept)
+    @F.arrow_udf("double")
+    def score(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return run(parts)
+
+    return docs.withColumn("quality_score", score(F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("double"))).withColumn("accepted", F.col("quality_score") >= accept)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

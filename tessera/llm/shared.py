@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -104,6 +107,19 @@ def chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
         a = b
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, after which a task's worker gives back memory that it would keep while it waits for the next."""
+
+    @functools.wraps(run)
+    def lean(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return lean
+
+
 # --- words and their hashes -----------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)
@@ -116,14 +132,21 @@ _CODE = np.random.default_rng(20_240_607).integers(1, 1 << 63, 256, dtype=np.uin
 _POWERS: dict[str, np.ndarray] = {}
 
 
+#: Powers of the base are kept for texts up to this many bytes, and made anew for longer ones.
+KEPT_POWERS = 1 << 19
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n + 1:
-        size = 1 << max(18, int(n + 1).bit_length())
-        for name, base in (("up", _BASE), ("down", _UNBASE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+    if len(_POWERS.get("up", ())) > n:
+        return _POWERS["up"], _POWERS["down"]
+    made = []
+    for base in (_BASE, _UNBASE):
+        steps = np.full(max(KEPT_POWERS, n) + 1, base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if n <= KEPT_POWERS:
+        _POWERS["up"], _POWERS["down"] = made
+    return made[0], made[1]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -218,7 +241,7 @@ def reduce_arrays(parts: DataFrame, dtype: str, how: Callable[[np.ndarray, np.nd
     n = parts.rdd.getNumPartitions()
     while n > 1:
         n = max(1, n // fan_in)
-        parts = parts.repartition(n).mapInArrow(fold, "part binary")
+        parts = parts.repartition(n).mapInArrow(released(fold), "part binary")
     rows = parts.collect()
     total = None
     for row in rows:
