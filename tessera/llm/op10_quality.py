@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import byte_sums, chunks, mix64, released, settle, table, word_spans
+from tessera.llm.shared import byte_sums, chunks, mix64, reduce_arrays, released, settle, table, word_spans
 
 TRAIN_ROWS = 6_000
 ROUNDS = 4
@@ -69,18 +69,22 @@ def mean_odds(places: np.ndarray, tok: np.ndarray, odds: np.ndarray) -> np.ndarr
     return out
 
 
-def log_odds(places: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Tables of the log odds that a document with a word is good, from documents' places and labels."""
-    out = np.zeros((len(KINDS), 1 << ODDS_BITS), np.float32)
-    share = (y.mean() * len(y) + 1) / (len(y) + 2)
-    for j in range(len(KINDS)):
-        good, bad = np.zeros(1 << ODDS_BITS), np.zeros(1 << ODDS_BITS)
-        for own, label in zip(places, y, strict=True):
-            (good if label else bad)[np.unique(own[:, j])] += 1
-        out[j] = np.clip(np.log((good + 2 * share) / (bad + 2 * (1 - share)) * (1 - share) / share), -MOST_ODDS, MOST_ODDS)
+def count_places(places: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """(2, KINDS, places): in how many bad and in how many good documents each place of the tables stands."""
+    out = np.zeros((2, len(KINDS), 1 << ODDS_BITS), np.int32)
+    for own, label in zip(places, y, strict=True):
+        for j in range(len(KINDS)):
+            out[int(label), j][np.unique(own[:, j])] += 1
     return out
 
 
+def log_odds(counts: np.ndarray, share: float) -> np.ndarray:
+    """Tables of the log odds that a document with a word is good, from ``count_places`` and the share of good documents."""
+    bad, good = counts
+    odds = np.log((good + 2 * share) / (bad + 2 * (1 - share)) * (1 - share) / share)
+    return np.clip(odds, -MOST_ODDS, MOST_ODDS).astype(np.float32)
+
+
 def content_features(col: pa.Array, odds: np.ndarray | None = None) -> np.ndarray:
     """One row of CONTENT and mean log odds (0 without tables) per text; null and empty texts have zeros."""
     out = np.zeros((len(col), len(CONTENT) + len(KINDS)), np.float32)
@@ -272,22 +276,41 @@ def _arrays(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy().reshape(len(col), -1) if len(col) else np.zeros((0, 0), np.float32)
 
 
-def _labelled(docs: DataFrame, ids: DataFrame) -> pd.DataFrame:
-    """Features and word places of the documents in ``ids`` (doc_id, bounded), in the order of doc_id."""
+def _counts(chosen: DataFrame) -> np.ndarray:
+    """(2 halves, 2 classes, KINDS, places): ``count_places`` of the texts of ``chosen`` (text, half, good), summed by tasks."""
+    shape = (2, 2, len(KINDS), 1 << ODDS_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape, np.int32)
         for batch in batches:
-            content, meta = _views(batch.columns[1:], None)
-            places = []
-            for _, _, buf, offs in chunks(batch.column(1)):
+            half, good = (batch.column(i).to_numpy() for i in (1, 2))
+            for first, last, buf, offs in chunks(batch.column(0)):
                 starts, ends, tok = word_spans(buf, offs)
                 own = word_buckets(buf, starts, ends, tok)[1]
-                places += [own[a:b].tobytes() for a, b in zip(tok, tok[1:], strict=False)]
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), _lists(content), _lists(meta), pa.array(places, pa.binary())], ["doc_id", "content", "meta", "places"])
+                for h in (0, 1):
+                    rows = np.flatnonzero(half[first:last] == h)
+                    total[h] += count_places([own[tok[i] : tok[i + 1]] for i in rows], good[first + rows])
+        yield pa.record_batch({"part": pa.array([total.tobytes()], pa.binary())})
+
+    summed = reduce_arrays(chosen.select("text", "half", "good").mapInArrow(released(run), "part binary"), "int32", np.add)
+    return np.zeros(shape, np.int32) if summed is None else summed.reshape(shape)
+
+
+def _features(chosen: DataFrame, tables: tuple[np.ndarray, ...]) -> pd.DataFrame:
+    """(doc_id, content, meta) of ``chosen``, one row an id in their order; each row reads the tables that its half may see."""
+    shared = chosen.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            half = batch.column(5).to_numpy()
+            for h in np.unique(half):
+                own = batch.filter(pa.array(half == h))
+                content, meta = _views(own.columns[1:5], shared.value[h])
+                yield pa.record_batch([own.column(0).cast(pa.int64()), _lists(content), _lists(meta)], ["doc_id", "content", "meta"])
 
-    chosen = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = chosen.mapInArrow(released(run), "doc_id long, content array<float>, meta array<float>, places binary").toPandas()
-    return rows.assign(order=rows.places.map(zlib.crc32)).sort_values(["doc_id", "order"], ignore_index=True).drop_duplicates("doc_id", ignore_index=True)
+    rows = chosen.select("doc_id", "text", "source", "lang", "n_chars", "half").mapInArrow(released(run), "doc_id long, content array<float>, meta array<float>").toPandas()
+    rows = rows.assign(order=[zlib.crc32(np.concatenate(x).tobytes()) for x in zip(rows.content, rows.meta, strict=True)])
+    return rows.sort_values(["doc_id", "order"], ignore_index=True).drop_duplicates("doc_id", ignore_index=True)
 
 
 def corpus_pool(docs: DataFrame, labels: DataFrame, odds: np.ndarray, sure: float = SURE) -> Pool:
@@ -336,19 +359,18 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, **op
     """The model from a bounded sample of labelled ``docs`` and all others; None if the labels don't have both classes."""
     order = F.xxhash64(F.lit(11), "doc_id")
     marked = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order, "doc_id").limit(train_rows).toPandas()
+    known = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order, "doc_id").limit(train_rows).toPandas().sort_values("doc_id", ignore_index=True)
     if known.quality.nunique() < 2:
         return None
-    both = _labelled(docs, docs.sparkSession.createDataFrame(known[["doc_id"]], "doc_id long")).merge(known, on="doc_id")
-    content, meta, y = np.stack(both.content.to_numpy()), np.stack(both.meta.to_numpy()), (both.quality > 0).to_numpy(float)
-    places = [np.frombuffer(b, np.uint16).reshape(-1, len(KINDS)) for b in both.places]
+    y = (known.quality > 0).to_numpy(float)
     # A row's own label is never in the odds that it is fitted with: either half of the rows reads the other half's tables.
-    half = np.where(kept_aside(y), 2, np.arange(len(y)) // 4 % 2)
-    tables = [log_odds([places[i] for i in np.flatnonzero(half == h)], y[half == h]) for h in (0, 1)]
+    known["half"], known["good"] = np.where(kept_aside(y), 2, np.arange(len(y)) // 4 % 2), y.astype(int)
+    ids = docs.sparkSession.createDataFrame(known[["doc_id", "half", "good"]], "doc_id long, half int, good int")
+    chosen = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(ids), "doc_id")
+    tables = [log_odds(counts, (y.sum() + 1) / (len(y) + 2)) for counts in _counts(chosen)]
     odds = (tables[0] + tables[1]) / 2
-    for i, own in enumerate(places):
-        content[i, len(CONTENT) :] = mean_odds(own, np.array([0, len(own)]), (tables[1], tables[0], odds)[half[i]])[0]
-    return co_train(content, meta, y, corpus_pool(docs, labels, odds), odds, **options)
+    both = _features(chosen, (tables[1], tables[0], odds))
+    return co_train(np.stack(both.content.to_numpy()), np.stack(both.meta.to_numpy()), y, corpus_pool(docs, labels, odds), odds, **options)
 
 
 def score_quality(docs: DataFrame, model: CoTrained | None, accept: float = ACCEPT) -> DataFrame:

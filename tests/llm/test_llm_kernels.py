@@ -297,7 +297,7 @@ def test_words_tell_quality_where_the_surface_does_not():
         starts, ends, tok = shared.word_spans(buf, offs)
         own = op10.word_buckets(buf, starts, ends, tok)[1]
         places += [own[a:b] for a, b in zip(tok, tok[1:])]
-    odds = op10.log_odds(places[200:400], y[200:400])
+    odds = op10.log_odds(op10.count_places(places[200:400], y[200:400]), 0.5)
     content = op10.content_features(pa.array(texts), odds)
     meta = op10.meta_features([None] * 600, [None] * 600, np.zeros(600))
     model = op10.co_train(content[:200], meta[:200], y[:200], op10.array_pool(content[:0], meta[:0]), odds)
