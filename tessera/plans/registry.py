@@ -481,7 +481,7 @@ def null_model(spark, sf_dir):
     counts = overlap.overlap_rates(stages.starts(stages.region_profile(spark, sf_dir), 12), stages.starts(stages.indicator_profile(spark, sf_dir), 12).withColumnRenamed("series", "indicator"), 12)
     length = stages.monthly(spark, sf_dir).groupBy("series").agg(F.count(F.lit(1)).alias("length"))
     cases = counts.join(length, "series").select("series", "indicator", "length", F.lit(12).cast("long").alias("m"), F.lit(3).cast("long").alias("k"), F.lit(12).cast("long").alias("most"), F.col("n_matched").alias("observed"))
-    return stats.null_model(cases).drop("histogram")
+    return stats.null_model(cases).drop("chances")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

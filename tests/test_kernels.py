@@ -88,10 +88,20 @@ def test_student_and_normal_tails():
     assert mathx.pearson_p(1.0, 10) == 0.0 and math.isnan(mathx.pearson_p(0.5, 2))
 
 
-def test_overlap_null_distribution():
-    null = stats.overlap_null(312, 24, 3, 24)
-    assert np.bincount(null).tolist() == [2135, 4111, 2989, 765]
-    assert not stats.overlap_null(20, 24, 3, 24).any()
+@pytest.mark.parametrize(("n", "k", "most"), [(8, 2, 1), (7, 3, 0), (9, 3, 2), (6, 2, 9), (5, 1, 1), (10, 2, 2)])
+def test_overlap_chances_against_all_choices(n, k, most):
+    counts, total = [0] * (k + 1), 0
+    for a in itertools.combinations(range(n), k):
+        for b in itertools.combinations(range(n), k):
+            counts[sum(any(abs(x - y) <= most for y in b) for x in a)] += 1
+            total += 1
+    assert stats.overlap_chances(n + 4, 5, k, most) == pytest.approx([c / total for c in counts])
+
+
+def test_overlap_chances_of_long_and_short_series():
+    chances = stats.overlap_chances(312, 24, 3, 24)
+    assert chances.sum() == pytest.approx(1) and chances == pytest.approx([0.2135, 0.4111, 0.2989, 0.0765], abs=0.015)
+    assert stats.overlap_chances(20, 24, 3, 24).tolist() == [1, 0, 0, 0]
 
 
 def test_hamed_rao_and_bootstrap():
