@@ -30,7 +30,7 @@ BATCH = 4_096
 #: Clean windows drawn for an epoch, at least (where there are so many).
 EPOCH_WINDOWS = 12_000
 TOXIC_AT = 0.7
-#: Rows of the word table and of the character table; row 0 pads.
+#: Rows of the word table and of the character table (16 bits at most, so that windows stay small); row 0 pads.
 WORD_ROWS = 1 << 15
 CHAR_ROWS = 1 << 15
 STARTS = (4, 6, 7, 8, 9)
@@ -331,7 +331,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: i
             for first, _, buf, offs in chunks(batch.column(1)):
                 tokens, tok = token_ids(buf, offs)
                 at, size, row = windows(tok)
-                parts = [tokens[a : a + n].tobytes() for a, n in zip(at, size, strict=True)]
+                parts = [tokens[a : a + n].astype(np.uint16).tobytes() for a, n in zip(at, size, strict=True)]
                 rows = pa.array(row + first)
                 yield pa.record_batch([batch.column(0).take(rows).cast(pa.int64()), batch.column(2).take(rows), pa.array(at), pa.array(parts, pa.binary())], ["doc_id", "toxic", "at", "ids"])
 
@@ -340,10 +340,11 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: i
     names, row = np.unique(got.doc_id, return_inverse=True)
     y = np.zeros(len(names), bool)
     y[row] = got.toxic
-    size = np.array([len(b) for b in got.ids]) // (4 * FEATURES)
-    table_ids = np.zeros((len(got), WINDOW, FEATURES), np.int32)
+    size = np.array([len(b) for b in got.ids]) // (2 * FEATURES)
+    table_ids = np.zeros((len(got), WINDOW, FEATURES), np.uint16)
     for i, b in enumerate(got.ids):
-        table_ids[i, : size[i]] = np.frombuffer(b, np.int32).reshape(-1, FEATURES)
+        table_ids[i, : size[i]] = np.frombuffer(b, np.uint16).reshape(-1, FEATURES)
+    del got
     return fit_detector(table_ids, size, row, y)
 
 
