@@ -68,9 +68,14 @@ def agreement(a: Column, b: Column, within: int = 2) -> Column:
     return F.when(F.abs(a - b) <= within, "agree").otherwise("disagree")
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """Rounded with halves to the even neighbour."""
+    return F.bround(x, digits)
+
+
 @F.pandas_udf(DoubleType())
 def normal_sf(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: mathx.normal_sf(v) if math.isfinite(v) else float(v < 0))
+    return z.map(lambda v: v if math.isnan(v) else mathx.normal_sf(v) if math.isfinite(v) else float(v < 0))
 
 
 @F.pandas_udf(DoubleType())
@@ -80,9 +85,9 @@ def pearson_p(r: pd.Series, n: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def mwu_greater_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
-    return pd.Series([mathx.mwu_greater(a, int(b), int(c), d) for a, b, c, d in zip(u, n1, n2, ties, strict=True)])
+    return pd.Series([math.nan if math.isnan(a) else mathx.mwu_greater(a, int(b), int(c), d) for a, b, c, d in zip(u, n1, n2, ties, strict=True)])
 
 
 @F.pandas_udf(DoubleType())
 def mwu_exact_p(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
-    return pd.Series([mathx.mwu_exact(a, int(b), int(c)) for a, b, c in zip(u, n1, n2, strict=True)])
+    return pd.Series([math.nan if math.isnan(a) else mathx.mwu_exact(a, int(b), int(c)) for a, b, c in zip(u, n1, n2, strict=True)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera import adapters
 from tessera.functions import columns as fn
-from tessera.operators import changes, correlate, overlap, profile, rolling, series, spatial, stats
+from tessera.operators import bands, changes, correlate, overlap, profile, rolling, series, spatial, stats
 from tessera.plans import stages
 from tessera.streaming import monthly
 from tessera.tables import table
@@ -44,6 +45,41 @@ def query(sql: str | None = None, digits: int = DIGITS):
     return add
 
 
+# --- closed forms of p-values for the oracles ------------------------------------------------------
+
+
+def _sf(z: str) -> str:
+    """Upper tail of the standard normal by its series in odd double factorials."""
+    terms = f"list_sum(list_transform(range(0, 240), lambda k: exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) - {z} * {z} / 2 - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()))))"
+    half = f"(CASE WHEN abs({z}) > 8 THEN 0.0 ELSE 0.5 - {terms} / sqrt(2 * pi()) END)"
+    return f"(CASE WHEN {z} >= 0 THEN {half} ELSE 1 - {half} END)"
+
+
+def _t_even(r: str, n: int) -> str:
+    """Two-sided p of a correlation over an even number of pairs: Student's t with even freedom is a finite sum."""
+    return f"(1 - abs({r}) * list_sum(list_transform(range(0, {(n - 2) // 2}), lambda j: exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - 2 * j * ln(2)) * pow(1 - {r} * {r}, j))))"
+
+
+def _t_five(r: str) -> str:
+    """The same over seven pairs (five degrees of freedom)."""
+    return f"(1 - 2 / pi() * (asin(least(abs({r}), 1.0)) + abs({r}) * (sqrt(greatest(1 - {r} * {r}, 0.0)) + 2.0 / 3 * pow(greatest(1 - {r} * {r}, 0.0), 1.5))))"
+
+
+def _greater(u: str, n1: str, n2: str, ties: str) -> str:
+    """One-sided Mann-Whitney p by the normal law, with continuity and ties."""
+    var = f"({n1} * {n2} / 12.0 * (({n1} + {n2} + 1) - ({ties}) / (({n1} + {n2}) * ({n1} + {n2} - 1.0))))"
+    z = f"(({u} - {n1} * {n2} / 2.0 - 0.5) / sqrt(greatest({var}, 1e-12)))"
+    return f"(CASE WHEN {var} <= 0 THEN 1.0 ELSE {_sf(z)} END)"
+
+
+#: Student's 0.975 quantile by its expansion in 1 / freedom (for 30 and more good to nine digits).
+_Z = 1.959963984540054
+_T975 = " + ".join(
+    f"{g} / pow(n - 2, {i})"
+    for i, g in enumerate([_Z, (_Z**3 + _Z) / 4, (5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96, (3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384, (79 * _Z**9 + 776 * _Z**7 + 1482 * _Z**5 - 1920 * _Z**3 - 945 * _Z) / 92160])
+)
+
+
 # --- parts shared by the oracles: name -> (parts it needs, SQL) ---------------------------------
 
 def _window_join(source: str, m: int) -> str:
@@ -55,7 +91,7 @@ def _window_join(source: str, m: int) -> str:
 def _z(source: str, m: int) -> str:
     return f"""SELECT series, t, date, list_transform(w, lambda v: (v - mu) / sd) AS z FROM (
       SELECT series, t, date, list(x) OVER f AS w, avg(x) OVER f AS mu, stddev_pop(x) OVER f AS sd FROM {source}
-      WINDOW f AS (PARTITION BY series ORDER BY t ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING)) WHERE len(w) = {m}"""
+      WINDOW f AS (PARTITION BY series ORDER BY t ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING)) WHERE len(w) = {m} AND series IN (SELECT series FROM {source} GROUP BY series HAVING count(*) >= {2 * m})"""
 
 
 def _top(source: str, k: int, zone: int, order: str = "mp") -> str:
@@ -71,9 +107,10 @@ _FILL = """SELECT series, date, t, coalesce(x, pv + (nv - pv) * (t - pt) / (nt -
     first_value(x IGNORE NULLS) OVER f AS nv, first_value(CASE WHEN x IS NOT NULL THEN t END IGNORE NULLS) OVER f AS nt FROM {0}
   WINDOW b AS (PARTITION BY series ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY series ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 _ROLL = """SELECT *, x - CASE WHEN count(x) OVER w >= 6 THEN avg(x) OVER w END AS anomaly FROM {0} WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)"""
-_MK = """SELECT series, indicator, CAST(s AS BIGINT) AS s, slope, n, (n * (n - 1.0) * (2 * n + 5) - ties) / 18 AS var, CASE WHEN s = 0 THEN 0.0 ELSE (s - sign(s)) / sqrt((n * (n - 1.0) * (2 * n + 5) - ties) / 18) END AS z, s / (n * (n - 1.0) / 2) AS tau FROM (
+_MK = """SELECT series, indicator, CAST(s AS BIGINT) AS s, slope, n, (n * (n - 1.0) * (2 * n + 5) - ties) / 18 AS var, CASE WHEN s = 0 THEN 0.0 ELSE (s - sign(s)) / sqrt((n * (n - 1.0) * (2 * n + 5) - ties) / 18) END AS z, s / (n * (n - 1.0) / 2) AS tau, mid - slope * (n - 1) / 2 AS intercept FROM (
   SELECT a.series, a.indicator, sum(sign(b.v - a.v)) AS s, median((b.v - a.v) / (b.i - a.i)) AS slope FROM {0} a JOIN {0} b ON a.series = b.series AND a.indicator = b.indicator AND a.i < b.i GROUP BY ALL)
-  JOIN (SELECT series, indicator, CAST(sum(c) AS BIGINT) AS n, sum(c * (c - 1.0) * (2 * c + 5)) AS ties FROM (SELECT series, indicator, v, count(*) AS c FROM {0} GROUP BY ALL) GROUP BY ALL) USING (series, indicator) WHERE n >= 4"""
+  JOIN (SELECT series, indicator, CAST(sum(c) AS BIGINT) AS n, sum(c * (c - 1.0) * (2 * c + 5)) AS ties FROM (SELECT series, indicator, v, count(*) AS c FROM {0} GROUP BY ALL) GROUP BY ALL) USING (series, indicator)
+  JOIN (SELECT series, indicator, median(v) AS mid FROM {0} GROUP BY ALL) USING (series, indicator) WHERE n >= 4"""
 
 PARTS: dict[str, str] = {
     "obs": "SELECT r_name AS series, o_custkey AS pixel, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, o_totalprice AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
@@ -89,9 +126,9 @@ PARTS: dict[str, str] = {
     "roll": _ROLL.format("$monthly"),
     "iroll": _ROLL.format("$imonthly"),
     "aligned": "SELECT a.series, b.series AS indicator, a.date, a.anomaly AS x, b.anomaly AS y FROM $roll a JOIN $iroll b USING (date)",
-    "z12": _z("$clim", 12), "z24": _z("$clim", 24), "z36": _z("$clim", 36), "iz12": _z("$imonthly", 12), "iz24": _z("$imonthly", 24), "iz36": _z("$imonthly", 36),
-    **{f"{i}p{m}": _window_join(f"${i}z{m}", m) for i in ("", "i") for m in (12, 24, 36)},
-    **{f"{i}top{m}": _top(f"${i}p{m}", 3, m // 4) for i in ("", "i") for m in (12, 24, 36)},
+    "z12": _z("$clim", 12), "z24": _z("$clim", 24), "z36": _z("$clim", 36), "iz12": _z("$imonthly", 12), "iz24": _z("$imonthly", 24), "iz36": _z("$imonthly", 36), "z48": _z("$clim", 48), "iz48": _z("$imonthly", 48),
+    **{f"{i}p{m}": _window_join(f"${i}z{m}", m) for i in ("", "i") for m in (12, 24, 36, 48)},
+    **{f"{i}top{m}": _top(f"${i}p{m}", 3, m // 4) for i in ("", "i") for m in (12, 24, 36, 48)},
     "discords": _top("$p12", 3, 3, "-mp"),
     "pairs": "SELECT DISTINCT a.series, b.series AS indicator, a.t AS start, b.t AS other, b.t - a.t AS lag FROM $top12 a JOIN $itop12 b ON abs(b.t - a.t) <= 12",
     "pearson": """SELECT series, indicator, date, n_row, greatest(least(num / (sqrt(greatest(vx * vy, 0.0)) + 1e-14), 1.0), -1.0) AS r FROM (
@@ -104,12 +141,16 @@ PARTS: dict[str, str] = {
       LEFT JOIN (SELECT p.series, indicator, CAST(year(date) AS INTEGER) AS year, count(*) AS n FROM $pairs p JOIN $monthly m ON p.series = m.series AND p.start = m.t GROUP BY ALL) c ON g.series = c.series AND g.indicator = c.indicator AND g.year = c.year""",
     "lags": """SELECT x.series, x.indicator, CAST(k AS INTEGER) AS lag, x.n, sum(x.v * y.v) / x.n AS r FROM (SELECT series, indicator, i, n, (x - avg(x) OVER o) / (stddev_pop(x) OVER o + 1e-12) AS v FROM $numbered WINDOW o AS (PARTITION BY series, indicator)) x
       JOIN (SELECT series, indicator, i, (y - avg(y) OVER o) / (stddev_pop(y) OVER o + 1e-12) AS v FROM $numbered WINDOW o AS (PARTITION BY series, indicator)) y ON x.series = y.series AND x.indicator = y.indicator
-      JOIN (SELECT unnest(range(0, 13)) AS k) ks ON x.i = y.i + k GROUP BY x.series, x.indicator, k, x.n""",
+      JOIN (SELECT unnest(range(0, 25)) AS k) ks ON x.i = y.i + k GROUP BY x.series, x.indicator, k, x.n""",
     "numbered": "SELECT *, row_number() OVER (PARTITION BY series, indicator ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY series, indicator) AS n FROM $aligned WHERE x IS NOT NULL AND y IS NOT NULL",
     "indices": """SELECT *, CASE WHEN count(mp) OVER w >= 12 THEN min(mp) OVER w END AS mpi_min, CASE WHEN count(mp) OVER w >= 12 THEN avg(mp) OVER w END AS mpi_mean,
       mp > avg(mp) OVER s + 1.5 * stddev_pop(mp) OVER s AS anomalous FROM $p12 WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), s AS (PARTITION BY series)""",
     "points": "SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) * 400 AS lon, CAST(embedding[2] AS DOUBLE) * 200 AS lat FROM embeddings",
     "boxes": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}, {b}, {c}, {d})" for n, a, b, c, d in spatial.BOXES) + ") v(region, lon_min, lat_min, lon_max, lat_max)",
+    "yearly": "SELECT series, CAST(year(date) AS INTEGER) AS year, avg(mpi_min) AS mpi_min, avg(mpi_mean) AS mpi_mean, CAST(count(*) FILTER (anomalous) AS DOUBLE) AS n_anomalous FROM $indices GROUP BY ALL",
+    "recent": "SELECT series, indicator, year < 1998 AS early, value FROM $yearly UNPIVOT (value FOR indicator IN (mpi_min, mpi_mean, n_anomalous))",
+    "orders_of_ranks": """SELECT n, n1, u, count(*) AS c FROM (SELECT n, bit_count(mask) AS n1, list_sum(list_transform(range(0, n), lambda i: CASE WHEN (mask >> i) & 1 = 1 THEN i - bit_count(mask & ((1 << i) - 1)) ELSE 0 END)) AS u
+      FROM (SELECT n, unnest(range(0, 1 << n)) AS mask FROM (SELECT CAST(unnest(range(2, 11)) AS BIGINT) AS n))) GROUP BY ALL""",
     "mwu": """SELECT series, indicator, n1, n2, CASE WHEN n1 > 0 AND n2 > 0 THEN u END AS u, ties, mean1, mean2, CASE WHEN n1 > 0 AND n2 > 0 THEN 1 - 2 * u / (n1 * n2) END AS effect FROM (
       SELECT series, indicator, CAST(sum(a) AS BIGINT) AS n1, CAST(sum(b) AS BIGINT) AS n2, sum(a * (below + b / 2.0)) AS u, sum(pow(a + b, 3) - (a + b)) AS ties, sum(a * n) * 1.0 / sum(a) AS mean1, sum(b * n) * 1.0 / sum(b) AS mean2 FROM (
         SELECT *, coalesce(sum(b) OVER (PARTITION BY series, indicator ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (
@@ -255,6 +296,30 @@ def file_name_parts(spark, sf_dir):
     return named.select("o_orderkey", fn.date_from_name(F.col("name")).alias("month"), tile["h"].alias("h"), tile["v"].alias("v"))
 
 
+@query("""SELECT p_partkey, round(tanh(pow((CASE WHEN max(p_retailprice) OVER f > 2 THEN p_retailprice / 10000.0 ELSE p_retailprice END - CASE WHEN max(p_size) OVER f > 2 THEN p_size / 10000.0 ELSE p_size END) / 1.0, 2)) + 2e-9, 6) + 0.0 AS kndvi
+  FROM part WINDOW f AS (PARTITION BY p_brand)""")
+def index_by_precedence(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("file"), F.col("p_retailprice").alias("nir"), F.col("p_size").cast("double").alias("red"), F.lit(0.5).alias("ndvi"))
+    return bands.vegetation_index(p, "file").select("p_partkey", "kndvi")
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY ALL")
+def half_open_dates(spark, sf_dir):
+    inside = bands.from_until(table(spark, sf_dir, "orders"), "o_orderdate", dt.date(1996, 1, 1), dt.date(1997, 1, 1))
+    return inside.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT s_suppkey, s_nationkey % 3 = 1 OR s_nationkey % 5 = 4 AS in_2020, s_nationkey % 3 = 1 AS in_2025 FROM supplier")
+def raster_mask(spark, sf_dir):
+    extent, loss = F.col("s_nationkey") % 3, F.col("s_nationkey") % 5
+    return table(spark, sf_dir, "supplier").select("s_suppkey", bands.intact(extent, loss, 2020).alias("in_2020"), bands.intact(extent, loss, 2025).alias("in_2025"))
+
+
+@query("SELECT p_partkey, round_even(p_size / 8.0, 2) AS two, round_even(p_size / 2.0, 0) AS none FROM part")
+def half_even_rounding(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", fn.half_even(F.col("p_size") / 8.0, 2).alias("two"), fn.half_even(F.col("p_size") / 2.0, 0).alias("none"))
+
+
 # --- spatial and interval joins ---------------------------------------------------------------------
 
 
@@ -287,7 +352,7 @@ def period_slices(spark, sf_dir):
 
 @query(f"SELECT series, t, date, {_r('mp', digits=5)}, nn FROM $p12", digits=5)
 def matrix_profile_m12(spark, sf_dir):
-    return profile.self_join(stages.region_anomalies(spark, sf_dir), 12)
+    return stages.region_profile(spark, sf_dir, 12)
 
 
 @query(f"SELECT series, t, date, {_r('mp', digits=5)}, nn FROM $p24", digits=5)
@@ -302,7 +367,7 @@ def indicator_matrix_profile(spark, sf_dir):
 
 @query(f"SELECT series, rank, t, date, {_r('mp', digits=5)}, nn FROM $top12", digits=5)
 def top_motifs(spark, sf_dir):
-    return profile.top_windows(stages.region_profile(spark, sf_dir), 3, 3)
+    return profile.best_windows(stages.region_profile(spark, sf_dir), 3, 3)
 
 
 @query(f"SELECT series, rank, t, date, {_r('mp', digits=5)}, nn FROM $discords", digits=5)
@@ -350,7 +415,7 @@ def overlap_exists(spark, sf_dir):
     return overlap.overlap_rates(mine, others, 12)
 
 
-@query(" UNION ALL ".join(_RATES.format(m, f", {m} AS m") for m in (12, 24, 36)))
+@query(" UNION ALL ".join(_RATES.format(m, f", {m} AS m") for m in (12, 24, 36, 48)))
 def window_sweep(spark, sf_dir):
     return stages.sweep(spark, sf_dir)
 
@@ -383,18 +448,27 @@ def _annual_split(spark, sf_dir):
     return annual_overlap_counts(spark, sf_dir).select("series", "indicator", (F.col("year") < 1998).alias("early"), F.col("n").cast("double").alias("value"))
 
 
-@query(f"SELECT series, indicator, n1, n2, {_r('u', 'ties', 'mean1', 'mean2', 'effect')}, CASE WHEN mean1 > mean2 THEN 'early>late' ELSE 'early<=late' END AS direction FROM $mwu")
+_MWU = f"SELECT *, CASE WHEN n1 > 0 AND n2 > 0 THEN {_greater('u', 'n1', 'n2', 'ties')} END AS p FROM $mwu"
+
+
+@query(f"SELECT series, indicator, n1, n2, {_r('u', 'ties', 'mean1', 'mean2', 'effect', 'p')}, CASE WHEN mean1 > mean2 THEN 'early>late' ELSE 'early<=late' END AS direction FROM ({_MWU})")
 def mwu_shift(spark, sf_dir):
-    return stats.mann_whitney(_annual_split(spark, sf_dir)).drop("p")
+    return stats.mann_whitney(_annual_split(spark, sf_dir))
 
 
-@query(f"""SELECT series, indicator, {_r('r', 'slope')}, CASE WHEN round(r, 9) < 0 THEN 'decreasing' ELSE 'increasing' END AS direction FROM (
-  SELECT series, indicator, CASE WHEN stddev_pop(n) > 0 THEN corr(n, year) END AS r, regr_slope(n, year) AS slope FROM $annual GROUP BY ALL)""")
+@query(f"""SELECT series, indicator, {_r('r', 'slope', 'p')}, CASE WHEN round(r, 9) < 0 THEN 'decreasing' ELSE 'increasing' END AS direction FROM (SELECT *, {_t_five('r')} AS p FROM (
+  SELECT series, indicator, CASE WHEN stddev_pop(n) > 0 THEN corr(n, year) END AS r, regr_slope(n, year) AS slope FROM $annual GROUP BY ALL))""")
 def annual_trend(spark, sf_dir):
     return stats.annual_trend(annual_overlap_counts(spark, sf_dir))
 
 
-@query()
+_K = "least(round(mean1 * n1), n1)"
+_ZEROS = f"(n1 + n2 - {_K})"
+_FLOOR = _greater(f"({_K} * n2 + (n1 - {_K}) * n2 / 2.0)", "n1", "n2", f"pow({_ZEROS}, 3) - {_ZEROS} + pow({_K}, 3) - {_K}")
+
+
+@query(f"""SELECT series, indicator, n1, n2, {_r('u', 'ties', 'mean1', 'mean2', 'effect', 'p', 'floor_p')}, CASE WHEN mean1 > mean2 THEN 'early>late' ELSE 'early<=late' END AS direction, coalesce(abs(p - floor_p) < 1e-6, false) AS at_floor, coalesce(p < 0.05, false) AS significant
+  FROM (SELECT *, CASE WHEN n1 > 0 AND n2 > 0 THEN {_FLOOR} END AS floor_p FROM ({_MWU}))""")
 def floor_flags(spark, sf_dir):
     return stats.conditional_floor(stats.mann_whitney(_annual_split(spark, sf_dir)))
 
@@ -404,33 +478,47 @@ def significance_changes(spark, sf_dir):
     return stats.significance_changes(corrected_trends(spark, sf_dir))
 
 
-@query()
+_EXACT = """SELECT m.series, m.indicator, least(1.0, 2.0 * sum(c) FILTER (o.u >= greatest(floor(m.u), m.n1 * m.n2 - floor(m.u))) / sum(c)) AS p_exact FROM {0} m JOIN $orders_of_ranks o ON o.n = m.n1 + m.n2 AND o.n1 = m.n1 GROUP BY ALL"""
+
+
+@query(f"SELECT m.series, m.indicator, {_r('u', 'p', 'p_exact')} FROM ({_MWU}) m LEFT JOIN ({_EXACT.format('$mwu')}) e ON m.series = e.series AND m.indicator = e.indicator")
 def mwu_p_values(spark, sf_dir):
     plain = stats.mann_whitney(_annual_split(spark, sf_dir)).select("series", "indicator", "u", "p")
     return plain.join(stats.mann_whitney(_annual_split(spark, sf_dir), exact=True).select("series", "indicator", F.col("p").alias("p_exact")), ["series", "indicator"])
 
 
-@query("SELECT CAST(k AS BIGINT) AS k, 10 AS n1, 16 AS n2, CAST(k * 16 + (10 - k) * 8 AS DOUBLE) AS u, CAST(pow(26 - k, 3) - (26 - k) + pow(k, 3) - k AS DOUBLE) AS ties FROM (SELECT unnest(range(0, 11)) AS k)")
+@query(f"""SELECT k, n1, n2, u, ties, {_r('p')} FROM (SELECT *, {_greater('u', 'n1', 'n2', 'ties')} AS p FROM (
+  SELECT CAST(k AS BIGINT) AS k, 10 AS n1, 16 AS n2, CAST(k * 16 + (10 - k) * 8 AS DOUBLE) AS u, CAST(pow(26 - k, 3) - (26 - k) + pow(k, 3) - k AS DOUBLE) AS ties FROM (SELECT unnest(range(0, 11)) AS k)))""")
 def mwu_floor_grid(spark, sf_dir):
-    return stats.floor_grid(spark, 10, 16).drop("p")
+    return stats.floor_grid(spark, 10, 16)
 
 
-@query(f"SELECT series, indicator, date, n_row, {_r('r')} FROM $pearson")
+@query(f"SELECT series, indicator, date, n_row, {_r('r', 'p')} FROM (SELECT *, {_t_even('r', 36)} AS p FROM $pearson)")
 def rolling_pearson(spark, sf_dir):
     return rolling.rolling_pearson(stages.aligned(spark, sf_dir)).withColumn("n_row", F.col("n_row").cast("long"))
 
 
-@query(f"SELECT series, indicator, s, n, {_r('slope', 'var', 'z', 'tau')}, CASE WHEN abs(z) <= 1.959964 THEN 'no trend' WHEN z > 0 THEN 'increasing' ELSE 'decreasing' END AS trend FROM $mk")
+_MKP = f"SELECT *, 2 * {_sf('abs(z)')} AS p FROM $mk"
+
+
+@query(f"SELECT series, indicator, s, n, {_r('slope', 'intercept', 'var', 'z', 'tau', 'p')}, CASE WHEN abs(z) <= 1.959964 THEN 'no trend' WHEN z > 0 THEN 'increasing' ELSE 'decreasing' END AS trend FROM ({_MKP})")
 def mann_kendall(spark, sf_dir):
-    return stats.mann_kendall(rolling_pearson(spark, sf_dir), x="r").drop("p")
+    return stats.mann_kendall(rolling_pearson(spark, sf_dir), x="r")
 
 
-@query(f"""SELECT series, indicator, n, {_r('p', 'p_bh')}, p <= threshold AS rejected FROM (
+_FDR = f"""SELECT series, indicator, n, p, p_bh, p <= threshold AS rejected FROM (
   SELECT *, least(1.0, min(p * f / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_bh, coalesce(max(CASE WHEN p <= k * 0.05 / f THEN p END) OVER (), -1) AS threshold FROM (
-    SELECT series, indicator, n, p, count(*) OVER () AS f, row_number() OVER (ORDER BY p) AS k FROM (SELECT series, indicator, n, exp(-abs(z)) AS p FROM $mk)))""")
+    SELECT series, indicator, n, p, count(*) OVER () AS f, row_number() OVER (ORDER BY p) AS k FROM ({_MKP})))"""
+
+
+@query(f"SELECT series, indicator, n, {_r('p', 'p_bh')}, rejected FROM ({_FDR})")
 def bh_fdr(spark, sf_dir):
-    tests = mann_kendall(spark, sf_dir).select("series", "indicator", "n", F.exp(-F.abs("z")).alias("p"))
-    return stats.fdr(tests)
+    return stats.fdr(mann_kendall(spark, sf_dir).select("series", "indicator", "n", "p"))
+
+
+@query(f"SELECT count(*) AS n_tests, count(*) FILTER (p < 0.05) AS n_uncorrected_sig, count(*) FILTER (rejected) AS n_fdr_sig, CAST(0.05 AS DOUBLE) AS fdr_level_q, 'Benjamini-Hochberg' AS correction FROM ({_FDR})")
+def fdr_summary(spark, sf_dir):
+    return stats.fdr_summary(bh_fdr(spark, sf_dir))
 
 
 @query()
@@ -440,22 +528,60 @@ def corrected_trends(spark, sf_dir):
 
 @query(f"SELECT series, indicator, lag, n, {_r('r')} FROM $lags")
 def xcorr_lags(spark, sf_dir):
-    return correlate.cross_correlation(stages.aligned(spark, sf_dir), 12)
+    return correlate.cross_correlation(stages.aligned(spark, sf_dir))
+
 
+_PEAK = "SELECT series, indicator, n, arg_max(lag, (round(abs(r), 12), -lag)) AS peak_lag, arg_max(r, (round(abs(r), 12), -lag)) AS peak_r FROM $lags GROUP BY ALL"
 
-@query(f"SELECT series, indicator, n, peak_lag, {_r('peak_r')} FROM (SELECT series, indicator, n, arg_max(lag, (round(abs(r), 12), -lag)) AS peak_lag, arg_max(r, (round(abs(r), 12), -lag)) AS peak_r FROM $lags GROUP BY ALL)")
+
+@query(f"""SELECT series, indicator, n, peak_lag, {_r('peak_r', 'ci_lower', 'ci_upper')} FROM (
+  SELECT *, tanh(z - c) AS ci_lower, tanh(z + c) AS ci_upper FROM (SELECT *, atanh(greatest(least(peak_r, 0.9999), -0.9999)) AS z, ({_T975}) / sqrt(n - 3) AS c FROM ({_PEAK})))""")
 def xcorr_peak(spark, sf_dir):
-    return correlate.correlation_peak(xcorr_lags(spark, sf_dir)).drop("ci_lower", "ci_upper")
+    return correlate.correlation_peak(xcorr_lags(spark, sf_dir))
+
+
+_COMPARED = f"""SELECT series, indicator, mp_lag, peak_lag, CASE WHEN abs(mp_lag - peak_lag) <= 2 THEN 'agree' ELSE 'disagree' END AS lag_agreement FROM
+  ({_PEAK}) LEFT JOIN (SELECT series, indicator, CAST(median(lag) AS DOUBLE) AS mp_lag FROM $pairs GROUP BY ALL) USING (series, indicator)"""
 
 
-@query(f"""SELECT series, indicator, {_r('mp_lag')}, peak_lag, CASE WHEN abs(mp_lag - peak_lag) <= 2 THEN 'agree' ELSE 'disagree' END AS lag_agreement FROM
-  (SELECT series, indicator, arg_max(lag, (round(abs(r), 12), -lag)) AS peak_lag FROM $lags GROUP BY ALL) LEFT JOIN (SELECT series, indicator, CAST(median(lag) AS DOUBLE) AS mp_lag FROM $pairs GROUP BY ALL) USING (series, indicator)""")
+@query(f"SELECT series, indicator, {_r('mp_lag')}, peak_lag, lag_agreement FROM ({_COMPARED})")
 def method_comparison(spark, sf_dir):
     peak = xcorr_peak(spark, sf_dir).select("series", "indicator", "peak_lag")
     motif = overlap.lag_summary(stages.pairs(spark, sf_dir)).select("series", "indicator", F.col("median_lag").alias("mp_lag"))
     return peak.join(motif, ["series", "indicator"], "left").withColumn("lag_agreement", fn.agreement(F.col("mp_lag"), F.col("peak_lag")))
 
 
+@query(f"SELECT {_r('share')}, n FROM (SELECT avg(CASE WHEN lag_agreement = 'agree' THEN 1.0 ELSE 0.0 END) AS share, count(*) AS n FROM ({_COMPARED}))")
+def agreement_share(spark, sf_dir):
+    agree = F.when(F.col("lag_agreement") == "agree", 1.0).otherwise(0.0)
+    return method_comparison(spark, sf_dir).agg(F.avg(agree).alias("share"), F.count(F.lit(1)).alias("n"))
+
+
+# --- recent trend of the profiles -----------------------------------------------------------------------
+
+
+@query(f"SELECT series, year, {_r('mpi_min', 'mpi_mean', 'n_anomalous', digits=5)} FROM $yearly", digits=5)
+def annual_indices(spark, sf_dir):
+    return rolling.annual_indices(rolling.profile_indices(stages.region_profile(spark, sf_dir)))
+
+
+@query(f"SELECT series, date, {_r('mpi_min', 'mpi_mean', digits=5)}, count(*) FILTER (anomalous) OVER (PARTITION BY series, year(date)) AS n_anomalous FROM $indices", digits=5)
+def annual_count_by_month(spark, sf_dir):
+    return rolling.with_annual_count(rolling.profile_indices(stages.region_profile(spark, sf_dir)))
+
+
+_RECENT = """SELECT series, indicator, count(*) FILTER (early) AS n1, count(*) FILTER (NOT early) AS n2, avg(value) FILTER (early) AS mean1, avg(value) FILTER (NOT early) AS mean2,
+  (SELECT sum(CASE WHEN round(a.value, 9) > round(b.value, 9) THEN 1.0 WHEN round(a.value, 9) = round(b.value, 9) THEN 0.5 ELSE 0 END) FROM $recent a JOIN $recent b ON a.series = b.series AND a.indicator = b.indicator AND a.early AND NOT b.early WHERE a.series = r.series AND a.indicator = r.indicator) AS u
+  FROM $recent r GROUP BY ALL"""
+
+
+@query(f"SELECT series, indicator, n1, n2, {_r('u', 'effect', 'mean1', 'mean2', 'p', digits=5)}, CASE WHEN mean2 > mean1 THEN 'increasing' ELSE 'decreasing' END AS direction, coalesce(p < 0.05, false) AS significant FROM (SELECT m.*, p_exact AS p, 1 - 2 * u / (n1 * n2) AS effect FROM ({_RECENT}) m LEFT JOIN ({_EXACT.format('(' + _RECENT + ')')}) e ON m.series = e.series AND m.indicator = e.indicator)", digits=5)
+def recent_trend(spark, sf_dir):
+    got = rolling.recent_rows(rolling.annual_indices(rolling.profile_indices(stages.region_profile(spark, sf_dir))), 1998)
+    tests = stats.mann_whitney(got.withColumn("value", F.round("value", 9)), exact=True)
+    return tests.drop("ties", "direction").withColumns({"direction": F.when(F.col("mean2") > F.col("mean1"), "increasing").otherwise("decreasing"), "significant": F.coalesce(F.col("p") < 0.05, F.lit(False))})
+
+
 @query()
 def wavelet_bands(spark, sf_dir):
     return correlate.coherence_bands(stages.aligned(spark, sf_dir))

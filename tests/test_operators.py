@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import EngineConfig
 from tessera.functions import columns as fn
-from tessera.operators import overlap, profile, rolling, series, spatial, stats
+from tessera.operators import bands, overlap, profile, rolling, series, spatial, stats
 from tessera.sources import readers, writers
 from tessera.streaming import monthly
 
@@ -187,3 +187,27 @@ def test_polygons_survive_binary_and_geopackage(spark, tmp_path):
     assert [(r.layer, bytes(r.geometry)) for r in got] == [("cover", wkb)] * 2
     with pytest.raises(ValueError, match="neither"):
         geometry.rings_of(b"\x01\x01\0\0\0" + bytes(16))
+
+
+def test_vegetation_index_takes_the_best_bands_a_table_has(spark):
+    rows = spark.createDataFrame([("a", 6000.0, 2000.0, 0.9), ("a", 5000.0, None, 0.9), ("b", 0.6, 0.2, 0.9)], "file string, nir double, red double, ndvi double")
+    got = sorted(((r.file, r.kndvi) for r in bands.vegetation_index(rows, "file").collect()), key=str)
+    assert got[0][1] == pytest.approx(np.tanh(0.16)) and got[1][1] is None and got[2][1] == pytest.approx(np.tanh(0.16))
+    assert [r.kndvi for r in bands.vegetation_index(rows.select("file", "ndvi"), "file").collect()] == pytest.approx([np.tanh(0.81)] * 3)
+    with pytest.raises(ValueError, match="no columns"):
+        bands.vegetation_index(rows.select("file", "nir"), "file")
+
+
+def test_dates_end_before_the_last_and_masks_take_nulls_as_outside(spark):
+    rows = spark.createDataFrame([(dt.date(2000, 1, 1),), (dt.date(2000, 2, 1),), (None,)], "date date")
+    assert [r.date for r in bands.from_until(rows, "date", dt.date(2000, 1, 1), dt.date(2000, 2, 1)).collect()] == [dt.date(2000, 1, 1)]
+    pixels = spark.createDataFrame([(1, 0), (0, 4), (0, None), (None, 4)], "e int, l int")
+    got = pixels.select(bands.intact(F.col("e"), F.col("l"), 2020).alias("a"), bands.intact(F.col("e"), F.col("l"), 2025).alias("b")).collect()
+    assert [(r.a, r.b) for r in got] == [(True, True), (True, False), (False, False), (True, False)]
+
+
+def test_p_values_of_the_published_case_and_of_series_without_values(spark):
+    values = [(True, 1.0)] * 2 + [(True, 0.0)] * 8 + [(False, 0.0)] * 16
+    rows = spark.createDataFrame([("s", "i", e, v) for e, v in values] + [("t", "i", True, 1.0)], "series string, indicator string, early boolean, value double")
+    got = {r.series: r for r in stats.mann_whitney(rows).collect()}
+    assert got["s"].u == 96 and got["s"].p == pytest.approx(0.038473, abs=1e-6) and got["t"].p is None and got["t"].u is None
