@@ -2,12 +2,13 @@
 
 A page becomes blocks of text in page order. A logistic classifier over a block's text and place, plus the marks its
 containers carry (tags, class and id words), gives each block a cost of being content or boilerplate; these are its
-capacities to the two terminals. Blocks that follow each other or share a container are tied by smoothness edges. The
-minimum cut, found by maximum flow, parts content from boilerplate.
+capacities to the two terminals. Marks and classifier are of one scale, so neither decides alone. Blocks that follow each
+other or share a container are tied by smoothness edges, weaker where their marks differ. The minimum cut, found by
+maximum flow, parts content from boilerplate.
 
 The classifier is trained on at most TRAIN_PAGES pages, drawn by a hash of page_id: blocks inside semantic containers
 (article, main; nav, footer, aside and the like) are its examples, and it sees only text and place, not containers, so
-that it can judge pages without such marks.
+that it can judge pages without such marks. Each example is also given without its own tag, for pages built of div alone.
 """
 
 from __future__ import annotations
@@ -26,16 +27,23 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import released, table
 
 TRAIN_PAGES = 500
-#: Smoothness: of neighbours in page order, of blocks that follow each other in one container, and its decay by DOM distance.
+#: Smoothness: of neighbours in page order, of blocks that follow each other in one container, and the decay of both, by
+#: distance in the DOM and by the blocks between.
 NEAR, KIN, DECAY = 0.6, 1.0, 0.35
 HARD = 50.0
 
 BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|math|textarea|iframe|object|title|select|canvas|audio|video"
+#: Elements whose content is not markup, or no text of a page. Without an end tag the first take the rest of the page, as in
+#: browsers; the others are then read as ordinary elements.
+TO_THE_END = set("script style textarea title template".split())
+RAW = TO_THE_END | set("svg iframe select canvas audio video".split())
 SKIPPED = {"head"}
-#: Containers that are never content, and ones that speak for it.
-NEVER = set("nav footer aside form button dialog menu".split())
+#: Containers that are never content, ones that speak against it (with what weight), and ones that speak for it.
+NEVER = set("form button dialog".split())
+AGAINST_TAGS = set("nav footer aside menu noscript".split())
+AGAINST_ROLES = set("navigation banner contentinfo complementary search".split())
+AGAINST, AGAINST_TAG = 4.0, 5.0
 FOR = {"article": 3.0, "main": 2.0}
 AGAINST_WORDS = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus feedback footer gdpr header login masthead menu modal nav navbar navigation newsletter notice "
@@ -45,30 +53,58 @@ FOR_WORDS = set("article articlebody body content entry main post story text".sp
 #: An element that one of the second closes when it opens.
 CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 
+#: What a container may close: open elements that one of these keeps are left.
+KEEPS = "ul ol dl table tbody thead div section article main nav aside".split()
+
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?>[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z][^<>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z][^<>]*(?:>|\Z)",
     re.S | re.I,
 )
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 _PART = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|\d+")
 
 
 @dataclass
 class Block:
-    """A run of text between block-level tags: text, share of it in links, DOM path, and the marks of its containers."""
+    """A run of text between block-level tags.
+
+    ``depth`` counts its open block elements, ``common`` those it shares with the block before, ``holder`` is the number
+    of the one around its own. ``prior`` is what its containers' marks say for it, ``semantic`` the nearest container's
+    kind (1 content, -1 boilerplate, 0 neither).
+    """
 
     text: str
     linked: float
-    path: tuple[int, ...]
+    depth: int
+    common: int
+    holder: int
     tag: str
     prior: float
     never: bool
     semantic: int
 
 
-def _marks(tag: str, attrs: str, inside_article: bool) -> tuple[float, bool]:
-    """What an element says for its text being content, and whether it rules that out."""
-    prior, never = FOR.get(tag, 0.0), tag in NEVER or tag == "header" and not inside_article
+@dataclass
+class Open:
+    """An open element with what holds for all that it contains."""
+
+    tag: str
+    number: int
+    block: int  # its number or that of the nearest block element around it
+    holder: int
+    depth: int
+    kind: str
+    speaks_for: float
+    speaks_against: float
+    never: bool
+    semantic: int
+
+
+def _marks(tag: str, attrs: str, inside_article: bool) -> tuple[float, float, bool]:
+    """What an element says for and against its text being content, and whether it rules that out."""
+    good, never = FOR.get(tag, 0.0), tag in NEVER
+    bad = AGAINST_TAG if tag in AGAINST_TAGS or tag == "header" and not inside_article else 0.0
     if attrs:
         for name, a, b, c, hidden in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
@@ -76,49 +112,59 @@ def _marks(tag: str, attrs: str, inside_article: bool) -> tuple[float, bool]:
                 never = True
             elif name in ("class", "id", "role"):
                 words = {w.lower() for w in _PART.findall(value)}
-                if words & AGAINST_WORDS:
-                    prior -= 6.0
+                if words & AGAINST_WORDS or name == "role" and value in AGAINST_ROLES:
+                    bad = max(bad, AGAINST)
                 elif words & FOR_WORDS:
-                    prior += 1.0
-                never |= value in ("navigation", "banner", "contentinfo", "complementary", "search") and name == "role"
-    return prior, never
+                    good += 1.0
+    return good, bad, never
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page; broken markup is read as browsers do, by closing what must be closed."""
+    """The text blocks of a page; broken markup is read as browsers do, by closing what must be closed.
+
+    Every open element carries what its ancestors say, and open elements are found by tag, so that time doesn't grow
+    with depth.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, int, float, bool, int]] = []  # tag, number, prior, never, semantic
+    root = Open("", 0, 0, 0, 0, "", 0.0, 0.0, False, 0)
+    stack = [root]
+    places: dict[str, list[int]] = {}
     parts: list[str] = []
-    linked, in_link, number, at = 0, 0, 0, 0
+    hopeless: set[str] = set()
+    linked, number, at, shared = 0, 0, 0, 0
+
+    def last(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, shared
         if parts:
             raw = "".join(parts)
             text = " ".join(htmllib.unescape(raw).split())
             if text:
-                kinds = [s for s in stack if s[0] in BLOCK]
-                tag = kinds[-1][0] if kinds else ""
-                out.append(Block(text, min(1.0, linked / max(1, len(raw))), tuple(s[1] for s in kinds), tag, sum(s[2] for s in stack), any(s[3] for s in stack), next((s[4] for s in reversed(stack) if s[4]), 0)))
+                top = stack[-1]
+                prior = -top.speaks_against if top.speaks_against else top.speaks_for
+                out.append(Block(text, min(1.0, linked / max(1, len(raw))), top.depth, min(shared, top.depth), top.holder, top.kind, prior, top.never, top.semantic))
+                shared = top.depth
             parts.clear()
             linked = 0
 
     def close(to: int) -> None:
-        nonlocal in_link
-        flush_needed = any(s[0] in BLOCK for s in stack[to:])
-        if flush_needed:
+        nonlocal shared
+        if stack[-1].depth > stack[to - 1].depth:
             flush()
-        in_link -= sum(s[0] == "a" for s in stack[to:])
-        del stack[to:]
+        while len(stack) > to:
+            places[stack.pop().tag].pop()
+        shared = min(shared, stack[-1].depth)
 
     def add(text: str) -> None:
         nonlocal linked
-        if text and not any(s[0] in SKIPPED for s in stack):
+        if text and not any(places.get(tag) for tag in SKIPPED):
             parts.append(text)
-            if in_link:
+            if places.get("a"):
                 linked += len(text)
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at) if page.find(">", at) >= 0 else None:
         add(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
@@ -126,38 +172,46 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m["end"]:
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if where is not None:
-                close(where)
+            if last(tag):
+                close(last(tag))
             elif tag in BLOCK:
                 flush()
             continue
+        if tag in RAW and tag not in hopeless:
+            end = _ENDS[tag].search(page, at)
+            if end or tag in TO_THE_END:
+                at = end.end() if end else len(page)
+                continue
+            hopeless.add(tag)
         if tag == "br":
             add(" ")
             continue
         if tag in BLOCK:
-            for i in range(len(stack) - 1, -1, -1):
-                if tag in CLOSES.get(stack[i][0], ()):
-                    close(i)
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "tbody", "thead", "div", "section", "article", "main", "nav", "aside"):
-                    break
-            if tag == "body" and stack and any(s[0] == "head" for s in stack):
-                close(next(i for i, s in enumerate(stack) if s[0] == "head"))
+            closed = max((last(t) for t, by in CLOSES.items() if tag in by), default=0)
+            if closed > max(map(last, KEEPS)):
+                close(closed)
+            if tag == "body" and last("head"):
+                close(places["head"][0])
             flush()
         if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCK:
             continue
         number += 1
-        in_article = any(s[0] in ("article", "main") for s in stack)
-        prior, never = _marks(tag, m["attrs"], in_article)
-        semantic = -1 if never or prior <= -5 else 1 if tag in FOR else 0
-        stack.append((tag, number, prior, never, semantic))
-        in_link += tag == "a"
-    add(page[at:])
+        up = stack[-1]
+        good, bad, never = _marks(tag, m["attrs"], bool(last("article") or last("main")))
+        kind = -1 if never or bad else 1 if tag in FOR else up.semantic
+        inner = (number, up.block, up.depth + 1, tag) if tag in BLOCK else (up.block, up.holder, up.depth, up.kind)
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(Open(tag, number, *inner, up.speaks_for + good, max(up.speaks_against, bad), up.never or never, kind))
+    rest = re.search(r"<[a-zA-Z][^<>]*\Z", page[at:]) if "<" in page[at:] else None
+    add(page[at : at + rest.start()] if rest else page[at:])
     flush()
     return out
 
 
+#: The features that tell a block's own tag.
+TAGS = [5, 6, 7]
+
+
 def block_features(found: list[Block]) -> np.ndarray:
     """Text and place of each block, without its containers' marks."""
     n = len(found)
@@ -167,7 +221,7 @@ def block_features(found: list[Block]) -> np.ndarray:
         ends = sum(b.text.count(c) for c in ".!?;:")
         out[i] = (
             np.log1p(len(words)), b.linked, np.log1p(ends), ends > 0 and b.text[-1] in ".!?\"'", sum(map(len, words)) / len(words) / 10,
-            b.tag == "li", b.tag in ("p", "pre", "blockquote"), b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), len(b.path) / 10, i / n, (n - 1 - i) / n, sum(w[:1].isupper() for w in words) / len(words),
+            b.tag == "li", b.tag in ("p", "pre", "blockquote"), b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), min(b.depth, 100) / 10, i / n, (n - 1 - i) / n, sum(w[:1].isupper() for w in words) / len(words),
         )
     return out
 
@@ -239,26 +293,40 @@ def max_flow(n: int, edges: list[tuple[int, int, float, float]], source: int, si
                 break
 
 
+def costs(found: list[Block], weights: np.ndarray) -> np.ndarray:
+    """What each block gains as content: the classifier's margin and its containers' marks, both finite.
+
+    Only hidden text, forms and buttons are ruled out; against any other mark a sure classifier and neighbours can win.
+    """
+    if not found:
+        return np.zeros(0)
+    margin = np.clip(np.hstack([block_features(found), np.ones((len(found), 1))]) @ weights, -4, 4)
+    return np.where([b.never for b in found], -HARD, margin + np.clip([b.prior for b in found], -AGAINST_TAG, 4.0))
+
+
+def alike(a: Block, b: Block) -> float:
+    """How much of a smoothness edge is left between blocks whose containers' marks differ."""
+    return float(np.exp(-abs(a.prior - b.prior) / 2)) if a.never == b.never else 0.0
+
+
 def label(found: list[Block], weights: np.ndarray) -> np.ndarray:
     """Which blocks are content, by the minimum cut of the page's graph."""
     n = len(found)
-    cost = np.clip(np.hstack([block_features(found), np.ones((n, 1))]) @ weights, -4, 4) + np.array([np.clip(b.prior, -12, 8) for b in found])
-    cost[[b.never for b in found]] = -HARD
+    cost = costs(found, weights)
     if n == 0 or (cost >= 0).all() or (cost < 0).all():
         return cost >= 0  # no edge to cut
     edges = [(n, i, c, 0.0) if c >= 0 else (i, n + 1, -c, 0.0) for i, c in enumerate(cost)]
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            other = found[i - 1].path
-            common = next((k for k, (p, q) in enumerate(zip(b.path, other)) if p != q), min(len(b.path), len(other)))
-            apart = len(b.path) + len(other) - 2 * common
-            edges.append((i - 1, i, *(2 * [NEAR * float(np.exp(-DECAY * apart))])))
-        holder = b.path[-2] if len(b.path) > 1 else 0
-        if holder in last and not b.never:
-            edges.append((last[holder], i, KIN, KIN))
-        if not b.never:
-            last[holder] = i
+            apart = b.depth + found[i - 1].depth - 2 * b.common
+            tie = NEAR * np.exp(-DECAY * apart) * alike(b, found[i - 1])
+            edges.append((i - 1, i, tie, tie))
+        if b.holder in last:
+            before = last[b.holder]
+            tie = KIN * np.exp(-DECAY * (i - before - 1)) * alike(b, found[before])
+            edges.append((before, i, tie, tie))
+        last[b.holder] = i
     return max_flow(n + 2, edges, n, n + 1)[:n]
 
 
@@ -279,7 +347,10 @@ def train(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> np.ndarray:
                 found = blocks(page or "")
                 known = [b.semantic != 0 for b in found]
                 if any(known):
-                    rows += np.hstack([block_features(found)[known], [[b.semantic > 0] for b in found if b.semantic]]).tolist()
+                    seen = np.hstack([block_features(found)[known], [[b.semantic > 0] for b in found if b.semantic]])
+                    bare = seen.copy()
+                    bare[:, TAGS] = 0
+                    rows += np.vstack([seen, bare]).tolist()
             yield pa.record_batch({"x": pa.array(rows, pa.list_(pa.float64()))})
 
     got = pages.select("page_id", "html").join(F.broadcast(ids), "page_id", "left_semi").select("html").mapInArrow(released(run), "x array<double>").toPandas()

@@ -302,3 +302,55 @@ def test_words_tell_quality_where_the_surface_does_not():
     meta = op10.meta_features([None] * 600, [None] * 600, np.zeros(600))
     model = op10.co_train(content[:200], meta[:200], y[:200], op10.array_pool(content[:0], meta[:0]), odds)
     assert ((model.score(content[400:], meta[400:]) >= 0.5) == (y[400:] > 0)).mean() > 0.85
+
+
+WEIGHTS = op5.DEFAULT_WEIGHTS
+LONG = "The river rises in the hills, runs through three old towns and falls into the sea. People have fished it for centuries."
+
+
+def kept(page, weights=WEIGHTS):
+    return op5.extract(page, weights).split("\n")
+
+
+def test_marks_and_classifier_weigh_against_each_other():
+    named = f"<div class=sidebar><p>{LONG}</p></div>"
+    found = op5.blocks(named + "<nav><a href=x>Home</a></nav>" + f"<form><p>{LONG}</p></form>")
+    strong = np.append(np.zeros(12), 4.0)  # a classifier that is sure of content
+    assert [c >= 0 for c in op5.costs(found, strong)] == [True, False, False]
+    assert [c >= 0 for c in op5.costs(found, -strong)] == [False, False, False]
+
+
+def test_the_cut_overturns_a_block_that_its_neighbours_outvote():
+    page = "<div>" + f"<p>{LONG}</p>" * 2 + "<p>Yes Sir</p>" + f"<p>{LONG}</p>" * 2 + "</div>"
+    found = op5.blocks(page)
+    alone = op5.costs(found, WEIGHTS) >= 0
+    assert not alone[2] and alone[[0, 1, 3, 4]].all()
+    assert op5.label(found, WEIGHTS).all()
+    # not across a container that speaks against its text
+    ad = op5.blocks(page.replace("<p>Yes Sir</p>", "<p class=advert>Yes Sir</p>"))
+    assert op5.label(ad, WEIGHTS).tolist() == [True, True, False, True, True]
+
+
+def test_elements_without_an_end_and_text_in_uncommon_containers():
+    assert kept(f"<p>{LONG}</p><svg><p>{LONG} Two.</p>") == [LONG, f"{LONG} Two."]
+    assert kept(f"<p>{LONG}<math>x</math></p><script>var a = '<p>{LONG}</p>'") == [f"{LONG}x"]
+    assert kept(f"<article><p>{LONG}</p><object><p>{LONG} Two.</p></object></article>") == [LONG, f"{LONG} Two."]
+    assert kept(f"<p hidden>{LONG}</p><p>{LONG} Two.</p>") == [f"{LONG} Two."]
+
+
+def test_place_of_a_block_in_the_tree():
+    a, b, c = op5.blocks("<div><p>a</p><div><p>b</p></div></div><p>c</p>")
+    assert [(x.depth, x.common) for x in (a, b, c)] == [(2, 0), (3, 1), (1, 0)]
+    assert a.holder == 1 and b.holder == 3 and c.holder == 0
+
+
+def test_deep_and_broken_markup_takes_linear_time():
+    import time
+
+    for piece in ("<div>x", "<a '", "<svg>x", "</b><b>", "<span><p>x"):
+        took = []
+        for n in (4_000, 16_000):
+            start = time.process_time()
+            op5.blocks(piece * n)
+            took.append(time.process_time() - start)
+        assert took[1] < 10 * took[0] + 0.3, piece
