@@ -153,8 +153,8 @@ class BiGru:
             np.maximum.at(best, r, self.margins({s: gates[s][at] for s in "fb"}, live))
         return best
 
-    def gradients(self, ids: np.ndarray, live: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean weighted log loss and its gradients; ids (T, B, FEATURES)."""
+    def gradients(self, ids: np.ndarray, live: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray | Rows]]:
+        """Mean weighted log loss and its gradients, of embeddings by touched row; ids (T, B, FEATURES)."""
         w, h3 = self.w, HIDDEN
         x = self.inputs(ids)
         keep = {s: [] for s in "fb"}
@@ -169,8 +169,8 @@ class BiGru:
         da = (states * dctx).sum(-1)
         de = a * (da - (a * da).sum(0))
         dhid = de[..., None] * w["attv"] * (1 - hid * hid)
-        g["attv"] = np.einsum("tb,tbh->h", de, hid)
-        g["att"] = np.einsum("tbs,tbh->sh", states, dhid)
+        g["attv"] = de.ravel() @ hid.reshape(-1, h3)
+        g["att"] = states.reshape(-1, 2 * h3).T @ dhid.reshape(-1, h3)
         dstates = dstates + dhid @ w["att"].T
         dx = np.zeros_like(x)
         for side, part in (("f", dstates[..., :h3]), ("b", dstates[..., h3:])):
@@ -189,18 +189,33 @@ class BiGru:
                 du += h.T @ dgu
                 dh = np.where(on, dnew * z, dh) + dgu @ u.T
             g[f"u{side}"] = du
-            g[f"x{side}"] = np.einsum("tbd,tbg->dg", x, dgx)
+            g[f"x{side}"] = x.reshape(-1, 2 * EMBED).T @ dgx.reshape(-1, 3 * h3)
             g[f"c{side}"] = dgx.sum((0, 1))
             dx += dgx @ w[f"x{side}"].T
         flat = dx.reshape(-1, 2 * EMBED)
-        g["word"] = _scatter(ids[..., 0].ravel(), flat[:, :EMBED], WORD_ROWS)
-        g["char"] = sum(_scatter(ids[..., j].ravel(), flat[:, EMBED:], CHAR_ROWS) for j in range(1, FEATURES))
-        g["word"][0] = g["char"][0] = 0
+        g["word"] = Rows.summed(ids[..., 0].ravel(), flat[:, :EMBED])
+        g["char"] = Rows.summed(ids[..., 1:].reshape(len(flat), -1).T.ravel(), np.tile(flat[:, EMBED:], (FEATURES - 1, 1)))
         return loss, g
 
 
-def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(rows, values[:, d], n) for d in range(values.shape[1])], 1).astype(np.float32)
+@dataclass
+class Rows:
+    """Gradients of the rows of an embedding table that a batch touches; ``at`` is ascending, without row 0."""
+
+    at: np.ndarray
+    sums: np.ndarray
+
+    @classmethod
+    def summed(cls, rows: np.ndarray, values: np.ndarray) -> Rows:
+        order = np.argsort(rows, kind="stable")
+        found = rows[order]
+        first = np.flatnonzero(np.diff(found, prepend=0))
+        return cls(found[first].astype(np.int64), np.add.reduceat(values[order], first) if len(first) else values[:0])
+
+    def __getitem__(self, place: tuple[int, int]) -> float:
+        """The gradient at (row, column), 0 in rows that no token has."""
+        i = np.searchsorted(self.at, place[0])
+        return float(self.sums[i, place[1]]) if i < len(self.at) and self.at[i] == place[0] else 0.0
 
 
 @dataclass
@@ -210,14 +225,21 @@ class Adam:
     m: dict = field(default_factory=dict)
     v: dict = field(default_factory=dict)
 
-    def step(self, w: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> None:
+    def step(self, w: dict[str, np.ndarray], g: dict[str, np.ndarray | Rows]) -> None:
         self.t += 1
         for k, d in g.items():
-            m = self.m[k] = 0.9 * self.m.get(k, 0) + 0.1 * d
-            # One scale for a whole embedding table: rows of rare words, seen once, then hardly move.
-            square = (d * d)[np.abs(d).max(1) > 0].mean() if k in EMBEDDINGS else d * d
+            m = self.m.setdefault(k, np.zeros_like(w[k]))
+            m *= 0.9
+            if isinstance(d, Rows):
+                m[d.at] += 0.1 * d.sums
+                # One scale for a whole embedding table: rows of rare words, seen once, then hardly move.
+                touched = d.sums[np.abs(d.sums).max(1, initial=0) > 0]
+                square = (touched * touched).mean() if len(touched) else 0.0
+            else:
+                m += 0.1 * d
+                square = d * d
             v = self.v[k] = 0.99 * self.v.get(k, 0) + 0.01 * square
-            w[k] -= (self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+            w[k] -= m * (self.rate / (1 - 0.9**self.t) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
 
 
 @dataclass
@@ -240,7 +262,8 @@ def telling(ids: np.ndarray, row: np.ndarray, y: np.ndarray, least: int = 4, odd
     found = np.zeros(len(row), bool)
     for j in range(ids.shape[2]):
         n = WORD_ROWS if j == 0 else CHAR_ROWS
-        pairs = np.unique(row[:, None].astype(np.int64) * n + ids[:, :, j])
+        pairs = np.sort((row[:, None].astype(np.int64) * n + ids[:, :, j]).ravel())
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
         toxic = np.bincount(pairs % n, y[pairs // n], n)
         clean = np.bincount(pairs % n, ~y[pairs // n], n)
         tells = (toxic >= least) & (toxic / max(1, y.sum()) >= odds * (clean + 0.1) / max(1, (~y).sum()))
