@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import adapters
-from tessera.operators import overlap, profile, series
+from tessera.config import EngineConfig
+from tessera.operators import correlate, overlap, profile, rolling, series
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,3 +67,34 @@ def sweep(spark: SparkSession, sf_dir: str, lengths: tuple[int, ...] = (12, 24,
         return overlap.overlap_rates(mine, others, m).withColumn("m", F.lit(m))
 
     return reduce(DataFrame.unionByName, map(one, lengths))
+
+
+def configured(spark: SparkSession, sf_dir: str, config: EngineConfig) -> dict[str, DataFrame]:
+    """The main stages under ``config``, as lazy frames by name.
+
+    Its regions bound the observations at the source, and ``smoke`` keeps the first region and 60 months.
+    """
+    seen = adapters.observations(spark, sf_dir)
+    names = sorted(config.regions) or ([r.series for r in seen.select("series").distinct().orderBy("series").limit(1).collect()] if config.smoke else [])
+    if names:
+        seen = seen.filter(F.col("series").isin(config.limited(names)))
+    dense = series.densify(series.mean_series(seen))
+    regions = series.interpolate(series.first_dates(dense, 60) if config.smoke else dense).select("series", "date", "t", "x")
+    found = profile.matrix_profile(series.climatology_anomaly(regions).select("series", "date", "t", F.col("anomaly").alias("x")), config.window)
+    other = profile.matrix_profile(indicator_series(spark, sf_dir), config.window)
+    zone = max(config.window // 4, 1)
+    motifs = profile.best_windows(found, config.motifs, zone)
+    met = overlap.lag_pairs(motifs, starts(other, config.window, config.motifs).withColumnRenamed("series", "indicator"), config.window)
+    mine = series.rolling_anomaly(regions).select("series", "date", F.col("anomaly").alias("x"))
+    theirs = series.rolling_anomaly(indicator_series(spark, sf_dir)).select(F.col("series").alias("indicator"), "date", F.col("anomaly").alias("y"))
+    both = mine.join(theirs, "date")
+    return {
+        "monthly": regions,
+        "profile": found,
+        "motifs": motifs,
+        "discords": profile.best_windows(found, config.discords, zone, largest=True),
+        "pairs": met,
+        "lag_intervals": overlap.lag_intervals(met, config.bootstraps, config.seed),
+        "rolling_pearson": rolling.rolling_pearson(both, config.rolling),
+        "xcorr_lags": correlate.cross_correlation(both, config.lags),
+    }

@@ -72,11 +72,16 @@ def encode_polygons(df: DataFrame, column: str = "rings") -> DataFrame:
     return df.withColumn("geometry", encode(column))
 
 
-def read_geopackage(files: DataFrame) -> DataFrame:
+#: Reference systems whose coordinates are longitudes and latitudes: WGS 84, and the undefined geographic one.
+GEOGRAPHIC = (4326, 0)
+
+
+def read_geopackage(files: DataFrame, systems: tuple[int, ...] = GEOGRAPHIC) -> DataFrame:
     """(path, layer, geometry WKB) of every feature in GeoPackage files from ``spark.read.format("binaryFile")``.
 
     A file is opened in memory by the task that holds it, so it is read where it lies and never as a local path. A
-    geometry's own header is skipped by its flags; coordinates stay in the layer's reference system.
+    geometry's own header is skipped by its flags. Coordinates aren't converted: a geometry whose header names a
+    reference system beyond ``systems`` raises ValueError, since its coordinates would be taken for degrees.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,6 +92,9 @@ def read_geopackage(files: DataFrame) -> DataFrame:
                 con.deserialize(bytes(content))
                 for layer, column in con.execute("SELECT table_name, column_name FROM gpkg_geometry_columns").fetchall():
                     blobs = [b for (b,) in con.execute(f'SELECT "{column}" FROM "{layer}"') if b]  # noqa: S608
+                    other = {int.from_bytes(b[4:8], "little" if b[3] & 1 else "big", signed=True) for b in blobs} - set(systems)
+                    if other:
+                        raise ValueError(f"{layer} of {path} is in reference system {min(other)}, not one of {systems}")
                     yield pd.DataFrame({"path": path, "layer": layer, "geometry": [b[8 + envelope[b[3] >> 1 & 7] :] for b in blobs]})
                 con.close()
 

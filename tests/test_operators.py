@@ -1,6 +1,7 @@
 """Relational operators and sources on small tables."""
 
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.config import EngineConfig
 from tessera.functions import columns as fn
 from tessera.operators import bands, overlap, profile, rolling, series, spatial, stats
+from tessera.plans import stages
 from tessera.sources import readers, writers
 from tessera.streaming import monthly
 
@@ -57,6 +59,14 @@ def test_writers(spark, tmp_path):
     assert "| a |" in writers.data_card(df.select("k"), "t")
 
 
+def test_slices_are_folders_of_periods_with_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(d,) for d in months(24)], "date date")
+    spans = [(1, dt.date(2000, 1, 1), dt.date(2000, 12, 31)), (2, dt.date(2000, 7, 1), dt.date(2001, 6, 30)), (3, dt.date(2010, 1, 1), dt.date(2011, 1, 1))]
+    writers.write_slices(rows, spark.createDataFrame(spans, "vintage int, first date, last date"), f"{tmp_path}/s")
+    assert {(r.vintage, r["count"]) for r in spark.read.parquet(f"{tmp_path}/s").groupBy("vintage").count().collect()} == {(1, 12), (2, 12)}
+    assert not (tmp_path / "s" / "vintage=3").exists()
+
+
 def test_tiles(spark, tmp_path):
     nir = np.arange(100, dtype="<i2")
     (tmp_path / "MOD.A2001032.h11v08.raw").write_bytes(nir.tobytes() + (nir * 2).astype("<i2").tobytes() + np.zeros(100, np.int8).tobytes())
@@ -153,6 +163,18 @@ def test_config(tmp_path):
         EngineConfig.from_yaml(str(tmp_path / "c.yaml"), "nothing=1")
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_stages_follow_the_configuration(spark):
+    config = EngineConfig(regions=("ASIA", "EUROPE"), window=12, motifs=2, discords=1, rolling=24, lags=3)
+    got = stages.configured(spark, "/root/testdata/sf0.001", config)
+    assert {r.series for r in got["monthly"].select("series").distinct().collect()} == {"ASIA", "EUROPE"}
+    assert {(r.series, r.n) for r in got["motifs"].groupBy("series").agg(F.count("t").alias("n")).collect()} == {("ASIA", 2), ("EUROPE", 2)}
+    assert got["discords"].count() == 2 and got["xcorr_lags"].agg(F.max("lag")).first()[0] == 3
+    assert got["rolling_pearson"].agg(F.min("n_row")).first()[0] == 24
+    small = stages.configured(spark, "/root/testdata/sf0.001", EngineConfig(smoke=True))["monthly"]
+    assert [(r.series, r.n) for r in small.groupBy("series").agg(F.count("t").alias("n")).collect()] == [("AFRICA", 60)]
+
+
 def test_streamed_means_equal_batch(spark, tmp_path):
     rows = [(dt.datetime(2024, 1, 1 + i, 3), "a", float(i)) for i in range(20)]
     table = spark.createDataFrame(rows, "ts timestamp, event_type string, value double")
@@ -185,6 +207,17 @@ def test_polygons_survive_binary_and_geopackage(spark, tmp_path):
     con.close()
     got = geometry.read_geopackage(spark.read.format("binaryFile").load(f"{tmp_path}/x.gpkg")).collect()
     assert [(r.layer, bytes(r.geometry)) for r in got] == [("cover", wkb)] * 2
+    con = sqlite3.connect(f"{tmp_path}/y.gpkg")
+    con.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT)")
+    con.execute("INSERT INTO gpkg_geometry_columns VALUES ('cover', 'geom')")
+    con.execute("CREATE TABLE cover (geom BLOB)")
+    con.execute("INSERT INTO cover VALUES (?)", (b"GP\0\1" + (3857).to_bytes(4, "little") + wkb,))
+    con.commit()
+    con.close()
+    other = spark.read.format("binaryFile").load(f"{tmp_path}/y.gpkg")
+    with pytest.raises(Exception, match="3857"):
+        geometry.read_geopackage(other).collect()
+    assert geometry.read_geopackage(other, (3857,)).count() == 1
     with pytest.raises(ValueError, match="neither"):
         geometry.rings_of(b"\x01\x01\0\0\0" + bytes(16))
 
