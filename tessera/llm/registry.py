@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import op01_mix, op02_decontaminate, op03_lines, op04_language, op05_html, op06_media, op07_chat, op08_jaccard, op09_toxicity, op10_quality, op11_audit, op13_alignment
+from tessera.llm import op01_mix, op02_decontaminate, op03_lines, op04_language, op05_html, op06_media, op07_chat, op08_jaccard, op09_toxicity, op10_quality, op11_audit, op12_fingerprint, op13_alignment
 
 QUERIES = {
     "op1_mix": op01_mix.op1_mix,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": op09_toxicity.op9_toxicity,
     "op10_quality": op10_quality.op10_quality,
     "op11_audit": op11_audit.op11_audit,
+    "op12_fingerprint": op12_fingerprint.op12_fingerprint,
     "op13_alignment": op13_alignment.op13_alignment,
 }
 
