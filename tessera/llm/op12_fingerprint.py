@@ -23,9 +23,9 @@ from tessera.llm.shared import table
 
 TABLES = 3
 #: Cells a table of the fingerprint (the first try), and of a block's first sketch, which doubles up to the last.
-FIRST, BLOCK_WIDTH, LAST_WIDTH = 4, 8, 4096
+FIRST, BLOCK_WIDTH, LAST_WIDTH = 4, 4, 4096
 #: Digests that a block holds on average.
-BLOCK = 8
+BLOCK = 3
 MOST_LEVELS = 20
 #: Ranges of doc_id for each shuffle partition: enough that partitions are alike when ranges are dealt to them by hash.
 RANGES = 8
@@ -50,21 +50,26 @@ def _cell(n: Column, keys: Column, checks: Column) -> Column:
     return F.struct(n.alias("n"), keys.alias("keys"), checks.alias("checks"))
 
 
-def _slot(digest: Column, number: Column | int, width: Column | int) -> Column:
-    """The digest's cell in table ``number``: bits of its own third."""
-    shift = (F.lit(number) * 21).cast("int")
-    return F.call_function("shiftrightunsigned", digest, shift).bitwiseAND(F.lit(width).cast("long") - 1)
+def placed(digests: Column, width: Column | int) -> Column:
+    """Each digest with its cell in each table, by the bits of its own third; ``width`` is a power of two."""
+    low = F.lit(width).cast("long") - 1
+
+    def slot(d: Column, number: int) -> Column:
+        return (F.shiftrightunsigned(d, 21 * number) if number else d).bitwiseAND(low).alias(f"s{number}")
+
+    return F.transform(digests, lambda d: F.struct(d.alias("keys"), *[slot(d, i) for i in range(TABLES)]))
 
 
 def sketch(digests: Column, width: Column | int) -> Column:
-    """Cells of the three tables of ``width`` (a power of two) cells, one table after another."""
+    """Cells of the three tables of ``width`` cells, one table after another."""
     empty = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0))
+    places = F.sequence(F.lit(0).cast("long"), F.lit(width).cast("long") - 1)
 
-    def cells(number: int) -> Column:
-        own = lambda j: F.filter(digests, lambda d: _slot(d, number, width) == j)
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width).cast("long") - 1), lambda j: F.aggregate(own(j), empty, lambda s, d: _cell(s["n"] + 1, s["keys"].bitwiseXOR(d), s["checks"].bitwiseXOR(F.hash(d)))))
+    def cells(known: Column, number: int) -> Column:
+        own = lambda j: F.filter(known, lambda d: d[f"s{number}"] == j)
+        return F.transform(places, lambda j: F.aggregate(own(j), empty, lambda s, d: _cell(s["n"] + 1, s["keys"].bitwiseXOR(d["keys"]), s["checks"].bitwiseXOR(F.hash(d["keys"])))))
 
-    return F.concat(*[cells(i) for i in range(TABLES)])
+    return let(placed(digests, width), lambda known: F.concat(*[cells(known, i) for i in range(TABLES)]))
 
 
 def minus(a: Column, b: Column) -> Column:
@@ -73,22 +78,29 @@ def minus(a: Column, b: Column) -> Column:
 
 def peeled(cells: Column, width: Column | int) -> Column:
     """How many digests a difference of sketches gives away, or null if it doesn't empty."""
+    wide = F.lit(width).cast("long")
 
     def lone(left: Column) -> Column:
         told = F.filter(left, lambda c: (F.abs(c["n"]) == 1) & (c["checks"] == F.hash(c["keys"])))
-        return F.array_distinct(F.transform(told, lambda c: F.struct(c["n"].alias("n"), c["keys"].alias("keys"))))
+        return F.array_distinct(F.transform(told, lambda c: F.struct(c["keys"], c["n"])))
 
     def without(left: Column, known: Column) -> Column:
-        def here(j: Column) -> Column:
-            return F.filter(known, lambda d: _slot(d["keys"], F.floor(j / F.lit(width)), width) == j % F.lit(width))
+        at = F.transform(known, lambda d: F.struct(d["keys"].alias("keys"), d["n"].alias("n"), *[((F.shiftrightunsigned(d["keys"], 21 * i) if i else d["keys"]).bitwiseAND(wide - 1) + i * wide).alias(f"s{i}") for i in range(TABLES)]))
 
-        return F.transform(left, lambda c, j: F.aggregate(here(j), c, lambda s, d: _cell(s["n"] - d["n"], s["keys"].bitwiseXOR(d["keys"]), s["checks"].bitwiseXOR(F.hash(d["keys"])))))
+        def here(found: Column, j: Column) -> Column:
+            return F.filter(found, lambda d: (d["s0"] == j) | (d["s1"] == j) | (d["s2"] == j))
+
+        taken = lambda s, d: _cell(s["n"] - d["n"], s["keys"].bitwiseXOR(d["keys"]), s["checks"].bitwiseXOR(F.hash(d["keys"])))
+        return let(at, lambda found: F.transform(left, lambda c, j: F.aggregate(here(found, j), c, taken)))
 
     def state(left: Column, found: Column, go: Column) -> Column:
         return F.struct(left.alias("left"), found.alias("found"), go.alias("go"))
 
+    def next_state(s: Column, known: Column) -> Column:
+        return F.when(F.size(known) == 0, state(s["left"], s["found"], F.lit(False))).otherwise(state(without(s["left"], known), s["found"] + F.size(known), F.lit(True)))
+
     def turn(s: Column, _: Column) -> Column:
-        return F.when(~s["go"], s).otherwise(let(lone(s["left"]), lambda d: state(without(s["left"], d), s["found"] + F.size(d), F.size(d) > 0)))
+        return F.when(~s["go"], s).otherwise(let(lone(s["left"]), lambda known: next_state(s, known)))
 
     turns = F.sequence(F.lit(0), F.lit(TABLES) * F.lit(width).cast("int"))  # each but the last finds one digest at least
     blank = lambda s: F.forall(s["left"], lambda c: (c["n"] == 0) & (c["keys"] == 0) & (c["checks"] == 0))
@@ -118,7 +130,8 @@ def differing(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     most = F.greatest(F.size(a), F.size(b), F.lit(1))
     levels = F.greatest(F.ceil(F.log2(most / BLOCK)), F.lit(0))
     larger = let(levels, lambda n: F.aggregate(F.zip_with(blocks(a, n), blocks(b, n), doubled), F.lit(0), lambda s, n: s + n))
-    return F.coalesce(peeled(minus(cells_a, cells_b), FIRST), larger)
+    few = F.abs(F.size(a) - F.size(b)) <= TABLES * FIRST  # more digests than cells can't all be told
+    return F.coalesce(F.when(few, peeled(minus(cells_a, cells_b), FIRST)), larger)
 
 
 def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
