@@ -31,3 +31,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     first, second = F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")
     return e.select(F.col("vec_id").alias("id"), (first * 400).alias("lon"), (second * 200).alias("lat"))
+
+
+def daily_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series, t, date, x): mean price of the line items of a day; t is days since the first, days without items are absent."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"), F.col("l_extendedprice").alias("x"))
+    first = items.agg(F.min("date")).scalar()
+    return items.groupBy("date").agg(F.avg("x").alias("x")).select(F.lit("price").alias("series"), F.date_diff("date", first).cast("long").alias("t"), "date", "x")

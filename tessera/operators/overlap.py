@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import counter
+
 
 def lag_pairs(starts: DataFrame, others: DataFrame, most: int) -> DataFrame:
     """(series, indicator, start, other, lag): pairs of starts at most ``most`` apart; lag = other - start.
@@ -36,23 +37,28 @@ def lag_summary(pairs: DataFrame) -> DataFrame:
     )
 
 
-def bootstrap_median(values: np.ndarray, draws: int = 1000, seed: int = 42) -> tuple[float, float]:
-    """95 % interval of the median under resampling; all draws are columns of places, none without values."""
+def bootstrap_median(values: np.ndarray, key: int, draws: int = 1000) -> tuple[float, float]:
+    """95 % interval of the median under resampling; not a number without values."""
     if not len(values):
         return float("nan"), float("nan")
-    places = np.random.default_rng(seed).integers(0, len(values), (len(values), draws), dtype=np.int32)
-    lo, hi = np.quantile(np.median(values[places], axis=0), [0.025, 0.975])
+    at = counter.drawn_array(key, np.arange(draws), np.arange(len(values)), len(values))
+    lo, hi = np.quantile(np.median(np.sort(values)[at], axis=1), [0.025, 0.975])
     return float(lo), float(hi)
 
 
 def lag_intervals(pairs: DataFrame, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """Bootstrap intervals of the median lag per series and indicator."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = bootstrap_median(np.sort(pdf["lag"].to_numpy(float)), draws, seed)
-        return pdf.iloc[:1][["series", "indicator"]].assign(n=len(pdf), ci_lower=lo, ci_upper=hi)
+    """Bootstrap intervals of the median lag per series and indicator, every draw a row of its own.
 
-    return pairs.select("series", "indicator", "lag").groupBy("series", "indicator").applyInPandas(run, "series string, indicator string, n long, ci_lower double, ci_upper double")
+    A draw depends on the pair's names, its own number and ``seed`` alone, so any partitioning gives the same intervals,
+    and so does SQL.
+    """
+    own = pairs.groupBy("series", "indicator").agg(F.sort_array(F.collect_list(F.col("lag").cast("double"))).alias("lags"))
+    keyed = own.withColumns({"key": counter.key_of("series", "indicator") + seed, "n": F.size("lags").cast("long")})
+    rows = keyed.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    places = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    sample = F.sort_array(F.transform(places, lambda i: F.get("lags", counter.drawn(F.col("key"), F.col("draw"), i, F.col("n")).cast("int"))))
+    middle = rows.withColumn("sample", sample).select("series", "indicator", "n", ((F.get("sample", F.floor((F.col("n") - 1) / 2).cast("int")) + F.get("sample", F.floor(F.col("n") / 2).cast("int"))) / 2).alias("m"))
+    return middle.groupBy("series", "indicator", "n").agg(F.percentile("m", 0.025).alias("ci_lower"), F.percentile("m", 0.975).alias("ci_upper"))
 
 
 def annual_counts(pairs: DataFrame, dates: DataFrame, first: int, last: int) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera import adapters
 from tessera.functions import columns as fn
-from tessera.operators import bands, changes, correlate, overlap, profile, rolling, series, spatial, stats
+from tessera.functions import counter
+from tessera.operators import bands, changes, correlate, overlap, profile, rolling, series, spatial, stats, tiles
 from tessera.plans import stages
 from tessera.streaming import monthly
 from tessera.tables import table
@@ -80,6 +81,34 @@ _T975 = " + ".join(
 )
 
 
+def _mixed(source: str) -> str:
+    """``source`` with its column x taken through the rounds of ``counter``."""
+    for c in counter.ROUNDS:
+        source = f"SELECT * REPLACE ((((((x * x) % {counter.PRIME}) * ((x * x) % {counter.PRIME})) % {counter.PRIME}) * x) % {counter.PRIME} AS x) FROM (SELECT * REPLACE ((x + {c}) % {counter.PRIME} AS x) FROM ({source}))"
+    return source
+
+
+def _drawn(source: str, n: str) -> str:
+    """``source`` (key, draw, place, ...) with x: a number from 0 to n - 1 for each draw and place."""
+    first = _mixed(f"SELECT *, (key + draw * {counter.STRIDE}) % {counter.PRIME} AS x FROM ({source})")
+    return f"SELECT * REPLACE ((x * {n}) // {counter.PRIME} AS x) FROM ({_mixed(f'SELECT * REPLACE ((x + place) % {counter.PRIME} AS x) FROM ({first})')})"
+
+
+_KEY = "CAST('0x' || substr(md5(series || '|' || indicator), 1, 7) AS BIGINT) + 42"
+
+
+def _sided(pairs: str, m: int) -> str:
+    """Nearest windows on either side and both, of pairs (series, t, u, mp), for the windows of ``windows``."""
+    near = "arg_min(u, (mp, u))"
+    return f"""SELECT w.series, w.t, w.date, mp, coalesce(nn, -1) AS nn, left_mp, coalesce(left_nn, -1) AS left_nn, right_mp, coalesce(right_nn, -1) AS right_nn FROM {{0}} w LEFT JOIN (
+      SELECT series, t, min(mp) AS mp, {near} AS nn, min(mp) FILTER (u < t) AS left_mp, {near} FILTER (u < t) AS left_nn, min(mp) FILTER (u > t) AS right_mp, {near} FILTER (u > t) AS right_nn FROM (
+        SELECT a.series, a.t, b.t AS u, sqrt(2.0 * {m} * (1.0 - greatest(least(list_dot_product(a.z, b.z) / {m}, 1.0), -1.0))) AS mp FROM {pairs} a JOIN {pairs} b ON a.series = b.series AND abs(a.t - b.t) > {profile.exclusion(m)}) GROUP BY ALL) USING (series, t)"""
+
+
+#: Days of a window of the daily series.
+_DAYS = 28
+
+
 # --- parts shared by the oracles: name -> (parts it needs, SQL) ---------------------------------
 
 def _window_join(source: str, m: int) -> str:
@@ -149,6 +178,26 @@ PARTS: dict[str, str] = {
     "boxes": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}, {b}, {c}, {d})" for n, a, b, c, d in spatial.BOXES) + ") v(region, lon_min, lat_min, lon_max, lat_max)",
     "yearly": "SELECT series, CAST(year(date) AS INTEGER) AS year, avg(mpi_min) AS mpi_min, avg(mpi_mean) AS mpi_mean, CAST(count(*) FILTER (anomalous) AS DOUBLE) AS n_anomalous FROM $indices GROUP BY ALL",
     "recent": "SELECT series, indicator, year < 1998 AS early, value FROM $yearly UNPIVOT (value FOR indicator IN (mpi_min, mpi_mean, n_anomalous))",
+    "daily": "SELECT 'price' AS series, CAST(l_shipdate AS DATE) AS date, date_diff('day', (SELECT CAST(min(l_shipdate) AS DATE) FROM lineitem), CAST(l_shipdate AS DATE)) AS t, avg(l_extendedprice) AS x FROM lineitem GROUP BY ALL",
+    "daily_z": f"""SELECT series, t, list_transform(w, lambda v: (v - mu) / sd) AS z FROM (SELECT series, t, list(x) OVER f AS w, avg(x) OVER f AS mu, stddev_pop(x) OVER f AS sd FROM $daily
+      WINDOW f AS (PARTITION BY series ORDER BY t RANGE BETWEEN CURRENT ROW AND {_DAYS - 1} FOLLOWING)) WHERE len(w) = {_DAYS}""",
+    "draws": f"""SELECT series, indicator, draw, lags[x + 1] AS lag FROM ({_drawn(f"SELECT series, indicator, lags, n, key, draw, unnest(range(0, n)) AS place FROM (SELECT *, unnest(range(0, 1000)) AS draw FROM (SELECT series, indicator, list_sort(list(CAST(lag AS DOUBLE))) AS lags, count(*) AS n, {_KEY} AS key FROM $pairs GROUP BY ALL))", "n")})""",
+    "hamed_rao": """SELECT series, indicator, n, s, var, greatest(1 + 2.0 / (n * (n - 1.0) * (n - 2)) * coalesce(sum((n - k) * (n - k - 1.0) * (n - k - 2) * r) FILTER (abs(r) > 1.959964 / sqrt(n)), 0), 1e-12) AS factor FROM (
+      SELECT a.series, a.indicator, a.n, a.s, a.var, b.i - a.i AS k, sum(a.d * b.d) / any_value(a.whole) AS r FROM $detrended a JOIN $detrended b ON a.series = b.series AND a.indicator = b.indicator AND a.i < b.i GROUP BY ALL) GROUP BY series, indicator, n, s, var""",
+    "detrended": """SELECT *, sum(d * d) OVER (PARTITION BY series, indicator) AS whole FROM (SELECT series, indicator, i, n, s, var, place - avg(place) OVER (PARTITION BY series, indicator) AS d FROM (
+      SELECT *, rank() OVER (PARTITION BY series, indicator ORDER BY rest) + (count(*) OVER (PARTITION BY series, indicator, rest) - 1) / 2.0 AS place FROM (SELECT r.series, r.indicator, r.i, m.n, m.s, m.var, r.v - m.slope * r.i AS rest FROM $ranked r JOIN $mk m USING (series, indicator))))""",
+    "blocks": f"""SELECT series, indicator, draw, v, n, list(v[x + o + 1] ORDER BY place, o) AS w FROM (SELECT *, unnest(range(0, least(36, n - place * 36))) AS o FROM ({_drawn(f"SELECT series, indicator, v, n, key, draw, unnest(range(0, CAST(ceil(n / 36.0) AS BIGINT))) AS place FROM (SELECT *, unnest(range(0, 5000)) AS draw FROM (SELECT series, indicator, list(v ORDER BY i) AS v, count(*) AS n, {_KEY} AS key FROM $ranked GROUP BY ALL))", "(n - 35)")})) GROUP BY ALL""",
+    "scored": "SELECT *, (s0 * s0) / nullif(u0, 0) AS seen, (s1 * s1) / nullif(u1, 0) AS got FROM (SELECT series, indicator, draw, " + ", ".join(
+        f"list_sum(list_transform(range(0, n), lambda i: coalesce(list_sum(list_transform({w}[i + 2:], lambda y: {f})), 0))) AS {name}"
+        for w, k in (("v", 0), ("w", 1)) for f, name in ((f"sign(y - {w}[i + 1])", f"s{k}"), (f"CAST(y <> {w}[i + 1] AS INTEGER)", f"u{k}"))
+    ) + " FROM $blocks)",
+    "corrected": f"""SELECT series, indicator, n, 2 * {_sf('(abs(s) - 1) / sqrt(var)')} AS p, 2 * {_sf('(abs(s) - 1) / sqrt(var * factor)')} AS p_hamed_rao, factor, p_block FROM $hamed_rao JOIN (
+      SELECT series, indicator, greatest(count(*) FILTER (coalesce(got, 0) >= coalesce(seen, 0)), 1) / 5000.0 AS p_block FROM $scored GROUP BY ALL) USING (series, indicator)""",
+    "gram": """SELECT a.series, a.t AS i, b.t AS j, CASE WHEN a.t = b.t THEN 1.0 ELSE exp(-least(greatest(CASE WHEN middle > 0 THEN pow(a.x - b.x, 2) / middle ELSE pow(a.x - b.x, 2) END, 0.01), 100)) END AS g FROM $monthly a JOIN $monthly b ON a.series = b.series
+      JOIN (SELECT a.series, median(pow(a.x - b.x, 2)) AS middle FROM $monthly a JOIN $monthly b ON a.series = b.series AND a.t < b.t GROUP BY ALL) m ON a.series = m.series""",
+    "corner": "SELECT series, i, j, sum(h) OVER (PARTITION BY series, j ORDER BY i) AS g FROM (SELECT series, i, j, sum(g) OVER (PARTITION BY series, i ORDER BY j) AS h FROM $gram)",
+    "segment_costs": """SELECT series, b, list(b - a - (whole - side - side + corner) / (b - a) ORDER BY a) AS costs FROM (SELECT e.series, e.i + 1 AS b, s.i AS a, e.g AS whole, coalesce(x.g, 0) AS side, coalesce(y.g, 0) AS corner
+      FROM $corner e JOIN $corner s ON e.series = s.series AND e.i = e.j AND s.i = s.j AND s.i <= e.i LEFT JOIN $corner x ON x.series = e.series AND x.i = s.i - 1 AND x.j = e.i LEFT JOIN $corner y ON y.series = e.series AND y.i = s.i - 1 AND y.j = s.i - 1) GROUP BY ALL""",
     "orders_of_ranks": """SELECT n, n1, u, count(*) AS c FROM (SELECT n, bit_count(mask) AS n1, list_sum(list_transform(range(0, n), lambda i: CASE WHEN (mask >> i) & 1 = 1 THEN i - bit_count(mask & ((1 << i) - 1)) ELSE 0 END)) AS u
       FROM (SELECT n, unnest(range(0, 1 << n)) AS mask FROM (SELECT CAST(unnest(range(2, 11)) AS BIGINT) AS n))) GROUP BY ALL""",
     "mwu": """SELECT series, indicator, n1, n2, CASE WHEN n1 > 0 AND n2 > 0 THEN u END AS u, ties, mean1, mean2, CASE WHEN n1 > 0 AND n2 > 0 THEN 1 - 2 * u / (n1 * n2) END AS effect FROM (
@@ -360,6 +409,24 @@ def matrix_profile_m24(spark, sf_dir):
     return stages.region_profile(spark, sf_dir, 24)
 
 
+_SIDES = f"SELECT series, t, date, {_r('mp', 'left_mp', 'right_mp', digits=5)}, nn, left_nn, right_nn FROM "
+
+
+def _finite(df: DataFrame) -> DataFrame:
+    """Distances without a neighbour as null."""
+    return df.withColumns({c: F.when(F.col(c) != float("inf"), F.col(c)) for c in ("mp", "left_mp", "right_mp")})
+
+
+@query(_SIDES + "(" + _sided("$z12", 12).format("$z12") + ")", digits=5)
+def matrix_profile_sides(spark, sf_dir):
+    return _finite(tiles.tiled_profile(stages.region_anomalies(spark, sf_dir), 12))
+
+
+@query(_SIDES + "(" + _sided("$daily_z", _DAYS).format(f"(SELECT * FROM $daily WHERE t <= (SELECT max(t) FROM $daily) - {_DAYS - 1})") + ")", digits=5)
+def daily_profile(spark, sf_dir):
+    return _finite(tiles.tiled_profile(adapters.daily_prices(spark, sf_dir), _DAYS, tile=512))
+
+
 @query(f"SELECT series, t, date, {_r('mp', digits=5)}, nn FROM $ip12", digits=5)
 def indicator_matrix_profile(spark, sf_dir):
     return stages.indicator_profile(spark, sf_dir, 12)
@@ -425,7 +492,7 @@ def lag_summary(spark, sf_dir):
     return overlap.lag_summary(stages.pairs(spark, sf_dir))
 
 
-@query()
+@query(f"SELECT series, indicator, n, {_r('ci_lower', 'ci_upper')} FROM (SELECT series, indicator, quantile_cont(m, 0.025) AS ci_lower, quantile_cont(m, 0.975) AS ci_upper FROM (SELECT series, indicator, draw, median(lag) AS m FROM $draws GROUP BY ALL) GROUP BY ALL) JOIN (SELECT series, indicator, count(*) AS n FROM $pairs GROUP BY ALL) USING (series, indicator)")
 def lag_intervals(spark, sf_dir):
     return overlap.lag_intervals(stages.pairs(spark, sf_dir))
 
@@ -473,7 +540,7 @@ def floor_flags(spark, sf_dir):
     return stats.conditional_floor(stats.mann_whitney(_annual_split(spark, sf_dir)))
 
 
-@query()
+@query("SELECT count(*) AS n, count(*) FILTER (p < 0.05) AS plain, count(*) FILTER (p_hamed_rao < 0.05) AS corrected, count(*) FILTER (p < 0.05 AND p_hamed_rao >= 0.05) AS lost, count(*) FILTER (p >= 0.05 AND p_hamed_rao < 0.05) AS gained FROM $corrected")
 def significance_changes(spark, sf_dir):
     return stats.significance_changes(corrected_trends(spark, sf_dir))
 
@@ -521,7 +588,7 @@ def fdr_summary(spark, sf_dir):
     return stats.fdr_summary(bh_fdr(spark, sf_dir))
 
 
-@query()
+@query(f"SELECT series, indicator, n, {_r('p', 'p_hamed_rao', 'factor', 'p_block')} FROM $corrected")
 def corrected_trends(spark, sf_dir):
     return stats.corrected_trends(rolling_pearson(spark, sf_dir).withColumnRenamed("r", "x"))
 
@@ -587,17 +654,57 @@ def wavelet_bands(spark, sf_dir):
     return correlate.coherence_bands(stages.aligned(spark, sf_dir))
 
 
-@query()
+#: Penalty of a segment, and a lighter one under which the short monthly series have breaks.
+_PENALTY, _LIGHT = 10.0, 2.0
+_EXTREME = f"CAST(year(date) AS INTEGER) IN {changes.EXTREME_YEARS}"
+
+
+def _pelt(penalty: float) -> str:
+    """Least cost of each prefix from those of all shorter ones: best[b + 1] is that of the first b values."""
+    return f"""WITH RECURSIVE dp AS (SELECT DISTINCT series, CAST(0 AS BIGINT) AS b, [CAST(-{penalty} AS DOUBLE)] AS best, [CAST(0 AS BIGINT)] AS back FROM $segment_costs
+  UNION ALL SELECT series, b, list_append(best, m), list_append(back, list_position(totals, m) - 1) FROM (SELECT *, list_min(totals) AS m FROM (SELECT d.series, c.b, d.best, d.back,
+    list_transform(range(0, c.b), lambda a: CASE WHEN c.b - a >= 3 AND (a = 0 OR a >= 3) THEN d.best[a + 1] + c.costs[a + 1] + {penalty} ELSE 1e300 END) AS totals FROM dp d JOIN $segment_costs c ON c.series = d.series AND c.b = d.b + 1)))"""
+
+
+def _pelt_breaks(penalty: float) -> str:
+    longest = "(SELECT series, arg_max(back, b) AS back, max(b) AS n FROM dp GROUP BY series)"
+    return f"""SELECT w.series, 'pelt' AS method, w.t, m.date, {_EXTREME} AS near_extreme FROM ({_pelt(penalty)}, walk AS (SELECT series, back, back[n + 1] AS cut FROM {longest} UNION ALL SELECT series, back, back[cut + 1] FROM walk WHERE cut > 0)
+  SELECT series, cut - 1 AS t FROM walk WHERE cut > 0) w JOIN $monthly m ON m.series = w.series AND m.t = w.t"""
+
+
+def _binseg(rounds: int = 3, least: int = 3) -> str:
+    """Cuts with the largest gain in squared error, one round after another."""
+    sse = lambda a, b: f"(s2[{b} + 1] - s2[{a} + 1] - pow(s1[{b} + 1] - s1[{a} + 1], 2) / ({b} - {a}))"
+    got = "SELECT series, list_concat([0.0], list(c1 ORDER BY t)) AS s1, list_concat([0.0], list(c2 ORDER BY t)) AS s2, [0, count(*)] AS cuts, count(*) AS n FROM (SELECT series, t, sum(x) OVER o AS c1, sum(x * x) OVER o AS c2 FROM $monthly WINDOW o AS (PARTITION BY series ORDER BY t)) GROUP BY series"
+    for _ in range(rounds):
+        gains = f"SELECT series, s1, s2, cuts, n, c, list_max(list_filter(cuts, lambda v: v <= c)) AS a, list_min(list_filter(cuts, lambda v: v > c)) AS b FROM (SELECT *, unnest(range(1, n)) AS c FROM ({got}))"
+        best = f"SELECT series, any_value(s1) AS s1, any_value(s2) AS s2, any_value(n) AS n, list_sort(list_append(any_value(cuts), arg_max(c, (gain, -c)))) AS cuts FROM (SELECT *, {sse('a', 'b')} - {sse('a', 'c')} - {sse('c', 'b')} AS gain FROM ({gains}) WHERE c - a >= {least} AND b - c >= {least}) GROUP BY series"
+        got = best
+    return f"SELECT w.series, 'binseg' AS method, w.t, m.date, {_EXTREME} AS near_extreme FROM (SELECT series, c - 1 AS t FROM (SELECT series, n, unnest(cuts) AS c FROM ({got})) WHERE c > 0 AND c < n) w JOIN $monthly m ON m.series = w.series AND m.t = w.t"
+
+
+@query(f"SELECT series, method, t, date, near_extreme FROM ({_binseg()})")
 def binseg_breaks(spark, sf_dir):
     return changes.break_points(stages.monthly(spark, sf_dir), "binseg")
 
 
-@query()
+@query(f"SELECT series, method, t, date, near_extreme FROM ({_pelt_breaks(_PENALTY)})")
 def pelt_breaks(spark, sf_dir):
-    return changes.break_points(stages.monthly(spark, sf_dir), "pelt", penalty=2.0)
+    return changes.break_points(stages.monthly(spark, sf_dir), "pelt", penalty=_PENALTY)
 
 
-@query()
+@query(f"SELECT series, method, t, date, near_extreme FROM ({_pelt_breaks(_LIGHT)})")
+def pelt_breaks_light(spark, sf_dir):
+    return changes.break_points(stages.monthly(spark, sf_dir), "pelt", penalty=_LIGHT)
+
+
+@query(f"SELECT series, b - 1 AS t, {_r('cost')}, start FROM (SELECT series, unnest(range(3, n + 1)) AS b, unnest(best[4:]) AS cost, unnest(back[4:]) AS start FROM ({_pelt(_PENALTY)} SELECT series, arg_max(best, b) AS best, arg_max(back, b) AS back, max(b) AS n FROM dp GROUP BY series))")
+def segmentation_costs(spark, sf_dir):
+    return changes.segmentation_costs(stages.monthly(spark, sf_dir), penalty=_PENALTY)
+
+
+@query(f"""SELECT series, method, n_breaks, n_near, {_r('fraction_near')}, years FROM (SELECT series, method, count(*) AS n_breaks, count(*) FILTER (near_extreme) AS n_near, count(*) FILTER (near_extreme) / count(*) AS fraction_near, array_to_string(list_sort(list(DISTINCT CAST(year(date) AS VARCHAR))), ',') AS years
+  FROM (SELECT * FROM ({_binseg()}) UNION ALL SELECT * FROM ({_pelt_breaks(_PENALTY)})) GROUP BY ALL)""")
 def break_summary(spark, sf_dir):
     return changes.break_summary(binseg_breaks(spark, sf_dir).unionByName(pelt_breaks(spark, sf_dir)))
 

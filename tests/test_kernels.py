@@ -10,8 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.config import EngineConfig
-from tessera.functions import mathx
-from tessera.operators import changes, correlate, overlap, profile, stats
+from tessera.functions import counter, mathx, pairs
+from tessera.operators import changes, correlate, overlap, profile, stats, tiles
 from tessera.plans import stages
 
 RNG = np.random.default_rng(1)
@@ -117,7 +117,9 @@ def test_block_bootstrap_draws_as_many_as_the_reference():
     x = RNG.integers(0, 6, (30, 41)).astype(float)
     i, j = np.triu_indices(41, 1)
     sign = np.sign(x[:, j] - x[:, i])
-    assert np.allclose(stats._tau_b_rows(x), sign.sum(1) / np.sqrt(len(i) * (sign != 0).sum(1)))
+    score, untied = stats._scores(x)
+    assert (score == sign.sum(1)).all() and (untied == (sign != 0).sum(1)).all()
+    assert [stats.tau_b(r) for r in x] == pytest.approx(list(sign.sum(1) / np.sqrt(len(i) * (sign != 0).sum(1))))
 
 
 def test_window_sweep_has_all_lengths():
@@ -125,10 +127,10 @@ def test_window_sweep_has_all_lengths():
 
 
 def test_bootstrap_of_the_median():
-    assert all(math.isnan(v) for v in overlap.bootstrap_median(np.array([])))
-    assert overlap.bootstrap_median(np.array([4.0])) == (4.0, 4.0)
-    lo, hi = overlap.bootstrap_median(np.arange(20.0))
-    assert lo < 9.5 < hi and (lo, hi) == overlap.bootstrap_median(np.arange(20.0))
+    assert all(math.isnan(v) for v in overlap.bootstrap_median(np.array([]), 1))
+    assert overlap.bootstrap_median(np.array([4.0]), 1) == (4.0, 4.0)
+    lo, hi = overlap.bootstrap_median(np.arange(20.0), 7)
+    assert lo < 9.5 < hi and (lo, hi) == overlap.bootstrap_median(np.arange(20.0), 7)
 
 
 def test_change_points():
@@ -138,6 +140,83 @@ def test_change_points():
     assert changes.binary_segmentation(np.zeros(4), 3) == []
 
 
+def full_segmentation(x, penalty, least):
+    """Every start of every prefix, on the whole kernel matrix."""
+    n, square = len(x), (x[:, None] - x[None, :]) ** 2
+    middle = np.median(square[np.triu_indices(n, 1)]) if n > 1 else 0.0
+    gram = np.exp(-np.clip(square / middle if middle > 0 else square, 1e-2, 1e2))
+    np.fill_diagonal(gram, 1.0)
+    best = [-penalty] + [np.inf] * n
+    for b in range(least, n + 1):
+        best[b] = min(best[a] + (b - a) - gram[a:b, a:b].sum() / (b - a) + penalty for a in range(b - least + 1) if a == 0 or a >= least)
+    return np.array(best)
+
+
+@pytest.mark.parametrize("penalty", [10.0, 2.0, 0.3, 0.0])
+def test_pruned_segmentation_is_the_best_one(penalty):
+    for n, least in ((2, 3), (30, 1), (64, 3), (75, 5)):
+        x = RNG.normal(size=n) + np.repeat(RNG.normal(size=n // 15 + 1) * 3, 15)[:n]
+        for v in (x, np.round(x)):
+            assert np.allclose(changes.segmentation_table(v, penalty, least)[0][least:], full_segmentation(v, penalty, least)[least:])
+
+
+def test_segmentation_drops_starts():
+    x = np.concatenate([RNG.normal(4 * (i % 5), 1, 200) for i in range(15)])
+    assert changes.segmentation_table(x, 10.0)[2] < len(x) ** 2 / 20
+    assert changes.kernel_segmentation(x, 10.0) == list(range(199, 2999, 200))
+
+
+@pytest.mark.parametrize("listed", [0, 8])
+@pytest.mark.parametrize("n", [2, 3, 4, 9, 60, 151])
+def test_pair_statistics_equal_all_pairs(n, listed, monkeypatch):
+    monkeypatch.setattr(pairs, "LISTED", listed)
+    i, j = np.triu_indices(n, 1)
+    for x in (RNG.normal(size=n), RNG.integers(0, 4, n) * 1.0, np.zeros(n), np.arange(n) * 0.1, -RNG.normal(size=n).cumsum(), np.repeat(RNG.normal(size=n), 2)[:n]):
+        assert pairs.kendall_score(x) == np.sign(x[j] - x[i]).sum()
+        assert pairs.median_slope(x) == pytest.approx(np.median((x[j] - x[i]) / (j - i)), rel=1e-12, abs=1e-12)
+        assert pairs.median_square(x) == pytest.approx(np.median((x[i] - x[j]) ** 2), rel=1e-12, abs=1e-12)
+        falls = x[i] > x[j]
+        assert sorted(zip(*pairs.listed_inversions(pairs.ranks_of(x), 10**9))) == sorted(zip(i[falls], j[falls]))
+
+
+def test_pair_statistics_of_long_series():
+    x = RNG.integers(0, 5, 200_000) * 1.0
+    assert pairs.median_slope(x) == 0.0 and abs(pairs.kendall_score(x)) < 2e8
+    line = np.arange(50_000) * 3.0
+    assert pairs.median_slope(line) == 3.0 and pairs.kendall_score(line) == 50_000 * 49_999 // 2
+
+
+def test_draws_look_uniform_and_independent():
+    got = counter.drawn_array(77, np.arange(2_000), np.arange(50), 10)
+    counts = np.bincount(got.ravel(), minlength=10)
+    assert ((counts - 10_000) ** 2 / 10_000).sum() < 30 and got.min() == 0 and got.max() == 9
+    assert abs(np.corrcoef(got[:, :-1].ravel(), got[:, 1:].ravel())[0, 1]) < 0.01 and abs(np.corrcoef(got[:-1].ravel(), got[1:].ravel())[0, 1]) < 0.01
+    assert (got != counter.drawn_array(78, np.arange(2_000), np.arange(50), 10)).mean() > 0.85
+
+
+def split_profile(x, m):
+    """(nearest to the left, nearest to the right) by all pairs of windows."""
+    n, zone = len(x) - m + 1, math.ceil(m / 4)
+    z = np.array([(x[i : i + m] - x[i : i + m].mean()) / x[i : i + m].std() for i in range(n)])
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    left = [int(d[i, : i - zone].argmin()) if i > zone else -1 for i in range(n)]
+    return left, [int(d[i, i + zone + 1 :].argmin()) + i + zone + 1 if i + zone + 1 < n else -1 for i in range(n)]
+
+
+def test_tiles_make_up_the_profile():
+    x, m, size = RNG.normal(size=200).cumsum(), 9, 37
+    n = len(x) - m + 1
+    best, near = {s: np.full(n, np.inf) for s in tiles.SIDES}, {s: np.full(n, -1) for s in tiles.SIDES}
+    for r in range(0, n, size):
+        for c in range(r, n, size):
+            a, b = x[r : r + size + m - 1], x[c : c + size + m - 1]
+            for side, base, other, (d, u) in (("right", r, c, tiles.tile_minima(a, b, m, c - r)[:2]), ("left", c, r, tiles.tile_minima(a, b, m, c - r)[2:])):
+                at = np.flatnonzero((u >= 0) & (d < best[side][base : base + len(d)]))
+                best[side][base + at], near[side][base + at] = d[at], u[at] + other
+    assert (near["left"].tolist(), near["right"].tolist()) == split_profile(x, m)
+    assert np.allclose(np.minimum(best["left"], best["right"]), profile.profile_array(x, m)[0], atol=1e-6)
+
+
 def test_wavelet_coherence_of_equal_series():
     x = np.sin(np.arange(128) * 2 * np.pi / 12) + 0.01 * RNG.normal(size=128)
     period, coh = correlate.wavelet_coherence(x, x)

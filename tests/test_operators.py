@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.config import EngineConfig
 from tessera.functions import columns as fn
-from tessera.operators import bands, overlap, profile, rolling, series, spatial, stats
+from tessera.functions import counter
+from tessera.operators import bands, overlap, profile, rolling, series, spatial, stats, tiles
 from tessera.plans import stages
 from tessera.sources import readers, writers
 from tessera.streaming import monthly
@@ -244,3 +245,70 @@ def test_p_values_of_the_published_case_and_of_series_without_values(spark):
     rows = spark.createDataFrame([("s", "i", e, v) for e, v in values] + [("t", "i", True, 1.0)], "series string, indicator string, early boolean, value double")
     got = {r.series: r for r in stats.mann_whitney(rows).collect()}
     assert got["s"].u == 96 and got["s"].p == pytest.approx(0.038473, abs=1e-6) and got["t"].p is None and got["t"].u is None
+
+
+# --- long series, pairs, draws -----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("tile", [7, 50, 4096])
+def test_tiled_profile_equals_the_kernel(spark, tile):
+    x = np.random.default_rng(3).normal(size=150).cumsum()
+    x[60:75] = 2.0  # constant windows
+    x[100] = np.nan
+    df = frame(spark, [float(v) for v in x]).unionByName(frame(spark, [1.0, 2.0, 3.0], "short")).repartition(3)
+    got = {r.t: r for r in tiles.tiled_profile(df, 8, tile=tile).collect()}
+    mp, nn = profile.profile_array(x, 8)
+    assert sorted(got) == list(range(len(mp))) and {r.series for r in got.values()} == {"s"}
+    assert np.allclose([got[t].mp for t in range(len(mp))], mp, atol=1e-5)
+    for t, r in got.items():
+        assert r.mp == min(r.left_mp, r.right_mp) and r.nn in (r.left_nn, r.right_nn)
+        assert (r.left_nn == -1) == (r.left_mp == float("inf")) and (r.left_nn == -1 or r.left_nn < t - profile.exclusion(8)) and (r.right_nn == -1 or r.right_nn > t + profile.exclusion(8))
+
+
+def test_tiled_profile_of_odd_series(spark):
+    x = np.random.default_rng(6).normal(size=60)
+    x[20:22] = np.nan
+    rows = [("s", dt.date(2000, 1, 1) + dt.timedelta(i), i, float(x[i])) for i in range(60) if i not in (20, 21)]
+    df = spark.createDataFrame([*rows, rows[5], ("s", rows[6][1], 6, None)], "series string, date date, t long, x double").withColumns({"block": F.lit(1), "size": F.lit("x"), "last": F.lit(0)})
+    got = tiles.tiled_profile(df, 6, tile=16).collect()
+    mp, nn = profile.profile_array(x, 6)
+    assert {r.t: r.nn for r in got} == {t: int(nn[t]) for t in range(len(mp)) if t not in (20, 21)}
+    assert all(r.mp == float("inf") and r.left_nn == r.right_nn == -1 for r in got if 15 <= r.t < 20)
+    assert tiles.tiled_profile(df.limit(0), 6).count() == 0
+
+
+def test_a_long_series_is_many_tasks(spark):
+    x = np.random.default_rng(8).normal(size=6_000)
+    df = spark.createDataFrame([("s", None, i, float(v)) for i, v in enumerate(x)], "series string, date date, t long, x double")
+    got = tiles.tiled_profile(df, 20, tile=1024).orderBy("t").collect()
+    mp, nn = profile.profile_array(x, 20)
+    assert np.allclose([r.mp for r in got], mp, atol=1e-6) and [r.nn for r in got] == nn.tolist()
+
+
+def test_draws_are_the_same_in_spark_and_numpy(spark):
+    got = spark.range(40).select(F.col("id").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("p")).select("d", "p", counter.drawn(F.lit(123_456_789), F.col("d"), F.col("p"), F.lit(37)).alias("x")).collect()
+    want = counter.drawn_array(123_456_789, np.arange(40), np.arange(10), 37)
+    assert all(r.x == want[r.d, r.p] for r in got)
+
+
+def test_lag_intervals_equal_the_kernel(spark):
+    lags = {("a", "x"): [3, -1, 4, 1, -5, 9, 2], ("a", "y"): [6], ("b", "x"): [2, 2, 2, 8]}
+    df = spark.createDataFrame([(s, i, 0, 0, v) for (s, i), vs in lags.items() for v in vs], "series string, indicator string, start long, other long, lag long")
+    keys = {(r.series, r.indicator): r.key for r in df.select("series", "indicator", counter.key_of("series", "indicator").alias("key")).distinct().collect()}
+    for r in overlap.lag_intervals(df.repartition(3), 300, 7).collect():
+        assert (r.ci_lower, r.ci_upper) == pytest.approx(overlap.bootstrap_median(np.array(lags[r.series, r.indicator], float), keys[r.series, r.indicator] + 7, 300)) and r.n == len(lags[r.series, r.indicator])
+
+
+def test_corrected_trends_do_not_depend_on_chunks(spark):
+    rng = np.random.default_rng(4)
+    rows = [("s", name, d, float(v)) for name, n in (("long", 60), ("block", 30), ("few", 5)) for d, v in zip(months(n), rng.normal(size=n) + np.arange(n) * 0.02)]
+    df = spark.createDataFrame(rows, "series string, indicator string, date date, x double")
+    one, other = ({r.indicator: r for r in stats.corrected_trends(df.repartition(k), 36, 400, at_once=step).collect()} for k, step in ((1, 400), (3, 33)))
+    assert one == other and one["few"].p is None and one["few"].p_block is None
+    assert 0 < one["long"].p_block <= 1 and one["block"].n == 30
+
+
+def test_trend_of_a_very_long_group(spark):
+    df = spark.range(200_000).select(F.lit("s").alias("series"), F.lit("i").alias("indicator"), F.date_add(F.lit(dt.date(1700, 1, 1)), F.col("id").cast("int")).alias("date"), ((F.col("id") * 7919 % 1000) + F.col("id") * 0.25).alias("x"))
+    got = stats.mann_kendall(df).first()
+    assert got.n == 200_000 and got.trend == "increasing" and got.slope == pytest.approx(0.25, abs=1e-4)
