@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,19 +73,19 @@ def half_even(x: Column, digits: int) -> Column:
 
 @F.pandas_udf(DoubleType())
 def normal_sf(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: v if math.isnan(v) else mathx.normal_sf(v) if math.isfinite(v) else float(v < 0))
+    return pd.Series(mathx.normal_sf_array(z.to_numpy(float)))
 
 
 @F.pandas_udf(DoubleType())
 def pearson_p(r: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([mathx.pearson_p(a, int(b)) for a, b in zip(r, n, strict=True)])
+    return pd.Series(mathx.pearson_p_array(r.to_numpy(float), n.to_numpy(float)))
 
 
 @F.pandas_udf(DoubleType())
 def mwu_greater_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
-    return pd.Series([math.nan if math.isnan(a) else mathx.mwu_greater(a, int(b), int(c), d) for a, b, c, d in zip(u, n1, n2, ties, strict=True)])
+    return pd.Series(mathx.mwu_greater_array(u.to_numpy(float), n1.to_numpy(float), n2.to_numpy(float), ties.to_numpy(float)))
 
 
 @F.pandas_udf(DoubleType())
 def mwu_exact_p(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
-    return pd.Series([math.nan if math.isnan(a) else mathx.mwu_exact(a, int(b), int(c)) for a, b, c in zip(u, n1, n2, strict=True)])
+    return pd.Series(mathx.mwu_exact_array(u.to_numpy(float), n1.fillna(0).to_numpy(float), n2.fillna(0).to_numpy(float)))

@@ -529,13 +529,19 @@ def annual_trend(spark, sf_dir):
     return stats.annual_trend(annual_overlap_counts(spark, sf_dir))
 
 
-_K = "least(round(mean1 * n1), n1)"
-_ZEROS = f"(n1 + n2 - {_K})"
-_FLOOR = _greater(f"({_K} * n2 + (n1 - {_K}) * n2 / 2.0)", "n1", "n2", f"pow({_ZEROS}, 3) - {_ZEROS} + pow({_K}, 3) - {_K}")
+def _rebuilt(p: str, ones1: str, ones2: str) -> str:
+    """The tests of ``p`` with f: the p of samples listed value by value, by comparing every pair of values."""
+    return f"""SELECT *, CASE WHEN n1 > 0 AND n2 > 0 THEN {_greater('fu', 'n1', 'n2', '(pow(f1, 3) - f1 + pow(f0, 3) - f0)')} END AS f FROM (
+      SELECT *, list_sum(list_transform(one, lambda x: list_sum(list_transform(two, lambda y: CASE WHEN x > y THEN 1.0 WHEN x = y THEN 0.5 ELSE 0 END)))) AS fu, len(list_filter(list_concat(one, two), lambda x: x = 1)) AS f1, len(list_filter(list_concat(one, two), lambda x: x = 0)) AS f0 FROM (
+        SELECT *, list_transform(range(0, n1), lambda i: CASE WHEN i < {ones1} THEN 1 ELSE 0 END) AS one, list_transform(range(0, n2), lambda i: CASE WHEN i < {ones2} THEN 1 ELSE 0 END) AS two FROM ({p})))"""
 
 
-@query(f"""SELECT series, indicator, n1, n2, {_r('u', 'ties', 'mean1', 'mean2', 'effect', 'p', 'floor_p')}, CASE WHEN mean1 > mean2 THEN 'early>late' ELSE 'early<=late' END AS direction, coalesce(abs(p - floor_p) < 1e-6, false) AS at_floor, coalesce(p < 0.05, false) AS significant
-  FROM (SELECT *, CASE WHEN n1 > 0 AND n2 > 0 THEN {_FLOOR} END AS floor_p FROM ({_MWU}))""")
+_OWN_FLOOR = f"SELECT * EXCLUDE (one, two, fu, f1, f0) RENAME (f AS floor_p) FROM ({_rebuilt(_MWU, 'round_even(mean1 * n1, 0)', 'round_even(mean2 * n2, 0)')})"
+_FLOORS = f"SELECT * EXCLUDE (one, two, fu, f1, f0) RENAME (f AS global_floor_p) FROM ({_rebuilt(_OWN_FLOOR, 'n1', '0')})"
+
+
+@query(f"""SELECT series, indicator, n1, n2, {_r('u', 'ties', 'mean1', 'mean2', 'effect', 'p', 'floor_p', 'global_floor_p')}, CASE WHEN mean1 > mean2 THEN 'early>late' ELSE 'early<=late' END AS direction,
+  coalesce(abs(p - floor_p) < 1e-6, false) AS at_floor, coalesce(abs(p - global_floor_p) < 1e-6, false) AS at_global_floor, coalesce(p < 0.05, false) AS significant FROM ({_FLOORS})""")
 def floor_flags(spark, sf_dir):
     return stats.conditional_floor(stats.mann_whitney(_annual_split(spark, sf_dir)))
 

@@ -66,6 +66,24 @@ def test_motif_groups_start_with_the_best_pair():
     assert got and {got[0][1], got[0][2]} == {10, 70} and got[0][3] == 0.0
 
 
+def test_array_forms_equal_the_scalar_ones():
+    z = np.concatenate([np.linspace(-9, 9, 400), [0.0, 3.0, -3.0, 37.0]])
+    assert np.allclose(mathx.normal_sf_array(z), [mathx.normal_sf(v) for v in z], rtol=1e-10, atol=0)
+    assert mathx.normal_sf_array(np.array([np.inf, -np.inf])).tolist() == [pytest.approx(0, abs=1e-300), 1] and np.isnan(mathx.normal_sf_array(np.array([np.nan])))[0]
+    r, n = RNG.uniform(-1, 1, 500), RNG.integers(1, 90, 500)
+    r[:4] = [1.0, -1.0, 0.0, np.nan]
+    want = np.array([mathx.pearson_p(a, int(b)) for a, b in zip(r, n)])
+    assert np.allclose(mathx.pearson_p_array(r, n), want, rtol=1e-9, atol=1e-14, equal_nan=True)
+    n1, n2 = RNG.integers(0, 7, 300), RNG.integers(0, 7, 300)
+    u = RNG.integers(0, 50, 300) % (n1 * n2 + 1) / 1.0
+    want = np.array([mathx.mwu_exact(a, int(b), int(c)) for a, b, c in zip(u, n1, n2)])
+    assert np.allclose(mathx.mwu_exact_array(u, n1, n2), want, equal_nan=True)
+    ties = RNG.integers(0, 3, 300) * 6.0
+    want = np.array([mathx.mwu_greater(a, int(b), int(c), d) for a, b, c, d in zip(u, n1, n2, ties)])
+    ok = (n1 > 0) & (n2 > 0)
+    assert np.allclose(mathx.mwu_greater_array(u, n1, n2, ties)[ok], want[ok], rtol=1e-10)
+
+
 def test_mann_whitney_values():
     assert mathx.mwu_greater(96, 10, 16, 24**3 - 24 + 2**3 - 2) == pytest.approx(0.0384730260, abs=1e-9)
     for k, want in {0: 1.0, 1: 0.1178399567, 3: 0.0126570889, 10: 3.36929406e-07}.items():

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import EngineConfig
 from tessera.functions import columns as fn
-from tessera.functions import counter
+from tessera.functions import counter, mathx
 from tessera.operators import bands, overlap, profile, rolling, series, spatial, stats, tiles
 from tessera.plans import stages
 from tessera.sources import readers, writers
@@ -312,3 +312,19 @@ def test_trend_of_a_very_long_group(spark):
     df = spark.range(200_000).select(F.lit("s").alias("series"), F.lit("i").alias("indicator"), F.date_add(F.lit(dt.date(1700, 1, 1)), F.col("id").cast("int")).alias("date"), ((F.col("id") * 7919 % 1000) + F.col("id") * 0.25).alias("x"))
     got = stats.mann_kendall(df).first()
     assert got.n == 200_000 and got.trend == "increasing" and got.slope == pytest.approx(0.25, abs=1e-4)
+
+
+def test_floors_of_rebuilt_samples(spark):
+    rows = [("a", 10, 16, 96.0, 0.2, 0.0, 0.038473), ("b", 10, 16, 91.0, 0.2, 1 / 16, 0.2), ("c", 4, 4, 16.0, 3.0, 0.0, 0.01), ("d", 0, 4, None, None, 1.0, None)]
+    got = {r.k: r for r in stats.conditional_floor(spark.createDataFrame(rows, "k string, n1 long, n2 long, u double, mean1 double, mean2 double, p double")).collect()}
+
+    def p_of(one, two):
+        u = sum(1.0 if x > y else 0.5 if x == y else 0.0 for x in one for y in two)
+        ones = sum(one) + sum(two)
+        zeros = len(one) + len(two) - ones
+        return mathx.mwu_greater(u, len(one), len(two), ones**3 - ones + zeros**3 - zeros)
+
+    assert got["a"].floor_p == pytest.approx(p_of([1, 1] + [0] * 8, [0] * 16)) and got["a"].at_floor
+    assert got["b"].floor_p == pytest.approx(p_of([1, 1] + [0] * 8, [1] + [0] * 15)) and not got["b"].at_floor
+    assert got["c"].floor_p == got["c"].global_floor_p == pytest.approx(p_of([1] * 4, [0] * 4))
+    assert got["d"].floor_p is None and not got["d"].at_global_floor
