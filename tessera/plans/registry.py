@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera import adapters
 from tessera.functions import columns as fn
-from tessera.functions import counter
-from tessera.operators import bands, changes, correlate, overlap, profile, rolling, series, spatial, stats, tiles
+from tessera.functions import counter, projections
+from tessera.operators import bands, changes, correlate, intervals, overlap, profile, rolling, series, spatial, stats, tiles
 from tessera.plans import stages
 from tessera.streaming import monthly
 from tessera.tables import table
@@ -396,6 +396,32 @@ def period_slices(spark, sf_dir):
     return spatial.assign_periods(adapters.indicators_wide(spark, sf_dir), spatial.periods(spark))
 
 
+_VALID = """SELECT event_id, event_type, CAST(DATE '1995-01-01' + CAST(floor(epoch(ts - (SELECT min(ts) FROM events)) / 1080) AS INTEGER) AS DATE) AS first, CAST(DATE '1995-01-01' + CAST(floor(epoch(ts - (SELECT min(ts) FROM events)) / 1080) + event_id % 5 AS INTEGER) AS DATE) AS last FROM events"""
+
+
+@query(f"SELECT event_id, event_type, count(*) AS n, round(sum(o_totalprice) + 2e-09, 4) + 0.0 AS total FROM orders JOIN ({_VALID}) ON CAST(o_orderdate AS DATE) BETWEEN first AND last GROUP BY ALL", digits=4)
+def orders_in_validity(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
+    met = intervals.interval_join(orders, adapters.validity_periods(spark, sf_dir), "day")
+    return met.groupBy("event_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+
+
+_TURN = f"pow((1 - {projections.ECCENTRICITY} * sin(radians(lat))) / (1 + {projections.ECCENTRICITY} * sin(radians(lat))), {projections.ECCENTRICITY / 2})"
+
+
+@query(f"""SELECT id, zone, round(a * radians(lon) + 2e-9, 4) + 0.0 AS x, round(a * ln(tan(pi() / 4 + radians(lat) / 2)) + 2e-9, 4) + 0.0 AS y_sphere, round(a * ln(tan(pi() / 4 + radians(lat) / 2) * {_TURN}) + 2e-9, 4) + 0.0 AS y_ellipsoid, {', '.join(f"round({c} + 2e-9, 8) + 0.0 AS {c}_{k}" for k in ('zone', 'sphere', 'ellipsoid') for c in ('lon', 'lat'))}
+  FROM (SELECT *, CAST(floor((lon + 180) / 6) AS INTEGER) + 1 AS zone, {projections.AXIS} AS a FROM $points WHERE lon >= -180 AND lon < 180 AND abs(lat) < 84)""", digits=8)
+def projected_points(spark, sf_dir):
+    p = adapters.points(spark, sf_dir).filter((F.col("lon") >= -180) & (F.col("lon") < 180) & (F.abs("lat") < 84)).withColumn("zone", projections.zone_of(F.col("lon")))
+    lon, lat, south = F.col("lon"), F.col("lat"), F.col("lat") < 0
+    planes = {"zone": projections.to_zone(lon, lat, F.col("zone"), south), "sphere": projections.to_mercator(lon, lat), "ellipsoid": projections.to_mercator(lon, lat, ellipsoid=True)}
+    systems = {"zone": F.when(south, projections.SOUTH).otherwise(projections.NORTH) + F.col("zone"), "sphere": F.lit(projections.WEB_MERCATOR), "ellipsoid": F.lit(projections.WORLD_MERCATOR)}
+    flat = p.select("id", "zone", *[c.alias(f"{axis}_of_{k}") for k, pair in planes.items() for axis, c in zip("xy", pair, strict=True)], *[c.alias(f"system_{k}") for k, c in systems.items()])
+    back = flat.select("*", *[projections.to_degrees(F.col(f"x_of_{k}"), F.col(f"y_of_{k}"), F.col(f"system_{k}")).alias(f"back_{k}") for k in planes])
+    metres = {"x": "x_of_sphere", "y_sphere": "y_of_sphere", "y_ellipsoid": "y_of_ellipsoid"}
+    return back.select("id", "zone", *[(F.round(F.col(c) + NUDGE, 4) + 0.0).alias(name) for name, c in metres.items()], *[F.col(f"back_{k}.{v}").alias(f"{axis}_{k}") for k in planes for v, axis in (("x", "lon"), ("y", "lat"))])
+
+
 # --- profiles ------------------------------------------------------------------------------------------
 
 

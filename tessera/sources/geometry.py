@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import projections
+from tessera.operators import spatial
+
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 RINGS = T.ArrayType(T.ArrayType(POINT))
 #: Geometry kinds of well-known binary.
@@ -76,12 +79,13 @@ def encode_polygons(df: DataFrame, column: str = "rings") -> DataFrame:
 GEOGRAPHIC = (4326, 0)
 
 
-def read_geopackage(files: DataFrame, systems: tuple[int, ...] = GEOGRAPHIC) -> DataFrame:
-    """(path, layer, geometry WKB) of every feature in GeoPackage files from ``spark.read.format("binaryFile")``.
+def read_geopackage(files: DataFrame, systems: tuple[int, ...] | None = GEOGRAPHIC) -> DataFrame:
+    """(path, layer, geometry WKB, system) of every feature in GeoPackage files from ``spark.read.format("binaryFile")``.
 
     A file is opened in memory by the task that holds it, so it is read where it lies and never as a local path. A
-    geometry's own header is skipped by its flags. Coordinates aren't converted: a geometry whose header names a
-    reference system beyond ``systems`` raises ValueError, since its coordinates would be taken for degrees.
+    geometry's own header is skipped by its flags; ``system`` is the code that the file gives the header's reference
+    system. Coordinates are as stored: a geometry in a system beyond ``systems`` raises ValueError, since it would be
+    taken for degrees; with None all are read, for ``geographic_polygons`` to convert.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,12 +94,29 @@ def read_geopackage(files: DataFrame, systems: tuple[int, ...] = GEOGRAPHIC) ->
             for path, content in zip(part["path"], part["content"], strict=True):
                 con = sqlite3.connect(":memory:")
                 con.deserialize(bytes(content))
+                has_codes = con.execute("SELECT count(*) FROM sqlite_master WHERE name = 'gpkg_spatial_ref_sys'").fetchone()[0]
+                codes = dict(con.execute("SELECT srs_id, organization_coordsys_id FROM gpkg_spatial_ref_sys")) if has_codes else {}
                 for layer, column in con.execute("SELECT table_name, column_name FROM gpkg_geometry_columns").fetchall():
                     blobs = [b for (b,) in con.execute(f'SELECT "{column}" FROM "{layer}"') if b]  # noqa: S608
-                    other = {int.from_bytes(b[4:8], "little" if b[3] & 1 else "big", signed=True) for b in blobs} - set(systems)
+                    own = [int.from_bytes(b[4:8], "little" if b[3] & 1 else "big", signed=True) for b in blobs]
+                    own = [codes.get(i, i) for i in own]
+                    other = set() if systems is None else set(own) - set(systems)
                     if other:
                         raise ValueError(f"{layer} of {path} is in reference system {min(other)}, not one of {systems}")
-                    yield pd.DataFrame({"path": path, "layer": layer, "geometry": [b[8 + envelope[b[3] >> 1 & 7] :] for b in blobs]})
+                    yield pd.DataFrame({"path": path, "layer": layer, "geometry": [b[8 + envelope[b[3] >> 1 & 7] :] for b in blobs], "system": own})
                 con.close()
 
-    return files.select("path", "content").mapInPandas(run, "path string, layer string, geometry binary")
+    return files.select("path", "content").mapInPandas(run, "path string, layer string, geometry binary, system int")
+
+
+def geographic_polygons(features: DataFrame, column: str = "geometry") -> DataFrame:
+    """``features`` (geometry WKB, system) with rings in longitude and latitude, converted from the layer's own system.
+
+    Degrees, both Mercator projections and zones of transverse Mercator are known; another system is an error when rows
+    in it are computed, not silence. Null geometries have null rings.
+    """
+    system = F.col("system")
+    checked = F.when(~projections.known(system), F.raise_error(F.concat(F.lit("no inverse for reference system "), system.cast("string"))).cast("int")).otherwise(system)
+    (own,) = spatial.free_names(features, "own_system")
+    decoded = decode_polygons(features.withColumn(own, checked), column)
+    return decoded.withColumn("rings", projections.rings_to_degrees(F.col("rings"), F.col(own))).drop(own)

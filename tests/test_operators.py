@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.config import EngineConfig
 from tessera.functions import columns as fn
-from tessera.functions import counter, mathx
-from tessera.operators import bands, overlap, profile, rolling, series, spatial, stats, tiles
+from tessera.functions import counter, mathx, projections
+from tessera.operators import bands, intervals, overlap, profile, quadtree, rolling, series, spatial, stats, tiles
 from tessera.plans import stages
 from tessera.sources import readers, writers
 from tessera.streaming import monthly
@@ -219,6 +219,12 @@ def test_polygons_survive_binary_and_geopackage(spark, tmp_path):
     with pytest.raises(Exception, match="3857"):
         geometry.read_geopackage(other).collect()
     assert geometry.read_geopackage(other, (3857,)).count() == 1
+    flat = geometry.geographic_polygons(geometry.read_geopackage(other, None)).first()
+    x, y = geometry.rings_of(wkb)[0][1]
+    lon, lat = np.degrees(x / 6378137), np.degrees(np.arctan(np.sinh(y / 6378137)))
+    assert flat.system == 3857 and (flat.rings[0][1].x, flat.rings[0][1].y) == pytest.approx((lon, lat))
+    with pytest.raises(Exception, match="no inverse for reference system 2154"):
+        geometry.geographic_polygons(geometry.read_geopackage(other, None).withColumn("system", F.lit(2154))).collect()
     with pytest.raises(ValueError, match="neither"):
         geometry.rings_of(b"\x01\x01\0\0\0" + bytes(16))
 
@@ -328,3 +334,75 @@ def test_floors_of_rebuilt_samples(spark):
     assert got["b"].floor_p == pytest.approx(p_of([1, 1] + [0] * 8, [1] + [0] * 15)) and not got["b"].at_floor
     assert got["c"].floor_p == got["c"].global_floor_p == pytest.approx(p_of([1] * 4, [0] * 4))
     assert got["d"].floor_p is None and not got["d"].at_global_floor
+
+
+# --- crowded points, intervals, projections -------------------------------------------------------------
+
+
+def crowded_points(spark, n=6_000):
+    rng = np.random.default_rng(12)
+    xy = np.concatenate([rng.normal((12.0, 11.0), 0.05, (n // 2, 2)), rng.normal((20.0, 3.0), 1e-4, (n // 4, 2)), rng.uniform((-60, -60), (110, 90), (n // 4, 2))])
+    odd = [(float("nan"), 1.0), (None, None), (0.0, 40.0), (10.0, 10.0), (-5.0, 0.0), (500.0, 0.0)]
+    return spark.createDataFrame([(i, None if a is None else float(a), None if b is None else float(b), 7) for i, (a, b) in enumerate([*xy.tolist(), *odd])], "id int, lon double, lat double, cell int")
+
+
+@pytest.mark.parametrize("capacity", [10, 300, 10**6])
+def test_quadtree_finds_what_testing_all_finds(spark, capacity):
+    points = crowded_points(spark)
+    rng = np.random.default_rng(1)
+    star = [[(float(30 * r * np.cos(a)), float(30 * r * np.sin(a))) for a, r in zip(np.linspace(0, 2 * np.pi, 400, endpoint=False), rng.uniform(0.3, 1.5, 400))]]
+    shapes = spatial.polygons(spark, [*spatial.POLYGONS, ("star", star), ("flat", [[(1.0, 1.0), (2.0, 2.0)]]), ("none", [])])
+    got = sorted((r.id, r.polygon) for r in spatial.within(points, shapes, capacity=capacity).collect())
+    want = points.join(shapes, spatial.inside(F.col("rings"), F.col("lon"), F.col("lat"))).select("id", "polygon").collect()
+    assert got == sorted((r.id, r.polygon) for r in want) and len(got) > 3_000
+    assert spatial.within(points, shapes.limit(0)).count() == 0 and spatial.within(points.limit(0), shapes).count() == 0
+
+
+def test_quadtree_splits_where_points_are_many(spark):
+    points = crowded_points(spark).filter("lon BETWEEN -60 AND 110 AND lat BETWEEN -60 AND 90")
+    area = quadtree.Area(-60.0, -60.0, 110.0, 90.0)
+    coded = points.select(quadtree.code(area, F.col("lon"), F.col("lat")).alias("code"))
+    tree = quadtree.grown(coded, 200, 4_096)
+    counts = quadtree.with_leaf(coded, tree, "code", "leaf").groupBy("leaf").count().collect()
+    assert tree.starts[0] == 0 and sum(r["count"] for r in counts) == points.count()
+    finest = coded.groupBy("code").count().agg(F.max("count")).first()[0]
+    assert max(r["count"] for r in counts) <= max(200, finest) < points.count() / 3
+    assert len(tree.starts) < 4 * 4_096 and len(quadtree.grown(coded, 1, 8).starts) <= 3 * 8 * quadtree.LEVELS + 1
+
+
+def test_intervals_equal_a_plain_join(spark):
+    rng = np.random.default_rng(5)
+    at = [*rng.integers(0, 1000, 400).tolist(), *[500] * 300, None]
+    ends = [(int(a), int(a + w)) for a, w in zip(rng.integers(-50, 1050, 200), rng.choice([0, 1, 5, 900, -3], 200))]
+    ends += [(None, 5), (5, None), (500, 500), (500, 500), (-100, 5000)]
+    base = dt.date(2000, 1, 1)
+    day = lambda v: None if v is None else base + dt.timedelta(v)
+    rows = spark.createDataFrame([(i, a, day(a), None if a is None else a / 2) for i, a in enumerate(at)], "id int, n int, d date, x double").repartition(4)
+    dim = spark.createDataFrame([(i, a, b, day(a), day(b)) for i, (a, b) in enumerate(ends)], "k int, a int, b int, first date, last date")
+    want = sorted((i, k) for i, v in enumerate(at) for k, (a, b) in enumerate(ends) if None not in (v, a, b) and a <= v <= b)
+    for ranges, size in ((1, 10**6), (16, 40), (100, 10**6)):
+        got = intervals.interval_join(rows, dim.select("k", "first", "last"), "d", ranges=ranges, rows_a_task=size)
+        assert got.columns == ["id", "n", "d", "x", "k"] and sorted((r.id, r.k) for r in got.collect()) == want
+    halves = dim.select("k", (F.col("a") / 2).alias("a"), (F.col("b") / 2).alias("b"))
+    assert sorted((r.id, r.k) for r in intervals.interval_join(rows, halves, "x", "a", "b").collect()) == want
+    assert intervals.interval_join(rows.limit(0), dim.select("k", "first", "last"), "d").count() == 0
+    assert intervals.interval_join(rows, dim.select("k", "first", "last").limit(0), "d").count() == 0
+    with pytest.raises(ValueError, match="both sides have id"):
+        intervals.interval_join(rows, dim.select(F.col("k").alias("id"), "first", "last"), "d")
+
+
+def test_projections_have_inverses_and_known_places(spark):
+    rng = np.random.default_rng(2)
+    lonlat = [(float(a), float(b)) for a, b in zip(rng.uniform(-180, 179.99, 400), rng.uniform(-84, 84, 400))] + [(0.0, 0.0), (3.0, 45.0), (-180.0, 10.0), (179.9, -83.9)]
+    df = spark.createDataFrame(lonlat, "lon double, lat double").withColumn("zone", projections.zone_of(F.col("lon")))
+    lon, lat, south = F.col("lon"), F.col("lat"), F.col("lat") < 0
+    forms = {"zone": projections.from_zone(*projections.to_zone(lon, lat, F.col("zone"), south), F.col("zone"), south), "a": projections.from_mercator(*projections.to_mercator(lon, lat)), "b": projections.from_mercator(*projections.to_mercator(lon, lat, True), True)}
+    for name, (x, y) in forms.items():
+        worst = df.agg(F.max(F.greatest(F.abs(x - lon), F.abs(y - lat)))).first()[0]
+        assert worst < 1e-9, name
+    known = [(3.0, 45.0, 31, 500_000.0, 0.9996 * 4_984_944.378), (-(79 + 23 / 60 + 13.7 / 3600), 43 + 38 / 60 + 33.24 / 3600, 17, 630_084.0, 4_833_438.0)]
+    for a, b, zone, east, north in known:
+        x, y = projections.to_zone(F.lit(a), F.lit(b), F.lit(zone), F.lit(False))
+        got = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+        assert (got.x, got.y) == (pytest.approx(east, abs=0.7), pytest.approx(north, abs=0.7))
+    assert spark.range(1).select(projections.to_degrees(F.lit(1.0), F.lit(2.0), F.lit(2154)).alias("p")).first().p is None
