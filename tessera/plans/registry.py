@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from tessera import adapters
 from tessera.functions import columns as fn
 from tessera.functions import counter, projections
-from tessera.operators import bands, changes, correlate, intervals, overlap, profile, rolling, series, spatial, stats, tiles
+from tessera.operators import bands, changes, correlate, intervals, overlap, profile, rolling, series, spatial, stats, table_functions, tiles
 from tessera.plans import stages
-from tessera.streaming import monthly
+from tessera.streaming import anomalies, monthly
 from tessera.tables import table
 
 QUERIES: dict = {}
@@ -305,6 +305,11 @@ def event_windows(spark, sf_dir):
     return got.withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
+@query(f"SELECT series, date, {_r('x', 'anomaly')}, n, false AS late FROM (SELECT series, date, x, x - sum(x) OVER w / count(x) OVER w AS anomaly, count(x) OVER w AS n FROM $monthly WINDOW w AS (PARTITION BY series, month(date) ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))")
+def running_anomalies(spark, sf_dir):
+    return anomalies.batch_anomalies(stages.monthly(spark, sf_dir))
+
+
 # --- scalar functions ------------------------------------------------------------------------------
 
 
@@ -435,6 +440,12 @@ def matrix_profile_m24(spark, sf_dir):
     return stages.region_profile(spark, sf_dir, 24)
 
 
+@query(f"SELECT series, t, date, {_r('mp', digits=5)}, nn FROM $p12", digits=5)
+def profile_in_sql(spark, sf_dir):
+    table_functions.register(spark)
+    return spark.sql("SELECT * FROM matrix_profile(TABLE(SELECT * FROM {rows}) PARTITION BY (series) ORDER BY (t), 12)", rows=stages.region_anomalies(spark, sf_dir))
+
+
 _SIDES = f"SELECT series, t, date, {_r('mp', 'left_mp', 'right_mp', digits=5)}, nn, left_nn, right_nn FROM "
 
 
