@@ -9,17 +9,23 @@ from pyspark.sql import functions as F
 from tessera.functions import counter
 
 
-def lag_pairs(starts: DataFrame, others: DataFrame, most: int) -> DataFrame:
+#: Shares into which the series of a band of lags are dealt; the other side is sent to each.
+SALTS = 8
+
+
+def lag_pairs(starts: DataFrame, others: DataFrame, most: int, salts: int = SALTS) -> DataFrame:
     """(series, indicator, start, other, lag): pairs of starts at most ``most`` apart; lag = other - start.
 
     Starts are dealt into bands of ``most`` + 1 rows and each looks into its own and both neighbouring bands, so the
-    join is on equal bands whatever the size of the sides. Duplicate starts count once.
+    join is on equal bands whatever the size of the sides. Series are few rows and many in number, and all have starts
+    in the same few bands: a band's series are dealt over ``salts`` keys, to each of which the other side's starts go.
+    Duplicate starts count once.
     """
     width = most + 1
-    x = starts.select("series", F.col("t").alias("start")).distinct().withColumn("band", F.explode(F.array(*[F.floor(F.col("start") / width) + d for d in (-1, 0, 1)])))
-    y = others.select("indicator", F.col("t").alias("other")).distinct().withColumn("band", F.floor(F.col("other") / width))
+    x = starts.select("series", F.col("t").alias("start")).distinct().withColumn("band", F.explode(F.array(*[F.floor(F.col("start") / width) + d for d in (-1, 0, 1)]))).withColumn("salt", F.pmod(F.hash("series"), F.lit(salts)))
+    y = others.select("indicator", F.col("t").alias("other")).distinct().withColumn("band", F.floor(F.col("other") / width)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     lag = F.col("other") - F.col("start")
-    return x.join(y, "band").filter(F.abs(lag) <= most).select("series", "indicator", "start", "other", lag.alias("lag"))
+    return x.join(y, ["band", "salt"]).filter(F.abs(lag) <= most).select("series", "indicator", "start", "other", lag.alias("lag"))
 
 
 def overlap_rates(starts: DataFrame, others: DataFrame, most: int) -> DataFrame:
@@ -30,6 +36,20 @@ def overlap_rates(starts: DataFrame, others: DataFrame, most: int) -> DataFrame:
     return out.withColumns({"fraction": F.col("n_matched") / F.greatest("n_starts", F.lit(1)), "coupled": F.col("n_matched") > 0})
 
 
+def null_cases(starts: DataFrame, others: DataFrame, lengths: DataFrame, m: int, k: int, most: int, by_pairs: bool = False) -> DataFrame:
+    """Cases of the null model (series, indicator, length, m, k, most, observed) for every series and indicator.
+
+    What is observed are starts with a partner, as the null counts them, or with ``by_pairs`` all pairs, which can be
+    more and so look rarer than they are.
+    """
+    counts = overlap_rates(starts, others, most).select("series", "indicator", F.col("n_matched").alias("observed"))
+    if by_pairs:
+        pairs = lag_pairs(starts, others, most).groupBy("series", "indicator").agg(F.count(F.lit(1)).alias("n"))
+        counts = counts.select("series", "indicator").join(pairs, ["series", "indicator"], "left").select("series", "indicator", F.coalesce("n", F.lit(0)).cast("long").alias("observed"))
+    fixed = [F.lit(v).cast("long").alias(c) for c, v in (("m", m), ("k", k), ("most", most))]
+    return counts.join(lengths, "series").select("series", "indicator", "length", *fixed, "observed")
+
+
 def lag_summary(pairs: DataFrame) -> DataFrame:
     """Per series and indicator: pairs, median lag, and the lag's 2.5 and 97.5 percentiles (linear)."""
     return pairs.groupBy("series", "indicator").agg(

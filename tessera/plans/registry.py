@@ -13,6 +13,7 @@ from tessera.functions import columns as fn
 from tessera.functions import counter, projections
 from tessera.operators import bands, changes, correlate, intervals, overlap, profile, rolling, series, spatial, stats, table_functions, tiles
 from tessera.plans import stages
+from tessera.sources import readers
 from tessera.streaming import anomalies, monthly
 from tessera.tables import table
 
@@ -158,6 +159,10 @@ PARTS: dict[str, str] = {
     "z12": _z("$clim", 12), "z24": _z("$clim", 24), "z36": _z("$clim", 36), "iz12": _z("$imonthly", 12), "iz24": _z("$imonthly", 24), "iz36": _z("$imonthly", 36), "z48": _z("$clim", 48), "iz48": _z("$imonthly", 48),
     **{f"{i}p{m}": _window_join(f"${i}z{m}", m) for i in ("", "i") for m in (12, 24, 36, 48)},
     **{f"{i}top{m}": _top(f"${i}p{m}", 3, m // 4) for i in ("", "i") for m in (12, 24, 36, 48)},
+    **{f"{i}rz{m}": _z(f"(SELECT series, date, t, anomaly AS x FROM ${i}roll)", m) for i in ("", "i") for m in (12, 24, 36, 48)},
+    **{f"{i}rp{m}": _window_join(f"${i}rz{m}", m) for i in ("", "i") for m in (12, 24, 36, 48)},
+    **{f"{i}rtop{m}": _top(f"${i}rp{m}", 3, m // 4) for i in ("", "i") for m in (12, 24, 36, 48)},
+    "distances": "SELECT a.series, a.t, list(sqrt(greatest(2.0 * 12 * (1.0 - list_dot_product(a.z, b.z) / 12), 0.0)) ORDER BY b.t) AS d FROM $z12 a JOIN $z12 b ON a.series = b.series GROUP BY ALL",
     "discords": _top("$p12", 3, 3, "-mp"),
     "pairs": "SELECT DISTINCT a.series, b.series AS indicator, a.t AS start, b.t AS other, b.t - a.t AS lag FROM $top12 a JOIN $itop12 b ON abs(b.t - a.t) <= 12",
     "pearson": """SELECT series, indicator, date, n_row, greatest(least(num / (sqrt(greatest(vx * vy, 0.0)) + 1e-14), 1.0), -1.0) AS r FROM (
@@ -310,6 +315,55 @@ def running_anomalies(spark, sf_dir):
     return anomalies.batch_anomalies(stages.monthly(spark, sf_dir))
 
 
+# --- sources over lines and names made of the tables --------------------------------------------------
+
+
+_LINES = """SELECT CAST(month AS DATE) AS date, 'price' AS indicator, CASE WHEN CAST(n % 7 AS BIGINT) <> 0 THEN cents / 100.0 END AS value FROM (SELECT date_trunc('month', l_shipdate) AS month, count(*) AS n, CAST(sum(CAST(round(l_extendedprice) AS BIGINT)) AS BIGINT) AS cents FROM lineitem GROUP BY ALL)"""
+
+
+def _months_as_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(month, n, cents): sums of whole prices by month of shipping."""
+    items = table(spark, sf_dir, "lineitem").select(F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month"), F.round("l_extendedprice").cast("long").alias("price"))
+    return items.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("cents"))
+
+
+@query(f"SELECT date, indicator, {_r('value')} FROM ({_LINES})")
+def index_lines(spark, sf_dir):
+    """Lines YEAR MONTH VALUE, with -99.90 for a missing value, a title and a remark, as the index tables have them."""
+    value = F.when(F.col("n") % 7 == 0, "-99.90").otherwise(F.format_string("%d.%02d", F.floor(F.col("cents") / 100), F.col("cents") % 100))
+    line = F.concat_ws("  ", F.date_format("month", " yyyy"), F.date_format("month", "M"), value)
+    lines = _months_as_lines(spark, sf_dir).select(F.explode(F.array(line, F.lit("YEAR MONTH VALUE"), F.lit("# made of prices"))).alias("value"))
+    return readers.parse_long_ascii(lines, "price")
+
+
+@query(f"SELECT date, indicator, {_r('value')} FROM ({_LINES})")
+def seasonal_lines(spark, sf_dir):
+    """Lines SEASON YEAR TOTAL ANOMALY, a season named by its three months and dated by the middle one."""
+    season = F.element_at(F.array(*map(F.lit, readers.SEASONS)), F.month("month"))
+    value = F.when(F.col("n") % 7 == 0, "-99.90").otherwise(F.format_string("%d.%02d", F.floor(F.col("cents") / 100), F.col("cents") % 100))
+    line = F.concat_ws(" ", season, F.year("month").cast("string"), F.lit("0.00"), value)
+    lines = _months_as_lines(spark, sf_dir).select(F.explode(F.array(line, F.lit("SEAS YR TOTAL ANOM"), F.lit("XYZ 2000 1 1"))).alias("value"))
+    return readers.parse_seasonal_ascii(lines, "price")
+
+
+@query("SELECT region, count(*) AS n FROM (SELECT CASE WHEN s_suppkey % 5 < 4 THEN lower(r_name) END AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) GROUP BY ALL")
+def regions_from_names(spark, sf_dir):
+    """Regions told from file names; a name with an unknown region, or none, has no region."""
+    geo = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 rows at every scale
+    named = table(spark, sf_dir, "supplier").join(F.broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey"))
+    prefix = F.when(F.col("s_suppkey") % 5 < 4, "kNDVI_").otherwise("other_")
+    names = named.select(F.concat(prefix, F.col("r_name"), F.lit("_2000_2025.csv")).alias("name"))
+    return names.select(readers.region_from_name(F.col("name"), ["africa", "america", "asia", "europe", "middle east"]).alias("region")).groupBy("region").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT region, count(*) AS n, count(*) FILTER (id % 3 = 1 OR id % 5 = 4) AS n_in_2020, count(*) FILTER (id % 3 = 1) AS n_in_2025 FROM $points JOIN $boxes ON lon BETWEEN lon_min AND lon_max AND lat BETWEEN lat_min AND lat_max GROUP BY ALL")
+def masked_counts(spark, sf_dir):
+    """Points by region, and how many a mask of each year keeps: the diagnostics before an export."""
+    got = spatial.assign_boxes(adapters.points(spark, sf_dir), spatial.boxes(spark))
+    kept = {year: bands.intact(F.col("id") % 3, F.col("id") % 5, year) for year in (2020, 2025)}
+    return got.groupBy("region").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(f"n_in_{year}") for year, c in kept.items()])
+
+
 # --- scalar functions ------------------------------------------------------------------------------
 
 
@@ -357,6 +411,18 @@ def index_by_precedence(spark, sf_dir):
     return bands.vegetation_index(p, "file").select("p_partkey", "kndvi")
 
 
+@query("SELECT p_partkey, round(CASE WHEN max(abs(p_retailprice)) OVER (PARTITION BY p_brand) > 2 THEN p_retailprice / 10000.0 ELSE p_retailprice END + 2e-9, 6) + 0.0 AS kndvi FROM part")
+def index_as_it_is(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("file"), F.col("p_retailprice").alias("kndvi"), F.lit(0.5).alias("ndvi"))
+    return bands.vegetation_index(p, "file").select("p_partkey", "kndvi")
+
+
+@query("SELECT p_partkey, round(tanh(pow(CASE WHEN max(p_size) OVER (PARTITION BY p_brand) > 2 THEN p_size / 10000.0 ELSE p_size END, 2)) + 2e-9, 6) + 0.0 AS kndvi FROM part")
+def index_from_ndvi(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("file"), F.col("p_size").cast("double").alias("ndvi"), F.col("p_retailprice").alias("nir"))
+    return bands.vegetation_index(p, "file").select("p_partkey", "kndvi")
+
+
 @query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY ALL")
 def half_open_dates(spark, sf_dir):
     inside = bands.from_until(table(spark, sf_dir, "orders"), "o_orderdate", dt.date(1996, 1, 1), dt.date(1997, 1, 1))
@@ -391,9 +457,11 @@ def points_in_polygons(spark, sf_dir):
     return spatial.within(adapters.points(spark, sf_dir), spatial.polygons(spark)).select("id", "polygon")
 
 
-@query("SELECT min(lon_min) AS lon_min, min(lat_min) AS lat_min, max(lon_max) AS lon_max, max(lat_max) AS lat_max FROM (SELECT CAST(lon_min AS DOUBLE) AS lon_min, CAST(lat_min AS DOUBLE) AS lat_min, CAST(lon_max AS DOUBLE) AS lon_max, CAST(lat_max AS DOUBLE) AS lat_max FROM $boxes)")
+@query(f"SELECT region, {_r('lon_min', 'lat_min', 'lon_max', 'lat_max')} FROM (SELECT region, min(lon) AS lon_min, min(lat) AS lat_min, max(lon) AS lon_max, max(lat) AS lat_max FROM $points JOIN $boxes ON lon BETWEEN lon_min AND lon_max AND lat BETWEEN lat_min AND lat_max GROUP BY ALL)")
 def region_bounds(spark, sf_dir):
-    return spatial.boxes(spark).agg(*[getattr(F, f)(c).alias(c) for c, f in (("lon_min", "min"), ("lat_min", "min"), ("lon_max", "max"), ("lat_max", "max"))])
+    """The box around the points of each region."""
+    got = spatial.assign_boxes(adapters.points(spark, sf_dir), spatial.boxes(spark))
+    return got.groupBy("region").agg(F.min("lon").alias("lon_min"), F.min("lat").alias("lat_min"), F.max("lon").alias("lon_max"), F.max("lat").alias("lat_max"))
 
 
 @query(f"SELECT date, {_r(*adapters.INDICATORS)}, vintage FROM $wide JOIN (SELECT * FROM (VALUES " + ", ".join(f"(CAST({v} AS INTEGER), DATE '{a}', DATE '{b}')" for v, a, b in spatial.PERIODS) + ") p(vintage, first, last)) ON date BETWEEN first AND last")
@@ -479,7 +547,23 @@ def top_discords(spark, sf_dir):
     return profile.best_windows(stages.region_profile(spark, sf_dir), 3, 3, largest=True)
 
 
-@query()
+def _motif_groups(m: int, most: int = 3, matches: int = 10) -> str:
+    """Groups in turn: the best window left, then its nearest windows one after another, each closing a zone."""
+    zone = profile.exclusion(m)
+    rounds, before = [], "SELECT series, mp AS open, greatest(list_avg(mp) - 2 * list_aggregate(mp, 'stddev_pop'), list_min(mp)) AS cut FROM (SELECT series, list(mp ORDER BY t) AS mp FROM $p12 GROUP BY ALL)"
+    for rank in range(1, most + 1):
+        first = f"SELECT b.*, list_transform(w.d, lambda v, j: CASE WHEN j = i + 1 THEN 0.0 ELSE v END) AS d FROM (SELECT *, list_position(open, list_min(open)) - 1 AS i, list_min(open) <= cut + 1e-12 AS live FROM ({before})) b JOIN $distances w ON w.series = b.series AND w.t = b.i"
+        got = f"SELECT *, d AS free, CAST([] AS BIGINT[]) AS chosen, greatest(list_avg(d) - 2 * list_aggregate(d, 'stddev_pop'), list_min(d)) + 1e-12 AS within FROM ({first})"
+        for _ in range(matches):
+            got = f"""SELECT * EXCLUDE (place, near) REPLACE (CASE WHEN near THEN list_append(chosen, place - 1) ELSE chosen END AS chosen, CASE WHEN near THEN list_transform(free, lambda v, j: CASE WHEN abs(j - place) <= {zone} THEN 1e300 ELSE v END) ELSE free END AS free)
+              FROM (SELECT *, list_position(free, list_min(free)) AS place, list_min(free) <= within AS near FROM ({got}))"""
+        rounds.append(f"round{rank} AS MATERIALIZED ({got})")
+        before = f"SELECT series, cut, CASE WHEN live THEN list_transform(open, lambda v, j: CASE WHEN len(list_filter(chosen, lambda c: abs(j - 1 - c) <= {zone})) > 0 THEN 1e300 ELSE v END) ELSE open END AS open FROM round{rank}"
+    shown = " UNION ALL ".join(f"SELECT series, CAST({r} AS BIGINT) AS rank, i AS start, coalesce(chosen[2], -1) AS nn, d[chosen[1] + 1] AS distance, d[chosen[2] + 1] AS nn_distance FROM round{r} WHERE live" for r in range(1, most + 1))
+    return f"SELECT * FROM (WITH {', '.join(rounds)} {shown})"
+
+
+@query(f"SELECT series, rank, start, nn, {_r('distance', 'nn_distance', digits=5)} FROM ({_motif_groups(12)})", digits=5)
 def motif_groups(spark, sf_dir):
     return profile.motifs(stages.region_anomalies(spark, sf_dir), 12)
 
@@ -524,6 +608,12 @@ def window_sweep(spark, sf_dir):
     return stages.sweep(spark, sf_dir)
 
 
+@query(" UNION ALL ".join(_RATES.format(m, f", {m} AS m").replace("$top", "$rtop").replace("$itop", "$irtop") for m in (12, 24, 36, 48)))
+def window_sweep_rolling(spark, sf_dir):
+    """The sweep over anomalies from a centred year's mean, on both sides."""
+    return stages.sweep(spark, sf_dir, rolling_mean=True)
+
+
 @query(f"SELECT series, indicator, n_overlaps, n_matched, {_r('median_lag', 'p025', 'p975')} FROM (SELECT series, indicator, count(*) AS n_overlaps, count(DISTINCT start) AS n_matched, CAST(median(lag) AS DOUBLE) AS median_lag, quantile_cont(CAST(lag AS DOUBLE), 0.025) AS p025, quantile_cont(CAST(lag AS DOUBLE), 0.975) AS p975 FROM $pairs GROUP BY ALL)")
 def lag_summary(spark, sf_dir):
     return overlap.lag_summary(stages.pairs(spark, sf_dir))
@@ -593,14 +683,13 @@ _EXACT = """SELECT m.series, m.indicator, least(1.0, 2.0 * sum(c) FILTER (o.u >=
 
 @query(f"SELECT m.series, m.indicator, {_r('u', 'p', 'p_exact')} FROM ({_MWU}) m LEFT JOIN ({_EXACT.format('$mwu')}) e ON m.series = e.series AND m.indicator = e.indicator")
 def mwu_p_values(spark, sf_dir):
-    plain = stats.mann_whitney(_annual_split(spark, sf_dir)).select("series", "indicator", "u", "p")
-    return plain.join(stats.mann_whitney(_annual_split(spark, sf_dir), exact=True).select("series", "indicator", F.col("p").alias("p_exact")), ["series", "indicator"])
+    return stats.with_exact_p(stats.mann_whitney(_annual_split(spark, sf_dir))).select("series", "indicator", "u", "p", "p_exact")
 
 
 @query(f"""SELECT k, n1, n2, u, ties, {_r('p')} FROM (SELECT *, {_greater('u', 'n1', 'n2', 'ties')} AS p FROM (
-  SELECT CAST(k AS BIGINT) AS k, 10 AS n1, 16 AS n2, CAST(k * 16 + (10 - k) * 8 AS DOUBLE) AS u, CAST(pow(26 - k, 3) - (26 - k) + pow(k, 3) - k AS DOUBLE) AS ties FROM (SELECT unnest(range(0, 11)) AS k)))""")
+  SELECT k, n1, n2, CAST(k * n2 + (n1 - k) * n2 / 2.0 AS DOUBLE) AS u, CAST(pow(n1 + n2 - k, 3) - (n1 + n2 - k) + pow(k, 3) - k AS DOUBLE) AS ties FROM (SELECT n1, n2, CAST(unnest(range(0, n1 + 1)) AS BIGINT) AS k FROM (SELECT DISTINCT n1, n2 FROM $mwu))))""")
 def mwu_floor_grid(spark, sf_dir):
-    return stats.floor_grid(spark, 10, 16)
+    return stats.floor_grid(stats.mann_whitney(_annual_split(spark, sf_dir)))
 
 
 @query(f"SELECT series, indicator, date, n_row, {_r('r', 'p')} FROM (SELECT *, {_t_even('r', 36)} AS p FROM $pearson)")
@@ -752,12 +841,41 @@ def break_summary(spark, sf_dir):
     return changes.break_summary(binseg_breaks(spark, sf_dir).unionByName(pelt_breaks(spark, sf_dir)))
 
 
-@query()
-def null_model(spark, sf_dir):
-    counts = overlap.overlap_rates(stages.starts(stages.region_profile(spark, sf_dir), 12), stages.starts(stages.indicator_profile(spark, sf_dir), 12).withColumnRenamed("series", "indicator"), 12)
+def _null(observed: str) -> str:
+    """The null by listing all choices of three starts: what they cover, then how many of three others fall inside."""
+    m, k, most = 12, 3, 12
+    choose = lambda n, r: "(CASE " + " ".join(f"WHEN {r} = {i} THEN " + (" * ".join(f"({n} - {j})" for j in range(i)) or "1.0") + f" / {[1.0, 1.0, 2.0, 6.0][i]}" for i in range(k + 1)) + " END)"
+    return f"""SELECT * FROM (WITH cases AS (SELECT series, count(*) AS length FROM $monthly GROUP BY ALL), sizes AS (SELECT DISTINCT length, length - {m} + 1 AS n FROM cases),
+      places AS (SELECT length, n, unnest(range(0, n)) AS t FROM sizes),
+      covered AS (SELECT a.length, a.n, least(a.t + {most}, a.n - 1) - greatest(a.t - {most}, 0) + 1 + greatest(least(b.t + {most}, a.n - 1) - greatest(b.t - {most}, least(a.t + {most}, a.n - 1) + 1) + 1, 0)
+        + greatest(least(c.t + {most}, a.n - 1) - greatest(c.t - {most}, least(b.t + {most}, a.n - 1) + 1) + 1, 0) AS c FROM places a JOIN places b ON a.length = b.length AND a.t < b.t JOIN places c ON a.length = c.length AND b.t < c.t),
+      chances AS (SELECT length, x, sum(w * {choose('c', 'x')} * {choose('(n - c)', f'({k} - x)')} / {choose('n', str(k))}) / sum(w) AS p FROM (SELECT length, n, c, count(*) AS w FROM covered GROUP BY ALL), (SELECT unnest(range(0, {k + 1})) AS x) GROUP BY ALL),
+      summed AS (SELECT *, sum(p) OVER (PARTITION BY length ORDER BY x) AS upto FROM chances),
+      null_of AS (SELECT length, sum(p * x) AS null_mean, sqrt(sum(p * x * x) - pow(sum(p * x), 2)) AS null_std, CAST(min(x) FILTER (upto + 1e-12 >= 0.95) AS DOUBLE) AS p95, CAST(min(x) FILTER (upto + 1e-12 >= 0.99) AS DOUBLE) AS p99 FROM summed GROUP BY ALL),
+      seen AS ({observed})
+      SELECT series, indicator, length, CAST({m} AS BIGINT) AS m, CAST({k} AS BIGINT) AS k, CAST({most} AS BIGINT) AS most, observed, {_r('null_mean', 'null_std', 'p95', 'p99')}, round((SELECT coalesce(sum(p), 0) FROM chances q WHERE q.length = cases.length AND x >= observed) + 2e-9, 6) + 0.0 AS p_perm, observed > p95 AS exceeds_p95, observed > p99 AS exceeds_p99
+      FROM seen JOIN cases USING (series) JOIN null_of USING (length))"""
+
+
+_SEEN = """SELECT g.series, g.indicator, coalesce(n, 0) AS observed FROM (SELECT DISTINCT a.series, b.series AS indicator FROM $top12 a, $itop12 b) g LEFT JOIN (SELECT series, indicator, {0} AS n FROM $pairs GROUP BY ALL) c ON g.series = c.series AND g.indicator = c.indicator"""
+
+
+def _null_model(spark: SparkSession, sf_dir: str, by_pairs: bool) -> DataFrame:
+    mine = stages.starts(stages.region_profile(spark, sf_dir), 12)
+    others = stages.starts(stages.indicator_profile(spark, sf_dir), 12).withColumnRenamed("series", "indicator")
     length = stages.monthly(spark, sf_dir).groupBy("series").agg(F.count(F.lit(1)).alias("length"))
-    cases = counts.join(length, "series").select("series", "indicator", "length", F.lit(12).cast("long").alias("m"), F.lit(3).cast("long").alias("k"), F.lit(12).cast("long").alias("most"), F.col("n_matched").alias("observed"))
-    return stats.null_model(cases).drop("chances")
+    return stats.null_model(overlap.null_cases(mine, others, length, 12, 3, 12, by_pairs)).drop("chances")
+
+
+@query(_null(_SEEN.format("count(DISTINCT start)")))
+def null_model(spark, sf_dir):
+    return _null_model(spark, sf_dir, by_pairs=False)
+
+
+@query(_null(_SEEN.format("count(*)")))
+def null_model_of_pairs(spark, sf_dir):
+    """As the first, but what is observed are pairs, more than one a start."""
+    return _null_model(spark, sf_dir, by_pairs=True)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,12 +58,22 @@ def pairs(spark: SparkSession, sf_dir: str, m: int = 12, most: int = 12) -> Data
     return overlap.lag_pairs(mine, others, most)
 
 
-def sweep(spark: SparkSession, sf_dir: str, lengths: tuple[int, ...] = (12, 24, 36, 48)) -> DataFrame:
-    """Overlap rates by window length: every profile is computed once per (series, length), then combined."""
+def sweep(spark: SparkSession, sf_dir: str, lengths: tuple[int, ...] = (12, 24, 36, 48), rolling_mean: bool = False) -> DataFrame:
+    """Overlap rates by window length: every profile is computed once per (series, length), then combined.
+
+    Regions are taken as anomalies from their climatology and indicators as they are, or, with ``rolling_mean``, both as
+    anomalies from a centred year's mean with edges filled from their neighbours.
+    """
+
+    def settled(frame: DataFrame) -> DataFrame:
+        return series.fill_both_ways(series.rolling_anomaly(frame), x="anomaly").select("series", "date", "t", F.col("anomaly").alias("x"))
+
+    own = settled(monthly(spark, sf_dir)) if rolling_mean else region_anomalies(spark, sf_dir)
+    other = settled(indicator_series(spark, sf_dir)) if rolling_mean else indicator_series(spark, sf_dir)
 
     def one(m: int) -> DataFrame:
-        mine = starts(region_profile(spark, sf_dir, m), m)
-        others = starts(indicator_profile(spark, sf_dir, m), m).withColumnRenamed("series", "indicator")
+        mine = starts(profile.matrix_profile(own, m), m)
+        others = starts(profile.matrix_profile(other, m), m).withColumnRenamed("series", "indicator")
         return overlap.overlap_rates(mine, others, m).withColumn("m", F.lit(m))
 
     return reduce(DataFrame.unionByName, map(one, lengths))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
 import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,6 +78,7 @@ def encode_polygons(df: DataFrame, column: str = "rings") -> DataFrame:
 
 #: Reference systems whose coordinates are longitudes and latitudes: WGS 84, and the undefined geographic one.
 GEOGRAPHIC = (4326, 0)
+DEGREES_CODE = 4326
 
 
 def read_geopackage(files: DataFrame, systems: tuple[int, ...] | None = GEOGRAPHIC) -> DataFrame:
@@ -109,14 +111,49 @@ def read_geopackage(files: DataFrame, systems: tuple[int, ...] | None = GEOGRAPH
     return files.select("path", "content").mapInPandas(run, "path string, layer string, geometry binary, system int")
 
 
-def geographic_polygons(features: DataFrame, column: str = "geometry") -> DataFrame:
+def geographic_polygons(features: DataFrame, column: str = "geometry", system_column: str = "system") -> DataFrame:
     """``features`` (geometry WKB, system) with rings in longitude and latitude, converted from the layer's own system.
 
     Degrees, both Mercator projections and zones of transverse Mercator are known; another system is an error when rows
     in it are computed, not silence. Null geometries have null rings.
     """
-    system = F.col("system")
+    system = F.col(system_column)
     checked = F.when(~projections.known(system), F.raise_error(F.concat(F.lit("no inverse for reference system "), system.cast("string"))).cast("int")).otherwise(system)
     (own,) = spatial.free_names(features, "own_system")
     decoded = decode_polygons(features.withColumn(own, checked), column)
     return decoded.withColumn("rings", projections.rings_to_degrees(F.col("rings"), F.col(own))).drop(own)
+
+
+def geoparquet_systems(spark: SparkSession, path: str, column: str = "geometry") -> dict[int | None, int]:
+    """How many Parquet files of a folder have which reference system, by their footers; None for one without a code.
+
+    A file without the ``geo`` entry, or a column without a system, is in degrees by the format's default.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    listed = root.getFileSystem(conf).listFiles(root, True)
+    found: dict[int | None, int] = {}
+    while listed.hasNext():
+        file = listed.next()
+        if not file.getPath().getName().endswith(".parquet"):
+            continue
+        with_footer = jvm.org.apache.parquet.hadoop.ParquetFileReader.readFooter(conf, file.getPath())
+        entry = with_footer.getFileMetaData().getKeyValueMetaData().get("geo")
+        system = json.loads(entry).get("columns", {}).get(column, {}).get("crs") if entry else None
+        code = DEGREES_CODE if system is None or system.get("id", {}).get("authority") == "OGC" else system.get("id", {}).get("code")
+        found[code] = found.get(code, 0) + 1
+    return found
+
+
+def read_geoparquet(spark: SparkSession, path: str, column: str = "geometry") -> DataFrame:
+    """A GeoParquet folder with rings in longitude and latitude, converted where its footers name another known system.
+
+    Files in several systems, or in one without a code, raise ValueError.
+    """
+    systems = geoparquet_systems(spark, path, column)
+    if len(systems) > 1 or None in systems:
+        raise ValueError(f"{path} has files in systems {', '.join(sorted(map(str, systems)))}")
+    df = spark.read.parquet(path)
+    (system,) = spatial.free_names(df, "system")
+    code = next(iter(systems), DEGREES_CODE)
+    return geographic_polygons(df.withColumn(system, F.lit(int(code))), column, system).drop(system)

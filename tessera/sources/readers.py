@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,10 +60,19 @@ def fetch_lines(spark: SparkSession, url: str, timeout: float = 60.0) -> DataFra
     return spark.createDataFrame([(x,) for x in text.splitlines()], "value string")
 
 
+def first_of_files(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of each file that ``df`` reads; what a task has beyond them leaves before the shuffle."""
+    file, block, place, rank = "__file", "__block", "__place", "__rank"
+    marked = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.file_block_start").alias(block), F.monotonically_increasing_id().alias(place))
+    ranked = marked.withColumn(rank, F.row_number().over(W.partitionBy(file).orderBy(block, place)))
+    return ranked.filter(F.col(rank) <= n).drop(file, block, place, rank)
+
+
 def read_observations(spark: SparkSession, paths: str | list[str], limit: int | None = None, exclude: str | None = None) -> DataFrame:
     """Observations from CSV or Parquet files (by suffix), columns checked, values coerced, bad rows dropped.
 
-    Several paths or patterns are united by column name. ``exclude`` is a pattern of file names to leave out.
+    Several paths or patterns are united by column name. ``limit`` is a number of rows of each file, the first ones.
+    ``exclude`` is a pattern of file names to leave out.
     """
     paths = [paths] if isinstance(paths, str) else paths
     out = None
@@ -75,7 +85,7 @@ def read_observations(spark: SparkSession, paths: str | list[str], limit: int |
             raise ValueError(f"neither CSV nor Parquet: {path}")
         if exclude:
             df = df.filter(~F.col("_metadata.file_name").rlike(exclude))
-        df = normalize_columns(df.select("*") if limit is None else df.limit(limit), ("region", "date", "pixel_id", "kndvi"))
+        df = normalize_columns(df.select("*") if limit is None else first_of_files(df, limit), ("region", "date", "pixel_id", "kndvi"))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     numbers = {c: F.col(c).try_cast("double") for c in ("kndvi", "latitude", "longitude") if c in out.columns}
     numbers["kndvi"] = F.when(~F.isnan(numbers["kndvi"]), numbers["kndvi"])

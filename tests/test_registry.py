@@ -9,7 +9,7 @@ import pytest
 from tessera.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
-QUICK = ["monthly_series", "rolling_deseason", "indicator_profile", "completeness_qc", "kndvi_transform", "file_name_parts", "points_in_polygons", "period_slices", "matrix_profile_m12", "matrix_profile_m24", "top_motifs", "overlap_pairs", "mwu_floor_grid", "mann_kendall", "xcorr_lags", "mwu_shift", "mwu_p_values", "floor_flags", "annual_trend", "rolling_pearson", "bh_fdr", "fdr_summary", "xcorr_peak", "recent_trend", "annual_count_by_month", "index_by_precedence", "half_open_dates", "raster_mask", "half_even_rounding", "matrix_profile_sides", "daily_profile", "lag_intervals", "significance_changes", "binseg_breaks", "pelt_breaks_light", "segmentation_costs", "break_summary", "orders_in_validity", "projected_points", "profile_in_sql", "running_anomalies"]
+QUICK = ["monthly_series", "rolling_deseason", "indicator_profile", "completeness_qc", "kndvi_transform", "file_name_parts", "points_in_polygons", "period_slices", "matrix_profile_m12", "matrix_profile_m24", "top_motifs", "overlap_pairs", "mwu_floor_grid", "mann_kendall", "xcorr_lags", "mwu_shift", "mwu_p_values", "floor_flags", "annual_trend", "rolling_pearson", "bh_fdr", "fdr_summary", "xcorr_peak", "recent_trend", "annual_count_by_month", "index_by_precedence", "half_open_dates", "raster_mask", "half_even_rounding", "matrix_profile_sides", "daily_profile", "lag_intervals", "significance_changes", "binseg_breaks", "pelt_breaks_light", "segmentation_costs", "break_summary", "orders_in_validity", "projected_points", "profile_in_sql", "running_anomalies", "index_lines", "seasonal_lines", "regions_from_names", "masked_counts", "index_as_it_is", "index_from_ndvi", "region_bounds", "null_model", "null_model_of_pairs", "window_sweep_rolling", "motif_groups"]
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 

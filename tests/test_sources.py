@@ -107,3 +107,44 @@ def test_a_batch_written_twice_is_there_once(spark, tmp_path):
         sink(spark.range(n), 0)
     sink(spark.range(2), 1)
     assert spark.read.parquet(f"{tmp_path}/x").groupBy("batch").agg(F.count("id").alias("n")).orderBy("batch").collect() == [(0, 5), (1, 2)]
+
+
+def test_row_limits_are_by_file(spark, tmp_path):
+    for name, n in (("kndvi_a", 30), ("kndvi_b", 2), ("skip_c", 9)):
+        (tmp_path / f"{name}.csv").write_text("region,date,pixel_id,kndvi\n" + "".join(f"{name},2001-01-01,p{i},0.{i:02d}\n" for i in range(n)))
+    got = readers.read_observations(spark, f"{tmp_path}/*.csv", limit=3, exclude="^skip")
+    assert sorted((r.region, r.pixel_id) for r in got.collect()) == [("kndvi_a", "p0"), ("kndvi_a", "p1"), ("kndvi_a", "p2"), ("kndvi_b", "p0"), ("kndvi_b", "p1")]
+    spark.range(100).repartitionByRange(4, "id").sortWithinPartitions("id").write.parquet(f"{tmp_path}/p")
+    kept = readers.first_of_files(spark.read.parquet(f"{tmp_path}/p"), 2).collect()
+    assert len(kept) == 8 and min(r.id for r in kept) == 0
+
+
+def test_geoparquet_goes_by_its_footers(spark, tmp_path):
+    import json
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tessera.sources import geometry
+
+    ring = [(0.0, 0.0), (1000.0, 0.0), (1000.0, 2000.0)]
+
+    def write(folder, crs, name="a", geo=True):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        table = pa.table({"polygon": [name], "geometry": [geometry.wkb_of([ring])]})
+        meta = {"geo": json.dumps({"version": "1.0.0", "primary_column": "geometry", "columns": {"geometry": {"encoding": "WKB", **crs}}})} if geo else {}
+        pq.write_table(table.replace_schema_metadata(meta), tmp_path / folder / f"{name}.parquet")
+        return f"{tmp_path}/{folder}"
+
+    plain = geometry.read_geoparquet(spark, write("plain", {}, geo=False)).first()
+    assert [(p.x, p.y) for p in plain.rings[0]] == ring
+    same = geometry.read_geoparquet(spark, write("same", {"crs": {"id": {"authority": "OGC", "code": "CRS84"}}})).first()
+    assert same.rings == plain.rings
+    mercator = write("mercator", {"crs": {"id": {"authority": "EPSG", "code": 3857}}})
+    got = geometry.read_geoparquet(spark, mercator).first()
+    assert got.rings[0][1].x == pytest.approx(np.degrees(1000 / 6378137)) and geometry.geoparquet_systems(spark, mercator) == {3857: 1}
+    write("mercator", {"crs": {"id": {"authority": "EPSG", "code": 32631}}}, "b")
+    with pytest.raises(ValueError, match="32631, 3857"):
+        geometry.read_geoparquet(spark, mercator)
+    with pytest.raises(ValueError, match="None"):
+        geometry.read_geoparquet(spark, write("odd", {"crs": {"name": "somewhere"}}))
