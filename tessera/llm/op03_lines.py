@@ -2,7 +2,8 @@
 
 Main path: built-in expressions. Lines travel as pairs of 64-bit hashes, one row per distinct line of a page, counted
 on the map side first, so a hot host or line costs each task one row. What is left to look up is small: a host with
-ratio r has at most (mean lines of a page) / r boilerplate lines.
+ratio r has at most (mean lines of a page) / r boilerplate lines. They are looked up by halving a sorted list of hashes,
+so a page costs its lines times the logarithm of its host's list.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from tessera.llm.shared import free_names, settle, table
 
 MAX_RATIO = 0.05
 MIN_PAGES = 3
-#: Boilerplate lines up to which the hosts' lists are broadcast (16 bytes a line and as much again for its array).
+#: Boilerplate lines up to which the hosts' lists are broadcast (8 bytes a line).
 BROADCAST_LINES = 500_000
 #: Places that a host's pages are dealt to where its list isn't broadcast.
 SALTS = 64
@@ -28,6 +29,13 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _listed(hashes: Column, h: Column, most: int) -> Column:
+    """Whether the sorted ``hashes``, ``most`` at most, have ``h``: steps of halving size towards the last one up to it."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+    upto = lambda h: F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(hashes, n + step - 1) <= h, n + step).otherwise(n))
+    return F.transform(F.array(h), lambda h: F.coalesce(F.get(hashes, upto(h) - 1) == h, F.lit(False)))[0]
+
+
 def boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, line hash) of the lines on more than ``max_ratio`` of the host's pages and at least ``min_pages`` of them."""
     blank = F.filter(_lines(F.col("text")), lambda x: F.trim(x) != "")
@@ -48,15 +56,16 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = M
     docs = docs.drop("n_lines", "n_dropped")
     of, salt, bad, left = free_names(docs, "of_host", "salt", "bad", "left_lines")
     found = settle(boilerplate(docs, host, max_ratio, min_pages))
-    lists = found.groupBy(F.col("host").alias(of)).agg(F.collect_list(F.struct("a", "b")).alias(bad))
+    lists = found.groupBy(F.col("host").alias(of)).agg(F.sort_array(F.collect_list("a")).alias(bad))
     meets = F.col(f"`{host}`").eqNullSafe(F.col(of))
-    if found.count() <= broadcast_lines:
+    n_found = found.count()
+    if n_found <= broadcast_lines:
         joined = docs.join(F.broadcast(lists), meets, "left")
     else:  # a host's pages are dealt to SALTS places, with a copy of its list each
         lists = lists.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = docs.join(lists, meets & (F.pmod(F.xxhash64(F.col("text")), F.lit(SALTS)) == F.col(salt)), "left")
     lines = _lines(F.col("text"))
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(bad), _hash(x)))
+    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~_listed(F.col(bad), F.xxhash64(x), n_found))
     out = joined.withColumn(left, F.when(F.col(bad).isNotNull(), kept)).withColumn(left, F.when(F.exists(left, lambda x: F.trim(x) != ""), F.col(left)))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     cut = F.col(left).isNotNull() & F.col("text").isNotNull()
