@@ -15,12 +15,12 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import byte_sums, chunks, mix64, reduce_arrays, released, settle, table, word_spans
@@ -210,21 +210,33 @@ def _combine(logits: np.ndarray, y: np.ndarray) -> np.ndarray:
 Pool = Callable[[tuple, tuple[int, int], set], list[tuple[np.ndarray, np.ndarray, np.ndarray, list]]]
 
 
-def surest(fit: tuple, content: np.ndarray, meta: np.ndarray, quota: tuple[int, int], sure: float) -> list[list[np.ndarray]]:
-    """For each view and class (bad, good): the rows that the view is surest of, at most so many as the quota."""
+def surest(fit: tuple, content: np.ndarray, meta: np.ndarray, ties: np.ndarray, quota: tuple[int, int], sure: float) -> list[list[np.ndarray]]:
+    """For each view and class (bad, good): the rows that the view is surest of, at most so many as the quota.
+
+    Of equally sure rows those with the smallest ``ties`` come first, so how rows are dealt into batches changes nothing.
+    """
     out = []
     for v, x in zip(fit, (content, meta), strict=True):
         p = _sigmoid(v.margin(x))
-        out.append([np.argsort(-q, kind="stable")[:n][np.sort(-q)[:n] <= -sure] for q, n in zip((1 - p, p), quota, strict=True)])
+        chosen = []
+        for q, n in zip((1 - p, p), quota, strict=True):
+            first = np.lexsort((ties, -q))[:n]
+            chosen.append(first[q[first] >= sure])
+        out.append(chosen)
     return out
 
 
+def tie_break(ids: np.ndarray) -> np.ndarray:
+    """An order of documents that has nothing to do with their ids' own."""
+    return mix64(ids.astype(np.int64).view(np.uint64)).view(np.int64)
+
+
 def array_pool(content: np.ndarray, meta: np.ndarray, sure: float = SURE) -> Pool:
     """A pool that is held in arrays."""
 
     def pick(fit: tuple, quota: tuple[int, int], gone: set) -> list:
         free = np.array([i for i in range(len(content)) if i not in gone], np.int64)
-        found = surest(fit, content[free], meta[free], quota, sure)
+        found = surest(fit, content[free], meta[free], free, quota, sure)
         ids = [np.concatenate([free[bad], free[good]]) for bad, good in found]
         return [(content[i], meta[i], np.repeat([0.0, 1.0], [len(bad), len(good)]), i.tolist()) for i, (bad, good) in zip(ids, found, strict=True)]
 
@@ -336,15 +348,19 @@ def corpus_pool(docs: DataFrame, labels: DataFrame, odds: np.ndarray, sure: floa
                 if not batch.num_rows:
                     continue
                 content, meta = _arrays(batch.column(1)), _arrays(batch.column(2))
-                for view, pair in enumerate(surest(fit, content, meta, quota, sure)):
+                ties = tie_break(batch.column(0).to_numpy())
+                for view, pair in enumerate(surest(fit, content, meta, ties, quota, sure)):
                     p = _sigmoid(fit[view].margin((content, meta)[view]))
                     for label, at in enumerate(pair):
                         own = batch.take(pa.array(at, pa.int64()))
-                        yield pa.record_batch([*own.columns, pa.array(np.full(len(at), view, np.int32)), pa.array(np.full(len(at), label, np.int32)), pa.array(np.abs(p[at] - 0.5))], [*own.schema.names, "view", "label", "sure"])
-
-        found = free.mapInArrow(released(run), f"{kinds}, view int, label int, sure double")
-        best = [found.filter((F.col("view") == v) & (F.col("label") == c)).orderBy(F.desc("sure"), F.xxhash64("doc_id"), "doc_id").limit(quota[c]) for v in (0, 1) for c in (0, 1)]
-        rows = reduce(DataFrame.union, best).toPandas().drop_duplicates(["doc_id", "view"])
+                        facts = {"view": np.full(len(at), view, np.int32), "label": np.full(len(at), label, np.int32), "sure": np.abs(p[at] - 0.5), "tie": ties[at]}
+                        yield pa.record_batch([*own.columns, *map(pa.array, facts.values())], [*own.schema.names, *facts])
+
+        # One pass a round: tasks give their surest few of each view and class, the surest of these few are kept.
+        found = free.mapInArrow(released(run), f"{kinds}, view int, label int, sure double, tie long")
+        place = F.row_number().over(W.partitionBy("view", "label").orderBy(F.desc("sure"), "tie", "doc_id"))
+        best = found.withColumn("place", place).filter(F.col("place") <= max(quota)).filter(F.col("place") <= F.when(F.col("label") == 0, quota[0]).otherwise(quota[1]))
+        rows = best.toPandas().sort_values(["view", "label", "place"]).drop_duplicates(["doc_id", "view"])
         out = []
         for view in (0, 1):
             own = rows[rows["view"] == view]

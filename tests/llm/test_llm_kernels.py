@@ -354,3 +354,19 @@ def test_deep_and_broken_markup_takes_linear_time():
             op5.blocks(piece * n)
             took.append(time.process_time() - start)
         assert took[1] < 10 * took[0] + 0.3, piece
+
+
+def test_surest_rows_do_not_depend_on_batches():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(400, 3)), 1)
+    ids = rng.permutation(400)
+    fit = (op10.Logistic().fit(x, (x[:, 0] > 0).astype(float)), op10.Logistic().fit(x, (x[:, 1] > 0).astype(float)))
+
+    def best(order):
+        got = op10.surest(fit, x[order], x[order], op10.tie_break(ids[order]), (5, 7), 0.5)
+        return [[sorted(ids[order][i]) for i in pair] for pair in got]
+
+    assert best(np.arange(400)) == best(rng.permutation(400))
+    whole = best(np.arange(400))
+    merged = [np.concatenate([c for c in (op10.surest(fit, x[p], x[p], op10.tie_break(ids[p]), (5, 7), 0.5)[0][1] + p[0],)]) for p in np.array_split(np.arange(400), 4)]
+    assert set(whole[0][1]) <= set(ids[np.concatenate(merged)])
