@@ -5,7 +5,7 @@ randomised SVD of the matrix of all passages (with the benchmark's own as heavy
 multiplies its passages with one random test matrix and sums A^T (A Omega), from which the singular vectors follow in
 one pass (Nystroem). Every item is then compared with overlapping windows of about its own length by cosine in that
 space. Candidates are checked exactly: the longest common subsequence of words of item and surrounding text, and for
-paraphrases whether the item's answer stands there too.
+paraphrases whether the item's answer stands there too, or, without answers, most of its content by weight.
 
 A benchmark is taken in blocks of at most BLOCK_WORDS words, so what a task holds doesn't grow with it.
 """
@@ -34,8 +34,9 @@ PASSAGE = 48
 COSINE = 0.25
 #: A candidate is a leak if the common subsequence covers this share of the item, or the lower one with its answer.
 COPIED, PARAPHRASED, ANSWERED = 0.7, 0.5, 0.8
-#: The answer, where the benchmark has none, is this share of the item's words: those rarest in the documents.
-ANSWER_SHARE = 0.25
+#: Where the benchmark has no answers, an item's content stands for it: its words by their rarity in the documents. A
+#: paraphrase has them if those that stand near by have this share of the item's weight.
+CONTENT_SHARE = 0.5
 #: Counters of document frequencies; a fixed size.
 DF_BITS = 18
 
@@ -94,6 +95,9 @@ class Items:
     ids: list
     words: list[np.ndarray]
     answers: list[np.ndarray]
+    #: Weights of the answers' words, and the share of them that a paraphrase has.
+    weights: list[np.ndarray]
+    lines: list[float]
     vocab: np.ndarray
     idf: np.ndarray
     other: np.ndarray
@@ -154,18 +158,20 @@ class _Slots:
 
 def make_items(rows: list, df: np.ndarray, n_passages: int) -> Items:
     """Items from (item_id, text, answer or None) rows; items without words are left out."""
-    ids, words, answers = [], [], []
+    ids, words, answers, weights, lines = [], [], [], [], []
     idf = np.log((n_passages + 1) / (df + 1)) + 0.1
     for item, text, answer in rows:
         own = _words_of(text)
         if not len(own):
             continue
-        key = _words_of(answer) if answer else own[np.argsort(-idf[_bucket(own)], kind="stable")[: max(1, round(ANSWER_SHARE * len(own)))]]
+        key = np.unique(_words_of(answer) if answer else own)
         ids.append(item)
         words.append(own)
-        answers.append(np.unique(key))
+        answers.append(key)
+        weights.append(np.ones(len(key)) if answer else idf[_bucket(key)])
+        lines.append(ANSWERED if answer else CONTENT_SHARE)
     vocab = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-    return Items(ids, words, answers, vocab, idf[_bucket(vocab)], idf.astype(np.float32))
+    return Items(ids, words, answers, weights, lines, vocab, idf[_bucket(vocab)], idf.astype(np.float32))
 
 
 def _words_of(text: str | None) -> np.ndarray:
@@ -340,8 +346,8 @@ def find_leaks(items: Items, words: np.ndarray, tok: np.ndarray, cosine: float =
         share = common_subsequence(own, text) / m
         if share < PARAPHRASED:
             continue
-        answer = float(np.isin(items.answers[item], text).mean())
-        if share >= COPIED or answer >= ANSWERED:
+        answer = float(items.weights[item][np.isin(items.answers[item], text)].sum() / items.weights[item].sum())
+        if share >= COPIED or answer >= items.lines[item]:
             found[r, item] = max(found.get((r, item), (0.0, 0.0, 0.0)), (share, answer, score))
     for (r, item), facts in sorted(found.items()):
         yield r, item, *facts

@@ -63,11 +63,8 @@ def test_page_checksum():
         assert op6.page_checksum(data) == slow_checksum(data)
 
 
-@pytest.mark.parametrize("n", [0, 1, 191, 192, 255, 510, 1536, 1537, 70_000, 400_001])
-@pytest.mark.parametrize("packet", [1, 255, 510, 1536, 70_000])
+@pytest.mark.parametrize(("n", "packet"), [(n, packet) for n in (0, 1, 191, 192, 255, 510, 1536, 1537, 70_000, 400_001) for packet in (1, 255, 510, 1536, 70_000) if n <= 1000 * packet])
 def test_ogg_round_trip(n, packet):
-    if n > 1000 * packet:
-        pytest.skip("too many packets for a small test")
     payload = random.Random(n).randbytes(n)
     media = op6.mux(payload, packet_bytes=packet)
     back, facts = op6.read_back(media)

@@ -145,6 +145,21 @@ def test_leaks_of_every_length_against_brute_force(spark):
     assert found == brute
 
 
+def test_paraphrases_without_answers(spark):
+    """Items of a two-column benchmark with 55-70 % of their words left, in documents of the same common words."""
+    rng = random.Random(21)
+    word = lambda: f"w{int(8_000 * rng.random() ** 3)}"
+    items = [[word() for _ in range(m)] for m in (12, 20, 38, 60, 110, 300) for _ in range(6)]
+    texts, planted = [[word() for _ in range(rng.choice([30, 200, 900]))] for _ in range(150)], set()
+    for i, item in enumerate(items):
+        for keep in (0.55, 0.6, 0.7):
+            kept = set(rng.sample(range(len(item)), -(-round(100 * keep) * len(item) // 100)))
+            planted.add((len(texts), i))
+            texts.append([word() for _ in range(rng.randint(0, 150))] + [w if j in kept else word() for j, w in enumerate(item)] + [word() for _ in range(rng.randint(0, 150))])
+    got = {(r.doc_id, r.item_id) for r in op2.leaks(frame(spark, [" ".join(t) for t in texts]), benchmark(spark, [" ".join(x) for x in items])).collect()}
+    assert len(got & planted) >= 0.9 * len(planted) and len(got - planted) <= 2
+
+
 def test_latent_space_is_of_all_passages(spark):
     """Documents of one passage each give the space of the same passages in a tenth as many documents."""
     rng = random.Random(12)
