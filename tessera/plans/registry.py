@@ -198,6 +198,17 @@ PARTS: dict[str, str] = {
     ) + " FROM $blocks)",
     "corrected": f"""SELECT series, indicator, n, 2 * {_sf('(abs(s) - 1) / sqrt(var)')} AS p, 2 * {_sf('(abs(s) - 1) / sqrt(var * factor)')} AS p_hamed_rao, factor, p_block FROM $hamed_rao JOIN (
       SELECT series, indicator, greatest(count(*) FILTER (coalesce(got, 0) >= coalesce(seen, 0)), 1) / 5000.0 AS p_block FROM $scored GROUP BY ALL) USING (series, indicator)""",
+    "standard": "SELECT series, indicator, i, n, (x - avg(x) OVER o) / (stddev_pop(x) OVER o + 1e-12) AS x, (y - avg(y) OVER o) / (stddev_pop(y) OVER o + 1e-12) AS y FROM $numbered WINDOW o AS (PARTITION BY series, indicator)",
+    # Transforms as sums over time: kernels are inverse Fourier sums over the frequencies of the padded length.
+    "scales": "SELECT n, size, CAST(idx AS INTEGER) AS idx, 2.0 * pow(2, idx / 12.0) AS s FROM (SELECT n, CAST(pow(2, floor(log2(2 * n - 1)) + 1) AS BIGINT) AS size, unnest(range(0, CAST(floor(log2(n / 2.0) * 12) AS BIGINT) + 1)) AS idx FROM (SELECT DISTINCT n FROM $standard))",
+    "kernels": """SELECT n, idx, s, d, sum(psi * cos(w * d)) / size AS kr, sum(psi * sin(w * d)) / size AS ki, sum(exp(-0.5 * pow(s * w, 2)) * cos(w * d)) / size AS g FROM (
+      SELECT *, CASE WHEN w > 0 THEN pow(pi(), -0.25) * sqrt(2 * pi() * s) * exp(-pow(s * w - 6.0, 2) / 2) ELSE 0 END AS psi FROM (SELECT *, 2 * pi() * (CASE WHEN 2 * j < size THEN j ELSE j - size END) / size AS w FROM (SELECT *, unnest(range(0, size)) AS j FROM $scales)))
+      JOIN (SELECT n, unnest(range(1 - n, n)) AS d FROM (SELECT DISTINCT n FROM $scales)) USING (n) GROUP BY n, idx, s, size, d""",
+    "transforms": """SELECT series, indicator, n, idx, s, t, (xr * yr + xi * yi) / s AS cr, (xi * yr - xr * yi) / s AS ci, (xr * xr + xi * xi) / s AS ax, (yr * yr + yi * yi) / s AS ay FROM (
+      SELECT z.series, z.indicator, z.n, k.idx, k.s, z.i + k.d AS t, sum(z.x * kr) AS xr, sum(z.x * ki) AS xi, sum(z.y * kr) AS yr, sum(z.y * ki) AS yi FROM $standard z JOIN $kernels k ON z.n = k.n WHERE z.i + k.d >= 0 AND z.i + k.d < z.n GROUP BY ALL)""",
+    "coherence": """SELECT series, indicator, n, idx, s, least(greatest((pow(avg(cr) OVER b, 2) + pow(avg(ci) OVER b, 2)) / greatest((avg(ax) OVER b) * (avg(ay) OVER b), 1e-300), 0), 1) AS c FROM (
+      SELECT w.series, w.indicator, w.n, w.idx, w.s, w.t + k.d AS t, sum(cr * g) AS cr, sum(ci * g) AS ci, sum(ax * g) AS ax, sum(ay * g) AS ay FROM $transforms w JOIN $kernels k ON w.n = k.n AND w.idx = k.idx WHERE w.t + k.d >= 0 AND w.t + k.d < w.n GROUP BY ALL)
+      WINDOW b AS (PARTITION BY series, indicator, t ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)""",
     "gram": """SELECT a.series, a.t AS i, b.t AS j, CASE WHEN a.t = b.t THEN 1.0 ELSE exp(-least(greatest(CASE WHEN middle > 0 THEN pow(a.x - b.x, 2) / middle ELSE pow(a.x - b.x, 2) END, 0.01), 100)) END AS g FROM $monthly a JOIN $monthly b ON a.series = b.series
       JOIN (SELECT a.series, median(pow(a.x - b.x, 2)) AS middle FROM $monthly a JOIN $monthly b ON a.series = b.series AND a.t < b.t GROUP BY ALL) m ON a.series = m.series""",
     "corner": "SELECT series, i, j, sum(h) OVER (PARTITION BY series, j ORDER BY i) AS g FROM (SELECT series, i, j, sum(g) OVER (PARTITION BY series, i ORDER BY j) AS h FROM $gram)",
@@ -781,7 +792,7 @@ def recent_trend(spark, sf_dir):
     return tests.drop("ties", "direction").withColumns({"direction": F.when(F.col("mean2") > F.col("mean1"), "increasing").otherwise("decreasing"), "significant": F.coalesce(F.col("p") < 0.05, F.lit(False))})
 
 
-@query()
+@query(f"SELECT series, indicator, n, {_r('dominant_period', 'coh_6', 'coh_12', 'coh_24')} FROM (SELECT series, indicator, n, arg_max(period, (c, -idx)) AS dominant_period, " + ", ".join(f"avg(c) FILTER (period BETWEEN {b / 2} AND {b * 1.5}) AS coh_{b}" for b in (6, 12, 24)) + " FROM (SELECT series, indicator, n, idx, 4 * pi() * s / (6 + sqrt(38)) AS period, avg(c) AS c FROM $coherence GROUP BY ALL) GROUP BY ALL)")
 def wavelet_bands(spark, sf_dir):
     return correlate.coherence_bands(stages.aligned(spark, sf_dir))
 
