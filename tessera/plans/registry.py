@@ -10,18 +10,16 @@ from pyspark.sql import functions as F
 
 from tessera import adapters
 from tessera.functions import columns as fn
-from tessera.functions import counter, projections
+from tessera.functions import projections
 from tessera.operators import bands, changes, correlate, intervals, overlap, profile, rolling, series, spatial, stats, table_functions, tiles
 from tessera.plans import stages
+from tessera.plans.oracles import DIGITS, NUDGE, DAYS, T975, greater, normal_tail, shown, sided, t_even, t_five, with_parts
 from tessera.sources import readers
 from tessera.streaming import anomalies, monthly
 from tessera.tables import table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-DIGITS = 6
-#: Added before rounding: means of money over 2^n rows end in halves, which sums in another order would round apart.
-NUDGE = 2e-9
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -40,227 +38,32 @@ def query(sql: str | None = None, digits: int = DIGITS):
         QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
         if sql:
             dated = next((c for c in ("date", "month") if re.match(rf"SELECT [^()]*\b{c}\b", sql)), None)
-            whole = _with(sql)
+            whole = with_parts(sql)
             ORACLE_SQL[f.__name__] = f"SELECT * REPLACE (CAST({dated} AS VARCHAR) AS {dated}) FROM ({whole})" if dated else whole
         return f
 
     return add
 
 
-# --- closed forms of p-values for the oracles ------------------------------------------------------
-
-
-def _sf(z: str) -> str:
-    """Upper tail of the standard normal by its series in odd double factorials."""
-    terms = f"list_sum(list_transform(range(0, 240), lambda k: exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) - {z} * {z} / 2 - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()))))"
-    half = f"(CASE WHEN abs({z}) > 8 THEN 0.0 ELSE 0.5 - {terms} / sqrt(2 * pi()) END)"
-    return f"(CASE WHEN {z} >= 0 THEN {half} ELSE 1 - {half} END)"
-
-
-def _t_even(r: str, n: int) -> str:
-    """Two-sided p of a correlation over an even number of pairs: Student's t with even freedom is a finite sum."""
-    return f"(1 - abs({r}) * list_sum(list_transform(range(0, {(n - 2) // 2}), lambda j: exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - 2 * j * ln(2)) * pow(1 - {r} * {r}, j))))"
-
-
-def _t_five(r: str) -> str:
-    """The same over seven pairs (five degrees of freedom)."""
-    return f"(1 - 2 / pi() * (asin(least(abs({r}), 1.0)) + abs({r}) * (sqrt(greatest(1 - {r} * {r}, 0.0)) + 2.0 / 3 * pow(greatest(1 - {r} * {r}, 0.0), 1.5))))"
-
-
-def _greater(u: str, n1: str, n2: str, ties: str) -> str:
-    """One-sided Mann-Whitney p by the normal law, with continuity and ties."""
-    var = f"({n1} * {n2} / 12.0 * (({n1} + {n2} + 1) - ({ties}) / (({n1} + {n2}) * ({n1} + {n2} - 1.0))))"
-    z = f"(({u} - {n1} * {n2} / 2.0 - 0.5) / sqrt(greatest({var}, 1e-12)))"
-    return f"(CASE WHEN {var} <= 0 THEN 1.0 ELSE {_sf(z)} END)"
-
-
-#: Student's 0.975 quantile by its expansion in 1 / freedom (for 30 and more good to nine digits).
-_Z = 1.959963984540054
-_T975 = " + ".join(
-    f"{g} / pow(n - 2, {i})"
-    for i, g in enumerate([_Z, (_Z**3 + _Z) / 4, (5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96, (3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384, (79 * _Z**9 + 776 * _Z**7 + 1482 * _Z**5 - 1920 * _Z**3 - 945 * _Z) / 92160])
-)
-
-
-def _mixed(source: str) -> str:
-    """``source`` with its column x taken through the rounds of ``counter``."""
-    for c in counter.ROUNDS:
-        source = f"SELECT * REPLACE ((((((x * x) % {counter.PRIME}) * ((x * x) % {counter.PRIME})) % {counter.PRIME}) * x) % {counter.PRIME} AS x) FROM (SELECT * REPLACE ((x + {c}) % {counter.PRIME} AS x) FROM ({source}))"
-    return source
-
-
-def _drawn(source: str, n: str) -> str:
-    """``source`` (key, draw, place, ...) with x: a number from 0 to n - 1 for each draw and place."""
-    first = _mixed(f"SELECT *, (key + draw * {counter.STRIDE}) % {counter.PRIME} AS x FROM ({source})")
-    return f"SELECT * REPLACE ((x * {n}) // {counter.PRIME} AS x) FROM ({_mixed(f'SELECT * REPLACE ((x + place) % {counter.PRIME} AS x) FROM ({first})')})"
-
-
-_KEY = "CAST('0x' || substr(md5(series || '|' || indicator), 1, 7) AS BIGINT) + 42"
-
-
-def _sided(pairs: str, m: int) -> str:
-    """Nearest windows on either side and both, of pairs (series, t, u, mp), for the windows of ``windows``."""
-    near = "arg_min(u, (mp, u))"
-    return f"""SELECT w.series, w.t, w.date, mp, coalesce(nn, -1) AS nn, left_mp, coalesce(left_nn, -1) AS left_nn, right_mp, coalesce(right_nn, -1) AS right_nn FROM {{0}} w LEFT JOIN (
-      SELECT series, t, min(mp) AS mp, {near} AS nn, min(mp) FILTER (u < t) AS left_mp, {near} FILTER (u < t) AS left_nn, min(mp) FILTER (u > t) AS right_mp, {near} FILTER (u > t) AS right_nn FROM (
-        SELECT a.series, a.t, b.t AS u, sqrt(2.0 * {m} * (1.0 - greatest(least(list_dot_product(a.z, b.z) / {m}, 1.0), -1.0))) AS mp FROM {pairs} a JOIN {pairs} b ON a.series = b.series AND abs(a.t - b.t) > {profile.exclusion(m)}) GROUP BY ALL) USING (series, t)"""
-
-
-#: Days of a window of the daily series.
-_DAYS = 28
-
-
-# --- parts shared by the oracles: name -> (parts it needs, SQL) ---------------------------------
-
-def _window_join(source: str, m: int) -> str:
-    return f"""SELECT series, t, date, min(mp) AS mp, arg_min(u, (mp, u)) AS nn FROM (
-      SELECT a.series, a.t, a.date, b.t AS u, sqrt(2.0 * {m} * (1.0 - greatest(least(list_dot_product(a.z, b.z) / {m}, 1.0), -1.0))) AS mp
-      FROM {source} a JOIN {source} b ON a.series = b.series AND abs(a.t - b.t) > {profile.exclusion(m)}) GROUP BY ALL"""
-
-
-def _z(source: str, m: int) -> str:
-    return f"""SELECT series, t, date, list_transform(w, lambda v: (v - mu) / sd) AS z FROM (
-      SELECT series, t, date, list(x) OVER f AS w, avg(x) OVER f AS mu, stddev_pop(x) OVER f AS sd FROM {source}
-      WINDOW f AS (PARTITION BY series ORDER BY t ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING)) WHERE len(w) = {m} AND series IN (SELECT series FROM {source} GROUP BY series HAVING count(*) >= {2 * m})"""
-
-
-def _top(source: str, k: int, zone: int, order: str = "mp") -> str:
-    rounds, taken = [], ""
-    for i in range(1, k + 1):
-        rounds.append(f"r{i} AS (SELECT p.series, {i} AS rank, arg_min(t, ({order}, t)) AS t, arg_min(date, ({order}, t)) AS date, arg_min(mp, ({order}, t)) AS mp, arg_min(nn, ({order}, t)) AS nn FROM {source} p{taken} GROUP BY p.series)")
-        taken += f" ANTI JOIN r{i} ON p.series = r{i}.series AND abs(p.t - r{i}.t) <= {zone}"
-    return "WITH " + ", ".join(rounds) + " " + " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(1, k + 1))
-
-
-_FILL = """SELECT series, date, t, coalesce(x, pv + (nv - pv) * (t - pt) / (nt - pt), pv, nv) AS x FROM (
-  SELECT *, last_value(x IGNORE NULLS) OVER b AS pv, last_value(CASE WHEN x IS NOT NULL THEN t END IGNORE NULLS) OVER b AS pt,
-    first_value(x IGNORE NULLS) OVER f AS nv, first_value(CASE WHEN x IS NOT NULL THEN t END IGNORE NULLS) OVER f AS nt FROM {0}
-  WINDOW b AS (PARTITION BY series ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY series ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
-_ROLL = """SELECT *, x - CASE WHEN count(x) OVER w >= 6 THEN avg(x) OVER w END AS anomaly FROM {0} WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)"""
-_MK = """SELECT series, indicator, CAST(s AS BIGINT) AS s, slope, n, (n * (n - 1.0) * (2 * n + 5) - ties) / 18 AS var, CASE WHEN s = 0 THEN 0.0 ELSE (s - sign(s)) / sqrt((n * (n - 1.0) * (2 * n + 5) - ties) / 18) END AS z, s / (n * (n - 1.0) / 2) AS tau, mid - slope * (n - 1) / 2 AS intercept FROM (
-  SELECT a.series, a.indicator, sum(sign(b.v - a.v)) AS s, median((b.v - a.v) / (b.i - a.i)) AS slope FROM {0} a JOIN {0} b ON a.series = b.series AND a.indicator = b.indicator AND a.i < b.i GROUP BY ALL)
-  JOIN (SELECT series, indicator, CAST(sum(c) AS BIGINT) AS n, sum(c * (c - 1.0) * (2 * c + 5)) AS ties FROM (SELECT series, indicator, v, count(*) AS c FROM {0} GROUP BY ALL) GROUP BY ALL) USING (series, indicator)
-  JOIN (SELECT series, indicator, median(v) AS mid FROM {0} GROUP BY ALL) USING (series, indicator) WHERE n >= 4"""
-
-PARTS: dict[str, str] = {
-    "obs": "SELECT r_name AS series, o_custkey AS pixel, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, o_totalprice AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
-    "means": "SELECT series, date, avg(value) AS x FROM $obs GROUP BY ALL",
-    "months": "SELECT CAST(d AS DATE) AS date, row_number() OVER (ORDER BY d) - 1 AS t FROM (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 MONTH)) AS d FROM $means)",
-    "dense": "SELECT s.series, m.date, m.t, x FROM (SELECT DISTINCT series FROM $means) s CROSS JOIN $months m LEFT JOIN $means o ON o.series = s.series AND o.date = m.date",
-    "monthly": _FILL.format("$dense"),
-    "wide": "SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, avg(l_quantity) AS quantity, avg(l_discount) AS discount, avg(l_tax) AS tax, avg(l_extendedprice) AS price FROM lineitem GROUP BY ALL",
-    "long": "SELECT date, indicator, value FROM $wide UNPIVOT INCLUDE NULLS (value FOR indicator IN (quantity, discount, tax, price))",
-    "idense": "SELECT i.indicator AS series, m.date, m.t, value AS x FROM (SELECT unnest(['quantity', 'discount', 'tax', 'price']) AS indicator) i CROSS JOIN $months m LEFT JOIN $long o ON o.indicator = i.indicator AND o.date = m.date",
-    "imonthly": _FILL.format("$idense"),
-    "clim": "SELECT series, date, t, x - avg(x) OVER (PARTITION BY series, month(date)) AS x FROM $monthly",
-    "roll": _ROLL.format("$monthly"),
-    "iroll": _ROLL.format("$imonthly"),
-    "aligned": "SELECT a.series, b.series AS indicator, a.date, a.anomaly AS x, b.anomaly AS y FROM $roll a JOIN $iroll b USING (date)",
-    "z12": _z("$clim", 12), "z24": _z("$clim", 24), "z36": _z("$clim", 36), "iz12": _z("$imonthly", 12), "iz24": _z("$imonthly", 24), "iz36": _z("$imonthly", 36), "z48": _z("$clim", 48), "iz48": _z("$imonthly", 48),
-    **{f"{i}p{m}": _window_join(f"${i}z{m}", m) for i in ("", "i") for m in (12, 24, 36, 48)},
-    **{f"{i}top{m}": _top(f"${i}p{m}", 3, m // 4) for i in ("", "i") for m in (12, 24, 36, 48)},
-    **{f"{i}rz{m}": _z(f"(SELECT series, date, t, anomaly AS x FROM ${i}roll)", m) for i in ("", "i") for m in (12, 24, 36, 48)},
-    **{f"{i}rp{m}": _window_join(f"${i}rz{m}", m) for i in ("", "i") for m in (12, 24, 36, 48)},
-    **{f"{i}rtop{m}": _top(f"${i}rp{m}", 3, m // 4) for i in ("", "i") for m in (12, 24, 36, 48)},
-    "distances": "SELECT a.series, a.t, list(sqrt(greatest(2.0 * 12 * (1.0 - list_dot_product(a.z, b.z) / 12), 0.0)) ORDER BY b.t) AS d FROM $z12 a JOIN $z12 b ON a.series = b.series GROUP BY ALL",
-    "discords": _top("$p12", 3, 3, "-mp"),
-    "pairs": "SELECT DISTINCT a.series, b.series AS indicator, a.t AS start, b.t AS other, b.t - a.t AS lag FROM $top12 a JOIN $itop12 b ON abs(b.t - a.t) <= 12",
-    "pearson": """SELECT series, indicator, date, n_row, greatest(least(num / (sqrt(greatest(vx * vy, 0.0)) + 1e-14), 1.0), -1.0) AS r FROM (
-      SELECT series, indicator, date, row_number() OVER (PARTITION BY series, indicator ORDER BY date) AS n_row, avg(x * y) OVER w - avg(x) OVER w * avg(y) OVER w AS num,
-        avg(x * x) OVER w - pow(avg(x) OVER w, 2) AS vx, avg(y * y) OVER w - pow(avg(y) OVER w, 2) AS vy FROM $aligned
-      WINDOW w AS (PARTITION BY series, indicator ORDER BY date ROWS BETWEEN 35 PRECEDING AND CURRENT ROW)) WHERE n_row >= 36""",
-    "ranked": "SELECT series, indicator, r AS v, row_number() OVER (PARTITION BY series, indicator ORDER BY date) - 1 AS i FROM $pearson",
-    "mk": _MK.format("$ranked"),
-    "annual": """SELECT g.series, g.indicator, g.year, coalesce(n, 0) AS n FROM (SELECT series, indicator, CAST(unnest(range(1995, 2002)) AS INTEGER) AS year FROM (SELECT DISTINCT series, indicator FROM $pairs)) g
-      LEFT JOIN (SELECT p.series, indicator, CAST(year(date) AS INTEGER) AS year, count(*) AS n FROM $pairs p JOIN $monthly m ON p.series = m.series AND p.start = m.t GROUP BY ALL) c ON g.series = c.series AND g.indicator = c.indicator AND g.year = c.year""",
-    "lags": """SELECT x.series, x.indicator, CAST(k AS INTEGER) AS lag, x.n, sum(x.v * y.v) / x.n AS r FROM (SELECT series, indicator, i, n, (x - avg(x) OVER o) / (stddev_pop(x) OVER o + 1e-12) AS v FROM $numbered WINDOW o AS (PARTITION BY series, indicator)) x
-      JOIN (SELECT series, indicator, i, (y - avg(y) OVER o) / (stddev_pop(y) OVER o + 1e-12) AS v FROM $numbered WINDOW o AS (PARTITION BY series, indicator)) y ON x.series = y.series AND x.indicator = y.indicator
-      JOIN (SELECT unnest(range(0, 25)) AS k) ks ON x.i = y.i + k GROUP BY x.series, x.indicator, k, x.n""",
-    "numbered": "SELECT *, row_number() OVER (PARTITION BY series, indicator ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY series, indicator) AS n FROM $aligned WHERE x IS NOT NULL AND y IS NOT NULL",
-    "indices": """SELECT *, CASE WHEN count(mp) OVER w >= 12 THEN min(mp) OVER w END AS mpi_min, CASE WHEN count(mp) OVER w >= 12 THEN avg(mp) OVER w END AS mpi_mean,
-      mp > avg(mp) OVER s + 1.5 * stddev_pop(mp) OVER s AS anomalous FROM $p12 WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), s AS (PARTITION BY series)""",
-    "points": "SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) * 400 AS lon, CAST(embedding[2] AS DOUBLE) * 200 AS lat FROM embeddings",
-    "boxes": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}, {b}, {c}, {d})" for n, a, b, c, d in spatial.BOXES) + ") v(region, lon_min, lat_min, lon_max, lat_max)",
-    "yearly": "SELECT series, CAST(year(date) AS INTEGER) AS year, avg(mpi_min) AS mpi_min, avg(mpi_mean) AS mpi_mean, CAST(count(*) FILTER (anomalous) AS DOUBLE) AS n_anomalous FROM $indices GROUP BY ALL",
-    "recent": "SELECT series, indicator, year < 1998 AS early, value FROM $yearly UNPIVOT (value FOR indicator IN (mpi_min, mpi_mean, n_anomalous))",
-    "daily": "SELECT 'price' AS series, CAST(l_shipdate AS DATE) AS date, date_diff('day', (SELECT CAST(min(l_shipdate) AS DATE) FROM lineitem), CAST(l_shipdate AS DATE)) AS t, avg(l_extendedprice) AS x FROM lineitem GROUP BY ALL",
-    "daily_z": f"""SELECT series, t, list_transform(w, lambda v: (v - mu) / sd) AS z FROM (SELECT series, t, list(x) OVER f AS w, avg(x) OVER f AS mu, stddev_pop(x) OVER f AS sd FROM $daily
-      WINDOW f AS (PARTITION BY series ORDER BY t RANGE BETWEEN CURRENT ROW AND {_DAYS - 1} FOLLOWING)) WHERE len(w) = {_DAYS}""",
-    "draws": f"""SELECT series, indicator, draw, lags[x + 1] AS lag FROM ({_drawn(f"SELECT series, indicator, lags, n, key, draw, unnest(range(0, n)) AS place FROM (SELECT *, unnest(range(0, 1000)) AS draw FROM (SELECT series, indicator, list_sort(list(CAST(lag AS DOUBLE))) AS lags, count(*) AS n, {_KEY} AS key FROM $pairs GROUP BY ALL))", "n")})""",
-    "hamed_rao": """SELECT series, indicator, n, s, var, greatest(1 + 2.0 / (n * (n - 1.0) * (n - 2)) * coalesce(sum((n - k) * (n - k - 1.0) * (n - k - 2) * r) FILTER (abs(r) > 1.959964 / sqrt(n)), 0), 1e-12) AS factor FROM (
-      SELECT a.series, a.indicator, a.n, a.s, a.var, b.i - a.i AS k, sum(a.d * b.d) / any_value(a.whole) AS r FROM $detrended a JOIN $detrended b ON a.series = b.series AND a.indicator = b.indicator AND a.i < b.i GROUP BY ALL) GROUP BY series, indicator, n, s, var""",
-    "detrended": """SELECT *, sum(d * d) OVER (PARTITION BY series, indicator) AS whole FROM (SELECT series, indicator, i, n, s, var, place - avg(place) OVER (PARTITION BY series, indicator) AS d FROM (
-      SELECT *, rank() OVER (PARTITION BY series, indicator ORDER BY rest) + (count(*) OVER (PARTITION BY series, indicator, rest) - 1) / 2.0 AS place FROM (SELECT r.series, r.indicator, r.i, m.n, m.s, m.var, r.v - m.slope * r.i AS rest FROM $ranked r JOIN $mk m USING (series, indicator))))""",
-    "blocks": f"""SELECT series, indicator, draw, v, n, list(v[x + o + 1] ORDER BY place, o) AS w FROM (SELECT *, unnest(range(0, least(36, n - place * 36))) AS o FROM ({_drawn(f"SELECT series, indicator, v, n, key, draw, unnest(range(0, CAST(ceil(n / 36.0) AS BIGINT))) AS place FROM (SELECT *, unnest(range(0, 5000)) AS draw FROM (SELECT series, indicator, list(v ORDER BY i) AS v, count(*) AS n, {_KEY} AS key FROM $ranked GROUP BY ALL))", "(n - 35)")})) GROUP BY ALL""",
-    "scored": "SELECT *, (s0 * s0) / nullif(u0, 0) AS seen, (s1 * s1) / nullif(u1, 0) AS got FROM (SELECT series, indicator, draw, " + ", ".join(
-        f"list_sum(list_transform(range(0, n), lambda i: coalesce(list_sum(list_transform({w}[i + 2:], lambda y: {f})), 0))) AS {name}"
-        for w, k in (("v", 0), ("w", 1)) for f, name in ((f"sign(y - {w}[i + 1])", f"s{k}"), (f"CAST(y <> {w}[i + 1] AS INTEGER)", f"u{k}"))
-    ) + " FROM $blocks)",
-    "corrected": f"""SELECT series, indicator, n, 2 * {_sf('(abs(s) - 1) / sqrt(var)')} AS p, 2 * {_sf('(abs(s) - 1) / sqrt(var * factor)')} AS p_hamed_rao, factor, p_block FROM $hamed_rao JOIN (
-      SELECT series, indicator, greatest(count(*) FILTER (coalesce(got, 0) >= coalesce(seen, 0)), 1) / 5000.0 AS p_block FROM $scored GROUP BY ALL) USING (series, indicator)""",
-    "standard": "SELECT series, indicator, i, n, (x - avg(x) OVER o) / (stddev_pop(x) OVER o + 1e-12) AS x, (y - avg(y) OVER o) / (stddev_pop(y) OVER o + 1e-12) AS y FROM $numbered WINDOW o AS (PARTITION BY series, indicator)",
-    # Transforms as sums over time: kernels are inverse Fourier sums over the frequencies of the padded length.
-    "scales": "SELECT n, size, CAST(idx AS INTEGER) AS idx, 2.0 * pow(2, idx / 12.0) AS s FROM (SELECT n, CAST(pow(2, floor(log2(2 * n - 1)) + 1) AS BIGINT) AS size, unnest(range(0, CAST(floor(log2(n / 2.0) * 12) AS BIGINT) + 1)) AS idx FROM (SELECT DISTINCT n FROM $standard))",
-    "kernels": """SELECT n, idx, s, d, sum(psi * cos(w * d)) / size AS kr, sum(psi * sin(w * d)) / size AS ki, sum(exp(-0.5 * pow(s * w, 2)) * cos(w * d)) / size AS g FROM (
-      SELECT *, CASE WHEN w > 0 THEN pow(pi(), -0.25) * sqrt(2 * pi() * s) * exp(-pow(s * w - 6.0, 2) / 2) ELSE 0 END AS psi FROM (SELECT *, 2 * pi() * (CASE WHEN 2 * j < size THEN j ELSE j - size END) / size AS w FROM (SELECT *, unnest(range(0, size)) AS j FROM $scales)))
-      JOIN (SELECT n, unnest(range(1 - n, n)) AS d FROM (SELECT DISTINCT n FROM $scales)) USING (n) GROUP BY n, idx, s, size, d""",
-    "transforms": """SELECT series, indicator, n, idx, s, t, (xr * yr + xi * yi) / s AS cr, (xi * yr - xr * yi) / s AS ci, (xr * xr + xi * xi) / s AS ax, (yr * yr + yi * yi) / s AS ay FROM (
-      SELECT z.series, z.indicator, z.n, k.idx, k.s, z.i + k.d AS t, sum(z.x * kr) AS xr, sum(z.x * ki) AS xi, sum(z.y * kr) AS yr, sum(z.y * ki) AS yi FROM $standard z JOIN $kernels k ON z.n = k.n WHERE z.i + k.d >= 0 AND z.i + k.d < z.n GROUP BY ALL)""",
-    "coherence": """SELECT series, indicator, n, idx, s, least(greatest((pow(avg(cr) OVER b, 2) + pow(avg(ci) OVER b, 2)) / greatest((avg(ax) OVER b) * (avg(ay) OVER b), 1e-300), 0), 1) AS c FROM (
-      SELECT w.series, w.indicator, w.n, w.idx, w.s, w.t + k.d AS t, sum(cr * g) AS cr, sum(ci * g) AS ci, sum(ax * g) AS ax, sum(ay * g) AS ay FROM $transforms w JOIN $kernels k ON w.n = k.n AND w.idx = k.idx WHERE w.t + k.d >= 0 AND w.t + k.d < w.n GROUP BY ALL)
-      WINDOW b AS (PARTITION BY series, indicator, t ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)""",
-    "gram": """SELECT a.series, a.t AS i, b.t AS j, CASE WHEN a.t = b.t THEN 1.0 ELSE exp(-least(greatest(CASE WHEN middle > 0 THEN pow(a.x - b.x, 2) / middle ELSE pow(a.x - b.x, 2) END, 0.01), 100)) END AS g FROM $monthly a JOIN $monthly b ON a.series = b.series
-      JOIN (SELECT a.series, median(pow(a.x - b.x, 2)) AS middle FROM $monthly a JOIN $monthly b ON a.series = b.series AND a.t < b.t GROUP BY ALL) m ON a.series = m.series""",
-    "corner": "SELECT series, i, j, sum(h) OVER (PARTITION BY series, j ORDER BY i) AS g FROM (SELECT series, i, j, sum(g) OVER (PARTITION BY series, i ORDER BY j) AS h FROM $gram)",
-    "segment_costs": """SELECT series, b, list(b - a - (whole - side - side + corner) / (b - a) ORDER BY a) AS costs FROM (SELECT e.series, e.i + 1 AS b, s.i AS a, e.g AS whole, coalesce(x.g, 0) AS side, coalesce(y.g, 0) AS corner
-      FROM $corner e JOIN $corner s ON e.series = s.series AND e.i = e.j AND s.i = s.j AND s.i <= e.i LEFT JOIN $corner x ON x.series = e.series AND x.i = s.i - 1 AND x.j = e.i LEFT JOIN $corner y ON y.series = e.series AND y.i = s.i - 1 AND y.j = s.i - 1) GROUP BY ALL""",
-    "orders_of_ranks": """SELECT n, n1, u, count(*) AS c FROM (SELECT n, bit_count(mask) AS n1, list_sum(list_transform(range(0, n), lambda i: CASE WHEN (mask >> i) & 1 = 1 THEN i - bit_count(mask & ((1 << i) - 1)) ELSE 0 END)) AS u
-      FROM (SELECT n, unnest(range(0, 1 << n)) AS mask FROM (SELECT CAST(unnest(range(2, 11)) AS BIGINT) AS n))) GROUP BY ALL""",
-    "mwu": """SELECT series, indicator, n1, n2, CASE WHEN n1 > 0 AND n2 > 0 THEN u END AS u, ties, mean1, mean2, CASE WHEN n1 > 0 AND n2 > 0 THEN 1 - 2 * u / (n1 * n2) END AS effect FROM (
-      SELECT series, indicator, CAST(sum(a) AS BIGINT) AS n1, CAST(sum(b) AS BIGINT) AS n2, sum(a * (below + b / 2.0)) AS u, sum(pow(a + b, 3) - (a + b)) AS ties, sum(a * n) * 1.0 / sum(a) AS mean1, sum(b * n) * 1.0 / sum(b) AS mean2 FROM (
-        SELECT *, coalesce(sum(b) OVER (PARTITION BY series, indicator ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (
-          SELECT series, indicator, n, count(*) FILTER (year < 1998) AS a, count(*) FILTER (year >= 1998) AS b FROM $annual GROUP BY ALL)) GROUP BY ALL)""",
-}
-
-
-def _with(sql: str) -> str:
-    """``sql`` with the shared parts it names, and those they name, as common table expressions in order."""
-    order: list[str] = []
-
-    def need(text: str) -> None:
-        for name in re.findall(r"\$(\w+)", text):
-            if name not in order:
-                need(PARTS[name])
-                order.append(name)
-
-    need(sql)
-    parts = ", ".join(f"s_{name} AS MATERIALIZED ({PARTS[name]})" for name in order)
-    return re.sub(r"\$(\w+)", r"s_\1", f"WITH {parts} {sql}" if parts else sql)
-
-
-def _r(*names: str, digits: int = DIGITS) -> str:
-    return ", ".join(f"round({n} + {NUDGE}, {digits}) + 0.0 AS {n}" for n in names)
-
-
 # --- series --------------------------------------------------------------------------------------
 
 
-@query(f"SELECT series, date, t, {_r('x')} FROM $monthly")
+@query(f"SELECT series, date, t, {shown('x')} FROM $monthly")
 def monthly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.monthly(spark, sf_dir)
 
 
-@query(f"SELECT series, date, t, {_r('x')} FROM $clim")
+@query(f"SELECT series, date, t, {shown('x')} FROM $clim")
 def climatology_anomaly(spark, sf_dir):
     return stages.region_anomalies(spark, sf_dir)
 
 
-@query(f"SELECT series, date, t, {_r('x', 'anomaly')} FROM $roll")
+@query(f"SELECT series, date, t, {shown('x', 'anomaly')} FROM $roll")
 def rolling_deseason(spark, sf_dir):
     return series.rolling_anomaly(stages.monthly(spark, sf_dir))
 
 
-@query(f"""SELECT series, date, t, {_r('x', 'line', 'near')} FROM (SELECT g.series, g.date, g.t, g.x, m.x AS line,
+@query(f"""SELECT series, date, t, {shown('x', 'line', 'near')} FROM (SELECT g.series, g.date, g.t, g.x, m.x AS line,
   coalesce(last_value(g.x IGNORE NULLS) OVER (PARTITION BY g.series ORDER BY g.t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(g.x IGNORE NULLS) OVER (PARTITION BY g.series ORDER BY g.t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS near
   FROM $dense g JOIN $monthly m ON g.series = m.series AND g.t = m.t)""")
 def fill_gaps(spark, sf_dir):
@@ -268,27 +71,27 @@ def fill_gaps(spark, sf_dir):
     return series.fill_both_ways(series.interpolate(dense, x="line"), x="near")
 
 
-@query(f"SELECT date, indicator, {_r('value')} FROM $long")
+@query(f"SELECT date, indicator, {shown('value')} FROM $long")
 def indicator_long(spark, sf_dir):
     return series.unpivot(adapters.indicators_wide(spark, sf_dir), adapters.INDICATORS)
 
 
-@query(f"SELECT date, {_r(*adapters.INDICATORS)} FROM $wide")
+@query(f"SELECT date, {shown(*adapters.INDICATORS)} FROM $wide")
 def indicator_wide(spark, sf_dir):
     return series.pivot(indicator_long(spark, sf_dir), adapters.INDICATORS)
 
 
-@query(f"SELECT indicator, n, n_null, {_r('null_rate', 'least', 'most', 'mean')} FROM (SELECT indicator, count(*) AS n, count(*) - count(value) AS n_null, (count(*) - count(value)) / count(*) AS null_rate, min(value) AS least, max(value) AS most, avg(value) AS mean FROM $long GROUP BY ALL)")
+@query(f"SELECT indicator, n, n_null, {shown('null_rate', 'least', 'most', 'mean')} FROM (SELECT indicator, count(*) AS n, count(*) - count(value) AS n_null, (count(*) - count(value)) / count(*) AS null_rate, min(value) AS least, max(value) AS most, avg(value) AS mean FROM $long GROUP BY ALL)")
 def indicator_profile(spark, sf_dir):
     return series.null_profile(indicator_long(spark, sf_dir))
 
 
-@query(f"SELECT series, year, {_r('mean', 'std', digits=4)}, n FROM (SELECT series, CAST(year(date) AS INTEGER) AS year, avg(value) AS mean, stddev_samp(value) AS std, count(value) AS n FROM $obs GROUP BY ALL)", digits=4)
+@query(f"SELECT series, year, {shown('mean', 'std', digits=4)}, n FROM (SELECT series, CAST(year(date) AS INTEGER) AS year, avg(value) AS mean, stddev_samp(value) AS std, count(value) AS n FROM $obs GROUP BY ALL)", digits=4)
 def yearly_stats(spark, sf_dir):
     return series.yearly_stats(adapters.observations(spark, sf_dir))
 
 
-@query(f"SELECT series, n_pixels, n_dates, n_rows, {_r('completeness')}, completeness < 0.7 AS sparse FROM (SELECT series, count(DISTINCT pixel) AS n_pixels, count(DISTINCT date) AS n_dates, count(*) AS n_rows, count(*) / (count(DISTINCT pixel) * count(DISTINCT date)) AS completeness FROM $obs GROUP BY ALL)")
+@query(f"SELECT series, n_pixels, n_dates, n_rows, {shown('completeness')}, completeness < 0.7 AS sparse FROM (SELECT series, count(DISTINCT pixel) AS n_pixels, count(DISTINCT date) AS n_dates, count(*) AS n_rows, count(*) / (count(DISTINCT pixel) * count(DISTINCT date)) AS completeness FROM $obs GROUP BY ALL)")
 def completeness_qc(spark, sf_dir):
     return series.completeness(adapters.observations(spark, sf_dir))
 
@@ -321,7 +124,7 @@ def event_windows(spark, sf_dir):
     return got.withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
-@query(f"SELECT series, date, {_r('x', 'anomaly')}, n, false AS late FROM (SELECT series, date, x, x - sum(x) OVER w / count(x) OVER w AS anomaly, count(x) OVER w AS n FROM $monthly WINDOW w AS (PARTITION BY series, month(date) ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))")
+@query(f"SELECT series, date, {shown('x', 'anomaly')}, n, false AS late FROM (SELECT series, date, x, x - sum(x) OVER w / count(x) OVER w AS anomaly, count(x) OVER w AS n FROM $monthly WINDOW w AS (PARTITION BY series, month(date) ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))")
 def running_anomalies(spark, sf_dir):
     return anomalies.batch_anomalies(stages.monthly(spark, sf_dir))
 
@@ -338,7 +141,7 @@ def _months_as_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("cents"))
 
 
-@query(f"SELECT date, indicator, {_r('value')} FROM ({_LINES})")
+@query(f"SELECT date, indicator, {shown('value')} FROM ({_LINES})")
 def index_lines(spark, sf_dir):
     """Lines YEAR MONTH VALUE, with -99.90 for a missing value, a title and a remark, as the index tables have them."""
     value = F.when(F.col("n") % 7 == 0, "-99.90").otherwise(F.format_string("%d.%02d", F.floor(F.col("cents") / 100), F.col("cents") % 100))
@@ -347,7 +150,7 @@ def index_lines(spark, sf_dir):
     return readers.parse_long_ascii(lines, "price")
 
 
-@query(f"SELECT date, indicator, {_r('value')} FROM ({_LINES})")
+@query(f"SELECT date, indicator, {shown('value')} FROM ({_LINES})")
 def seasonal_lines(spark, sf_dir):
     """Lines SEASON YEAR TOTAL ANOMALY, a season named by its three months and dated by the middle one."""
     season = F.element_at(F.array(*map(F.lit, readers.SEASONS)), F.month("month"))
@@ -468,14 +271,14 @@ def points_in_polygons(spark, sf_dir):
     return spatial.within(adapters.points(spark, sf_dir), spatial.polygons(spark)).select("id", "polygon")
 
 
-@query(f"SELECT region, {_r('lon_min', 'lat_min', 'lon_max', 'lat_max')} FROM (SELECT region, min(lon) AS lon_min, min(lat) AS lat_min, max(lon) AS lon_max, max(lat) AS lat_max FROM $points JOIN $boxes ON lon BETWEEN lon_min AND lon_max AND lat BETWEEN lat_min AND lat_max GROUP BY ALL)")
+@query(f"SELECT region, {shown('lon_min', 'lat_min', 'lon_max', 'lat_max')} FROM (SELECT region, min(lon) AS lon_min, min(lat) AS lat_min, max(lon) AS lon_max, max(lat) AS lat_max FROM $points JOIN $boxes ON lon BETWEEN lon_min AND lon_max AND lat BETWEEN lat_min AND lat_max GROUP BY ALL)")
 def region_bounds(spark, sf_dir):
     """The box around the points of each region."""
     got = spatial.assign_boxes(adapters.points(spark, sf_dir), spatial.boxes(spark))
     return got.groupBy("region").agg(F.min("lon").alias("lon_min"), F.min("lat").alias("lat_min"), F.max("lon").alias("lon_max"), F.max("lat").alias("lat_max"))
 
 
-@query(f"SELECT date, {_r(*adapters.INDICATORS)}, vintage FROM $wide JOIN (SELECT * FROM (VALUES " + ", ".join(f"(CAST({v} AS INTEGER), DATE '{a}', DATE '{b}')" for v, a, b in spatial.PERIODS) + ") p(vintage, first, last)) ON date BETWEEN first AND last")
+@query(f"SELECT date, {shown(*adapters.INDICATORS)}, vintage FROM $wide JOIN (SELECT * FROM (VALUES " + ", ".join(f"(CAST({v} AS INTEGER), DATE '{a}', DATE '{b}')" for v, a, b in spatial.PERIODS) + ") p(vintage, first, last)) ON date BETWEEN first AND last")
 def period_slices(spark, sf_dir):
     return spatial.assign_periods(adapters.indicators_wide(spark, sf_dir), spatial.periods(spark))
 
@@ -509,23 +312,23 @@ def projected_points(spark, sf_dir):
 # --- profiles ------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT series, t, date, {_r('mp', digits=5)}, nn FROM $p12", digits=5)
+@query(f"SELECT series, t, date, {shown('mp', digits=5)}, nn FROM $p12", digits=5)
 def matrix_profile_m12(spark, sf_dir):
     return stages.region_profile(spark, sf_dir, 12)
 
 
-@query(f"SELECT series, t, date, {_r('mp', digits=5)}, nn FROM $p24", digits=5)
+@query(f"SELECT series, t, date, {shown('mp', digits=5)}, nn FROM $p24", digits=5)
 def matrix_profile_m24(spark, sf_dir):
     return stages.region_profile(spark, sf_dir, 24)
 
 
-@query(f"SELECT series, t, date, {_r('mp', digits=5)}, nn FROM $p12", digits=5)
+@query(f"SELECT series, t, date, {shown('mp', digits=5)}, nn FROM $p12", digits=5)
 def profile_in_sql(spark, sf_dir):
     table_functions.register(spark)
     return spark.sql("SELECT * FROM matrix_profile(TABLE(SELECT * FROM {rows}) PARTITION BY (series) ORDER BY (t), 12)", rows=stages.region_anomalies(spark, sf_dir))
 
 
-_SIDES = f"SELECT series, t, date, {_r('mp', 'left_mp', 'right_mp', digits=5)}, nn, left_nn, right_nn FROM "
+_SIDES = f"SELECT series, t, date, {shown('mp', 'left_mp', 'right_mp', digits=5)}, nn, left_nn, right_nn FROM "
 
 
 def _finite(df: DataFrame) -> DataFrame:
@@ -533,27 +336,27 @@ def _finite(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c) != float("inf"), F.col(c)) for c in ("mp", "left_mp", "right_mp")})
 
 
-@query(_SIDES + "(" + _sided("$z12", 12).format("$z12") + ")", digits=5)
+@query(_SIDES + "(" + sided("$z12", 12).format("$z12") + ")", digits=5)
 def matrix_profile_sides(spark, sf_dir):
     return _finite(tiles.tiled_profile(stages.region_anomalies(spark, sf_dir), 12))
 
 
-@query(_SIDES + "(" + _sided("$daily_z", _DAYS).format(f"(SELECT * FROM $daily WHERE t <= (SELECT max(t) FROM $daily) - {_DAYS - 1})") + ")", digits=5)
+@query(_SIDES + "(" + sided("$daily_z", DAYS).format(f"(SELECT * FROM $daily WHERE t <= (SELECT max(t) FROM $daily) - {DAYS - 1})") + ")", digits=5)
 def daily_profile(spark, sf_dir):
-    return _finite(tiles.tiled_profile(adapters.daily_prices(spark, sf_dir), _DAYS, tile=512))
+    return _finite(tiles.tiled_profile(adapters.daily_prices(spark, sf_dir), DAYS, tile=512))
 
 
-@query(f"SELECT series, t, date, {_r('mp', digits=5)}, nn FROM $ip12", digits=5)
+@query(f"SELECT series, t, date, {shown('mp', digits=5)}, nn FROM $ip12", digits=5)
 def indicator_matrix_profile(spark, sf_dir):
     return stages.indicator_profile(spark, sf_dir, 12)
 
 
-@query(f"SELECT series, rank, t, date, {_r('mp', digits=5)}, nn FROM $top12", digits=5)
+@query(f"SELECT series, rank, t, date, {shown('mp', digits=5)}, nn FROM $top12", digits=5)
 def top_motifs(spark, sf_dir):
     return profile.best_windows(stages.region_profile(spark, sf_dir), 3, 3)
 
 
-@query(f"SELECT series, rank, t, date, {_r('mp', digits=5)}, nn FROM $discords", digits=5)
+@query(f"SELECT series, rank, t, date, {shown('mp', digits=5)}, nn FROM $discords", digits=5)
 def top_discords(spark, sf_dir):
     return profile.best_windows(stages.region_profile(spark, sf_dir), 3, 3, largest=True)
 
@@ -574,22 +377,22 @@ def _motif_groups(m: int, most: int = 3, matches: int = 10) -> str:
     return f"SELECT * FROM (WITH {', '.join(rounds)} {shown})"
 
 
-@query(f"SELECT series, rank, start, nn, {_r('distance', 'nn_distance', digits=5)} FROM ({_motif_groups(12)})", digits=5)
+@query(f"SELECT series, rank, start, nn, {shown('distance', 'nn_distance', digits=5)} FROM ({_motif_groups(12)})", digits=5)
 def motif_groups(spark, sf_dir):
     return profile.motifs(stages.region_anomalies(spark, sf_dir), 12)
 
 
-@query(f"SELECT series, n, {_r('mean', 'std', 'least', 'most', digits=5)} FROM (SELECT series, count(*) AS n, avg(mp) AS mean, stddev_pop(mp) AS std, min(mp) AS least, max(mp) AS most FROM $p12 GROUP BY ALL)", digits=5)
+@query(f"SELECT series, n, {shown('mean', 'std', 'least', 'most', digits=5)} FROM (SELECT series, count(*) AS n, avg(mp) AS mean, stddev_pop(mp) AS std, min(mp) AS least, max(mp) AS most FROM $p12 GROUP BY ALL)", digits=5)
 def profile_summary(spark, sf_dir):
     return rolling.profile_summary(stages.region_profile(spark, sf_dir))
 
 
-@query(f"SELECT series, t, date, {_r('mp', 'mpi_min', 'mpi_mean', digits=5)}, nn, anomalous FROM $indices", digits=5)
+@query(f"SELECT series, t, date, {shown('mp', 'mpi_min', 'mpi_mean', digits=5)}, nn, anomalous FROM $indices", digits=5)
 def profile_indices(spark, sf_dir):
     return rolling.profile_indices(stages.region_profile(spark, sf_dir))
 
 
-@query(f"SELECT series, n, {_r('early_rate', 'late_rate')}, late_rate > early_rate AS grew FROM (SELECT series, count(*) AS n, count(*) FILTER (anomalous AND year(date) < 1998) / greatest(count(*) FILTER (year(date) < 1998), 1) AS early_rate, count(*) FILTER (anomalous AND year(date) >= 1998) / greatest(count(*) FILTER (year(date) >= 1998), 1) AS late_rate FROM $indices GROUP BY ALL)")
+@query(f"SELECT series, n, {shown('early_rate', 'late_rate')}, late_rate > early_rate AS grew FROM (SELECT series, count(*) AS n, count(*) FILTER (anomalous AND year(date) < 1998) / greatest(count(*) FILTER (year(date) < 1998), 1) AS early_rate, count(*) FILTER (anomalous AND year(date) >= 1998) / greatest(count(*) FILTER (year(date) >= 1998), 1) AS late_rate FROM $indices GROUP BY ALL)")
 def anomaly_rates(spark, sf_dir):
     return rolling.anomaly_rates(profile_indices(spark, sf_dir), 1998)
 
@@ -625,12 +428,12 @@ def window_sweep_rolling(spark, sf_dir):
     return stages.sweep(spark, sf_dir, rolling_mean=True)
 
 
-@query(f"SELECT series, indicator, n_overlaps, n_matched, {_r('median_lag', 'p025', 'p975')} FROM (SELECT series, indicator, count(*) AS n_overlaps, count(DISTINCT start) AS n_matched, CAST(median(lag) AS DOUBLE) AS median_lag, quantile_cont(CAST(lag AS DOUBLE), 0.025) AS p025, quantile_cont(CAST(lag AS DOUBLE), 0.975) AS p975 FROM $pairs GROUP BY ALL)")
+@query(f"SELECT series, indicator, n_overlaps, n_matched, {shown('median_lag', 'p025', 'p975')} FROM (SELECT series, indicator, count(*) AS n_overlaps, count(DISTINCT start) AS n_matched, CAST(median(lag) AS DOUBLE) AS median_lag, quantile_cont(CAST(lag AS DOUBLE), 0.025) AS p025, quantile_cont(CAST(lag AS DOUBLE), 0.975) AS p975 FROM $pairs GROUP BY ALL)")
 def lag_summary(spark, sf_dir):
     return overlap.lag_summary(stages.pairs(spark, sf_dir))
 
 
-@query(f"SELECT series, indicator, n, {_r('ci_lower', 'ci_upper')} FROM (SELECT series, indicator, quantile_cont(m, 0.025) AS ci_lower, quantile_cont(m, 0.975) AS ci_upper FROM (SELECT series, indicator, draw, median(lag) AS m FROM $draws GROUP BY ALL) GROUP BY ALL) JOIN (SELECT series, indicator, count(*) AS n FROM $pairs GROUP BY ALL) USING (series, indicator)")
+@query(f"SELECT series, indicator, n, {shown('ci_lower', 'ci_upper')} FROM (SELECT series, indicator, quantile_cont(m, 0.025) AS ci_lower, quantile_cont(m, 0.975) AS ci_upper FROM (SELECT series, indicator, draw, median(lag) AS m FROM $draws GROUP BY ALL) GROUP BY ALL) JOIN (SELECT series, indicator, count(*) AS n FROM $pairs GROUP BY ALL) USING (series, indicator)")
 def lag_intervals(spark, sf_dir):
     return overlap.lag_intervals(stages.pairs(spark, sf_dir))
 
@@ -653,15 +456,15 @@ def _annual_split(spark, sf_dir):
     return annual_overlap_counts(spark, sf_dir).select("series", "indicator", (F.col("year") < 1998).alias("early"), F.col("n").cast("double").alias("value"))
 
 
-_MWU = f"SELECT *, CASE WHEN n1 > 0 AND n2 > 0 THEN {_greater('u', 'n1', 'n2', 'ties')} END AS p FROM $mwu"
+_MWU = f"SELECT *, CASE WHEN n1 > 0 AND n2 > 0 THEN {greater('u', 'n1', 'n2', 'ties')} END AS p FROM $mwu"
 
 
-@query(f"SELECT series, indicator, n1, n2, {_r('u', 'ties', 'mean1', 'mean2', 'effect', 'p')}, CASE WHEN mean1 > mean2 THEN 'early>late' ELSE 'early<=late' END AS direction FROM ({_MWU})")
+@query(f"SELECT series, indicator, n1, n2, {shown('u', 'ties', 'mean1', 'mean2', 'effect', 'p')}, CASE WHEN mean1 > mean2 THEN 'early>late' ELSE 'early<=late' END AS direction FROM ({_MWU})")
 def mwu_shift(spark, sf_dir):
     return stats.mann_whitney(_annual_split(spark, sf_dir))
 
 
-@query(f"""SELECT series, indicator, {_r('r', 'slope', 'p')}, CASE WHEN round(r, 9) < 0 THEN 'decreasing' ELSE 'increasing' END AS direction FROM (SELECT *, {_t_five('r')} AS p FROM (
+@query(f"""SELECT series, indicator, {shown('r', 'slope', 'p')}, CASE WHEN round(r, 9) < 0 THEN 'decreasing' ELSE 'increasing' END AS direction FROM (SELECT *, {t_five('r')} AS p FROM (
   SELECT series, indicator, CASE WHEN stddev_pop(n) > 0 THEN corr(n, year) END AS r, regr_slope(n, year) AS slope FROM $annual GROUP BY ALL))""")
 def annual_trend(spark, sf_dir):
     return stats.annual_trend(annual_overlap_counts(spark, sf_dir))
@@ -669,7 +472,7 @@ def annual_trend(spark, sf_dir):
 
 def _rebuilt(p: str, ones1: str, ones2: str) -> str:
     """The tests of ``p`` with f: the p of samples listed value by value, by comparing every pair of values."""
-    return f"""SELECT *, CASE WHEN n1 > 0 AND n2 > 0 THEN {_greater('fu', 'n1', 'n2', '(pow(f1, 3) - f1 + pow(f0, 3) - f0)')} END AS f FROM (
+    return f"""SELECT *, CASE WHEN n1 > 0 AND n2 > 0 THEN {greater('fu', 'n1', 'n2', '(pow(f1, 3) - f1 + pow(f0, 3) - f0)')} END AS f FROM (
       SELECT *, list_sum(list_transform(one, lambda x: list_sum(list_transform(two, lambda y: CASE WHEN x > y THEN 1.0 WHEN x = y THEN 0.5 ELSE 0 END)))) AS fu, len(list_filter(list_concat(one, two), lambda x: x = 1)) AS f1, len(list_filter(list_concat(one, two), lambda x: x = 0)) AS f0 FROM (
         SELECT *, list_transform(range(0, n1), lambda i: CASE WHEN i < {ones1} THEN 1 ELSE 0 END) AS one, list_transform(range(0, n2), lambda i: CASE WHEN i < {ones2} THEN 1 ELSE 0 END) AS two FROM ({p})))"""
 
@@ -678,7 +481,7 @@ _OWN_FLOOR = f"SELECT * EXCLUDE (one, two, fu, f1, f0) RENAME (f AS floor_p) FRO
 _FLOORS = f"SELECT * EXCLUDE (one, two, fu, f1, f0) RENAME (f AS global_floor_p) FROM ({_rebuilt(_OWN_FLOOR, 'n1', '0')})"
 
 
-@query(f"""SELECT series, indicator, n1, n2, {_r('u', 'ties', 'mean1', 'mean2', 'effect', 'p', 'floor_p', 'global_floor_p')}, CASE WHEN mean1 > mean2 THEN 'early>late' ELSE 'early<=late' END AS direction,
+@query(f"""SELECT series, indicator, n1, n2, {shown('u', 'ties', 'mean1', 'mean2', 'effect', 'p', 'floor_p', 'global_floor_p')}, CASE WHEN mean1 > mean2 THEN 'early>late' ELSE 'early<=late' END AS direction,
   coalesce(abs(p - floor_p) < 1e-6, false) AS at_floor, coalesce(abs(p - global_floor_p) < 1e-6, false) AS at_global_floor, coalesce(p < 0.05, false) AS significant FROM ({_FLOORS})""")
 def floor_flags(spark, sf_dir):
     return stats.conditional_floor(stats.mann_whitney(_annual_split(spark, sf_dir)))
@@ -692,26 +495,26 @@ def significance_changes(spark, sf_dir):
 _EXACT = """SELECT m.series, m.indicator, least(1.0, 2.0 * sum(c) FILTER (o.u >= greatest(floor(m.u), m.n1 * m.n2 - floor(m.u))) / sum(c)) AS p_exact FROM {0} m JOIN $orders_of_ranks o ON o.n = m.n1 + m.n2 AND o.n1 = m.n1 GROUP BY ALL"""
 
 
-@query(f"SELECT m.series, m.indicator, {_r('u', 'p', 'p_exact')} FROM ({_MWU}) m LEFT JOIN ({_EXACT.format('$mwu')}) e ON m.series = e.series AND m.indicator = e.indicator")
+@query(f"SELECT m.series, m.indicator, {shown('u', 'p', 'p_exact')} FROM ({_MWU}) m LEFT JOIN ({_EXACT.format('$mwu')}) e ON m.series = e.series AND m.indicator = e.indicator")
 def mwu_p_values(spark, sf_dir):
     return stats.with_exact_p(stats.mann_whitney(_annual_split(spark, sf_dir))).select("series", "indicator", "u", "p", "p_exact")
 
 
-@query(f"""SELECT k, n1, n2, u, ties, {_r('p')} FROM (SELECT *, {_greater('u', 'n1', 'n2', 'ties')} AS p FROM (
+@query(f"""SELECT k, n1, n2, u, ties, {shown('p')} FROM (SELECT *, {greater('u', 'n1', 'n2', 'ties')} AS p FROM (
   SELECT k, n1, n2, CAST(k * n2 + (n1 - k) * n2 / 2.0 AS DOUBLE) AS u, CAST(pow(n1 + n2 - k, 3) - (n1 + n2 - k) + pow(k, 3) - k AS DOUBLE) AS ties FROM (SELECT n1, n2, CAST(unnest(range(0, n1 + 1)) AS BIGINT) AS k FROM (SELECT DISTINCT n1, n2 FROM $mwu))))""")
 def mwu_floor_grid(spark, sf_dir):
     return stats.floor_grid(stats.mann_whitney(_annual_split(spark, sf_dir)))
 
 
-@query(f"SELECT series, indicator, date, n_row, {_r('r', 'p')} FROM (SELECT *, {_t_even('r', 36)} AS p FROM $pearson)")
+@query(f"SELECT series, indicator, date, n_row, {shown('r', 'p')} FROM (SELECT *, {t_even('r', 36)} AS p FROM $pearson)")
 def rolling_pearson(spark, sf_dir):
     return rolling.rolling_pearson(stages.aligned(spark, sf_dir)).withColumn("n_row", F.col("n_row").cast("long"))
 
 
-_MKP = f"SELECT *, 2 * {_sf('abs(z)')} AS p FROM $mk"
+_MKP = f"SELECT *, 2 * {normal_tail('abs(z)')} AS p FROM $mk"
 
 
-@query(f"SELECT series, indicator, s, n, {_r('slope', 'intercept', 'var', 'z', 'tau', 'p')}, CASE WHEN abs(z) <= 1.959964 THEN 'no trend' WHEN z > 0 THEN 'increasing' ELSE 'decreasing' END AS trend FROM ({_MKP})")
+@query(f"SELECT series, indicator, s, n, {shown('slope', 'intercept', 'var', 'z', 'tau', 'p')}, CASE WHEN abs(z) <= 1.959964 THEN 'no trend' WHEN z > 0 THEN 'increasing' ELSE 'decreasing' END AS trend FROM ({_MKP})")
 def mann_kendall(spark, sf_dir):
     return stats.mann_kendall(rolling_pearson(spark, sf_dir), x="r")
 
@@ -721,7 +524,7 @@ _FDR = f"""SELECT series, indicator, n, p, p_bh, p <= threshold AS rejected FROM
     SELECT series, indicator, n, p, count(*) OVER () AS f, row_number() OVER (ORDER BY p) AS k FROM ({_MKP})))"""
 
 
-@query(f"SELECT series, indicator, n, {_r('p', 'p_bh')}, rejected FROM ({_FDR})")
+@query(f"SELECT series, indicator, n, {shown('p', 'p_bh')}, rejected FROM ({_FDR})")
 def bh_fdr(spark, sf_dir):
     return stats.fdr(mann_kendall(spark, sf_dir).select("series", "indicator", "n", "p"))
 
@@ -731,12 +534,12 @@ def fdr_summary(spark, sf_dir):
     return stats.fdr_summary(bh_fdr(spark, sf_dir))
 
 
-@query(f"SELECT series, indicator, n, {_r('p', 'p_hamed_rao', 'factor', 'p_block')} FROM $corrected")
+@query(f"SELECT series, indicator, n, {shown('p', 'p_hamed_rao', 'factor', 'p_block')} FROM $corrected")
 def corrected_trends(spark, sf_dir):
     return stats.corrected_trends(rolling_pearson(spark, sf_dir).withColumnRenamed("r", "x"))
 
 
-@query(f"SELECT series, indicator, lag, n, {_r('r')} FROM $lags")
+@query(f"SELECT series, indicator, lag, n, {shown('r')} FROM $lags")
 def xcorr_lags(spark, sf_dir):
     return correlate.cross_correlation(stages.aligned(spark, sf_dir))
 
@@ -744,8 +547,8 @@ def xcorr_lags(spark, sf_dir):
 _PEAK = "SELECT series, indicator, n, arg_max(lag, (round(abs(r), 12), -lag)) AS peak_lag, arg_max(r, (round(abs(r), 12), -lag)) AS peak_r FROM $lags GROUP BY ALL"
 
 
-@query(f"""SELECT series, indicator, n, peak_lag, {_r('peak_r', 'ci_lower', 'ci_upper')} FROM (
-  SELECT *, tanh(z - c) AS ci_lower, tanh(z + c) AS ci_upper FROM (SELECT *, atanh(greatest(least(peak_r, 0.9999), -0.9999)) AS z, ({_T975}) / sqrt(n - 3) AS c FROM ({_PEAK})))""")
+@query(f"""SELECT series, indicator, n, peak_lag, {shown('peak_r', 'ci_lower', 'ci_upper')} FROM (
+  SELECT *, tanh(z - c) AS ci_lower, tanh(z + c) AS ci_upper FROM (SELECT *, atanh(greatest(least(peak_r, 0.9999), -0.9999)) AS z, ({T975}) / sqrt(n - 3) AS c FROM ({_PEAK})))""")
 def xcorr_peak(spark, sf_dir):
     return correlate.correlation_peak(xcorr_lags(spark, sf_dir))
 
@@ -754,14 +557,14 @@ _COMPARED = f"""SELECT series, indicator, mp_lag, peak_lag, CASE WHEN abs(mp_lag
   ({_PEAK}) LEFT JOIN (SELECT series, indicator, CAST(median(lag) AS DOUBLE) AS mp_lag FROM $pairs GROUP BY ALL) USING (series, indicator)"""
 
 
-@query(f"SELECT series, indicator, {_r('mp_lag')}, peak_lag, lag_agreement FROM ({_COMPARED})")
+@query(f"SELECT series, indicator, {shown('mp_lag')}, peak_lag, lag_agreement FROM ({_COMPARED})")
 def method_comparison(spark, sf_dir):
     peak = xcorr_peak(spark, sf_dir).select("series", "indicator", "peak_lag")
     motif = overlap.lag_summary(stages.pairs(spark, sf_dir)).select("series", "indicator", F.col("median_lag").alias("mp_lag"))
     return peak.join(motif, ["series", "indicator"], "left").withColumn("lag_agreement", fn.agreement(F.col("mp_lag"), F.col("peak_lag")))
 
 
-@query(f"SELECT {_r('share')}, n FROM (SELECT avg(CASE WHEN lag_agreement = 'agree' THEN 1.0 ELSE 0.0 END) AS share, count(*) AS n FROM ({_COMPARED}))")
+@query(f"SELECT {shown('share')}, n FROM (SELECT avg(CASE WHEN lag_agreement = 'agree' THEN 1.0 ELSE 0.0 END) AS share, count(*) AS n FROM ({_COMPARED}))")
 def agreement_share(spark, sf_dir):
     agree = F.when(F.col("lag_agreement") == "agree", 1.0).otherwise(0.0)
     return method_comparison(spark, sf_dir).agg(F.avg(agree).alias("share"), F.count(F.lit(1)).alias("n"))
@@ -770,12 +573,12 @@ def agreement_share(spark, sf_dir):
 # --- recent trend of the profiles -----------------------------------------------------------------------
 
 
-@query(f"SELECT series, year, {_r('mpi_min', 'mpi_mean', 'n_anomalous', digits=5)} FROM $yearly", digits=5)
+@query(f"SELECT series, year, {shown('mpi_min', 'mpi_mean', 'n_anomalous', digits=5)} FROM $yearly", digits=5)
 def annual_indices(spark, sf_dir):
     return rolling.annual_indices(rolling.profile_indices(stages.region_profile(spark, sf_dir)))
 
 
-@query(f"SELECT series, date, {_r('mpi_min', 'mpi_mean', digits=5)}, count(*) FILTER (anomalous) OVER (PARTITION BY series, year(date)) AS n_anomalous FROM $indices", digits=5)
+@query(f"SELECT series, date, {shown('mpi_min', 'mpi_mean', digits=5)}, count(*) FILTER (anomalous) OVER (PARTITION BY series, year(date)) AS n_anomalous FROM $indices", digits=5)
 def annual_count_by_month(spark, sf_dir):
     return rolling.with_annual_count(rolling.profile_indices(stages.region_profile(spark, sf_dir)))
 
@@ -785,14 +588,14 @@ _RECENT = """SELECT series, indicator, count(*) FILTER (early) AS n1, count(*) F
   FROM $recent r GROUP BY ALL"""
 
 
-@query(f"SELECT series, indicator, n1, n2, {_r('u', 'effect', 'mean1', 'mean2', 'p', digits=5)}, CASE WHEN mean2 > mean1 THEN 'increasing' ELSE 'decreasing' END AS direction, coalesce(p < 0.05, false) AS significant FROM (SELECT m.*, p_exact AS p, 1 - 2 * u / (n1 * n2) AS effect FROM ({_RECENT}) m LEFT JOIN ({_EXACT.format('(' + _RECENT + ')')}) e ON m.series = e.series AND m.indicator = e.indicator)", digits=5)
+@query(f"SELECT series, indicator, n1, n2, {shown('u', 'effect', 'mean1', 'mean2', 'p', digits=5)}, CASE WHEN mean2 > mean1 THEN 'increasing' ELSE 'decreasing' END AS direction, coalesce(p < 0.05, false) AS significant FROM (SELECT m.*, p_exact AS p, 1 - 2 * u / (n1 * n2) AS effect FROM ({_RECENT}) m LEFT JOIN ({_EXACT.format('(' + _RECENT + ')')}) e ON m.series = e.series AND m.indicator = e.indicator)", digits=5)
 def recent_trend(spark, sf_dir):
     got = rolling.recent_rows(rolling.annual_indices(rolling.profile_indices(stages.region_profile(spark, sf_dir))), 1998)
     tests = stats.mann_whitney(got.withColumn("value", F.round("value", 9)), exact=True)
     return tests.drop("ties", "direction").withColumns({"direction": F.when(F.col("mean2") > F.col("mean1"), "increasing").otherwise("decreasing"), "significant": F.coalesce(F.col("p") < 0.05, F.lit(False))})
 
 
-@query(f"SELECT series, indicator, n, {_r('dominant_period', 'coh_6', 'coh_12', 'coh_24')} FROM (SELECT series, indicator, n, arg_max(period, (c, -idx)) AS dominant_period, " + ", ".join(f"avg(c) FILTER (period BETWEEN {b / 2} AND {b * 1.5}) AS coh_{b}" for b in (6, 12, 24)) + " FROM (SELECT series, indicator, n, idx, 4 * pi() * s / (6 + sqrt(38)) AS period, avg(c) AS c FROM $coherence GROUP BY ALL) GROUP BY ALL)")
+@query(f"SELECT series, indicator, n, {shown('dominant_period', 'coh_6', 'coh_12', 'coh_24')} FROM (SELECT series, indicator, n, arg_max(period, (c, -idx)) AS dominant_period, " + ", ".join(f"avg(c) FILTER (period BETWEEN {b / 2} AND {b * 1.5}) AS coh_{b}" for b in (6, 12, 24)) + " FROM (SELECT series, indicator, n, idx, 4 * pi() * s / (6 + sqrt(38)) AS period, avg(c) AS c FROM $coherence GROUP BY ALL) GROUP BY ALL)")
 def wavelet_bands(spark, sf_dir):
     return correlate.coherence_bands(stages.aligned(spark, sf_dir))
 
@@ -841,12 +644,12 @@ def pelt_breaks_light(spark, sf_dir):
     return changes.break_points(stages.monthly(spark, sf_dir), "pelt", penalty=_LIGHT)
 
 
-@query(f"SELECT series, b - 1 AS t, {_r('cost')}, start FROM (SELECT series, unnest(range(3, n + 1)) AS b, unnest(best[4:]) AS cost, unnest(back[4:]) AS start FROM ({_pelt(_PENALTY)} SELECT series, arg_max(best, b) AS best, arg_max(back, b) AS back, max(b) AS n FROM dp GROUP BY series))")
+@query(f"SELECT series, b - 1 AS t, {shown('cost')}, start FROM (SELECT series, unnest(range(3, n + 1)) AS b, unnest(best[4:]) AS cost, unnest(back[4:]) AS start FROM ({_pelt(_PENALTY)} SELECT series, arg_max(best, b) AS best, arg_max(back, b) AS back, max(b) AS n FROM dp GROUP BY series))")
 def segmentation_costs(spark, sf_dir):
     return changes.segmentation_costs(stages.monthly(spark, sf_dir), penalty=_PENALTY)
 
 
-@query(f"""SELECT series, method, n_breaks, n_near, {_r('fraction_near')}, years FROM (SELECT series, method, count(*) AS n_breaks, count(*) FILTER (near_extreme) AS n_near, count(*) FILTER (near_extreme) / count(*) AS fraction_near, array_to_string(list_sort(list(DISTINCT CAST(year(date) AS VARCHAR))), ',') AS years
+@query(f"""SELECT series, method, n_breaks, n_near, {shown('fraction_near')}, years FROM (SELECT series, method, count(*) AS n_breaks, count(*) FILTER (near_extreme) AS n_near, count(*) FILTER (near_extreme) / count(*) AS fraction_near, array_to_string(list_sort(list(DISTINCT CAST(year(date) AS VARCHAR))), ',') AS years
   FROM (SELECT * FROM ({_binseg()}) UNION ALL SELECT * FROM ({_pelt_breaks(_PENALTY)})) GROUP BY ALL)""")
 def break_summary(spark, sf_dir):
     return changes.break_summary(binseg_breaks(spark, sf_dir).unionByName(pelt_breaks(spark, sf_dir)))
@@ -864,7 +667,7 @@ def _null(observed: str) -> str:
       summed AS (SELECT *, sum(p) OVER (PARTITION BY length ORDER BY x) AS upto FROM chances),
       null_of AS (SELECT length, sum(p * x) AS null_mean, sqrt(sum(p * x * x) - pow(sum(p * x), 2)) AS null_std, CAST(min(x) FILTER (upto + 1e-12 >= 0.95) AS DOUBLE) AS p95, CAST(min(x) FILTER (upto + 1e-12 >= 0.99) AS DOUBLE) AS p99 FROM summed GROUP BY ALL),
       seen AS ({observed})
-      SELECT series, indicator, length, CAST({m} AS BIGINT) AS m, CAST({k} AS BIGINT) AS k, CAST({most} AS BIGINT) AS most, observed, {_r('null_mean', 'null_std', 'p95', 'p99')}, round((SELECT coalesce(sum(p), 0) FROM chances q WHERE q.length = cases.length AND x >= observed) + 2e-9, 6) + 0.0 AS p_perm, observed > p95 AS exceeds_p95, observed > p99 AS exceeds_p99
+      SELECT series, indicator, length, CAST({m} AS BIGINT) AS m, CAST({k} AS BIGINT) AS k, CAST({most} AS BIGINT) AS most, observed, {shown('null_mean', 'null_std', 'p95', 'p99')}, round((SELECT coalesce(sum(p), 0) FROM chances q WHERE q.length = cases.length AND x >= observed) + 2e-9, 6) + 0.0 AS p_perm, observed > p95 AS exceeds_p95, observed > p99 AS exceeds_p99
       FROM seen JOIN cases USING (series) JOIN null_of USING (length))"""
 
 
