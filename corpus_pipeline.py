@@ -23,10 +23,15 @@ from tessera.llm.op10_quality import score_quality, train
 from tessera.llm.shared import settle, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents that go to a Python worker at once: a batch of texts is held on both sides, and Spark's default of 10,000
+#: rows would be some 35 MB each for a task. Stages set it for the session; results don't depend on it.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+SCORED_ROWS, SEARCHED_ROWS = 4_000, 1_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the co-trained classifier rejects."""
+    spark.conf.set(BATCH, str(SCORED_ROWS))
     scored = score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.filter("accepted").select(*docs.columns)
 
@@ -39,11 +44,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group (five words, 0.8); documents without a word stay."""
+    spark.conf.set(BATCH, str(SEARCHED_ROWS))
     return drop_near_duplicates(docs, k=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents into which a benchmark item leaks."""
+    spark.conf.set(BATCH, str(SEARCHED_ROWS))
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
