@@ -158,3 +158,13 @@ def test_rates_match_an_independent_solver(spark):
             lo, hi = (lam, hi) if have < target else (lo, lam)
         assert all(r.rate == pytest.approx(min(2.0, math.exp(min(50, lam * r["size"] / mean))), rel=1e-4) for r in own)
         assert all(r.taken <= 2 * r["size"] for r in own) and abs(sum(r.taken for r in own) - target) <= max(size)
+
+
+def test_lines_are_found_in_long_lists(spark):
+    rng = random.Random(3)
+    known = sorted({rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(5_000)})
+    asked = [*rng.sample(known, 300), known[0], known[-1], *[rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(300)], known[0] - 1, known[-1] + 1]
+    for size in (0, 1, 2, 3, 4_096, 5_000):
+        held = known[:size]
+        frame = spark.createDataFrame([(held, a) for a in asked[:: 1 if size < 10 else 7]], "held array<long>, asked long")
+        assert all(r.found == (r.asked in held) for r in frame.select("held", "asked", op03_lines._listed(F.col("held"), F.col("asked"), max(size, 1)).alias("found")).collect())

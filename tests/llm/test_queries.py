@@ -261,7 +261,7 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_registry_is_complete():
-    assert {q.split("_")[0] for q in registry.QUERIES} == {f"op{i}" for i in range(1, 11)} and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+    assert {q.split("_")[0] for q in registry.QUERIES} == {f"op{i}" for i in range(1, 14)} and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert np.isfinite(op5.DEFAULT_WEIGHTS).all()
 
 
