@@ -289,8 +289,7 @@ _VALID = """SELECT event_id, event_type, CAST(DATE '1995-01-01' + CAST(floor(epo
 @query(f"SELECT event_id, event_type, count(*) AS n, round(sum(o_totalprice) + 2e-09, 4) + 0.0 AS total FROM orders JOIN ({_VALID}) ON CAST(o_orderdate AS DATE) BETWEEN first AND last GROUP BY ALL", digits=4)
 def orders_in_validity(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
-    met = intervals.interval_join(orders, adapters.validity_periods(spark, sf_dir), "day")
-    return met.groupBy("event_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+    return intervals.interval_totals(orders, adapters.validity_periods(spark, sf_dir), "day", ["o_totalprice"]).withColumnRenamed("o_totalprice", "total")
 
 
 _TURN = f"pow((1 - {projections.ECCENTRICITY} * sin(radians(lat))) / (1 + {projections.ECCENTRICITY} * sin(radians(lat))), {projections.ECCENTRICITY / 2})"

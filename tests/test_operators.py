@@ -391,6 +391,31 @@ def test_intervals_equal_a_plain_join(spark):
         intervals.interval_join(rows, dim.select(F.col("k").alias("id"), "first", "last"), "d")
 
 
+def test_interval_totals_meet_places_not_rows(spark, monkeypatch):
+    base = dt.date(2000, 1, 1)
+    rows = spark.range(6_000).select(F.date_add(F.lit(base), (F.col("id") % 3).cast("int")).alias("d"), F.when(F.col("id") % 3 < 2, F.col("id") / 4).alias("v"))
+    spans = [(i % 500, *span) for i in range(1_000) for span in [((0, 0), (0, 2), (2, 2), (1, 0), (3, 9))[i % 5]]]
+    dim = spark.createDataFrame([(k, base + dt.timedelta(a), base + dt.timedelta(b)) for k, a, b in spans], "k int, first date, last date")
+    met = []
+    joined = intervals.interval_join
+    monkeypatch.setattr(intervals, "interval_join", lambda left, *a, **b: met.append(left.count()) or joined(left, *a, **b))
+    got = {r.k: (r.n, r.v) for r in intervals.interval_totals(rows, dim, "d", ["v"]).collect()}
+    assert met == [3]  # one row a place: pairs of rows and intervals are never listed
+    of = {d: sum(i / 4 for i in range(6_000) if i % 3 == d) for d in (0, 1)}
+    assert got == {k: {0: (4_000, 2 * of[0]), 1: (12_000, 2 * (of[0] + of[1])), 2: (4_000, None)}[k % 5] for k in range(500) if k % 5 < 3}
+
+
+def test_interval_pairs_come_in_pieces(spark):
+    places, low, high = np.repeat(np.arange(4), 50), np.array([0, 9, 1, 2, 0]), np.array([3, 9, 2, 1, 0])
+    pieces = list(intervals.runs(places, low, high, 64))
+    assert max(len(i) for i, _ in pieces) == 64 and len({len(i) for i, _ in pieces[:-1]}) == 1
+    want = [(i, j) for j in range(5) for i in range(200) if low[j] <= places[i] <= high[j]]
+    assert [(int(i), int(j)) for a, b in pieces for i, j in zip(a, b, strict=True)] == want
+    rows, dim = spark.range(300).select("id", (F.col("id") % 2).alias("x")), spark.range(300).select(F.col("id").alias("k"), F.lit(1).alias("first"), F.lit(1).alias("last"))
+    got = intervals.interval_join(rows, dim, "x", ranges=2, rows_a_task=40, intervals_a_task=40)
+    assert sorted((r.id, r.k) for r in got.collect()) == [(i, k) for i in range(1, 300, 2) for k in range(300)]
+
+
 def test_projections_have_inverses_and_known_places(spark):
     rng = np.random.default_rng(2)
     lonlat = [(float(a), float(b)) for a, b in zip(rng.uniform(-180, 179.99, 400), rng.uniform(-84, 84, 400))] + [(0.0, 0.0), (3.0, 45.0), (-180.0, 10.0), (179.9, -83.9)]
