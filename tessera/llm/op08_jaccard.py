@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import chunks, released, settle, shingles, table, without, word_hashes, word_spans
+from tessera.llm.shared import chunks, in_few, released, settle, shingles, table, without, word_hashes, word_spans
 
 #: A batch of a task ends after this many columns (its last document whole) or documents; it fixes the memory of a task.
 BATCH_COLUMNS, BATCH_ROWS = 1 << 20, 60_000
@@ -224,19 +224,22 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id reachable from every id in ``edges`` (a, b), by contraction in rounds.
 
     In each round every name takes the smallest of its neighbours' names and edges inside a name vanish, so a chain or
-    star of any size shrinks at least by half; the number of rounds follows the logarithm of the longest chain.
+    star of any size shrinks at least by half; the number of rounds follows the logarithm of the longest chain. Tasks are
+    as many as a round's edges are worth, so the last rounds of a few edges don't start all shuffle partitions.
     """
-    labels = settle(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("root", F.col("id")))
-    while not edges.isEmpty():
+    n = edges.count()
+    labels = settle(in_few(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("root", F.col("id")), 2 * n))
+    while n:
         both = edges.select("a", "b").union(edges.select("b", "a"))
         up = both.groupBy(F.col("a").alias("was")).agg(F.least(F.first("a"), F.min("b")).alias("to"))
-        up = up.filter("to < was")
+        up = settle(in_few(up.filter("to < was"), n))
         hop = up.select(F.col("was").alias("to"), F.col("to").alias("far"))
-        up = settle(up.join(hop, "to", "left").select("was", F.coalesce("far", "to").alias("to")))
-        labels = settle(labels.join(up, labels["root"] == up["was"], "left").select("id", F.coalesce("to", "root").alias("root")))
+        up = settle(in_few(up.join(hop, "to", "left").select("was", F.coalesce("far", "to").alias("to")), n))
+        labels = settle(in_few(labels.join(up, labels["root"] == up["was"], "left").select("id", F.coalesce("to", "root").alias("root")), 2 * n))
         for end in ("a", "b"):
             edges = edges.join(up, edges[end] == up["was"], "left").withColumn(end, F.coalesce("to", end)).select("a", "b")
-        edges = settle(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        edges = settle(in_few(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), n))
+        n = edges.count()
     return labels
 
 

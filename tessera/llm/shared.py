@@ -21,10 +21,14 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 18
 
 
+#: Shuffle files of a settled frame go once it is written, not when the driver next happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` computed and written with ``checkpoint()`` to the folder in ``spark.checkpoint.dir``.
 
-    A folder is set here only where the session names none and runs on one machine; a cluster must name a shared one.
+    The result reads those files alone, so what was shuffled for it is deleted. A folder is set here only where the session names none and runs on one machine; a cluster must name a shared one.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -33,7 +37,21 @@ def settle(df: DataFrame) -> DataFrame:
         if not named and not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint()
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # a frame of its own: the setting is read when a frame is made
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+#: Rows of a few numbers that are worth a task.
+TASK_ROWS = 50_000
+
+
+def in_few(df: DataFrame, n: int) -> DataFrame:
+    """``df``, of at most about ``n`` rows of a few numbers, in as many tasks as these are worth; the shuffle partitions at most."""
+    return df.coalesce(max(1, -(-n // TASK_ROWS)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -18,6 +19,7 @@ from tessera.llm import op08_jaccard as op8
 from tessera.llm import op09_toxicity as op9
 from tessera.llm import op10_quality as op10
 from tessera.llm import registry
+from tessera.llm.shared import settle
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 RNG = random.Random(5)
@@ -97,6 +99,27 @@ def benchmark(spark, items):
     return spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
 
 
+def test_settled_frames_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for f in disk.getAllFiles().mkString(",").split(",") if "/shuffle_" in f}
+    before = held()
+    got = settle(spark.range(1_000).groupBy(F.col("id") % 77).count())
+    deadline = time.monotonic() + 10
+    while held() - before and time.monotonic() < deadline:  # they are deleted in the background
+        time.sleep(0.1)
+    assert not held() - before and got.count() == 77
+
+
+def test_few_edges_take_few_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        groups = op8.components(spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 < 19], "a long, b long").repartition(4))
+        assert groups.rdd.getNumPartitions() == 1
+        assert {(r.id, r.root) for r in groups.collect()} == {(i, i - i % 20) for i in range(60)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_planted_leaks_are_found(spark):
     items = [prose(RNG.randint(12, 55)) for _ in range(25)]
     texts, want = [prose(RNG.randint(5, 400)) for _ in range(120)], set()
