@@ -230,16 +230,35 @@ def _product(items: Items, words: np.ndarray, at: np.ndarray, row: np.ndarray, n
         return np.zeros(test.shape)
     at, row = at[keep], row[keep]
     value = (items.idf[at] / norm[row]).astype(np.float32)
-    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    y = np.add.reduceat(test[at] * value[:, None], starts, axis=0)
     which = np.cumsum(np.concatenate([[0], (row[1:] != row[:-1]).astype(np.int64)]))
+    y = _weighted_sums(test, at, value, which, PASSAGE)
     order = np.argsort(at, kind="stable")
-    firsts = np.flatnonzero(np.concatenate([[True], at[order][1:] != at[order][:-1]]))
+    own = at[order]
+    new = np.concatenate([[True], own[1:] != own[:-1]])
     out = np.zeros(test.shape)
-    out[at[order][firsts]] = np.add.reduceat(y[which[order]] * value[order, None], firsts, axis=0)
+    out[own[new]] = _weighted_sums(y, which[order], value[order], np.cumsum(new) - 1, 8)
     return out
 
 
+def _weighted_sums(rows: np.ndarray, which: np.ndarray, weight: np.ndarray, group: np.ndarray, size: int) -> np.ndarray:
+    """For each of the ascending groups 0, 1, ... the sum of ``rows[which]`` times their weights.
+
+    Groups are cut into pieces of ``size`` places, some of them empty, and pieces are products of small matrices.
+    """
+    n = np.bincount(group)
+    count = -(-n // size)
+    first = np.cumsum(count) - count
+    place = np.arange(len(group)) + np.repeat(first * size - (np.cumsum(n) - n), n)
+    at, by = np.zeros(count.sum() * size, np.int64), np.zeros(count.sum() * size, np.float32)
+    at[place], by[place] = which, weight
+    at, by = at.reshape(-1, size), by.reshape(-1, 1, size)
+    out = np.empty((len(at), rows.shape[1]), np.float32)
+    step = max(1, 2048 // size)  # what is gathered at once stays in the cache
+    for a in range(0, len(at), step):
+        np.matmul(by[a : a + step], rows[at[a : a + step]], out=out[a : a + step, None])
+    return out if len(out) == len(n) else np.add.reduceat(out, first, axis=0)
+
+
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence of two arrays, by bit-parallel steps."""
     masks: dict[int, int] = {}
@@ -261,8 +280,8 @@ def cell_length(m: int) -> int:
     return min((h for h in (two, 3 * two // 2, 2 * two, 3 * two) if h), key=lambda h: abs(np.log(4 * h / m)))
 
 
-def _cells(items: Items, at: np.ndarray, weight: np.ndarray, tok: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Latent sums and, in a last column, squared norms of every ``length`` words of each row; cells by row."""
+def _cells(items: Items, at: np.ndarray, weight: np.ndarray, tok: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Latent sums and squared norms of every ``length`` words of each row; cells by row."""
     n = np.diff(tok)
     count = -(-n // length)
     first = (np.cumsum(count) - count) * length
@@ -271,18 +290,33 @@ def _cells(items: Items, at: np.ndarray, weight: np.ndarray, tok: np.ndarray, le
     grid[place] = at
     norm = np.zeros(len(grid), np.float32)
     norm[place] = weight
-    return np.hstack([items.space[grid].reshape(-1, length, items.space.shape[1]).sum(1), norm.reshape(-1, length).sum(1)[:, None]]), count
+    grid = np.ascontiguousarray(grid.reshape(-1, length).T)
+    cells = items.space[grid[0]]
+    for other in grid[1:]:
+        cells += items.space[other]
+    return cells, norm.reshape(-1, length).sum(1)[:, None], count
 
 
-def _doubled(cells: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _doubled(cells: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Cells of twice the length; a row's odd last cell stays alone."""
     half = -(-count // 2)
     first = np.cumsum(count) - count
     left = np.repeat(first - 2 * (np.cumsum(half) - half), half) + 2 * np.arange(half.sum())
-    both = np.flatnonzero(left + 1 < np.repeat(first + count, half))
+    both = left + 1 < np.repeat(first + count, half)
     out = cells[left]
-    out[both] += cells[left[both] + 1]
-    return out, half
+    out += np.where(both[:, None], cells[np.minimum(left + 1, len(cells) - 1)], 0)
+    return out
+
+
+def _windows(cells: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The sums of four cells from each cell on, but never the next row's; ``left``: cells of the row from there on."""
+    for step in (1, 2):
+        alone = np.flatnonzero(left <= step)
+        part = cells.copy()
+        part[:-step] += cells[step:]
+        part[alone] = cells[alone]
+        cells = part
+    return cells
 
 
 def _scored(items: Items, at: np.ndarray, weight: np.ndarray, tok: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, ...]]:
@@ -293,22 +327,22 @@ def _scored(items: Items, at: np.ndarray, weight: np.ndarray, tok: np.ndarray, c
         if not lengths:
             continue
         length = lengths[0]
-        cells, count = _cells(items, at, weight, tok, length)
+        cells, norms, count = _cells(items, at, weight, tok, length)
         while True:
             if length in lengths:
                 first = np.cumsum(count) - count
                 row = np.repeat(np.arange(len(count)), count)
-                part = cells.copy()  # four cells from each cell on, but never the next row's
-                for step in (1, 2):
-                    inside = np.arange(step, len(part)) < (first + count)[row[: max(len(part) - step, 0)]]
-                    part[: len(inside)] += np.where(inside[:, None], part[step:], 0)
+                left = (first + count)[row] - np.arange(len(row))
                 mine = np.flatnonzero(items.cell == length)
-                scores = (part[:, :dims] / np.sqrt(np.maximum(part[:, dims:], 1e-9))) @ items.queries[mine].T
-                w, i = np.nonzero(scores >= cosine)
-                yield row[w], mine[i], (w - first[row[w]]) * length + 2 * length, scores[w, i]
+                queries = items.queries[mine].T
+                # Sums and products can change places: the fewer columns are summed.
+                raw = _windows(cells @ queries, left) if len(mine) < dims else _windows(cells, left) @ queries
+                norm = np.sqrt(np.maximum(_windows(norms, left), 1e-9))
+                w, i = np.nonzero(raw >= cosine * norm)
+                yield row[w], mine[i], (w - first[row[w]]) * length + 2 * length, raw[w, i] / norm[w, 0]
             if length >= lengths[-1]:
                 break
-            cells, count = _doubled(cells, count)
+            cells, norms, count = _doubled(cells, count), _doubled(norms, count), -(-count // 2)
             length *= 2
 
 

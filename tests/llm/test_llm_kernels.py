@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -367,3 +368,34 @@ def test_surest_rows_do_not_depend_on_batches():
     whole = best(np.arange(400))
     merged = [np.concatenate([c for c in (op10.surest(fit, x[p], x[p], op10.tie_break(ids[p]), (5, 7), 0.5)[0][1] + p[0],)]) for p in np.array_split(np.arange(400), 4)]
     assert set(whole[0][1]) <= set(ids[np.concatenate(merged)])
+
+
+def test_weighted_sums_and_windows_are_plain_sums():
+    rng = np.random.default_rng(8)
+    rows, sizes = rng.normal(size=(30, 5)).astype(np.float32), [1, 8, 9, 40, 3]
+    group = np.repeat(np.arange(5), sizes)
+    which, weight = rng.integers(0, 30, len(group)), rng.normal(size=len(group)).astype(np.float32)
+    want = [(rows[which[group == g]] * weight[group == g, None]).sum(0) for g in range(5)]
+    for size in (1, 8, 48):
+        np.testing.assert_allclose(op2._weighted_sums(rows, which, weight, group, size), want, rtol=1e-4, atol=1e-5)
+    count = np.array([1, 2, 7, 3])
+    left = np.concatenate([np.arange(n, 0, -1) for n in count])
+    want = [rows[i : i + min(4, n)].sum(0) for i, n in enumerate(left)]
+    np.testing.assert_allclose(op2._windows(rows[: count.sum()], left), want, rtol=1e-4, atol=1e-5)
+    assert op2._windows(rows[:1], np.ones(1, np.int64)).tolist() == rows[:1].tolist()
+
+
+def test_products_of_passages_hold_no_vector_for_each_word():
+    rng = np.random.default_rng(9)
+    vocab = np.sort(rng.integers(0, 1 << 63, 500, np.uint64))
+    at = rng.integers(0, 500, 40_000)
+    items = op2.Items([], [], [], [], [], vocab, rng.uniform(1, 5, 500), np.ones(1 << op2.DF_BITS, np.float32))
+    passage, test = np.arange(40_000) // 48, rng.normal(size=(500, 140)).astype(np.float32)
+    tracemalloc.start()
+    got = op2._product(items, vocab[at], at, passage, 834, test)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    a = np.zeros((834, 500))
+    np.add.at(a, (passage, at), items.idf[at] / np.sqrt(np.bincount(passage))[passage])
+    np.testing.assert_allclose(got, a.T @ (a @ test), rtol=1e-3, atol=1e-2)
+    assert peak < 15e6 < at.size * 140 * 4
