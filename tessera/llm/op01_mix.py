@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import free_names, settle, table, word_count
+from tessera.llm.shared import free_names, in_few, settle, table, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
@@ -24,6 +24,8 @@ STEPS = 60
 TOLERANCE = 1e-6
 #: Slices of a (source, size) cell, so that one hot cell isn't numbered in one task.
 SLICES = 256
+#: Columns of a mix.
+MADE = ("size", "source_size", "target", "rate", "copies", "taken")
 
 
 def _key(source: Column) -> Column:
@@ -101,14 +103,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     (rows equal in doc_id and size are interchangeable). An empty table gives an empty one. Columns of ``docs`` with the
     names of results are replaced.
     """
-    made = ["size", "source_size", "target", "rate", "copies", "taken"]
-    k, cell_size, part, prior, placed = free_names(docs.drop(*made), "k", "cell_size", "slice", "before", "rank")
-    base = docs.drop(*made).withColumn("size", word_count(F.col("text")))
+    return mix_sized(docs.drop(*MADE).withColumn("size", word_count(F.col("text"))), weights, budget, max_rate)
+
+
+def mix_sized(base: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, max_rate: float = MAX_RATE) -> DataFrame:
+    """``mix`` of rows that have their size (doc_id, source, size and others)."""
+    k, cell_size, part, prior, placed = free_names(base, "k", "cell_size", "slice", "before", "rank")
     slim = base.select(_key(F.col("source")).alias("k"), "size", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).alias("slice"))
-    slices = settle(slim.groupBy("k", "size", "slice").agg(F.count(F.lit(1)).alias("n")))
+    slices = settle(in_few(slim.groupBy("k", "size", "slice").agg(F.count(F.lit(1)).alias("n")), base.count()))
     cells = slices.groupBy("k", "size").agg(F.sum("n").alias("n"))
     targets = settle(source_targets(cells, weights, budget, max_rate))
-    rates = settle(balance(cells, targets, max_rate))
+    rates = balance(cells, targets, max_rate)
     # Rates by cell, and the running total of rates before each slice of a cell.
     c = F.col("size") * F.col("n_docs") / F.col("source_size")
     tilt = F.least(F.exp(F.least(F.col("lam") * c, F.lit(50.0))), F.lit(max_rate))
@@ -121,9 +126,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     total = F.col(prior) + F.col(placed) * F.col("rate") + 0.5
     copies = F.least(F.floor(total) - F.floor(total - F.col("rate")), F.lit(int(max_rate)))
     out = marked.withColumn(placed, rank).join(offsets, [k, cell_size, part], "left").withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.select(*[F.col(f"`{c}`") for c in base.columns if c != "size"], *made)
+    return out.select(*[F.col(f"`{c}`") for c in base.columns if c != "size"], *MADE)
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", "taken", "rate", "copies")
+    # Texts are read once: sizes are written, and both the histogram and the rounding read these.
+    sized = settle(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    return mix_sized(sized).select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", "taken", "rate", "copies")

@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import op01_mix, op03_lines, op07_chat
+from tessera.llm.shared import settle
 
 DOCS = "doc_id long, text string, source string"
 
@@ -56,6 +58,25 @@ def test_mix_meets_targets(spark):
     assert again == {(r.doc_id, r.taken) for r in got}
 
 
+def test_mix_writes_few_files_and_counts_words_once(spark, tmp_path):
+    docs(spark, [(i, " ".join(["w"] * (1 + i % 20)), "ab"[i % 2]) for i in range(200)]).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    settle(spark.range(1))  # names a folder
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    held = lambda: set(Path(folder).rglob("part-*"))
+    before = held()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = op01_mix.op1_mix(spark, str(tmp_path))
+        assert len(held() - before) <= 6  # not a file for each shuffle partition
+        assert "regexp_replace" not in got._jdf.queryExecution().toString()  # sizes are read, not made again
+        assert got.count() == 200 and abs(sum(r.taken for r in got.collect()) - 1.5 * 2_100) <= 45
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
 def test_rates_are_tilted_exponentially(spark):
     df = docs(spark, [(i, " ".join(["w"] * (1 + i % 20)), "ab"[i % 2]) for i in range(200)])
     for source in ("a", "b"):
