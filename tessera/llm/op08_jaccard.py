@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import chunks, in_few, released, settle, shingles, table, without, word_hashes, word_spans
+from tessera.llm.shared import TASK_ROWS, chunks, in_few, released, settle, shingles, table, without, word_hashes, word_spans
 
 #: A batch of a task ends after this many columns (its last document whole) or documents; it fixes the memory of a task.
 BATCH_COLUMNS, BATCH_ROWS = 1 << 20, 60_000
@@ -220,6 +220,11 @@ def sign(counted: DataFrame, bits: int, percent: int) -> DataFrame:
     return counted.repartition("batch").sortWithinPartitions("batch", "slot").mapInArrow(released(run), _SIGNED)
 
 
+def _sent(names: DataFrame, n: int) -> DataFrame:
+    """``names``, of at most ``n`` rows of two numbers, broadcast where one task holds them anyway."""
+    return F.broadcast(names) if n <= TASK_ROWS else names
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id reachable from every id in ``edges`` (a, b), by contraction in rounds.
 
@@ -227,17 +232,17 @@ def components(edges: DataFrame) -> DataFrame:
     star of any size shrinks at least by half; the number of rounds follows the logarithm of the longest chain. Tasks are
     as many as a round's edges are worth, so the last rounds of a few edges don't start all shuffle partitions.
     """
-    n = edges.count()
-    labels = settle(in_few(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("root", F.col("id")), 2 * n))
+    n = n_all = edges.count()
+    labels = settle(in_few(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("root", F.col("id")), 2 * n_all))
     while n:
         both = edges.select("a", "b").union(edges.select("b", "a"))
         up = both.groupBy(F.col("a").alias("was")).agg(F.least(F.first("a"), F.min("b")).alias("to"))
         up = settle(in_few(up.filter("to < was"), n))
         hop = up.select(F.col("was").alias("to"), F.col("to").alias("far"))
-        up = settle(in_few(up.join(hop, "to", "left").select("was", F.coalesce("far", "to").alias("to")), n))
-        labels = settle(in_few(labels.join(up, labels["root"] == up["was"], "left").select("id", F.coalesce("to", "root").alias("root")), 2 * n))
+        up = settle(in_few(up.join(_sent(hop, n), "to", "left").select("was", F.coalesce("far", "to").alias("to")), n))
+        labels = settle(in_few(labels.join(_sent(up, n), labels["root"] == up["was"], "left").select("id", F.coalesce("to", "root").alias("root")), 2 * n_all))
         for end in ("a", "b"):
-            edges = edges.join(up, edges[end] == up["was"], "left").withColumn(end, F.coalesce("to", end)).select("a", "b")
+            edges = edges.join(_sent(up, n), edges[end] == up["was"], "left").withColumn(end, F.coalesce("to", end)).select("a", "b")
         edges = settle(in_few(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), n))
         n = edges.count()
     return labels
@@ -363,8 +368,10 @@ def link_classes(tips: DataFrame, percent: int) -> DataFrame | None:
             pairs = pairs.join(seen, ["x", "y"], "left_anti")
         pairs = settle(pairs)
         checked.append(pairs.select("x", "y"))
-        links.append(verify(tips, pairs.select("a", "b"), percent))
-        worked = links[-1].count() >= YIELD * pairs.count()
+        linked = verify(tips, pairs.select("a", "b"), percent)
+        n = linked.count()
+        worked = n >= YIELD * pairs.count()
+        links.append(settle(in_few(linked, n)))  # each later contraction starts from the files of all rounds
         edges = reduce(DataFrame.union, links)
         labels = components(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         if last:

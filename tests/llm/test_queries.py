@@ -18,7 +18,7 @@ from tessera.llm import op06_media as op6
 from tessera.llm import op08_jaccard as op8
 from tessera.llm import op09_toxicity as op9
 from tessera.llm import op10_quality as op10
-from tessera.llm import registry
+from tessera.llm import registry, shared
 from tessera.llm.shared import settle
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -120,6 +120,40 @@ def test_few_edges_take_few_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_contraction_starts_few_tasks(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.stageList(None, False, False, none, None)
+        return {found.apply(i).stageId(): found.apply(i).numCompleteTasks() for i in range(found.size())}
+
+    edges = settle(spark.createDataFrame([(i, i + 1) for i in range(20) if i % 4 < 3], "a long, b long").coalesce(1))
+    partitions, before = spark.conf.get("spark.sql.shuffle.partitions"), max(stages(), default=-1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        assert {(r.id, r.root) for r in op8.components(edges).collect()} == {(i, i - i % 4) for i in range(20)}
+        tasks = [n for i, n in stages().items() if i > before]
+        assert max(tasks) < 24  # none for each shuffle partition
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
+def test_labels_of_many_ids_stay_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 5)
+    monkeypatch.setattr(op8, "TASK_ROWS", 5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        groups = op8.components(spark.createDataFrame([(i, i + 1) for i in range(20) if i % 4 < 3], "a long, b long"))
+        assert groups.rdd.getNumPartitions() > 1  # the last round has few edges, but all ids
+        assert {(r.id, r.root) for r in groups.collect()} == {(i, i - i % 4) for i in range(20)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_planted_leaks_are_found(spark):
     items = [prose(RNG.randint(12, 55)) for _ in range(25)]
     texts, want = [prose(RNG.randint(5, 400)) for _ in range(120)], set()
