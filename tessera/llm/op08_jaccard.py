@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import chunks, in_few, released, settle, shingles, table, without, word_hashes, word_spans
+from tessera.llm.shared import TASK_ROWS, chunks, in_few, released, settle, shingles, table, without, word_hashes, word_spans
 
 #: A batch of a task ends after this many columns (its last document whole) or documents; it fixes the memory of a task.
 BATCH_COLUMNS, BATCH_ROWS = 1 << 20, 60_000
@@ -220,27 +219,53 @@ def sign(counted: DataFrame, bits: int, percent: int) -> DataFrame:
     return counted.repartition("batch").sortWithinPartitions("batch", "slot").mapInArrow(released(run), _SIGNED)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root) of every id in a task's edges (a, b)."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while root.setdefault(i, i) != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for batch in batches:
+        for a, b in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    if root:
+        yield pa.record_batch([pa.array(list(root), pa.int64()), pa.array(list(map(find, root)), pa.int64())], ["id", "root"])
+
+
+def components(edges: DataFrame, n: int | None = None) -> DataFrame:
     """(id, root): the smallest id reachable from every id in ``edges`` (a, b), by contraction in rounds.
 
-    In each round every name takes the smallest of its neighbours' names and edges inside a name vanish, so a chain or
-    star of any size shrinks at least by half; the number of rounds follows the logarithm of the longest chain. Tasks are
-    as many as a round's edges are worth, so the last rounds of a few edges don't start all shuffle partitions.
+    In each round every name takes the smallest of its neighbours' names and edges inside a name vanish, so a star, or a
+    chain in any shuffled order, shrinks at least by half; a chain of ascending ids shrinks by two or three names. Once
+    no more edges are left than are worth one task (``TASK_ROWS``), that task contracts them without further rounds.
+    ``n`` is the number of edges, at most, where it is known.
     """
-    n = edges.count()
-    labels = settle(in_few(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("root", F.col("id")), 2 * n))
-    while n:
+    n = edges.count() if n is None else n
+    labels: DataFrame | None = None
+    while n > TASK_ROWS:
+        if labels is None:
+            labels = settle(in_few(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("root", F.col("id")), 2 * n))
+            n_all = n
         both = edges.select("a", "b").union(edges.select("b", "a"))
         up = both.groupBy(F.col("a").alias("was")).agg(F.least(F.first("a"), F.min("b")).alias("to"))
         up = settle(in_few(up.filter("to < was"), n))
         hop = up.select(F.col("was").alias("to"), F.col("to").alias("far"))
         up = settle(in_few(up.join(hop, "to", "left").select("was", F.coalesce("far", "to").alias("to")), n))
-        labels = settle(in_few(labels.join(up, labels["root"] == up["was"], "left").select("id", F.coalesce("to", "root").alias("root")), 2 * n))
+        labels = settle(in_few(labels.join(up, labels["root"] == up["was"], "left").select("id", F.coalesce("to", "root").alias("root")), 2 * n_all))
         for end in ("a", "b"):
             edges = edges.join(up, edges[end] == up["was"], "left").withColumn(end, F.coalesce("to", end)).select("a", "b")
         edges = settle(in_few(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), n))
         n = edges.count()
-    return labels
+    roots = settle(edges.select("a", "b").coalesce(1).mapInArrow(released(_roots), "id long, root long"))
+    if labels is None:
+        return roots
+    last = roots.select(F.col("id").alias("was"), F.col("root").alias("to"))
+    return settle(in_few(labels.join(last, labels["root"] == last["was"], "left").select("id", F.coalesce("to", "root").alias("root")), 2 * n_all))
 
 
 def _bounds(percent: int) -> Column:
@@ -288,13 +313,13 @@ def leftover_pairs(posts: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def verify(tips: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose rows overlap enough, a product of rows with the row of their centre b.
+def verify(tips: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the ``n`` pairs (a, b) whose rows overlap enough, a product of rows with the row of their centre b.
 
     A centre goes to as many places as its rows need, and each place takes its rows one Arrow batch at a time.
     """
     places = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).alias("places"))
-    dealt = settle(pairs.join(places, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("places")).alias("place")))
+    dealt = settle(in_few(pairs.join(places, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("places")).alias("place")), n))
     need = dealt.select(F.col("a").alias("id"), "b", "place", F.lit(1).alias("side")).union(dealt.select("b", "b", "place", F.lit(0)).distinct())
     rows = need.join(tips.select("id", "n", "cols"), "id").select("b", "place", "side", "id", "n", "cols")
 
@@ -336,13 +361,12 @@ def verify(tips: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             at = np.concatenate(linked) if linked else np.zeros(0, np.int64)
             yield pa.record_batch([pa.array(ids[at], pa.int64()), pa.array(b[at], pa.int64())], ["a", "b"])
 
-    return settle(rows.repartition("b", "place").sortWithinPartitions("b", "place", "side").mapInArrow(released(run), "a long, b long"))
+    return in_few(settle(rows.repartition("b", "place").sortWithinPartitions("b", "place", "side").mapInArrow(released(run), "a long, b long")), n)
 
 
 def link_classes(tips: DataFrame, percent: int) -> DataFrame | None:
     """(id, root) of the rows of ``tips`` (id, n, head, cols) that have links; None where there are none."""
     labels: DataFrame | None = None
-    links: list[DataFrame] = []
     checked: list[DataFrame] = []
     worked = True
     heads = tips.select("id", "n", (F.col("n") - F.size("cols")).alias("own"), F.slice("cols", F.lit(1), F.col("head")).alias("cols"))
@@ -356,17 +380,22 @@ def link_classes(tips: DataFrame, percent: int) -> DataFrame | None:
         count, left = size.agg(F.sum("g"), F.sum(F.col("g") * (F.col("g") - F.col("m")))).first()
         if not count:
             break
+        posts = in_few(posts, count)
         last = left <= PAIRS_PER_ROW * count or turn == MAX_ROUNDS - 1 or not worked
         pairs = leftover_pairs(posts, percent) if last else stars(posts, turn, percent)
         pairs = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").groupBy("x", "y").agg(F.max(F.struct("a", "b")).alias("p")).select("p.a", "p.b", "x", "y")
         for seen in checked:
             pairs = pairs.join(seen, ["x", "y"], "left_anti")
-        pairs = settle(pairs)
+        pairs = in_few(settle(pairs), left if last else CENTRES * count)
+        n = pairs.count()
+        pairs = in_few(pairs, n)
         checked.append(pairs.select("x", "y"))
-        links.append(verify(tips, pairs.select("a", "b"), percent))
-        worked = links[-1].count() >= YIELD * pairs.count()
-        edges = reduce(DataFrame.union, links)
-        labels = components(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        links = verify(tips, pairs.select("a", "b"), n, percent)
+        n_links = links.count()
+        worked = n_links >= YIELD * n
+        # What earlier rounds linked is in the labels.
+        edges, n_all = (links, n_links) if labels is None else (links.union(labels.filter("id <> root")), n_links + n_all)
+        labels = components(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), n_all)
         if last:
             break
     return labels

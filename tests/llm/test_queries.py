@@ -120,6 +120,27 @@ def test_few_edges_take_few_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_few_edges_take_few_jobs(spark):
+    edges = settle(spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 < 19], "a long, b long").repartition(4))
+    spark.sparkContext.setJobGroup("contraction", "of few edges")
+    try:
+        groups = op8.components(edges)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("contraction")) <= 4  # no rounds, or the driver's memory follows them
+    assert {(r.id, r.root) for r in groups.collect()} == {(i, i - i % 20) for i in range(60)}
+
+
+@pytest.mark.parametrize("rows", [1, 8, 40])
+def test_rounds_end_in_a_task(spark, monkeypatch, rows):
+    monkeypatch.setattr(op8, "TASK_ROWS", rows)
+    order = list(range(90))
+    random.Random(rows).shuffle(order)
+    pairs = [(a, b) for at in (0, 50, 80) for a, b in zip(order[at:], order[at + 1 : at + (50, 30, 10)[at // 40]])]
+    got = {r.id: r.root for r in op8.components(spark.createDataFrame(pairs + pairs[:3], "a long, b long")).collect()}
+    assert got == {i: min(part) for part in (order[:50], order[50:80], order[80:]) for i in part}
+
+
 def test_planted_leaks_are_found(spark):
     items = [prose(RNG.randint(12, 55)) for _ in range(25)]
     texts, want = [prose(RNG.randint(5, 400)) for _ in range(120)], set()
